@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-
-
 def coerced(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """``value`` in the target type, NULL where it cannot be converted. Empty text is NULL for non-text targets."""
     if source == target:
@@ -20,10 +17,7 @@ def coerced(value: Column, source: T.DataType, target: T.DataType) -> Column:
         return value.cast("string")
     if not isinstance(source, T.StringType):
         return value.try_cast(target)
-    text = F.nullif(F.trim(value), F.lit(""))
-    if isinstance(target, (T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.try_to_timestamp(text, F.lit(TIMESTAMP_FORMAT)).cast(target), text.try_cast(target))
-    return text.try_cast(target)
+    return F.nullif(F.trim(value), F.lit("")).try_cast(target)
 
 
 def _plan(df: DataFrame, target: T.StructType):

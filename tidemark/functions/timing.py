@@ -37,3 +37,13 @@ def elapsed_ms(start: Column, end: Column) -> Column:
 def shift(ts: Column, seconds: int) -> Column:
     """``ts`` moved by a number of seconds (negative = earlier)."""
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp."""
+    return (exact_seconds(ntz("1970-01-01 00:00:00"), ts) * 1000000).cast("bigint")
+
+
+def clock_text(ts: Column) -> Column:
+    """``HH:mm:ss`` of a zone-free timestamp."""
+    return F.substring(ts.cast("string"), 12, 8)

@@ -166,12 +166,12 @@ def sync_distribution(log: DataFrame, tasks: DataFrame, top: int = TOP_TABLES) -
     per_table = named.groupBy(F.coalesce("source_table", F.lit("unknown")).alias("label")).agg(
         F.sum("rows").alias("rows"))
     leaders = per_table.orderBy(F.desc("rows"), "label").limit(top)
-    everything = per_table.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"))
-    total = everything.select("rows").scalar()
-    rest = leaders.agg((total - F.sum("rows")).alias("rows"), (everything.select("n").scalar() > top).alias("more"))
-    other = rest.where(F.col("more") & (F.col("rows") > 0)).select(F.lit("other").alias("label"), "rows")
-    empty = everything.where("n = 0").select(F.lit("no_data").alias("label"), F.lit(0).cast("bigint").alias("rows"))
-    percent = F.when(total > 0, F.floor(F.col("rows") * 100 / total)).otherwise(0).cast("int")
+    whole = per_table.agg(F.struct(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    rest = leaders.agg((whole["rows"] - F.sum("rows")).alias("rows"))
+    other = rest.where((whole["n"] > top) & (F.col("rows") > 0)).select(F.lit("other").alias("label"), "rows")
+    empty = log.sparkSession.range(1).where(whole["n"] == 0).select(F.lit("no_data").alias("label"),
+                                                                    F.lit(0).cast("bigint").alias("rows"))
+    percent = F.when(whole["rows"] > 0, F.floor(F.col("rows") * 100 / whole["rows"])).otherwise(0).cast("int")
     return leaders.unionByName(other).unionByName(empty).select("label", percent.alias("percent"))
 
 

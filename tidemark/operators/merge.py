@@ -12,15 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators.mapping import known_columns
+from tidemark.operators.sizing import is_small
 from tidemark.spec import SyncMode
 
-# A source is broadcast only if its counted size is below this bound; above it the merge shuffles.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
-
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last by ``order`` (NULL ranks lowest).
 
@@ -40,23 +36,6 @@ def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     return df.where(has_key(keys)), df.where(~has_key(keys))
 
 
-def counted_bytes(df: DataFrame) -> int:
-    """Size of the rows as one aggregate: fixed-width columns by width, text and binary by their real length."""
-    per_row = F.lit(16)
-    for f in df.schema:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            per_row = per_row + F.coalesce(F.octet_length(f.name), F.lit(0)) + 8
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            per_row = per_row + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
-        else:
-            per_row = per_row + 8
-    return df.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    return counted_bytes(df) <= limit
-
-
 def _values(keys, columns):
     lower = {k.lower() for k in keys}
     return [c for c in columns if c.lower() not in lower]

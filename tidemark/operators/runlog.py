@@ -12,7 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timing import ntz, shift, whole_seconds
+from tidemark.functions.timing import clock_text, epoch_micros, ntz, shift, whole_seconds
+from tidemark.operators.sizing import broadcast_if_small
 from tidemark.sources.scan import with_total
 from tidemark.spec import RunStatus
 
@@ -110,7 +111,7 @@ def log_timeline(log: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("seq"), F.col("start_time").alias("event_time"), start.alias("event")),
         F.struct(F.lit(2).alias("seq"), F.col("end_time").alias("event_time"), end.alias("event")))
     return (log.select("id", F.explode(events).alias("e")).where(F.col("e.event_time").isNotNull())
-            .select("id", "e.seq", "e.event_time", F.date_format("e.event_time", "HH:mm:ss").alias("clock"), "e.event"))
+            .select("id", "e.seq", "e.event_time", clock_text(F.col("e.event_time")).alias("clock"), "e.event"))
 
 
 def day_summary(log: DataFrame, day: str) -> DataFrame:
@@ -218,7 +219,8 @@ def runnable_tasks(schedules: DataFrame, tasks: DataFrame, manual: bool = False)
 
 def _close(log: DataFrame, closing: DataFrame, now: Any, message: str) -> DataFrame:
     """The log with the runs in ``closing`` (column ``id``) turned into failures ended at ``now``."""
-    marks = closing.select("id", F.lit(True).alias("_close"))
+    # one run per task; measured, because a broadcast spares the log its shuffle
+    marks = broadcast_if_small(closing.select("id", F.lit(True).alias("_close")))
     rows = log.join(marks, "id", "left")
     hit = F.coalesce(F.col("_close"), F.lit(False))
     changed = {"status": F.lit(int(RunStatus.FAILED)), "end_time": ntz(now), "error_msg": F.lit(message)}
@@ -241,23 +243,27 @@ def timed_out_runs(log: DataFrame, now: Any, limit_seconds: int = MAX_RUN_SECOND
 def trailing_rows(log: DataFrame, seconds: int, bucket_seconds: int = 86400) -> DataFrame:
     """Per ended run: rows its task moved in the trailing ``seconds`` up to and including its end.
 
-    A window over a whole task would be one group per task. Runs are cut into (task, time bucket) groups;
-    the runs at the end of a bucket that the next one still sees are copied there as history. Group size is bounded by
-    the rate, not by the history of a task.
+    Every run is an arrival (+rows) at its end and an expiry (-rows) just after it leaves the trailing window, so the
+    figure is a running sum: linear work, no frame is summed again per row. A running sum per task would be one group per
+    task; it restarts in every time bucket instead, and a run that outlives its bucket arrives again at the start of
+    the next. Group size then depends on the rate of a task, not on its history.
     """
     if bucket_seconds < seconds:
         raise ValueError("a bucket must be at least as long as the trailing window")
-    epoch = F.floor((F.col("end_time") - ntz("1970-01-01 00:00:00")).cast("interval second").cast("decimal(20,6)")
-                    * 1000000).cast("bigint")
-    own = log.where(F.col("end_time").isNotNull()).withColumn("_t", epoch)
-    own = own.withColumn("_b", F.floor(F.col("_t") / (bucket_seconds * 1000000)).cast("bigint"))
-    carried = (F.col("_b") + 1) * (bucket_seconds * 1000000) - F.col("_t") <= seconds * 1000000
-    copies = F.when(carried, F.array(F.struct(F.col("_b"), F.lit(True).alias("_own")),
-                                     F.struct((F.col("_b") + 1).alias("_b"), F.lit(False).alias("_own")))
-                    ).otherwise(F.array(F.struct(F.col("_b"), F.lit(True).alias("_own"))))
-    placed = own.select("*", F.explode(copies).alias("_c")).drop("_b").select("*", "_c._b", "_c._own")
-    w = Window.partitionBy("task_id", "_b").orderBy("_t").rangeBetween(-seconds * 1000000, 0)
-    return (placed.withColumn("trailing_rows", F.sum("success_count").over(w)).where("_own")
+    width, bucket = seconds * 1000000, bucket_seconds * 1000000
+    own = (log.where(F.col("end_time").isNotNull()).withColumn("_t", epoch_micros(F.col("end_time")))
+           .withColumn("_b", F.floor(F.col("_t") / bucket).cast("bigint")))
+    rows, gone, following = F.col("success_count"), F.col("_t") + (width + 1), F.col("_b") + 1
+
+    def event(b, at, delta, is_run=False):
+        return F.struct(b.alias("b"), at.alias("at"), delta.alias("delta"), F.lit(is_run).alias("is_run"))
+
+    arrival = event(F.col("_b"), F.col("_t"), rows, True)
+    events = F.when(gone < following * bucket, F.array(arrival, event(F.col("_b"), gone, -rows))).otherwise(
+        F.array(arrival, event(following, following * bucket, rows), event(following, gone, -rows)))
+    w = Window.partitionBy("task_id", "e.b").orderBy("e.at").rangeBetween(Window.unboundedPreceding, 0)
+    return (own.select("id", "task_id", "end_time", "success_count", F.explode(events).alias("e"))
+            .withColumn("trailing_rows", F.sum("e.delta").over(w)).where("e.is_run")
             .select("id", "task_id", "end_time", "success_count", "trailing_rows",
                     (F.col("trailing_rows") / seconds).alias("rows_per_second")))
 
