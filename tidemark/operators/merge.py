@@ -126,12 +126,16 @@ def classify(target: DataFrame, source: DataFrame, keys: Sequence[str], small: b
     types = {f.name.lower(): f.dataType for f in target.schema}
     same = functools.reduce(lambda a, b: a & b,
                             [F.col(f"_s_{c}").cast(types[c.lower()]).eqNullSafe(F.col(c)) for c in values], F.lit(True))
-    pairs = (target.select(*keys, *values).join(F.broadcast(tagged) if small else tagged, list(keys))
-             .select(*keys, same.alias("_same")))
+    kept = target.select(*keys, *values)
     if small:
-        pairs = F.broadcast(pairs)
+        # an outer join cannot broadcast its preserved side, so the pairs found in the target are broadcast back
+        pairs = kept.join(F.broadcast(tagged), list(keys)).select(*keys, same.alias("_same"))
+        joined = source.select(*keys).join(F.broadcast(pairs), list(keys), "left")
+    else:
+        found = kept.withColumn("_in_target", F.lit(True))
+        joined = tagged.join(found, list(keys), "left").select(*keys, F.when(F.col("_in_target"), same).alias("_same"))
     kind = F.when(F.col("_same").isNull(), "insert").when(F.col("_same"), "unchanged").otherwise("update")
-    return source.join(pairs, list(keys), "left").select(*keys, kind.alias("kind"))
+    return joined.select(*keys, kind.alias("kind"))
 
 
 def change_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timing import clock_text, epoch_micros, ntz, shift, whole_seconds
+from tidemark.operators.merge import last_wins
 from tidemark.operators.sizing import broadcast_if_small
+from tidemark.session import shared_dir
 from tidemark.sources.scan import with_total
 from tidemark.spec import RunStatus
 
@@ -141,8 +143,7 @@ def task_stats(log: DataFrame, task_ids: DataFrame | None = None) -> DataFrame:
 
 def latest_running(log: DataFrame) -> DataFrame:
     """The newest run still marked running, per task."""
-    newest = F.max_by(F.struct(*log.columns), F.struct("start_time", "id"))
-    return log.where(_is(RunStatus.RUNNING)).groupBy("task_id").agg(newest.alias("r")).select("r.*")
+    return last_wins(log.where(_is(RunStatus.RUNNING)), ["task_id"], ["start_time", "id"])
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -220,8 +221,9 @@ def runnable_tasks(schedules: DataFrame, tasks: DataFrame, manual: bool = False)
 def _close(log: DataFrame, closing: DataFrame, now: Any, message: str) -> DataFrame:
     """The log with the runs in ``closing`` (column ``id``) turned into failures ended at ``now``."""
     # one run per task; measured, because a broadcast spares the log its shuffle
-    marks = broadcast_if_small(closing.select("id", F.lit(True).alias("_close")))
-    rows = log.join(marks, "id", "left")
+    shared_dir(log.sparkSession)
+    marks = closing.select("id", F.lit(True).alias("_close")).checkpoint()
+    rows = log.join(broadcast_if_small(marks), "id", "left")
     hit = F.coalesce(F.col("_close"), F.lit(False))
     changed = {"status": F.lit(int(RunStatus.FAILED)), "end_time": ntz(now), "error_msg": F.lit(message)}
     return rows.select(*[(F.when(hit, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c)

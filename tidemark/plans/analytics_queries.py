@@ -247,7 +247,13 @@ def rps_trend(t):
 @query("latency_per_1k", f"""
 with done as (select {MILLIS} / ((success_count + fail_count) / 1000.0::double) as per_1k from run_log
               where status = 2 and {_between(1, 0)} and success_count + fail_count > 0),
-     mean as (select count(*) as runs, floor(avg(per_1k) * 100 + 0.5) / 100 as latency_ms from done)
+     newest as (select * from run_log where status = 1 and start_time >= timestamp '{NOW}' - interval 24 hour
+                  and start_time <= timestamp '{NOW}' order by start_time desc, id desc limit 1),
+     live as (select floor((epoch_us(timestamp '{NOW}') - epoch_us(start_time)) // 1000
+                           / ((success_count + fail_count) / 1000.0::double) + 0.5) as latency_ms
+              from newest where total_count > 0 and success_count + fail_count > 0),
+     mean as (select count(*) as runs, coalesce(floor(avg(per_1k) * 100 + 0.5) / 100, (select latency_ms from live), 0)
+                       as latency_ms from done)
 select runs, latency_ms, case when latency_ms > 5000 then 'critical' when latency_ms > 2000 then 'warning'
                               else 'stable' end as latency_status from mean""")
 def latency_per_1k(t):

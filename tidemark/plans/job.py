@@ -54,9 +54,12 @@ def deduplicate(rows: DataFrame, spec: SyncSpec) -> DataFrame:
 
 def incremental_result(target: DataFrame, source: DataFrame, spec: SyncSpec, last_value: Any = None,
                        small: bool | None = None) -> DataFrame:
-    """Target after an incremental run, as one lazy plan."""
+    """Target after an incremental run. The de-duplicated increment is checkpointed, because measuring and merging it use
+    it several times."""
+    shared_dir(source.sparkSession)
     rows, _ = shape(select_source(source, spec, last_value), spec, target.schema)
-    return merge.apply_mode(target, deduplicate(rows, spec), spec.keys, spec.mode, spec.no_update, small=small)
+    staged = deduplicate(rows, spec).checkpoint()
+    return merge.apply_mode(target, staged, spec.keys, spec.mode, spec.no_update, small=small)
 
 
 def full_result(source: DataFrame, spec: SyncSpec, target: T.StructType | None = None) -> DataFrame:

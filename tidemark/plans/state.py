@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -19,12 +18,6 @@ RUN_LOG_SCHEMA = ("id string, task_id string, task_name string, sync_mode int, s
                   "skip_count bigint, error_msg string, start_time timestamp_ntz, end_time timestamp_ntz")
 
 
-def latest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The newest row per key, combined before the shuffle."""
-    newest = F.max_by(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(key).agg(newest.alias("r")).select("r.*")
-
-
 def advance(log: DataFrame) -> DataFrame:
     """Stored marker of each task after its runs: the latest end of a successful one."""
     return log.where(F.col("status") == 2).groupBy("task_id").agg(F.max("end_time").alias("last_marker"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def jdbc_options(url: str, table: str | None = None, sql: str | None = None, fetch_size: int = 2000,
                  **extra: str) -> dict[str, str]:
     """Reader options; a SELECT text takes precedence over the table and becomes a derived table."""
-    source = f"({sql.strip().rstrip(';')}) src" if sql and sql.strip() else table
+    source = f"({sql.strip().rstrip('; ')}) src" if sql and sql.strip() else table
     if not source:
         raise ValueError("neither a table nor a SELECT text was given")
     return {"url": url, "dbtable": source, "fetchsize": str(fetch_size), **extra}
