@@ -48,7 +48,7 @@ def test_null_values_compare_as_equal(spark):
     t = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "k int, v string")
     s = spark.createDataFrame([(1, None), (2, None), (3, "b"), (4, "c")], "k int, v string")
     for small in (True, False):
-        assert rows(merge.classify(t, s, ["k"], small)) == [(1, "unchanged"), (2, "update"), (3, "update"), (4, "insert")]
+        assert rows(merge.classify(t, s, ["k"], small), "k", "kind") == [(1, "unchanged"), (2, "update"), (3, "update"), (4, "insert")]
     assert rows(merge.upsert(t, s, ["k"])) == [(1, None), (2, None), (3, "b"), (4, "c")]
 
 
@@ -69,6 +69,14 @@ def test_names_match_without_case_and_unknown_columns_are_dropped(spark):
     assert rows(out) == [(1, "b", 5), (2, "c", None)]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_applying_classified_rows_equals_the_merge(tables, small):
+    t, s = tables.orders_tgt, tables.orders_src
+    changes = merge.classify(t, s, KEY, small)
+    assert rows(merge.apply_classified(t, changes, KEY, small)) == rows(merge.upsert(t, s, KEY))
+    assert rows(merge.apply_classified(t, changes, KEY, small, no_update=True)) == rows(merge.insert_absent(t, s, KEY))
+
+
 def test_later_batch_wins(spark):
     a = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
     b = spark.createDataFrame([(2, "b"), (3, "b")], "k int, v string")

@@ -236,3 +236,34 @@ def test_timestamp_markers_survive_the_state(spark, where):
 def test_shared_folder_is_the_one_of_the_session(spark):
     from tidemark.session import scratch_path, shared_dir
     assert scratch_path(spark, uuid.uuid4().hex).startswith(shared_dir(spark))
+
+
+def test_the_marker_orders_rows_even_if_it_is_not_copied(spark, where):
+    schema = T.StructType([SCHEMA["k"], SCHEMA["v"]])
+    table = VersionedTable(spark, where("t"), schema, ["k"], 2)
+    source = frame(spark, [(1, 9, "last"), (1, 3, "first"), (2, None, "none")])
+    job.run_sync(source, table, SyncSpec("task", keys=("k",), marker="m"), StateTable(spark, where("s")), NOW)
+    assert rows(table.read()) == [(1, "last"), (2, "none")]
+    mapped = SyncSpec("other", keys=("k",), marker="m", mapping=(MappedField("K", "k"), MappedField("V", "v")))
+    job.run_sync(source, table, mapped, StateTable(spark, where("s")), NOW)
+    assert rows(table.read()) == [(1, "last"), (2, "none")]
+
+
+def test_many_rows_without_a_key_are_counted_not_merged(spark, where):
+    source = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"), F.col("id").alias("m"),
+                                      F.lit("a").alias("v"))
+    table = table_of(spark, where("t"))
+    result = job.run_sync(source, table, SyncSpec("task", keys=("k",), marker="m"), StateTable(spark, where("s")), NOW)
+    assert (result.rejected, result.inserted, table.read().count()) == (2000, 1000, 1000)
+
+
+def test_unchanged_rows_rewrite_nothing(spark, where):
+    source = frame(spark, [(i, i, "a") for i in range(40)])
+    table, spec = table_of(spark, where("t"), 8), SyncSpec("task", keys=("k",))
+    state = StateTable(spark, where("s"))
+    job.run_sync(source, table, spec, state, NOW)
+    result = job.run_sync(source, table, spec, state, NOW)
+    assert result.unchanged == 40 and table.current() == 1
+    one = source.withColumn("v", F.when(F.col("k") == 7, "b").otherwise("a"))
+    assert job.run_sync(one, table, spec, state, NOW).updated == 1
+    assert len(table._glob("part-0000000002-*/_bucket=*")) == 1

@@ -118,7 +118,7 @@ def union_batches(batches: Sequence[DataFrame], keys: Sequence[str], order: Sequ
 
 
 def classify(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Source keys with ``kind``: insert, update or unchanged (null-safe comparison of the written columns)."""
+    """Source rows with ``kind``: insert, update or unchanged (null-safe comparison of the written columns)."""
     source, _ = split_null_keys(known_columns(source, target.schema), keys)
     values = _values(keys, source.columns)
     small = is_small(source) if small is None else small
@@ -130,12 +130,26 @@ def classify(target: DataFrame, source: DataFrame, keys: Sequence[str], small: b
     if small:
         # an outer join cannot broadcast its preserved side, so the pairs found in the target are broadcast back
         pairs = kept.join(F.broadcast(tagged), list(keys)).select(*keys, same.alias("_same"))
-        joined = source.select(*keys).join(F.broadcast(pairs), list(keys), "left")
+        joined = source.join(F.broadcast(pairs), list(keys), "left")
     else:
         found = kept.withColumn("_in_target", F.lit(True))
-        joined = tagged.join(found, list(keys), "left").select(*keys, F.when(F.col("_in_target"), same).alias("_same"))
+        joined = tagged.join(found, list(keys), "left").select(
+            *keys, *[F.col(f"_s_{c}").alias(c) for c in values], F.when(F.col("_in_target"), same).alias("_same"))
     kind = F.when(F.col("_same").isNull(), "insert").when(F.col("_same"), "unchanged").otherwise("update")
-    return joined.select(*keys, kind.alias("kind"))
+    return joined.select(*source.columns, kind.alias("kind"))
+
+
+def apply_classified(target: DataFrame, changes: DataFrame, keys: Sequence[str], small: bool,
+                     no_update: bool = False) -> DataFrame:
+    """The target with classified source rows applied. Only the updates meet the target, the inserts are known
+    to be absent, and unchanged rows are left out."""
+    inserts = _inserts(changes.where("kind = 'insert'").drop("kind"), target)
+    if no_update:
+        return target.unionByName(inserts)
+    updates = changes.where("kind = 'update'").drop("kind")
+    tagged = _tagged(updates, keys)
+    joined = target.join(F.broadcast(tagged) if small else tagged, list(keys), "left")
+    return _updated(joined, target, updates, keys).unionByName(inserts)
 
 
 def change_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:

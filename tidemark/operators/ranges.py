@@ -70,11 +70,14 @@ def encode_checkpoint(gaps: DataFrame, completed: Any, per_row: int = RANGES_PER
     return parts.select("part", F.to_json(body, {"ignoreNullFields": "false"}).alias("checkpoint"))
 
 
-def decode_checkpoint(df: DataFrame, marker_type: T.DataType | str, column: str = "checkpoint") -> DataFrame:
-    """Typed ranges from JSON texts: completed, lo, hi (one row per range)."""
-    parsed = df.select(F.from_json(column, CHECKPOINT_TYPE).alias("p"))
-    pairs = parsed.select(F.col("p.c").alias("c"), F.explode("p.g").alias("g"))
-    return pairs.select(F.col("c").cast(marker_type).alias("completed"), F.col("g")[0].cast(marker_type).alias("lo"),
+def decode_checkpoint(df: DataFrame, marker_type: T.DataType | str, column: str = "checkpoint",
+                      keep: Sequence[str] = ()) -> DataFrame:
+    """Typed ranges from JSON texts: completed, lo, hi (one row per range) plus the columns to ``keep``; with those, a row
+    without ranges stays as one row of NULLs."""
+    parsed = df.select(*keep, F.from_json(column, CHECKPOINT_TYPE).alias("p"))
+    each = F.explode_outer if keep else F.explode
+    pairs = parsed.select(*keep, F.col("p.c").alias("c"), each("p.g").alias("g"))
+    return pairs.select(*keep, F.col("c").cast(marker_type).alias("completed"), F.col("g")[0].cast(marker_type).alias("lo"),
                         F.col("g")[1].cast(marker_type).alias("hi"))
 
 

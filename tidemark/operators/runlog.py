@@ -28,6 +28,7 @@ DONE_EVENT = "任务已完成"
 FAILED_EVENT = "任务执行失败"
 DURATION_EVENT = "，总耗时 "
 RESTART_MESSAGE = "系统异常重启, 任务中断"
+RESUME_MESSAGE = "任务重新启动, 从断点续传"
 TIMEOUT_MESSAGE = "任务执行超过12小时, 已被系统强制终止"
 MAX_RUN_SECONDS = 12 * 3600
 LOG_PAGE_SIZE = 20
@@ -218,14 +219,14 @@ def runnable_tasks(schedules: DataFrame, tasks: DataFrame, manual: bool = False)
             .select("id", "name", "schedule_id", "schedule_name", "run_status"))
 
 
-def _close(log: DataFrame, closing: DataFrame, now: Any, message: str) -> DataFrame:
-    """The log with the runs in ``closing`` (column ``id``) turned into failures ended at ``now``."""
+def _close(log: DataFrame, closing: DataFrame, now: Any, message: str, status: RunStatus = RunStatus.FAILED) -> DataFrame:
+    """The log with the runs in ``closing`` (column ``id``) ended at ``now`` with a status and message."""
     # one run per task; measured, because a broadcast spares the log its shuffle
     shared_dir(log.sparkSession)
     marks = closing.select("id", F.lit(True).alias("_close")).checkpoint()
     rows = log.join(broadcast_if_small(marks), "id", "left")
     hit = F.coalesce(F.col("_close"), F.lit(False))
-    changed = {"status": F.lit(int(RunStatus.FAILED)), "end_time": ntz(now), "error_msg": F.lit(message)}
+    changed = {"status": F.lit(int(status)), "end_time": ntz(now), "error_msg": F.lit(message)}
     return rows.select(*[(F.when(hit, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c)
                          for c in log.columns])
 
@@ -236,6 +237,17 @@ def stale_repair(log: DataFrame, tasks: DataFrame, now: Any, message: str = REST
     return _close(log, latest_running(log).join(interrupted, "task_id", "left_semi"), now, message)
 
 
+def close_resumed(log: DataFrame, task_ids: DataFrame, now: Any, message: str = RESUME_MESSAGE) -> DataFrame:
+    """When tasks (column ``task_id``) resume, their interrupted run ends as a success and a new run takes over."""
+    return _close(log, latest_running(log).join(task_ids.select("task_id"), "task_id", "left_semi"), now, message,
+                  RunStatus.SUCCESS)
+
+
+def timeout_repair(log: DataFrame, now: Any, message: str = TIMEOUT_MESSAGE) -> DataFrame:
+    """The newest running run of a task becomes a failure once it has been open for too long."""
+    return _close(log, timed_out_runs(latest_running(log), now), now, message)
+
+
 def timed_out_runs(log: DataFrame, now: Any, limit_seconds: int = MAX_RUN_SECONDS) -> DataFrame:
     """Open runs started more than ``limit_seconds`` before ``now``."""
     return log.where(_is(RunStatus.RUNNING) & F.col("end_time").isNull()
@@ -273,3 +285,10 @@ def trailing_rows(log: DataFrame, seconds: int, bucket_seconds: int = 86400) ->
 def completion(done: Column, total: Column) -> Column:
     """Integer percent, at most 100, 0 for an empty total."""
     return F.when(total > 0, F.least(F.lit(100), F.floor(done * 100 / total + 0.5))).otherwise(0).cast("int")
+
+
+def run_progress(log: DataFrame) -> DataFrame:
+    """Progress of every running run: total, done and failed rows and the percentage done."""
+    return log.where(_is(RunStatus.RUNNING)).select(
+        "id", "task_id", F.col("total_count").alias("total_rows"), F.col("success_count").alias("success_rows"),
+        F.col("fail_count").alias("fail_rows"), completion(F.col("success_count"), F.col("total_count")).alias("percent"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
-def counted_bytes(df: DataFrame) -> int:
-    """Size of the rows as one aggregate: fixed-width columns by width, text and binary by their real length."""
+def row_bytes(df: DataFrame) -> Column:
+    """Size of one row: fixed-width columns by width, text and binary by their real length."""
     per_row = F.lit(16)
     for f in df.schema:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -20,7 +20,11 @@ def counted_bytes(df: DataFrame) -> int:
             per_row = per_row + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
         else:
             per_row = per_row + 8
-    return df.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
+    return per_row.cast("bigint")
+
+
+def counted_bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:

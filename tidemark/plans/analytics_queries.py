@@ -174,19 +174,55 @@ def active_tasks(t):
     return runlog.active(t.sync_task)
 
 
-@query("stale_repair", f"""
-with newest as (select id from (select * from run_log where status = 1
-                  qualify row_number() over (partition by task_id order by start_time desc, id desc) = 1)
-                where task_id in (select id from sync_task where run_status = 'running'))
-select id, task_id, task_name, case when id in (select id from newest) then 3 else status end as status, total_count,
-       success_count, fail_count,
-       case when id in (select id from newest) then '系统异常重启, 任务中断' else error_msg end as error_msg, start_time,
-       case when id in (select id from newest) then timestamp '{NOW}' else end_time end as end_time
-from run_log""")
+def _closed_oracle(closing: str, status: int, message: str) -> str:
+    """The whole log with the runs of ``closing`` (ids) rewritten."""
+    return f"""
+with latest as (select * from run_log where status = 1
+                qualify row_number() over (partition by task_id order by start_time desc, id desc) = 1),
+     closing as ({closing})
+select id, task_id, task_name, case when id in (select id from closing) then {status} else status end as status, total_count,
+       success_count, fail_count, case when id in (select id from closing) then '{message}' else error_msg end as error_msg,
+       start_time, case when id in (select id from closing) then timestamp '{NOW}' else end_time end as end_time
+from run_log"""
+
+
+@query("stale_repair", _closed_oracle(
+    "select id from latest where task_id in (select id from sync_task where run_status = 'running')", 3,
+    "系统异常重启, 任务中断"))
 def stale_repair(t):
     return runlog.stale_repair(t.run_log, t.sync_task, NOW)
 
 
+@query("resume_close", _closed_oracle(
+    "select id from latest where task_id in (select id from sync_task where run_status = 'paused')", 2,
+    "任务重新启动, 从断点续传"))
+def resume_close(t):
+    paused = t.sync_task.where("run_status = 'paused'").select(F.col("id").alias("task_id"))
+    return runlog.close_resumed(t.run_log, paused, NOW)
+
+
+@query("timeout_repair", _closed_oracle(
+    f"select id from latest where start_time < timestamp '{NOW}' - interval 12 hour", 3, "任务执行超过12小时, 已被系统强制终止"))
+def timeout_repair(t):
+    return runlog.timeout_repair(t.run_log, NOW)
+
+
+@query("run_progress", """
+select id, task_id, total_count as total_rows, success_count as success_rows, fail_count as fail_rows,
+       cast(case when total_count > 0 then least(100, floor(success_count * 100 / total_count + 0.5)) else 0 end as int)
+         as percent
+from run_log where status = 1""")
+def run_progress(t):
+    return runlog.run_progress(t.run_log)
+
+
+@query("runnable_manually", """
+select s.id, s.name, s.schedule_id, c.name as schedule_name, s.run_status
+from sync_task s join schedule c on s.schedule_id = c.id where s.status = 1 and s.run_status <> 'paused'""")
+def runnable_manually(t):
+    return runlog.runnable_tasks(t.schedule, t.sync_task, manual=True)
+
+
 @query("timed_out_runs", f"""
 select * from run_log where status = 1 and end_time is null and start_time < timestamp '{NOW}' - interval 12 hour""")
 def timed_out_runs(t):

@@ -19,10 +19,11 @@ from tidemark.functions import coerce, predicates
 from tidemark.operators import merge, ranges
 from tidemark.operators.mapping import apply_mapping, known_columns
 from tidemark.operators.profile import marker_profile
+from tidemark.operators.sizing import BROADCAST_LIMIT_BYTES, row_bytes
 from tidemark.plans.state import RUN_LOG_SCHEMA, StateTable
 from tidemark.session import shared_dir
 from tidemark.sinks.versioned import VersionedTable
-from tidemark.spec import RunStatus, SyncMode, SyncSpec
+from tidemark.spec import MappedField, RunStatus, SyncMode, SyncSpec
 
 MAX_ERROR_CHARS = 2000
 
@@ -32,24 +33,37 @@ def select_source(source: DataFrame, spec: SyncSpec, last_value: Any = None) ->
     return source.where(predicates.incremental(source, spec.marker, last_value, spec.where))
 
 
-def shape(rows: DataFrame, spec: SyncSpec, target: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows in the target's names and types, rejected rows: values that do not convert or keys that are NULL)."""
-    mapped = known_columns(apply_mapping(rows, spec.mapping), target)
-    converted = {name.lower(): c for name, c in coerce.columns(mapped, target).items()}
-    bad = functools.reduce(operator.or_, [converted[k.lower()].isNull() for k in spec.keys],
-                           coerce.any_reject(mapped, target))
-    return coerce.to_schema(mapped.where(~bad), target), mapped.where(bad)
+def shape(rows: DataFrame, spec: SyncSpec, target: T.StructType) -> DataFrame:
+    """Rows in the target's names and types, plus ``_bad`` (a value does not convert or a key is NULL) and, for
+    ordering, ``_marker``, which need not be a target column."""
+    mapping, wanted = list(spec.mapping), T.StructType(list(target.fields))
+    if spec.marker:
+        rows = rows.withColumn("_marker", F.col(spec.marker))
+        wanted = wanted.add("_marker", rows.schema["_marker"].dataType)
+        mapping += [MappedField("_marker", "_marker")] if mapping else []
+    mapped = known_columns(apply_mapping(rows, mapping), wanted)
+    converted = coerce.columns(mapped, wanted)
+    by_name = {name.lower(): c for name, c in converted.items()}
+    bad = functools.reduce(operator.or_, [by_name[k.lower()].isNull() for k in spec.keys],
+                           coerce.any_reject(mapped, wanted))
+    return mapped.select(*[c.alias(name) for name, c in converted.items()], bad.alias("_bad"))
 
 
-def deduplicate(rows: DataFrame, spec: SyncSpec) -> DataFrame:
-    """The last row per key by marker and the task's tie-break columns."""
-    marker = spec.marker_in_target()
-    order = [*([marker] if marker else []), *spec.order]
+def good(shaped: DataFrame) -> DataFrame:
+    return shaped.where(~F.col("_bad")).drop("_bad")
+
+
+def deduplicate(shaped: DataFrame, spec: SyncSpec) -> DataFrame:
+    """The last good row per key by marker and the task's tie-break columns; bad rows all stay, so that they can be
+    counted without reading the source again."""
     if spec.mode == SyncMode.INSERT_ONLY or not spec.keys:
-        return rows
+        return shaped.drop("_marker")
+    order = [*(["_marker"] if spec.marker else []), *spec.order]
     if not order:
-        order = [c for c in rows.columns if c not in spec.keys] or list(spec.keys)
-    return merge.last_wins(rows, spec.keys, order)
+        order = [c for c in shaped.columns if c not in spec.keys and c != "_bad"] or list(spec.keys)
+    # every bad row is its own group; a NULL key with many rows is spread, too
+    alone = shaped.withColumn("_alone", F.when(F.col("_bad"), F.monotonically_increasing_id()))
+    return merge.last_wins(alone, [*spec.keys, "_alone"], order).drop("_alone", "_marker")
 
 
 def incremental_result(target: DataFrame, source: DataFrame, spec: SyncSpec, last_value: Any = None,
@@ -57,16 +71,15 @@ def incremental_result(target: DataFrame, source: DataFrame, spec: SyncSpec, las
     """Target after an incremental run. The de-duplicated increment is checkpointed, because measuring and merging it use
     it several times."""
     shared_dir(source.sparkSession)
-    rows, _ = shape(select_source(source, spec, last_value), spec, target.schema)
-    staged = deduplicate(rows, spec).checkpoint()
+    shaped = shape(select_source(source, spec, last_value), spec, target.schema)
+    staged = good(deduplicate(shaped, spec)).checkpoint()
     return merge.apply_mode(target, staged, spec.keys, spec.mode, spec.no_update, small=small)
 
 
 def full_result(source: DataFrame, spec: SyncSpec, target: T.StructType | None = None) -> DataFrame:
     """Target after a full run: the mapped, coerced and de-duplicated source."""
     schema = target or apply_mapping(source, spec.mapping).schema
-    rows, _ = shape(select_source(source, spec), spec, schema)
-    return deduplicate(rows, spec)
+    return good(deduplicate(shape(select_source(source, spec), spec, schema), spec))
 
 
 def multi_table_counts(jobs: Mapping[str, tuple[DataFrame, SyncSpec]]) -> DataFrame:
@@ -90,37 +103,45 @@ class RunResult:
     open_ranges: int = 0
 
 
-def write_changes(table: VersionedTable, rows: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
+def write_changes(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
     """Apply shaped, key-unique rows to the table and count what changed.
 
-    The rows are checkpointed, so counting, checking their size and merging read them once computed. Only buckets holding one of their
-    keys are read and rewritten.
+    The rows are checkpointed, so measuring and comparing them does not read the source again. They are classified against the
+    buckets holding one of their keys; then only buckets with a real insert or update are rewritten, and a small change
+    is broadcast to them.
     """
-    shared_dir(rows.sparkSession)
-    staged = rows.checkpoint()
-    size = staged.agg(F.count(F.lit(1))).first()[0]
-    out = RunResult("success", read=size)
+    shared_dir(shaped.sparkSession)
+    staged = deduplicate(shaped, spec).checkpoint()
+    rows = good(staged)
+    fine = ~F.col("_bad")
+    # one aggregate; the set of buckets has at most as many elements as the table has buckets
+    facts = staged.agg(F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"),
+                       F.sum(F.when(fine, row_bytes(rows))).alias("bytes"),
+                       F.collect_set(F.when(fine, table.bucket(rows))).alias("buckets")).first()
+    out = RunResult("success", read=facts["n"], rejected=facts["bad"])
     if spec.mode == SyncMode.CLEAN_INSERT:
-        table.write(staged, "full", tag)
-        out.inserted = size
+        table.write(rows, "full", tag)
+        out.inserted = out.read
         return out
-    if size == 0:
+    if out.read == 0:
         return out
-    touched = table.touched(staged)
-    target = table.read(touched)
     if spec.mode == SyncMode.INSERT_ONLY:
-        table.write(merge.append(target, staged), "part", tag)
-        out.inserted = size
+        table.write(merge.append(table.read(facts["buckets"]), rows), "part", tag)
+        out.inserted = out.read
         return out
-    small = merge.is_small(staged)
-    counts = {r["kind"]: r["n_rows"] for r in merge.change_counts(target, staged, spec.keys, small).collect()}
-    out.inserted, out.updated = counts.get("insert", 0), counts.get("update", 0)
-    out.unchanged = counts.get("unchanged", 0)
+    small = facts["bytes"] <= BROADCAST_LIMIT_BYTES
+    changes = merge.classify(table.read(facts["buckets"]), rows, spec.keys, small).checkpoint()
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged")]
+    real = F.col("kind") == "insert" if spec.no_update else F.col("kind") != "unchanged"
+    counts = changes.agg(*kinds, F.collect_set(F.when(real, table.bucket(changes))).alias("buckets")).first()
+    out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"]
     if spec.no_update:
         out.unchanged, out.updated = out.unchanged + out.updated, 0
-    if out.inserted or out.updated:
-        result = merge.apply_mode(target, staged, spec.keys, spec.mode, spec.no_update, small=small)
-        table.write(result, "part", tag, rebalance=not small)
+    if counts["buckets"]:
+        target = table.read(counts["buckets"])
+        written = changes.where(real)
+        table.write(merge.apply_classified(target, written, spec.keys, small, spec.no_update), "part", tag,
+                    rebalance=not small)
     return out
 
 
@@ -157,10 +178,8 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
     tag = f"run{run[:12]}"
 
     def apply(rows):
-        good, bad = shape(rows, spec, table.schema)
-        step = write_changes(table, deduplicate(good, spec), spec, tag)
-        result.rejected += bad.agg(F.count(F.lit(1))).first()[0]
-        for name in ("read", "inserted", "updated", "unchanged"):
+        step = write_changes(table, shape(rows, spec, table.schema), spec, tag)
+        for name in ("read", "inserted", "updated", "unchanged", "rejected"):
             setattr(result, name, getattr(result, name) + getattr(step, name))
 
     error = None

@@ -55,16 +55,13 @@ class StateTable:
     def latest(self, task_id: str, marker_type: T.DataType | None = None) -> TaskState:
         """State of one task. Its open windows are as many as the ranges of one run, a number the run bounds."""
         mine = self.rows().where(F.col("task_id") == task_id)
-        newest = mine.agg(F.max("seq")).first()[0]
-        if newest is None:
+        newest = mine.where(F.col("seq") == mine.agg(F.max("seq")).scalar())
+        found = decode_checkpoint(newest, marker_type or T.StringType(), keep=("seq", "run_status", "last_marker")).collect()
+        if not found:
             return TaskState()
-        state = mine.where(F.col("seq") == newest)
-        head = state.select("run_status", "last_marker").first()
-        saved = state.where(F.col("checkpoint").isNotNull())
-        ranges = decode_checkpoint(saved, marker_type or "string").orderBy("lo").collect() if marker_type else []
-        parsed = [(r["lo"], r["hi"]) for r in ranges]
-        return TaskState(newest, head["run_status"], head["last_marker"], ranges[0]["completed"] if ranges else None,
-                         tuple(parsed), bool(parsed))
+        head, gaps = found[0], [(r["lo"], r["hi"]) for r in found if r["lo"] is not None or r["hi"] is not None]
+        return TaskState(head["seq"], head["run_status"], head["last_marker"], head["completed"],
+                         tuple(sorted(gaps, key=lambda w: (w[0] is not None, w[0]))), bool(gaps))
 
     def save(self, task_id: str, now: Any, run_status: str, last_marker: Any, gaps: DataFrame | None = None,
              completed: Any = None) -> None:

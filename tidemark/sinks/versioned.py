@@ -81,7 +81,7 @@ class VersionedTable:
 
     def touched(self, rows: DataFrame) -> list[int]:
         """Buckets the keys of ``rows`` fall into: at most ``buckets`` integers reach the driver."""
-        return sorted(r[0] for r in rows.select(self.bucket(rows).alias("b")).distinct().collect())
+        return sorted(rows.agg(F.collect_set(self.bucket(rows))).first()[0])
 
     def write(self, df: DataFrame, kind: str = "full", tag: str = "run", rebalance: bool = True) -> int:
         """Commit ``df`` as the next version. ``part`` needs all rows of every bucket it contains.

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.job import write_changes
-from tidemark.operators import merge
+from tidemark.plans.job import shape, write_changes
 from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import SyncSpec
 
@@ -33,14 +32,13 @@ def read_files(spark: SparkSession, folder: str, pattern: str, schema: T.StructT
 
 def batch_writer(table: VersionedTable, order: Sequence[str], stream_name: str = "stream"):
     """The ``foreachBatch`` function: last row per key, then upsert, unless this batch is already committed."""
-    spec = SyncSpec(stream_name, keys=table.keys)
+    spec = SyncSpec(stream_name, keys=table.keys, order=tuple(order))
 
     def write(rows: DataFrame, batch_id: int) -> None:
         tag = f"{stream_name}.{batch_id}"
         if table.has_tag(tag):
             return
-        keyed, _ = merge.split_null_keys(rows, table.keys)
-        write_changes(table, merge.last_wins(keyed, table.keys, order), spec, tag)
+        write_changes(table, shape(rows, spec, table.schema), spec, tag)
 
     return write
 
