@@ -50,6 +50,8 @@ def test_figures_of_an_empty_log(spark, empty):
     tasks = spark.createDataFrame([], "id bigint, source_table string")
     assert rows(dashboard.sync_distribution(empty, tasks)) == [("no_data", 0)]
     assert dashboard.last_event(empty, tasks, NOW).count() == 0
+    assert tuple(dashboard.overview(empty, tasks, NOW, "2024-01-15").first()) == (
+        0, "N/A", 0.0, "stable", 0, 0, 0.0, 0, -1, "idle", None, None, None)
     assert tuple(runlog.log_summary(empty).first()) == (0, 0.0, 0)
     day = runlog.day_summary(empty, "2024-01-15").first()
     assert day["total_executions"] == 0 and day["success_rate"] == 0 and day["avg_duration_minutes"] == 0

@@ -39,17 +39,29 @@ def _ended(now: Any, seconds: int, until: int = 0) -> Column:
     return (end >= shift(ntz(now), -seconds)) & (end <= shift(ntz(now), -until))
 
 
-def _rates(log: DataFrame, now: Any, window_seconds: int) -> DataFrame:
-    """One row: rate sums of the window and the one before, and the newest recent running run."""
-    moved = F.col("success_count") > 0
-    current, previous = _ended(now, window_seconds), _ended(now, 2 * window_seconds, window_seconds)
-    running = _is(RunStatus.RUNNING) & (F.col("start_time") >= shift(ntz(now), -DAY_SECONDS)) \
+# Every figure is a set of conditional aggregates (functions ending in ``_parts``) and result columns over them, so one figure
+# or the whole overview is a single pass over the log.
+
+def _running(now: Any) -> Column:
+    """Running runs started within the last day."""
+    return _is(RunStatus.RUNNING) & (F.col("start_time") >= shift(ntz(now), -DAY_SECONDS)) \
         & (F.col("start_time") <= ntz(now))
-    sizes = F.struct("start_time", "id", "success_count", "fail_count", "total_count")
-    near = log.where(_ended(now, 2 * window_seconds) | running)
-    return near.agg(F.coalesce(F.sum(F.when(current & moved, run_rate())), F.lit(0)).alias("ended_rps"),
-                    F.coalesce(F.sum(F.when(previous & moved, run_rate())), F.lit(0)).alias("previous_rps"),
-                    F.max(F.when(running, sizes)).alias("newest"))
+
+
+def _done() -> Column:
+    return F.col("success_count") + F.col("fail_count")
+
+
+def _newest_part(now: Any) -> Column:
+    return F.max(F.when(_running(now), F.struct("start_time", "id", "success_count", "total_count", _done().alias("done")))
+                 ).alias("newest")
+
+
+def _rate_parts(now: Any, window: int) -> list[Column]:
+    moved = F.col("success_count") > 0
+    current, previous = _ended(now, window), _ended(now, 2 * window, window)
+    return [F.coalesce(F.sum(F.when(current & moved, run_rate())), F.lit(0)).alias("ended_rps"),
+            F.coalesce(F.sum(F.when(previous & moved, run_rate())), F.lit(0)).alias("previous_rps")]
 
 
 def _current(now: Any) -> Column:
@@ -59,74 +71,132 @@ def _current(now: Any) -> Column:
     return F.when(F.col("ended_rps") > 0, F.col("ended_rps")).otherwise(F.coalesce(live, F.lit(0)))
 
 
+def _trend(now: Any) -> Column:
+    change = (_current(now) - F.col("previous_rps")) * 100.0 / F.nullif(F.col("previous_rps"), F.lit(0))
+    percent = F.round(change, 0).cast("bigint").cast("string")
+    return (F.when(F.col("previous_rps") > 0, F.concat(F.when(change >= 0, "+").otherwise(""), percent, F.lit("%")))
+            .when(_current(now) > 0, "+100%").otherwise("N/A"))
+
+
 def rps_current(log: DataFrame, now: Any, window_seconds: int = 10) -> DataFrame:
     """Sum of the rates of runs ended in the window; if that is 0, the rate of the newest running run of the last day."""
-    return _rates(log, now, window_seconds).select(_current(now).alias("current_rps"))
+    near = log.where(_ended(now, window_seconds) | _running(now))
+    return near.agg(*_rate_parts(now, window_seconds), _newest_part(now)).select(_current(now).alias("current_rps"))
 
 
 def rps_trend(log: DataFrame, now: Any, window_seconds: int = 10) -> DataFrame:
     """Change against the previous window in whole percent; ``+100%`` from zero, ``N/A`` if both are zero."""
-    row = _rates(log, now, window_seconds).select(_current(now).alias("current_rps"), "previous_rps")
-    change = (F.col("current_rps") - F.col("previous_rps")) * 100.0 / F.col("previous_rps")
-    percent = F.round(change, 0).cast("bigint").cast("string")
-    text = (F.when(F.col("previous_rps") > 0,
-                   F.concat(F.when(change >= 0, "+").otherwise(""), percent, F.lit("%")))
-            .when(F.col("current_rps") > 0, "+100%").otherwise("N/A"))
-    return row.select("current_rps", "previous_rps", text.alias("rps_trend"))
+    near = log.where(_ended(now, 2 * window_seconds) | _running(now))
+    return near.agg(*_rate_parts(now, window_seconds), _newest_part(now)).select(
+        _current(now).alias("current_rps"), "previous_rps", _trend(now).alias("rps_trend"))
+
+
+def _latency_parts(now: Any, window: int) -> list[Column]:
+    ended = _is(RunStatus.SUCCESS) & _ended(now, window) & (_done() > 0)
+    # milliseconds times 1000 over rows, summed as exact decimals: the result does not depend on the order
+    per_1k = (elapsed_ms(F.col("start_time"), F.col("end_time")).cast("decimal(20,0)") * 1000
+              / F.nullif(_done(), F.lit(0)).cast("decimal(10,0)")).cast("decimal(28,6)")
+    return [F.sum(F.when(ended, per_1k)).alias("latency_sum"), F.count_if(ended).alias("latency_runs")]
+
+
+def _latency(now: Any) -> Column:
+    n = F.col("newest")
+    live = F.when((n["total_count"] > 0) & (n["done"] > 0),
+                  half_up(elapsed_ms(n["start_time"], ntz(now)) * 1000.0 / n["done"], 0))
+    return F.when(F.col("latency_runs") > 0,
+                  half_up(F.col("latency_sum").cast("double") / F.nullif(F.col("latency_runs"), F.lit(0)))
+                  ).otherwise(F.coalesce(live, F.lit(0.0)))
+
+
+def _latency_word(latency: Column) -> Column:
+    return (F.when(latency > CRITICAL_LATENCY_MS, "critical").when(latency > WARNING_LATENCY_MS, "warning")
+            .otherwise("stable"))
 
 
 def latency_per_1k(log: DataFrame, now: Any, window_seconds: int = 30) -> DataFrame:
     """Mean milliseconds per 1000 rows of the successful runs ended in the window, with its status word. Without
     any, the newest running run of the last day counts with its elapsed time."""
-    running = _is(RunStatus.RUNNING) & (F.col("start_time") >= shift(ntz(now), -DAY_SECONDS)) \
-        & (F.col("start_time") <= ntz(now))
-    ended = _is(RunStatus.SUCCESS) & _ended(now, window_seconds)
-    done = F.col("success_count") + F.col("fail_count")
-    # integer milliseconds times 1000 over rows: summed as exact decimals, so the result has no order dependence
-    per_1k = (elapsed_ms(F.col("start_time"), F.col("end_time")).cast("decimal(20,0)") * 1000
-              / done.cast("decimal(10,0)")).cast("decimal(28,6)")
-    row = log.where(ended | running).agg(
-        F.sum(F.when(ended & (done > 0), per_1k)).alias("total"), F.count_if(ended & (done > 0)).alias("n"),
-        F.max(F.when(running, F.struct("start_time", "id", done.alias("done"), "total_count"))).alias("newest"))
-    live = F.when((F.col("newest.total_count") > 0) & (F.col("newest.done") > 0),
-                  half_up(elapsed_ms(F.col("newest.start_time"), ntz(now)) * 1000.0 / F.col("newest.done"), 0))
-    latency = F.when(F.col("n") > 0, half_up(F.col("total").cast("double") / F.col("n"))) \
-        .otherwise(F.coalesce(live, F.lit(0.0)))
-    status = (F.when(F.col("latency_ms") > CRITICAL_LATENCY_MS, "critical")
-              .when(F.col("latency_ms") > WARNING_LATENCY_MS, "warning").otherwise("stable"))
-    return row.select(F.col("n").alias("runs"), latency.alias("latency_ms")).withColumn("latency_status", status)
+    near = log.where(_ended(now, window_seconds) | _running(now))
+    return near.agg(*_latency_parts(now, window_seconds), _newest_part(now)).select(
+        F.col("latency_runs").alias("runs"), _latency(now).alias("latency_ms"),
+        _latency_word(_latency(now)).alias("latency_status"))
+
+
+def _mbps(rows: Column, ms: Column) -> Column:
+    seconds = F.nullif(ms, F.lit(0)) / 1000.0
+    return F.coalesce(half_up(rows * float(BYTES_PER_ROW) / seconds / 1024 / 1024), F.lit(0.0))
+
+
+def _bandwidth(mbps: Column) -> Column:
+    return F.least(F.lit(100), F.floor(mbps / BANDWIDTH_MBPS * 100)).cast("int")
+
+
+def _hours(ms: Column) -> Column:
+    return F.floor(ms / 3600000).cast("bigint")
 
 
 def throughput(log: DataFrame, day: str) -> DataFrame:
     """MB/s of a day at a fixed row size, run hours and integer bandwidth percent (at most 100)."""
     row = day_summary(log, day).select("total_rows_synced", "total_duration_ms")
-    mbps = F.when(F.col("total_duration_ms") > 0, half_up(
-        F.col("total_rows_synced") * float(BYTES_PER_ROW) / (F.col("total_duration_ms") / 1000.0) / 1024 / 1024)
-    ).otherwise(0.0)
-    return row.select("total_rows_synced", F.floor(F.col("total_duration_ms") / 3600000).cast("bigint")
-                      .alias("duration_hours"), mbps.alias("throughput_mbps")) \
-        .withColumn("bandwidth_pct", F.least(F.lit(100), F.floor(F.col("throughput_mbps") / BANDWIDTH_MBPS * 100))
-                    .cast("int"))
+    rows, ms = F.col("total_rows_synced"), F.col("total_duration_ms")
+    return row.select(rows, _hours(ms).alias("duration_hours"), _mbps(rows, ms).alias("throughput_mbps"),
+                      _bandwidth(_mbps(rows, ms)).alias("bandwidth_pct"))
+
+
+def _progress_parts() -> list[Column]:
+    running, sized = _is(RunStatus.RUNNING), F.col("total_count") > 0
+    return [F.count_if(running).alias("running_runs"),
+            F.sum(F.when(running & sized, F.col("total_count"))).alias("running_total"),
+            F.sum(F.when(running & sized, _done())).alias("running_done")]
+
+
+def _progress() -> Column:
+    percent = F.floor(F.col("running_done") * 100.0 / F.nullif(F.col("running_total"), F.lit(0)))
+    return (F.when(F.col("running_runs") == 0, -1)
+            .when(F.col("running_total") > 0, F.least(F.lit(MAX_RUNNING_PERCENT), percent)).otherwise(0).cast("int"))
 
 
 def full_progress(log: DataFrame) -> DataFrame:
     """Integer percent over all running runs: at most 99, 0 if they have no rows, -1 if nothing runs."""
-    sized = F.col("total_count") > 0
-    row = log.where(_is(RunStatus.RUNNING)).agg(
-        F.count(F.lit(1)).alias("runs"), F.sum(F.when(sized, F.col("total_count"))).alias("total"),
-        F.sum(F.when(sized, F.col("success_count") + F.col("fail_count"))).alias("done"))
-    percent = F.least(F.lit(MAX_RUNNING_PERCENT), F.floor(F.col("done") * 100.0 / F.col("total")))
-    return row.select(F.col("runs").alias("running_runs"),
-                      F.when(F.col("runs") == 0, -1).when(F.col("total") > 0, percent).otherwise(0).cast("int")
-                      .alias("full_sync_progress"))
+    return log.where(_is(RunStatus.RUNNING)).agg(*_progress_parts()).select(
+        "running_runs", _progress().alias("full_sync_progress"))
+
+
+def _activity_parts(now: Any, window: int) -> list[Column]:
+    return [F.coalesce(F.bool_or(_is(RunStatus.RUNNING)), F.lit(False)).alias("any_running"),
+            F.coalesce(F.bool_or(_is(RunStatus.FAILED) & _ended(now, window)), F.lit(False)).alias("any_failed")]
+
+
+def _activity() -> Column:
+    return F.when(F.col("any_failed"), "error").when(F.col("any_running"), "active").otherwise("idle")
 
 
 def activity_state(log: DataFrame, now: Any, window_seconds: int = 10) -> DataFrame:
     """``error`` after a recent failure, else ``active`` while something runs, else ``idle``."""
-    row = log.agg(F.coalesce(F.bool_or(_is(RunStatus.RUNNING)), F.lit(False)).alias("running"),
-                  F.coalesce(F.bool_or(_is(RunStatus.FAILED) & _ended(now, window_seconds)), F.lit(False)).alias("failed"))
-    return row.select(F.when(F.col("failed"), "error").when(F.col("running"), "active").otherwise("idle")
-                      .alias("activity_state"))
+    return log.agg(*_activity_parts(now, window_seconds)).select(_activity().alias("activity_state"))
+
+
+def overview(log: DataFrame, tasks: DataFrame, now: Any, day: str, window_seconds: int = 10,
+             latency_seconds: int = 30) -> DataFrame:
+    """All figures in one row from one pass over the runs that can count: running, ended within a day, or of ``day``."""
+    of_day = (F.col("start_time") >= ntz(day)) & (F.col("start_time") < ntz(day) + F.expr("interval '1' day"))
+    reach = max(DAY_SECONDS, 2 * window_seconds, latency_seconds)
+    near = log.where(_is(RunStatus.RUNNING) | _ended(now, reach) | of_day)
+    seconds = F.coalesce(whole_seconds(F.col("start_time"), F.col("end_time")), F.lit(0))
+    row = near.agg(
+        *_rate_parts(now, window_seconds), *_latency_parts(now, latency_seconds), *_progress_parts(),
+        *_activity_parts(now, window_seconds), _newest_part(now),
+        F.coalesce(F.sum(F.when(of_day, F.col("success_count"))), F.lit(0)).alias("rows"),
+        (F.coalesce(F.sum(F.when(of_day, seconds)), F.lit(0)) * 1000).alias("ms"))
+    last = last_event(log, tasks, now)
+    mbps = _mbps(F.col("rows"), F.col("ms"))
+    event = last.select(F.struct(*last.columns)).scalar()
+    return row.select(
+        _current(now).alias("current_rps"), _trend(now).alias("rps_trend"), _latency(now).alias("latency_ms"),
+        _latency_word(_latency(now)).alias("latency_status"), F.col("rows").alias("today_rows_synced"),
+        _hours(F.col("ms")).alias("task_duration_hours"), mbps.alias("throughput_mbps"),
+        _bandwidth(mbps).alias("bandwidth_usage_pct"), _progress().alias("full_sync_progress"),
+        _activity().alias("activity_state"), *[event[c].alias(f"last_{c}") for c in last.columns])
 
 
 def last_event(log: DataFrame, tasks: DataFrame, now: Any) -> DataFrame:

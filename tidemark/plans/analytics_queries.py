@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dashboard, runlog
 from tidemark.plans.fixtures import DAY, NOW
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLE, query
 
 START, STOP = "2024-01-10", "2024-01-20"
 FILTER = (f"status = 3 and (lower(task_name) like '%t3%' or cast(task_id as varchar) like '%t3%') "
@@ -333,6 +333,21 @@ def last_event(t):
     return dashboard.last_event(t.run_log, t.sync_task, NOW)
 
 
+def _nested(name: str) -> str:
+    return f"({ORACLE[name]})"
+
+
+@query("overview", f"""
+select r.current_rps, r.rps_trend, l.latency_ms, l.latency_status, t.total_rows_synced as today_rows_synced,
+       t.duration_hours as task_duration_hours, t.throughput_mbps, t.bandwidth_pct as bandwidth_usage_pct,
+       p.full_sync_progress, a.activity_state, e.source_table as last_source_table, e.operation as last_operation,
+       e.event_time as last_event_time
+from {_nested('rps_trend')} r, {_nested('latency_per_1k')} l, {_nested('throughput')} t, {_nested('full_progress')} p,
+     {_nested('activity_state')} a left join {_nested('last_event')} e on true""")
+def overview(t):
+    return dashboard.overview(t.run_log, t.sync_task, NOW, DAY, WINDOW, WINDOW)
+
+
 @query("perf_windows", f"""
 with facts as (select time_bucket(interval 30 minute, end_time) as window_start, sum(success_count) as moved,
                       sum({MILLIS}) as ms, count(*) as runs from run_log where {_between(24, 0)} group by 1),
