@@ -92,6 +92,13 @@ def test_modes(spark):
     assert rows(merge.apply_mode(t, s, ["k"], SyncMode.MERGE, no_update=True)) == [(1, "a"), (2, "a"), (3, "b")]
 
 
+def test_rows_given_by_a_caller_may_repeat_a_key(spark):
+    t = spark.createDataFrame([(1, 1, "a")], "k int, m int, v string")
+    s = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (2, 1, "z"), (2, 1, "zz"), (None, 1, "n")], "k int, m int, v string")
+    assert rows(merge.apply_mode(t, s, ["k"], order=["m", "v"])) == [(1, 7, "y"), (2, 1, "zz")]
+    assert rows(merge.apply_mode(t, s, ["k"])) == [(1, 7, "y"), (2, 1, "zz")]
+
+
 def test_the_target_of_a_small_merge_is_not_shuffled(tables):
     out = merge.upsert(tables.orders_tgt, tables.orders_src, KEY, True)
     plan = out._jdf.queryExecution().executedPlan().toString()

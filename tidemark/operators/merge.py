@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.mapping import known_columns
 from tidemark.operators.sizing import is_small
@@ -77,7 +78,7 @@ def _absent_from(source, target, keys, small):
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Update matched keys, insert the others, keep the rest of the target.
+    """Update matched keys, insert the others, keep the rest of the target. The source has one row per key.
 
     Small source (checked, unless the caller knows): target left join broadcast source, plus the absent source rows; the
     target is not shuffled. Otherwise one full outer join. If every column is a key there is nothing to update.
@@ -156,13 +157,21 @@ def change_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], sma
     return classify(target, source, keys, small).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def default_order(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Without a marker the largest values win: arbitrary, but the same on every run."""
+    lower = {k.lower() for k in keys}
+    return [f.name for f in df.schema if f.name.lower() not in lower and not isinstance(f.dataType, T.MapType)] or list(keys)
+
+
 def apply_mode(target: DataFrame, source: DataFrame, keys: Sequence[str], mode: SyncMode | int | None = None,
-               no_update: bool = False, order: Sequence[str] = (), small: bool | None = None) -> DataFrame:
-    """Rows of any DataFrame applied in the given mode; an unknown mode is MERGE."""
+               no_update: bool = False, order: Sequence[str] = (), small: bool | None = None,
+               unique: bool = False) -> DataFrame:
+    """Rows of any DataFrame applied in the given mode; an unknown mode is MERGE. Unless the caller knows the source to be
+    ``unique`` by key, its last row per key by ``order`` is taken first."""
     mode = SyncMode.of(mode)
     if mode == SyncMode.INSERT_ONLY:
         return append(target, source)
-    rows = last_wins(source, keys, order) if order else source
+    rows = source if unique else last_wins(source.where(has_key(keys)), keys, order or default_order(source, keys))
     if mode == SyncMode.CLEAN_INSERT:
         return replace(target, rows)
     return insert_absent(target, rows, keys, small) if no_update else upsert(target, rows, keys, small)

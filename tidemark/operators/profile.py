@@ -45,7 +45,7 @@ def source_max(tasks: DataFrame, sources: Mapping[str, tuple[DataFrame, str]], t
 
 def lag_days(source_max: Column, stored: Column) -> Column:
     """Whole days the stored marker is behind the source."""
-    return F.date_diff(source_max.cast("date"), stored.cast("date"))
+    return F.date_diff(source_max.cast("date"), stored.cast("date")).cast("bigint")
 
 
 # Name pattern of likely increment columns.

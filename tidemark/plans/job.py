@@ -58,9 +58,7 @@ def deduplicate(shaped: DataFrame, spec: SyncSpec) -> DataFrame:
     counted without reading the source again."""
     if spec.mode == SyncMode.INSERT_ONLY or not spec.keys:
         return shaped.drop("_marker")
-    order = [*(["_marker"] if spec.marker else []), *spec.order]
-    if not order:
-        order = [c for c in shaped.columns if c not in spec.keys and c != "_bad"] or list(spec.keys)
+    order = [*(["_marker"] if spec.marker else []), *spec.order] or merge.default_order(shaped.drop("_bad"), spec.keys)
     # every bad row is its own group; a NULL key with many rows is spread, too
     alone = shaped.withColumn("_alone", F.when(F.col("_bad"), F.monotonically_increasing_id()))
     return merge.last_wins(alone, [*spec.keys, "_alone"], order).drop("_alone", "_marker")
@@ -73,7 +71,7 @@ def incremental_result(target: DataFrame, source: DataFrame, spec: SyncSpec, las
     shared_dir(source.sparkSession)
     shaped = shape(select_source(source, spec, last_value), spec, target.schema)
     staged = good(deduplicate(shaped, spec)).checkpoint()
-    return merge.apply_mode(target, staged, spec.keys, spec.mode, spec.no_update, small=small)
+    return merge.apply_mode(target, staged, spec.keys, spec.mode, spec.no_update, small=small, unique=True)
 
 
 def full_result(source: DataFrame, spec: SyncSpec, target: T.StructType | None = None) -> DataFrame:

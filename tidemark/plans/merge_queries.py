@@ -8,7 +8,9 @@ from tidemark.operators import merge, ranges
 from tidemark.plans import job, state
 from tidemark.plans.fixtures import SAVED_COMPLETED, SAVED_GAPS
 from tidemark.plans.registry import query
+from tidemark.plans.state import StateTable
 from tidemark.session import scratch_path
+from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import MappedField, SyncMode, SyncSpec
 from tidemark.streaming import upsert as stream
 
@@ -243,6 +245,39 @@ def sync_full(t):
     return job.full_result(t.lineitem, spec)
 
 
+def _stored(t, name, source, keys, buckets=8):
+    """A fresh versioned table and task state below the shared folder."""
+    path = scratch_path(t.spark, name)
+    return VersionedTable(t.spark, f"{path}/table", source.schema, keys, buckets), StateTable(t.spark, f"{path}/state")
+
+
+@query("run_twice", f"""
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders
+where o_orderdate > timestamp '2000-01-01 00:00:00' union all
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders_tgt""")
+def run_twice(t):
+    """A first run loads the stale rows and stores its marker, a second one reads only what lies beyond it."""
+    table, state_table = _stored(t, "run-twice", t.orders, KEY)
+    job.run_sync(t.orders_tgt.drop("tgt_only"), table, ORDERS, state_table)
+    job.run_sync(t.orders, table, ORDERS, state_table)
+    return table.read()
+
+
+@query("run_resumed", f"select * from lineitem qualify {LAST_LINE} = 1")
+def run_resumed(t):
+    """A run in four marker windows is paused after the second; the next run resumes with the saved ones."""
+    spec = SyncSpec("lines", keys=tuple(LINE_KEY), marker="l_shipdate", order=("l_partkey", "l_suppkey"))
+    table, state_table = _stored(t, "run-resumed", t.lineitem, LINE_KEY)
+    asked = []
+
+    def pause():
+        asked.append(True)
+        return len(asked) > 2
+    job.run_sync(t.lineitem, table, spec, state_table, parts=4, should_stop=pause)
+    job.run_sync(t.lineitem, table, spec, state_table)
+    return table.read()
+
+
 @query("marker_advance", """
 select task_id, max(end_time) as last_marker from run_log where status = 2 group by task_id""")
 def marker_advance(t):

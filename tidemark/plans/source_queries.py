@@ -74,7 +74,7 @@ select o_orderkey, o_orderdate, year(o_orderdate) * 100 + month(o_orderdate) as
 from orders where o_orderdate > timestamp '1999-01-01 00:00:00'""")
 def ordered_scan(t):
     rows = t.orders.where(predicates.after(t.orders, "o_orderdate", "1999-01-01")).select("o_orderkey", "o_orderdate")
-    month = F.year("o_orderdate") * 100 + F.month("o_orderdate")
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint")
     return scan.ordered_within(rows.withColumn("month_no", month), F.col("month_no"), ["o_orderdate", "o_orderkey"])
 
 
@@ -85,7 +85,7 @@ from documents""")
 def clob_cap(t):
     text = F.col("text")
     return t.documents.select("doc_id", lob.cap_text(text, 500).alias("capped"), lob.is_cut(text, 500).alias("is_cut"),
-                              F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
+                              F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 @query("blob_encode", """
@@ -95,7 +95,7 @@ from documents""")
 def blob_encode(t):
     data = F.encode("text", "UTF-8")
     return t.documents.select("doc_id", lob.encode_binary(data, 2000).alias("encoded"),
-                              F.octet_length(data).alias("n_bytes"))
+                              F.octet_length(data).cast("bigint").alias("n_bytes"))
 
 
 @query("blob_decode", """
@@ -103,7 +103,7 @@ select doc_id, octet_length(from_base64(base64(encode(text)))) as n_bytes, md5(t
 def blob_decode(t):
     uri = F.concat(F.lit("data:image/png;base64,"), lob.encode_binary(F.encode("text", "UTF-8")))
     data = lob.decode_binary(uri)
-    return t.documents.select("doc_id", F.octet_length(data).alias("n_bytes"), F.md5(data).alias("bytes_md5"))
+    return t.documents.select("doc_id", F.octet_length(data).cast("bigint").alias("n_bytes"), F.md5(data).alias("bytes_md5"))
 
 
 @query("preview_sample", """
