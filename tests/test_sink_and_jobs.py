@@ -31,7 +31,7 @@ def table_of(spark, path, buckets=4):
 
 # ---- versioned table
 
-def test_versions_replace_and_rewrite_buckets(spark, where):
+def test_versions_replace_rewrite_and_add(spark, where):
     t = table_of(spark, where("t"))
     assert t.read().count() == 0 and t.current() == 0
     t.write(spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("m"), F.lit("a").alias("v")))
@@ -39,14 +39,19 @@ def test_versions_replace_and_rewrite_buckets(spark, where):
     change = frame(spark, [(5, 500, "b")])
     touched = t.touched(change)
     assert len(touched) == 1
-    t.write(merge.upsert(t.read(touched), change, ["k"]), "part", rebalance=False)
-    assert t.read().count() == 100
+    other = [k for k in range(1000, 1100) if t.touched(frame(spark, [(k, 0, "")])) != touched][:1]
+    t.change(merge.upsert(t.read(touched), change, ["k"]), frame(spark, [(other[0], 1, "new")]), rebalance=False)
+    assert t.read().count() == 101 and t.current() == 2
     assert [r["v"] for r in t.read().where("k = 5").collect()] == ["b"]
     assert [r["v"] for r in t.read(version=1).where("k = 5").collect()] == ["a"]
-    # only the touched bucket was written
-    assert [p.rsplit("=", 1)[1] for p in t._glob("part-*/_bucket=*")] == [str(touched[0])]
-    t.write(change.limit(0), "full")
-    assert t.read().count() == 0 and t.current() == 3
+    # only the touched bucket was rewritten, the new row lies beside its bucket
+    assert [p.rsplit("=", 1)[1] for p in t._glob("part-*/_how=replace/_bucket=*")] == [str(touched[0])]
+    assert len(t._glob("part-*/_how=add/_bucket=*")) == 1
+    before = rows(t.read())
+    t.compact()
+    assert t.current() == 3 and rows(t.read()) == before and max(map(len, t._bucket_paths().values())) == 1
+    t.write(change.limit(0))
+    assert t.read().count() == 0 and t.current() == 4
 
 
 def test_an_uncommitted_version_is_invisible(spark, where):
@@ -266,4 +271,8 @@ def test_unchanged_rows_rewrite_nothing(spark, where):
     assert result.unchanged == 40 and table.current() == 1
     one = source.withColumn("v", F.when(F.col("k") == 7, "b").otherwise("a"))
     assert job.run_sync(one, table, spec, state, NOW).updated == 1
-    assert len(table._glob("part-0000000002-*/_bucket=*")) == 1
+    assert len(table._glob("part-0000000002-*/_how=replace/_bucket=*")) == 1
+    more = one.union(frame(spark, [(i, i, "new") for i in range(100, 140)]))
+    result = job.run_sync(more, table, spec, state, NOW)
+    assert (result.inserted, result.updated, result.unchanged) == (40, 0, 40)
+    assert not table._glob("part-0000000003-*/_how=replace/*") and rows(table.read()) == rows(more)

@@ -101,45 +101,62 @@ class RunResult:
     open_ranges: int = 0
 
 
+def _write_whole(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
+    """Rows that become the whole table are written once, without staging. Bad rows are counted from the key and the
+    converted columns only; the written rows from the file footers."""
+    version = table.write(good(deduplicate(shaped, spec)), tag)
+    written = table.read(version=version).count()
+    return RunResult("success", read=written, inserted=written, rejected=shaped.where("_bad").count())
+
+
+def _write_inserts(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
+    """Plain inserts only add files; the table is not read."""
+    before = table.current()
+    added = good(deduplicate(shaped, spec))
+    table.change(None, added, tag)
+    written = table.read().count() - (table.read(version=before).count() if before else 0)
+    return RunResult("success", read=written, inserted=written, rejected=shaped.where("_bad").count())
+
+
 def write_changes(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
-    """Apply shaped, key-unique rows to the table and count what changed.
+    """Apply shaped rows to the table and count what changed.
 
-    The rows are checkpointed, so measuring and comparing them does not read the source again. They are classified against the
-    buckets holding one of their keys; then only buckets with a real insert or update are rewritten, and a small change
-    is broadcast to them.
+    The de-duplicated rows are checkpointed, so measuring and comparing them does not read the source again. They are
+    classified against the buckets holding one of their keys. Buckets with an update are rewritten, the others only get the new
+    rows added, and a small change is broadcast to the buckets. The lists of buckets have at most as many elements
+    as the table has buckets.
     """
+    if spec.mode == SyncMode.CLEAN_INSERT or (table.current() == 0 and spec.mode != SyncMode.INSERT_ONLY):
+        return _write_whole(table, shaped, spec, tag)
+    if spec.mode == SyncMode.INSERT_ONLY:
+        return _write_inserts(table, shaped, spec, tag)
     shared_dir(shaped.sparkSession)
     staged = deduplicate(shaped, spec).checkpoint()
-    rows = good(staged)
-    fine = ~F.col("_bad")
-    # one aggregate; the set of buckets has at most as many elements as the table has buckets
+    rows, fine = good(staged), ~F.col("_bad")
     facts = staged.agg(F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"),
                        F.sum(F.when(fine, row_bytes(rows))).alias("bytes"),
                        F.collect_set(F.when(fine, table.bucket(rows))).alias("buckets")).first()
     out = RunResult("success", read=facts["n"], rejected=facts["bad"])
-    if spec.mode == SyncMode.CLEAN_INSERT:
-        table.write(rows, "full", tag)
-        out.inserted = out.read
-        return out
     if out.read == 0:
         return out
-    if spec.mode == SyncMode.INSERT_ONLY:
-        table.write(merge.append(table.read(facts["buckets"]), rows), "part", tag)
-        out.inserted = out.read
-        return out
     small = facts["bytes"] <= BROADCAST_LIMIT_BYTES
-    changes = merge.classify(table.read(facts["buckets"]), rows, spec.keys, small).checkpoint()
+    changes = merge.classify(table.read(facts["buckets"]), rows, spec.keys, small) \
+        .withColumn("_b", table.bucket(rows)).checkpoint()
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged")]
-    real = F.col("kind") == "insert" if spec.no_update else F.col("kind") != "unchanged"
-    counts = changes.agg(*kinds, F.collect_set(F.when(real, table.bucket(changes))).alias("buckets")).first()
+    counts = changes.agg(*kinds, F.collect_set(F.when(F.col("kind") == "update", F.col("_b"))).alias("updated")).first()
     out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"]
+    rewritten = [] if spec.no_update else counts["updated"]
     if spec.no_update:
         out.unchanged, out.updated = out.unchanged + out.updated, 0
-    if counts["buckets"]:
-        target = table.read(counts["buckets"])
-        written = changes.where(real)
-        table.write(merge.apply_classified(target, written, spec.keys, small, spec.no_update), "part", tag,
-                    rebalance=not small)
+    replaced = added = None
+    if rewritten:
+        inside = changes.where(F.col("_b").isin(rewritten)).drop("_b")
+        replaced = merge.apply_classified(table.read(rewritten), inside, spec.keys, small)
+    if out.inserted:
+        added = changes.where((F.col("kind") == "insert") & ~F.col("_b").isin(rewritten)).drop("kind", "_b")
+        added = merge.replace(table.read([]), added)
+    if replaced is not None or added is not None:
+        table.change(replaced, added, tag, rebalance=not small)
     return out
 
 

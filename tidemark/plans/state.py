@@ -66,7 +66,8 @@ class StateTable:
     def save(self, task_id: str, now: Any, run_status: str, last_marker: Any, gaps: DataFrame | None = None,
              completed: Any = None) -> None:
         """Append a state. Without ``gaps`` the checkpoint is cleared, marker and checkpoint change together."""
-        seq = self.latest(task_id).seq + 1
+        newest = self.rows().where(F.col("task_id") == task_id).agg(F.max("seq")).first()[0]
+        seq = (newest or 0) + 1
         parts = (encode_checkpoint(gaps, completed) if gaps is not None
                  else self.spark.createDataFrame([(0, None)], "part bigint, checkpoint string"))
         parts.select(F.lit(task_id).alias("task_id"), F.lit(seq).cast("bigint").alias("seq"),

@@ -1,13 +1,15 @@
-"""A keyed parquet table that is replaced or partly rewritten in atomic versions.
+"""A keyed parquet table that is replaced, partly rewritten or extended in atomic versions.
 
-Layout: ``<path>/<kind>-<version>-<tag>/_bucket=<k>/*.parquet``. A key always falls into the same bucket. A ``full`` version
-replaces the table; a ``part`` version rewrites only the buckets a change touched, the others are taken from older
-versions by reference. Spark writes ``_SUCCESS`` last, so a version exists completely or not at all, and a reader of an
-older version is never disturbed. One writer per table at a time.
+Layout: ``<path>/<kind>-<version>-<tag>/_how=<replace|add>/_bucket=<k>/*.parquet``. A key always falls into the same bucket. A
+``full`` version starts the table anew. A ``part`` version replaces the buckets holding an update and adds rows to buckets
+that only receive new ones; everything else is taken from older versions by reference. Spark writes ``_SUCCESS`` last,
+so a version exists completely or not at all, and a reader of an older version is never disturbed. One writer per table
+at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -54,23 +56,26 @@ class VersionedTable:
     def has_tag(self, tag: str) -> bool:
         return any(v.tag == tag for v in self.versions())
 
-    def _bucket_paths(self, version: int | None = None) -> dict[int, str]:
-        """Newest folder of every bucket, as of a version. At most ``buckets`` entries."""
-        paths: dict[int, str] = {}
+    def _bucket_paths(self, version: int | None = None) -> dict[int, list[str]]:
+        """Folders of every bucket as of a version: names only, no data."""
+        paths: dict[int, list[str]] = {}
         for v in self.versions():
             if version is not None and v.number > version:
                 break
             if v.kind == "full":
                 paths = {}
             name = v.path.rsplit("/", 1)[1]
-            for folder in self._glob(f"{name}/_bucket=*"):
-                paths[int(folder.rsplit("=", 1)[1])] = folder
+            for how in ("replace", "add"):
+                for folder in self._glob(f"{name}/_how={how}/_bucket=*"):
+                    bucket = int(folder.rsplit("=", 1)[1])
+                    paths[bucket] = [folder] if how == "replace" else [*paths.get(bucket, []), folder]
         return paths
 
     def read(self, buckets: Iterable[int] | None = None, version: int | None = None) -> DataFrame:
         """The table, or only some of its buckets (the files of the others are not listed)."""
         paths = self._bucket_paths(version)
-        chosen = [p for b, p in paths.items() if buckets is None or b in set(buckets)]
+        wanted = paths.keys() if buckets is None else set(buckets)
+        chosen = [p for b, folders in paths.items() if b in wanted for p in folders]
         if not chosen:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*chosen)
@@ -83,16 +88,30 @@ class VersionedTable:
         """Buckets the keys of ``rows`` fall into: at most ``buckets`` integers reach the driver."""
         return sorted(rows.agg(F.collect_set(self.bucket(rows))).first()[0])
 
-    def write(self, df: DataFrame, kind: str = "full", tag: str = "run", rebalance: bool = True) -> int:
-        """Commit ``df`` as the next version. ``part`` needs all rows of every bucket it contains.
+    def _placed(self, df: DataFrame, how: str, rebalance: bool) -> DataFrame:
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]) \
+            .withColumns({"_how": F.lit(how), "_bucket": self.bucket(df)})
+        return rows.hint("rebalance", "_bucket") if rebalance else rows
 
-        With ``rebalance`` rows are gathered by bucket and adaptive execution splits large and joins small
-        outputs. Without it rows stay where they are, for a result that still follows the bucket files.
-        """
+    def _commit(self, rows: DataFrame, kind: str, tag: str) -> int:
         number = self.current() + 1
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).withColumn("_bucket", self.bucket(df))
-        if rebalance:
-            rows = rows.hint("rebalance", "_bucket")
         # overwrite only ever clears the leftovers of an uncommitted attempt at this version
-        rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/{kind}-{number:010d}-{tag}")
+        rows.write.mode("overwrite").partitionBy("_how", "_bucket").parquet(f"{self.path}/{kind}-{number:010d}-{tag}")
         return number
+
+    def write(self, df: DataFrame, tag: str = "run") -> int:
+        """Commit ``df`` as the whole table. Rows are gathered by bucket; adaptive execution splits large buckets and
+        joins small ones."""
+        return self._commit(self._placed(df, "replace", True), "full", tag)
+
+    def change(self, replaced: DataFrame | None, added: DataFrame | None, tag: str = "run", rebalance: bool = True) -> int:
+        """Commit a change: ``replaced`` holds all rows of every bucket it contains, ``added`` new rows for other
+        buckets. Without ``rebalance`` the replaced rows are written where they are, which suits a result that
+        still follows the bucket files."""
+        parts = [self._placed(replaced, "replace", rebalance)] if replaced is not None else []
+        parts += [self._placed(added, "add", True)] if added is not None else []
+        return self._commit(functools.reduce(DataFrame.unionByName, parts), "part", tag)
+
+    def compact(self) -> int:
+        """Rewrite the table into one version after many additions."""
+        return self.write(self.read(), "compact")
