@@ -24,3 +24,13 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["coerce_types", "day_summary", "log_display", "log_timeline", "marker_window", "ordered_scan",
+                                  "perf_windows", "progress_speed", "source_max_batch", "batch_ranges"])
+def test_results_do_not_depend_on_the_session_zone(spark, duck, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query_matches_oracle(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -158,7 +158,9 @@ def test_pause_keeps_the_checkpoint_and_stop_clears_it(spark, where):
     def pause():
         asked.append(1)
         return len(asked) > 2
-    paused = b.run(source, parts=4, should_stop=pause)
+    seen = []
+    paused = b.run(source, parts=4, should_stop=pause, on_progress=seen.append)
+    assert [(p.read, p.total) for p in seen] == [(10, 40), (20, 40)]
     assert (paused.status, paused.open_ranges, paused.read) == ("paused", 2, 20)
     assert b.latest().gaps == ((20, 30), (30, 40))
     again = b.run(source)

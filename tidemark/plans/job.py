@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import functools
 import math
@@ -93,6 +94,7 @@ def multi_table_counts(jobs: Mapping[str, tuple[DataFrame, SyncSpec]]) -> DataFr
 @dataclass
 class RunResult:
     status: str
+    total: int = 0
     read: int = 0
     inserted: int = 0
     updated: int = 0
@@ -170,10 +172,13 @@ def _windows(source: DataFrame, spec: SyncSpec, lo: Any, hi: Any, n_rows: int, p
 
 
 def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: StateTable, now: dt.datetime | None = None,
-             log_path: str | None = None, parts: int = 1, should_stop: Callable[[], bool] = lambda: False) -> RunResult:
+             log_path: str | None = None, parts: int = 1, should_stop: Callable[[], bool] = lambda: False,
+             on_progress: Callable[[RunResult], None] = lambda result: None) -> RunResult:
     """One run of a task. With ``parts`` > 1 the marker axis is processed in that many windows, each committed on
     its own; a failed or paused run keeps the windows still open as its checkpoint, and the next run resumes with them.
 
+    ``should_stop`` is asked before every window, ``on_progress`` is told the figures after it.
+
     Inserts without key check are not repeatable, so an insert-only run is one window whose intent is saved first: if
     its commit succeeded but the state was lost, the next run finds the commit and goes on behind it.
     """
@@ -196,6 +201,7 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
         step = write_changes(table, shape(rows, spec, table.schema), spec, tag)
         for name in ("read", "inserted", "updated", "unchanged", "rejected"):
             setattr(result, name, getattr(result, name) + getattr(step, name))
+        on_progress(dataclasses.replace(result))
 
     error = None
     try:
@@ -204,7 +210,7 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
         else:
             unread = base if last is None else base.where(predicates.after(base, spec.marker, last))
             profile = marker_profile(unread, spec.marker).first()
-            end = profile["max_marker"]
+            end, result.total = profile["max_marker"], profile["n_rows"]
             if resumes:
                 open_windows = ranges.resume_windows(saved.gaps, saved.completed, end)
             elif end is not None:
