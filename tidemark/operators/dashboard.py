@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timing import elapsed_ms, exact_seconds, ntz, shift, whole_seconds
 from tidemark.operators.runlog import _is, day_summary
-from tidemark.session import shared_dir
+from tidemark.session import staged
 from tidemark.spec import RunStatus
 
 # Thresholds and constants of the reproduced figures.
@@ -232,11 +232,10 @@ def sync_distribution(log: DataFrame, tasks: DataFrame, top: int = TOP_TABLES) -
     Runs are summed per task before the join, then per table. That small result (one row per table) is checkpointed:
     the top list, the total and the rest are taken from it, so the log is scanned once and no global window is needed.
     """
-    shared_dir(log.sparkSession)
     per_task = log.groupBy("task_id").agg(F.sum("total_count").alias("rows"))
     named = per_task.join(tasks.select(F.col("id").alias("task_id"), "source_table"), "task_id", "left")
-    per_table = named.groupBy(F.coalesce("source_table", F.lit("unknown")).alias("label")).agg(
-        F.sum("rows").alias("rows")).checkpoint()
+    per_table = staged(named.groupBy(F.coalesce("source_table", F.lit("unknown")).alias("label")).agg(
+        F.sum("rows").alias("rows")))
     leaders = per_table.orderBy(F.desc("rows"), "label").limit(top)
     whole = per_table.agg(F.struct(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n")).alias("s")).scalar()
     rest = leaders.agg((whole["rows"] - F.sum("rows")).alias("rows"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.mapping import known_columns
 from tidemark.operators.sizing import is_small
+from tidemark.session import staged
 from tidemark.spec import SyncMode
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -174,4 +175,6 @@ def apply_mode(target: DataFrame, source: DataFrame, keys: Sequence[str], mode:
     rows = source if unique else last_wins(source.where(has_key(keys)), keys, order or default_order(source, keys))
     if mode == SyncMode.CLEAN_INSERT:
         return replace(target, rows)
+    if not unique and small is None:
+        rows = staged(rows)  # it is measured first and then used several times
     return insert_absent(target, rows, keys, small) if no_update else upsert(target, rows, keys, small)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import predicates
-from tidemark.session import shared_dir
+from tidemark.session import staged
 
 # Ranges per encoded checkpoint row; a long list is spread over several rows, so no row grows without bound.
 RANGES_PER_CHECKPOINT = 1000
@@ -28,9 +28,8 @@ def plan_ranges(df: DataFrame, marker: str, rows_per_batch: int) -> DataFrame:
     samples the values, so slices are even whatever the distribution; only one total per slice is summed globally.
     The sliced counts are checkpointed because both levels must see the same slices.
     """
-    shared_dir(df.sparkSession)
     counts = df.where(F.col(marker).isNotNull()).groupBy(F.col(marker).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    sliced = counts.repartitionByRange("m").withColumn("slice", F.spark_partition_id()).checkpoint()
+    sliced = staged(counts.repartitionByRange("m").withColumn("slice", F.spark_partition_id()))
 
     # At most one row per slice (number of shuffle partitions), hence a global window is safe here.
     earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timing import clock_text, epoch_micros, ntz, shift, whole_seconds
 from tidemark.operators.merge import last_wins
 from tidemark.operators.sizing import broadcast_if_small
-from tidemark.session import shared_dir
+from tidemark.session import staged
 from tidemark.sources.scan import with_total
 from tidemark.spec import RunStatus
 
@@ -222,8 +222,7 @@ def runnable_tasks(schedules: DataFrame, tasks: DataFrame, manual: bool = False)
 def _close(log: DataFrame, closing: DataFrame, now: Any, message: str, status: RunStatus = RunStatus.FAILED) -> DataFrame:
     """The log with the runs in ``closing`` (column ``id``) ended at ``now`` with a status and message."""
     # one run per task; measured, because a broadcast spares the log its shuffle
-    shared_dir(log.sparkSession)
-    marks = closing.select("id", F.lit(True).alias("_close")).checkpoint()
+    marks = staged(closing.select("id", F.lit(True).alias("_close")))
     rows = log.join(broadcast_if_small(marks), "id", "left")
     hit = F.coalesce(F.col("_close"), F.lit(False))
     changed = {"status": F.lit(int(status)), "end_time": ntz(now), "error_msg": F.lit(message)}

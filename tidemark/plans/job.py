@@ -22,7 +22,7 @@ from tidemark.operators.mapping import apply_mapping, known_columns
 from tidemark.operators.profile import marker_profile
 from tidemark.operators.sizing import BROADCAST_LIMIT_BYTES, row_bytes
 from tidemark.plans.state import RUN_LOG_SCHEMA, StateTable
-from tidemark.session import shared_dir
+from tidemark.session import staged
 from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import MappedField, RunStatus, SyncMode, SyncSpec
 
@@ -69,10 +69,9 @@ def incremental_result(target: DataFrame, source: DataFrame, spec: SyncSpec, las
                        small: bool | None = None) -> DataFrame:
     """Target after an incremental run. The de-duplicated increment is checkpointed, because measuring and merging it use
     it several times."""
-    shared_dir(source.sparkSession)
     shaped = shape(select_source(source, spec, last_value), spec, target.schema)
-    staged = good(deduplicate(shaped, spec)).checkpoint()
-    return merge.apply_mode(target, staged, spec.keys, spec.mode, spec.no_update, small=small, unique=True)
+    rows = staged(good(deduplicate(shaped, spec)))
+    return merge.apply_mode(target, rows, spec.keys, spec.mode, spec.no_update, small=small, unique=True)
 
 
 def full_result(source: DataFrame, spec: SyncSpec, target: T.StructType | None = None) -> DataFrame:
@@ -132,18 +131,17 @@ def write_changes(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag:
         return _write_whole(table, shaped, spec, tag)
     if spec.mode == SyncMode.INSERT_ONLY:
         return _write_inserts(table, shaped, spec, tag)
-    shared_dir(shaped.sparkSession)
-    staged = deduplicate(shaped, spec).checkpoint()
-    rows, fine = good(staged), ~F.col("_bad")
-    facts = staged.agg(F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"),
+    kept = staged(deduplicate(shaped, spec))
+    rows, fine = good(kept), ~F.col("_bad")
+    facts = kept.agg(F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"),
                        F.sum(F.when(fine, row_bytes(rows))).alias("bytes"),
                        F.collect_set(F.when(fine, table.bucket(rows))).alias("buckets")).first()
     out = RunResult("success", read=facts["n"], rejected=facts["bad"])
     if out.read == 0:
         return out
     small = facts["bytes"] <= BROADCAST_LIMIT_BYTES
-    changes = merge.classify(table.read(facts["buckets"]), rows, spec.keys, small) \
-        .withColumn("_b", table.bucket(rows)).checkpoint()
+    classified = merge.classify(table.read(facts["buckets"]), rows, spec.keys, small)
+    changes = staged(classified.withColumn("_b", table.bucket(rows)))
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged")]
     counts = changes.agg(*kinds, F.collect_set(F.when(F.col("kind") == "update", F.col("_b"))).alias("updated")).first()
     out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"]
@@ -250,7 +248,7 @@ def _typed_value(spark, text, mtype):
     """A stored marker text as a value of the marker's type."""
     if text is None or mtype is None:
         return None
-    return spark.range(1).select(F.lit(text).cast(mtype)).first()[0]
+    return spark.sql("select :text as v", args={"text": str(text)}).select(F.col("v").cast(mtype)).first()[0]
 
 
 def _gap_frame(spark, windows: Iterable[tuple[Any, Any]], mtype) -> DataFrame:

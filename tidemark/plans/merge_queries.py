@@ -9,7 +9,7 @@ from tidemark.plans import job, state
 from tidemark.plans.fixtures import SAVED_COMPLETED, SAVED_GAPS
 from tidemark.plans.registry import query
 from tidemark.plans.state import StateTable
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, staged
 from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import MappedField, SyncMode, SyncSpec
 from tidemark.streaming import upsert as stream
@@ -104,7 +104,7 @@ def merge_composite(t):
     old = t.lineitem.where("l_shipdate <= timestamp_ntz '1999-01-01 00:00:00'")
     new = t.lineitem.where("l_shipdate > timestamp_ntz '1998-01-01 00:00:00'")
     target = merge.last_wins(old, LINE_KEY, LINE_ORDER).withColumn("l_quantity", F.lit(0.0))
-    return merge.upsert(target, merge.last_wins(new, LINE_KEY, LINE_ORDER), LINE_KEY)
+    return merge.upsert(staged(target), staged(merge.last_wins(new, LINE_KEY, LINE_ORDER)), LINE_KEY)
 
 
 @query("merge_keys_only", "select distinct c_nationkey, c_mktsegment from customer")
@@ -124,7 +124,7 @@ def merge_union_batches(t):
     src = t.orders_src
     batches = [src.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")]
     batches.append(src.where("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") + 1))
-    return merge.upsert(t.orders_tgt, merge.union_batches(batches, KEY), KEY)
+    return merge.upsert(t.orders_tgt, staged(merge.union_batches(batches, KEY)), KEY)
 
 
 MODES = {"merge": (SyncMode.MERGE, False, _upsert_oracle()), "insert_only": (SyncMode.INSERT_ONLY, False, APPEND_ORACLE),

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import staged
 
 DEFAULT_PAGE_SIZE = 1000
 PREVIEW_ROWS = 10
@@ -78,9 +78,8 @@ def ordered_within(df: DataFrame, group: Column, order: Sequence[str]) -> DataFr
     A window over the group alone would put a hot group into one task. Rows are range-partitioned by
     (group, order) instead, positions are counted per slice, and the slice sizes are added up.
     """
-    shared_dir(df.sparkSession)
-    ranged = (df.withColumn("_group", group).repartitionByRange("_group", *order)
-              .withColumn("_slice", F.spark_partition_id()).checkpoint())
+    ranged = staged(df.withColumn("_group", group).repartitionByRange("_group", *order)
+                    .withColumn("_slice", F.spark_partition_id()))
     # one row per (slice, group): at most slices + groups rows, never per source row
     sizes = ranged.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
