@@ -4,6 +4,7 @@ import pytest
 import __spark_entry__ as contract
 from check_oracle import canonical, oracle
 from conftest import SMALL
+from tidemark.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def duck():
     return oracle(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     got = contract.queries()[name](spark, SMALL)
     plan = got._jdf.queryExecution().executedPlan().toString()
