@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, topk
+from . import chat, langid, mixing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,6 +65,11 @@ def chat_formatting(read):
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op5_language_id")
+def language_id(read):
+    return langid.identify(read("documents"))
+
+
 @query("op6_source_mixing", r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
