@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, quality, topk
+from . import bpe, chat, langid, mixing, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +39,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_byte_bpe")
+def byte_bpe(read, ranks: str | None = None, pattern: str | None = None):
+    import public_tokenizers
+
+    docs = read("documents")
+    vocabulary = bpe.Vocabulary(docs.sparkSession, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    return bpe.digests(bpe.encode(docs, vocabulary), vocabulary)
+
+
 @query("op4_chat_formatting", r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations
