@@ -29,7 +29,7 @@ PLACE_IDS = 1 << 20
 
 _ROWS = pa.schema([("goes_to", pa.int64()), ("block", pa.int64()), ("is_text", pa.bool_()), ("body", pa.binary())])
 _ROWS_SQL = "goes_to long, block long, is_text boolean, body binary"
-_encodings: dict[bytes, object] = {}
+_encodings: dict[tuple[bytes, str], object] = {}
 
 
 class Vocabulary:
@@ -42,14 +42,15 @@ class Vocabulary:
         self._ranks = spark.sparkContext.broadcast(ranks)
         self._key = hashlib.sha256(repr(sorted(ranks.items())).encode()).digest()
 
-    def encoder(self):
-        """A function from one pre-token to its ids."""
-        if self._key not in _encodings:
+    def encoder(self, whole: bool = False):
+        """A function from one pre-token, or from a whole text, to its ids."""
+        pattern = self.pattern if whole else "(?s).+"
+        if (self._key, pattern) not in _encodings:
             import tiktoken
 
-            one = tiktoken.Encoding("word", pat_str="(?s).+", mergeable_ranks=self._ranks.value, special_tokens={})
-            _encodings[self._key] = one.encode_ordinary
-        return _encodings[self._key]
+            made = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self._ranks.value, special_tokens={})
+            _encodings[self._key, pattern] = made.encode_ordinary
+        return _encodings[self._key, pattern]
 
     def token_bytes(self) -> pa.Array:
         """The token-byte table: entry i holds the bytes of id i, null where there is no such id."""
@@ -221,6 +222,18 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return run(ids)
 
 
+def whole_texts(vocabulary: Vocabulary):
+    """A function from texts to lists of ids, text by text on one worker, for users that need no shuffle of words."""
+    def run(texts: pa.Array) -> pa.ListArray:
+        ids = [encode(t) if t else [] for t in texts.to_pylist()]
+        return pa.array(ids, pa.list_(pa.int32()))
+
+    def encode(text: str) -> list[int]:
+        return vocabulary.encoder(whole=True)(text)
+
+    return run
+
+
 def digests(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
     """Per row: number of ids, and the hashes of the ids as text and of the decoded bytes."""
     d = encoded.select(key, "ids", decode(F.col("ids"), vocabulary).alias("decoded"))

@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, quality, topk
+from tidemark.session import scratch_path
+
+from . import bpe, chat, langid, mixing, quality, shards, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +50,49 @@ def byte_bpe(read, ranks: str | None = None, pattern: str | None = None):
     return bpe.digests(bpe.encode(docs, vocabulary), vocabulary)
 
 
+def _digit(i: int) -> str:
+    return f"(position(substr(m, {i}, 1) in '0123456789abcdef') - 1)"
+
+
+# Captures get a fetch time and hosts a history of list entries, both derived from the pages.
+CAPTURES = "select page_id, url, 1704067200 + page_id * 7919 % 31536000 as fetched_at from pages"
+_ADDED = f"1704067200 + 86400 * (16 * {_digit(1)} + {_digit(2)})"
+ENTRIES = f"""
+with h as (select distinct regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) as host from pages),
+     m as (select host, md5(host) as m, {_ADDED.replace("(m,", "(md5(host),")} as added from h where host <> '')
+select 'spam' as list_id, concat('||', host) as rule, 'add' as action, added as dated from m where {_digit(3)} < 6
+union all select 'spam', concat('||', host), 'remove', added + 86400 * (20 + 4 * {_digit(4)}) from m where {_digit(3)} < 6 and {_digit(5)} < 10
+union all select 'spam', concat('||', host), 'add', added + 86400 * 120 from m where {_digit(3)} < 6 and {_digit(6)} < 5
+union all select distinct 'adult', concat('||', substr(host, position('.' in host) + 1)), 'add', added from m where {_digit(7)} < 3
+union all select 'trusted', concat('|', host, '/en/'), 'add', added from m where {_digit(8)} < 4
+union all select 'trusted', concat('|', host, '/en/'), 'remove', added + 86400 * 60 from m where {_digit(8)} < 4 and {_digit(9)} < 8"""
+KINDS = {"spam": "block", "adult": "block", "trusted": "allow"}
+
+
+@query("op2_url_filters", f"""
+with c as ({CAPTURES}), e as ({ENTRIES}), i as (
+  select *, lead(dated) over (partition by list_id, rule order by dated, action) as until from e
+), k as (
+  select *, case when list_id = 'trusted' then 'allow' else 'block' end as kind from i where action = 'add' and (until is null or until > dated)
+), u as (
+  select *, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) as host,
+         concat('|', regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1), regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1)) as place from c
+), j as (
+  select u.page_id, u.url, u.fetched_at, k.kind, k.rule from u left join k on u.fetched_at >= k.dated and (k.until is null or u.fetched_at < k.until)
+    and case when starts_with(k.rule, '||') then concat('.', u.host) like concat('%.', substr(k.rule, 3)) else starts_with(u.place, k.rule) end
+)
+select page_id, url, fetched_at, count(case when kind = 'block' then 1 end) as n_block, count(case when kind = 'allow' then 1 end) as n_allow,
+       case when count(case when kind = 'allow' then 1 end) > 0 then 'allow' when count(case when kind = 'block' then 1 end) > 0 then 'block'
+            else 'pass' end as verdict,
+       coalesce(min(case when kind = 'allow' then rule end), min(case when kind = 'block' then rule end)) as rule
+from j group by page_id, url, fetched_at""")
+def url_filters(read):
+    pages = read("pages").select("page_id", "url")
+    spark = pages.sparkSession
+    captures, entries = spark.sql(CAPTURES.replace("pages", "{pages}"), pages=pages), spark.sql(ENTRIES.replace("pages", "{pages}"), pages=pages)
+    return urlfilter.filter_urls(captures, urlfilter.intervals(entries), KINDS)
+
+
 @query("op4_chat_formatting", r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations
@@ -113,6 +158,18 @@ def source_mixing(read):
     return mixing.mix_sources(read("documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_training_shards")
+def training_shards(read, ranks: str | None = None, pattern: str | None = None):
+    import public_tokenizers
+
+    docs = read("documents")
+    vocabulary = bpe.Vocabulary(docs.sparkSession, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    layout = shards.Layout()
+    path = scratch_path(docs.sparkSession, "shards")
+    out = shards.write_shards(docs, bpe.whole_texts(vocabulary), path, layout)
+    return out.select("*", F.sha2(shards.stored(F.col("slot"), path, layout), 256).alias("sha256"))
+
+
 @query("op9_exact_top_k", r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
