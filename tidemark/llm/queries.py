@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
 
-from . import bpe, chat, langid, mixing, quality, shards, topk, urlfilter
+from . import bpe, chat, jaccard, langid, mixing, quality, shards, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -170,6 +170,11 @@ def training_shards(read, ranks: str | None = None, pattern: str | None = None):
     return out.select("*", F.sha2(shards.stored(F.col("slot"), path, layout), 256).alias("sha256"))
 
 
+@query("op8_jaccard_join")
+def jaccard_join(read):
+    return jaccard.jaccard_groups(read("documents"), 90, 100, 3)
+
+
 @query("op9_exact_top_k", r"""
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
