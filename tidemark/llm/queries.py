@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
 
-from . import bpe, chat, jaccard, langid, mixing, quality, shards, topk, urlfilter
+from . import bpe, chat, jaccard, langid, mixing, quality, shards, substring, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,6 +93,12 @@ def url_filters(read):
     return urlfilter.filter_urls(captures, urlfilter.intervals(entries), KINDS)
 
 
+@query("op3_substring_dedup")
+def substring_dedup(read):
+    d = substring.substring_dedup(read("documents"))
+    return d.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
+
+
 @query("op4_chat_formatting", r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations

@@ -74,6 +74,14 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         start = end
 
 
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run ``values[start:end]`` of 64-bit values, read off prefix sums."""
+    n = len(values)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_BASE, n), out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start] ^ ((end - start).astype(np.uint64) << np.uint64(40)))
+
+
 def sums_between(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the slices that begin at ``at[i]`` and end before ``at[i + 1]``."""
     total = np.zeros(len(values) + 1, dtype=np.int64)
