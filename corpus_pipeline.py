@@ -38,8 +38,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that start earlier; texts that lose nothing stay as they are."""
     workers_find_package(spark)
-    d = substring.substring_dedup(docs)
-    text = F.when(F.col("dedup.n_removed") > 0, F.col("dedup.kept")).otherwise(F.col("text"))
+    d = substring.substring_dedup(docs, out="__dedup")
+    text = F.when(F.col("__dedup.n_removed") > 0, F.col("__dedup.kept")).otherwise(F.col("text"))
     d = d.withColumn("text", text)
     return d.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 

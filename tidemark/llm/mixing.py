@@ -106,8 +106,8 @@ def small(per_source: DataFrame) -> DataFrame:
     return F.broadcast(per_source) if per_source.count() * PLAN_ROW_BYTES <= BROADCAST_LIMIT_BYTES else per_source
 
 
-def apply_plan(docs: DataFrame, plan: DataFrame, size: Column, place: Column, source: str = "source") -> DataFrame:
-    """``docs`` with one more column ``mix``: size, source_size, target, whole, extra and taken (words, repeats counted)."""
+def apply_plan(docs: DataFrame, plan: DataFrame, size: Column, place: Column, source: str = "source", out: str = "mix") -> DataFrame:
+    """``docs`` with one more struct ``out``: size, source_size, target, whole, extra and taken (words, repeats counted)."""
     plan = small(plan).select(F.struct("*").alias("__plan"))
     d = docs.withColumns({"__size": size, "__place": place})
     d = d.join(plan, d[source].eqNullSafe(plan["__plan.source"]), "left")
@@ -118,7 +118,7 @@ def apply_plan(docs: DataFrame, plan: DataFrame, size: Column, place: Column, so
              .otherwise(F.lit(0)).cast("long"))
     mix = F.struct(F.col("__size").alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"),
                    p["whole"].alias("whole"), extra.alias("extra"), (p["whole"] * F.col("__size") + extra).alias("taken"))
-    return d.select(*(d[c] for c in docs.columns), mix.alias("mix"))
+    return d.select(*(d[c] for c in docs.columns), mix.alias(out))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2,
@@ -139,8 +139,8 @@ def repeated(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     """The mix itself: each row of ``docs`` as often as it is taken, one cut to its first words where the fraction ends."""
     size, place = words_of(F.col(text)), seeded(F.col(doc_id), seed)
     sizes = staged(docs.select(F.col(source).alias("source"), size.alias("size"), place.alias("place")))
-    mixed = apply_plan(docs, mixing_plan(sizes, weights, share, max_epochs), size, place, source)
-    m = F.col("mix")
+    mixed = apply_plan(docs, mixing_plan(sizes, weights, share, max_epochs), size, place, source, "__mix")
+    m = F.col("__mix")
     times = (m["whole"] + F.when(m["extra"] > 0, 1).otherwise(0)).cast("int")
     mixed = mixed.where(m["taken"] > 0).select("*", F.posexplode(F.array_repeat(F.lit(0), times)).alias("__time", "__0"))
     part = (F.col("__time") == m["whole"]) & (m["extra"] < m["size"])

@@ -251,14 +251,16 @@ def _without(text: Column, spans: Column) -> Column:
     return run(text, spans)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``dedup``: n_words, n_removed, spans (those found, null if none) and kept (words left, a space between).
+def substring_dedup(docs: DataFrame, window: int = WINDOW, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text",
+                    out: str = "dedup") -> DataFrame:
+    """``docs`` with a struct ``out``: n_words, n_removed, spans (those found, null if none) and kept (words left, a space between).
 
     Earlier means a smaller doc_id, or the same one and an earlier start. Windows are judged on the input. Null and empty texts have
     no words. Rows without a doc_id are kept whole and nothing is earlier because of them. Equal rows are one text and
-    all keep what it keeps; rows of one doc_id with other texts come in a fixed order of their texts.
+    all keep what it keeps; rows of one doc_id with other texts come in a fixed order of their texts. A column ``out`` of ``docs`` is replaced.
     """
     p = repeated_places(docs, window, ngram, doc_id, text).select(F.struct("*").alias("__p"))
     d = docs.join(p, (F.col(doc_id).cast("long") == F.col("__p.doc")) & (variant(F.col(text)) == F.col("__p.variant")), "left")
-    d = d.select(*docs.columns, F.col("__p.spans").alias("__spans")).withColumn("__d", _without(F.col(text), F.col("__spans")))
-    return d.select(*docs.columns, F.struct("__d.n_words", "__d.n_removed", F.col("__spans").alias("spans"), "__d.kept").alias("dedup"))
+    names = [c for c in docs.columns if c != out]
+    d = d.select(*(docs[c] for c in names), F.col("__p.spans").alias("__spans")).withColumn("__d", _without(F.col(text), F.col("__spans")))
+    return d.select(*names, F.struct("__d.n_words", "__d.n_removed", F.col("__spans").alias("spans"), "__d.kept").alias(out))

@@ -17,6 +17,7 @@ SHARD_ROWS = 16384
 BLOCK_QUERIES = 256
 LEAF_ROWS = 64
 _EXACT = 2 ** 53  # sums below this are exact in float64
+_LONG = 2 ** 63 - 1
 
 
 class Tree:
@@ -64,7 +65,7 @@ class Tree:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             start, stop = self.spans[node]
-            scores = self.rows[start:stop] @ query
+            scores = clamped(self.rows[start:stop] @ query)
             for i in np.flatnonzero(scores >= floor) if floor is not None else range(stop - start):
                 vec = int(self.ids[start + i])
                 if vec != own:
@@ -80,6 +81,11 @@ class Tree:
         return [(s, -v) for s, v in best]
 
 
+def clamped(values: np.ndarray) -> np.ndarray:
+    """Python's integers within the range of a long; floats are below it anyway."""
+    return values if values.dtype != object else np.minimum(np.maximum(values, -_LONG), _LONG)
+
+
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(vectors), dim)
 
@@ -114,9 +120,8 @@ def _search(tree: Column, dim: Column, queries: Column, k: int, first_leaf: bool
                 top = [max((abs(int(f(a))) for f in (np.min, np.max)), default=0) if a.size else 0 for a in (q, t.rows)]
                 kind = np.float64 if top[0] * top[1] * max(d, 1) < _EXACT else object  # Python's integers where floats would round
                 q, t.rows, t.lo, t.hi = (a.astype(kind) for a in (q, t.rows, t.lo, t.hi))
-                bound = t.bounds(q)
-                limit = (1 << 63) - 1
-                out.append([{"query_id": i, "vec_id": v, "score": max(-limit, min(limit, s))}
+                bound = clamped(t.bounds(q))
+                out.append([{"query_id": i, "vec_id": v, "score": s}
                             for i, row, b, f in zip(ids, q, bound, floors, strict=True)
                             for s, v in t.search(row, i, b, k, f, first_leaf)])
             yield pa.array(out, _FOUND)
@@ -135,7 +140,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows:
     """``query_id, rank, vec_id, score``: the k rows of ``vectors`` with the highest inner product, ties to smaller vec_id.
 
     Both tables are ``vec_id, v`` with integer components. Rows with a null in either take no part, a query is
-    not its own result, a repeated query is answered once and a repeated candidate is a row like any other. Vectors
+    not its own result, scores beyond a long are its largest or smallest value, a repeated query is answered once and a repeated candidate is a row like any other. Vectors
     meet those of the same length only. Each block of queries visits each shard twice: in the first round only
     the best leaf, and the kth score over all shards is what the second round begins with.
     """

@@ -51,7 +51,7 @@ def filter_urls(captures: DataFrame, valid: DataFrame, kinds: dict[str, str], pa
     Times are whole seconds. Only keys and times are shuffled, never page bodies, and a join with frequent
     hosts is split by Spark, as its sides are shuffled for it alone.
     """
-    c = captures.select(page, url, fetched)
+    c = captures.select(page, url, fetched).distinct()
     keys = c.select(page, url, fetched, F.explode_outer(url_rules(F.col(url))).alias("rule"), F.floor(F.col(fetched) / bucket).alias("bucket"))
     last = c.agg(F.max(fetched).alias("last"))  # one row
     v = valid.crossJoin(F.broadcast(last)).where(F.col("valid_from") <= F.col("last"))
