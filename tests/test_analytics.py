@@ -117,7 +117,9 @@ def test_filters_and_pages(spark):
     assert runlog.filter_runs(log, task_id=2).count() == runlog.filter_runs(log, keyword="TASK 2").count()
     assert runlog.filter_runs(log, day="2024-01-03").count() == 9
     assert runlog.filter_runs(log, end_to="2024-01-01 01:00:00").count() == 9
-    assert len(runlog.log_page(log, 1, 500).collect()) == 100
+    with pytest.raises(ValueError):
+        runlog.log_page(log, 1, 500)
+    assert len(runlog.log_page(log, 1, 500, max_size=500).collect()) == log.count()
     seen = [r["id"] for n in range(1, 4) for r in runlog.log_page(log, n, 100).collect()]
     assert len(seen) == len(set(seen)) == 250
     assert runlog.log_page(log, 4, 100).count() == 0

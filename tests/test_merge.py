@@ -102,7 +102,8 @@ def test_rows_given_by_a_caller_may_repeat_a_key(spark):
 def test_the_target_of_a_small_merge_is_not_shuffled(tables):
     out = merge.upsert(tables.orders_tgt, tables.orders_src, KEY, True)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    # only the keys that both sides have are shuffled, after a broadcast join has found them
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_size_is_counted(spark):

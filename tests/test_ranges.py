@@ -77,9 +77,10 @@ def test_range_number(spark):
 
 def test_resume_windows():
     assert ranges.resume_windows([(100, 250), (400, 420)], 500, 900) == [(100, 250), (400, 420), (500, 900)]
-    assert ranges.resume_windows([(100, 250), (200, 300)], 300, None) == [(100, None)]
+    assert ranges.resume_windows([(100, 250), (200, 300)], 300, None) == [(100, 300), (300, None)]
     assert ranges.resume_windows([(None, 10)], 20, 20) == [(None, 10)]
     assert ranges.resume_windows([], None, 5) == [(None, 5)]
+    assert ranges.resume_windows([(5, 10), (10, 15), (15, 20)], 20, 30) == [(5, 10), (10, 15), (15, 20), (20, 30)]
 
 
 def test_resuming_after_losing_ranges_equals_a_full_run(tables):

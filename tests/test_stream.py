@@ -65,3 +65,14 @@ def test_stopping_leaves_a_resume_point(spark, setup):
     add(events.limit(1).withColumn("user_id", F.lit(-5).cast("bigint")))
     go()
     assert table.current() == done + 1 and table.read().where("user_id = -5").count() == 1
+
+
+def test_an_older_row_of_a_later_batch_changes_nothing(spark, setup):
+    events, table, _, _, _, _ = setup
+    write = stream.batch_writer(table, ["ts", "event_id"])
+    row = lambda ts, n: spark.sql(f"select 1L as user_id, {n}L as event_id, timestamp_ntz '{ts}' as ts, 'x' as event_type, 1.5D as value")
+    write(row("2024-01-09 00:00:00", 9), 0)
+    write(row("2024-01-03 00:00:00", 3), 1)
+    assert [r["event_id"] for r in table.read().collect()] == [9]
+    write(row("2024-01-09 00:00:00", 10), 2)
+    assert [r["event_id"] for r in table.read().collect()] == [10]

@@ -9,12 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.lob import decode_binary
+
+
 def coerced(value: Column, source: T.DataType, target: T.DataType) -> Column:
-    """``value`` in the target type, NULL where it cannot be converted. Empty text is NULL for non-text targets."""
+    """``value`` in the target type, NULL where it cannot be converted. Empty text is NULL for non-text targets, text for a
+    binary target is base64 or a data URI, and a number with a fraction does not become a whole one."""
     if source == target:
         return value
     if isinstance(target, T.StringType):
         return value.cast("string")
+    if isinstance(target, T.BinaryType) and isinstance(source, T.StringType):
+        return decode_binary(F.nullif(F.trim(value), F.lit("")))
+    if isinstance(target, T.IntegralType) and isinstance(source, (T.FractionalType, T.DecimalType)):
+        whole = value.try_cast(target)
+        return F.when(whole.cast(source) == value, whole)  # a fraction would be lost
     if not isinstance(source, T.StringType):
         return value.try_cast(target)
     return F.nullif(F.trim(value), F.lit("")).try_cast(target)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MAX_TEXT_CHARS = 10 * 1024 * 1024
 MAX_BINARY_BYTES = 50 * 1024 * 1024
 CUT_SUFFIX = "...[truncated]"
+DATA_URI = "^data:image/[^;]+;base64,"
 
 
 def cap_text(text: Column, limit: int = MAX_TEXT_CHARS) -> Column:
@@ -28,5 +29,5 @@ def encode_binary(data: Column, limit: int = MAX_BINARY_BYTES) -> Column:
 
 def decode_binary(text: Column) -> Column:
     """Bytes of plain base64 or of an image data URI; text that is neither becomes NULL."""
-    body = F.regexp_replace(text, "^data:image/[^;]+;base64,", "")
+    body = F.regexp_replace(text, DATA_URI, "")
     return F.try_to_binary(body, F.lit("base64"))

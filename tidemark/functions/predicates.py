@@ -4,19 +4,42 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def typed(df: DataFrame, marker: str, value: Any) -> Column:
-    """``value`` as a literal of the marker's own type: no string comparison, no lost precision."""
+@dataclass(frozen=True)
+class Stored:
+    """A marker as it is kept in a task's state: text that Spark made with :func:`stored_text` and that Spark reads again."""
+    text: str
+
+
+def marker_type(df: DataFrame, marker: str) -> T.DataType:
     field = next((f for f in df.schema if f.name.lower() == marker.lower()), None)
     if field is None:
         raise ValueError(f"no column {marker!r}; have {df.columns}")
-    return F.lit(value).cast(field.dataType)
+    return field.dataType
+
+
+def stored_text(value: Column, kind: T.DataType) -> Column:
+    """The text of a marker. A point in time is its microseconds, so neither session nor driver zone can shift it."""
+    return (F.unix_micros(value) if isinstance(kind, T.TimestampType) else value).cast("string")
+
+
+def typed(df: DataFrame, marker: str, value: Any) -> Column:
+    """``value`` as a literal of the marker's own type: no string comparison, no lost precision."""
+    kind = marker_type(df, marker)
+    if isinstance(value, Stored):
+        if isinstance(kind, T.TimestampType) and re.fullmatch(r"-?\d+", value.text):
+            return F.timestamp_micros(F.lit(int(value.text)))
+        return F.lit(value.text).cast(kind)
+    return F.lit(value).cast(kind)
 
 
 def after(df: DataFrame, marker: str, value: Any) -> Column:

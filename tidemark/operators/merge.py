@@ -1,8 +1,8 @@
 """Merge semantics as pure functions ``(target, source) -> DataFrame``; sinks write the result.
 
 Column rules: the written columns are the source columns the target knows; target-only columns keep
-their value on update and are NULL on insert. Keys must be unique in the target and, after :func:`last_wins`, in
-the source, so no join here can have a hot key.
+their value on update and are NULL on insert. Keys are unique in the source after :func:`last_wins`. Inserts without a key check
+can leave a key in the target more than once: an update then changes all its rows, and a source row still counts once.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def _absent_from(source, target, keys, small):
     the target is then only filtered by a broadcast of the source keys and never shuffled."""
     if not small:
         return source.join(target.select(*keys), list(keys), "left_anti")
-    found = target.select(*keys).join(F.broadcast(source.select(*keys)), list(keys), "left_semi")
+    found = target.select(*keys).join(F.broadcast(source.select(*keys)), list(keys), "left_semi").distinct()
     return source.join(F.broadcast(found), list(keys), "left_anti")
 
 
@@ -119,25 +119,27 @@ def union_batches(batches: Sequence[DataFrame], keys: Sequence[str], order: Sequ
     return last_wins(rows, keys, ["_batch", *order]).drop("_batch")
 
 
-def classify(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
-    """Source rows with ``kind``: insert, update or unchanged (null-safe comparison of the written columns)."""
+def classify(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None,
+             guard: Sequence[str] = ()) -> DataFrame:
+    """Source rows with ``kind``: insert, update or unchanged (null-safe comparison of the written columns), or ``stale`` if
+    a target row is beyond the source row in the ``guard`` columns (NULL ranks lowest). One row per source row, however
+    often the target has its key."""
     source, _ = split_null_keys(known_columns(source, target.schema), keys)
     values = _values(keys, source.columns)
     small = is_small(source) if small is None else small
     tagged = _tagged(source, keys).drop("_in_source")
     types = {f.name.lower(): f.dataType for f in target.schema}
-    same = functools.reduce(lambda a, b: a & b,
-                            [F.col(f"_s_{c}").cast(types[c.lower()]).eqNullSafe(F.col(c)) for c in values], F.lit(True))
+    new = {c.lower(): F.col(f"_s_{c}").cast(types[c.lower()]) for c in values}
+    same = functools.reduce(lambda a, b: a & b, [new[c.lower()].eqNullSafe(F.col(c)) for c in values], F.lit(True))
+    order = [c for c in guard if c.lower() in new]
+    beyond = F.struct(*order) > F.struct(*[new[c.lower()].alias(c) for c in order]) if order else F.lit(False)
     kept = target.select(*keys, *values)
-    if small:
-        # an outer join cannot broadcast its preserved side, so the pairs found in the target are broadcast back
-        pairs = kept.join(F.broadcast(tagged), list(keys)).select(*keys, same.alias("_same"))
-        joined = source.join(F.broadcast(pairs), list(keys), "left")
-    else:
-        found = kept.withColumn("_in_target", F.lit(True))
-        joined = tagged.join(found, list(keys), "left").select(
-            *keys, *[F.col(f"_s_{c}").alias(c) for c in values], F.when(F.col("_in_target"), same).alias("_same"))
-    kind = F.when(F.col("_same").isNull(), "insert").when(F.col("_same"), "unchanged").otherwise("update")
+    pairs = kept.join(F.broadcast(tagged) if small else tagged, list(keys))
+    pairs = pairs.groupBy(*keys).agg(F.bool_and(same).alias("_same"), F.bool_or(beyond).alias("_beyond"))
+    # at most as many rows as the source has
+    joined = source.join(F.broadcast(pairs) if small else pairs, list(keys), "left")
+    kind = (F.when(F.col("_same").isNull(), "insert").when(F.col("_same"), "unchanged").when(F.col("_beyond"), "stale")
+            .otherwise("update"))
     return joined.select(*source.columns, kind.alias("kind"))
 
 

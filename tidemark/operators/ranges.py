@@ -82,11 +82,12 @@ def decode_checkpoint(df: DataFrame, marker_type: T.DataType | str, column: str
 
 def resume_windows(gaps: Sequence[tuple[Any, Any]], completed: Any, snapshot_end: Any = None
                    ) -> list[tuple[Any, Any]]:
-    """Saved gaps, then the tail ``(completed, snapshot_end]``; sorted, overlapping windows joined."""
+    """Saved gaps, then the tail ``(completed, snapshot_end]``; sorted, overlapping windows joined. Windows that only touch stay
+    apart, as each is a unit of work that can be lost."""
     windows = sorted([*gaps, (completed, snapshot_end)], key=lambda w: (w[0] is not None, w[0]))
     merged: list[tuple[Any, Any]] = []
     for lo, hi in windows:
-        if merged and (merged[-1][1] is None or (lo is None) or lo <= merged[-1][1]):
+        if merged and (merged[-1][1] is None or (lo is None) or lo < merged[-1][1]):
             last = merged[-1]
             merged[-1] = (last[0], None if last[1] is None or hi is None else max(last[1], hi))
         elif hi is None or lo is None or hi > lo:

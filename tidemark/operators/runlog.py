@@ -63,9 +63,10 @@ def filter_runs(log: DataFrame, status: str | None = None, task_id: Any = None,
     return rows
 
 
-def log_page(log: DataFrame, number: int = 1, size: int = LOG_PAGE_SIZE) -> DataFrame:
-    """A page of runs, newest first, with the total."""
-    size = min(size, MAX_LOG_PAGE_SIZE)
+def log_page(log: DataFrame, number: int = 1, size: int = LOG_PAGE_SIZE, max_size: int = MAX_LOG_PAGE_SIZE) -> DataFrame:
+    """A page of at most ``max_size`` runs, newest first, with the total; a larger size is refused."""
+    if size > max_size:
+        raise ValueError(f"a page has at most {max_size} runs, {size} were asked for")
     paged = log.orderBy(F.desc("start_time"), "id").offset((max(number, 1) - 1) * size).limit(size)
     return with_total(paged, log)
 

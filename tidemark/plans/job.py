@@ -8,26 +8,24 @@ import functools
 import math
 import operator
 import uuid
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import coerce, predicates
 from tidemark.operators import merge, ranges
 from tidemark.operators.mapping import apply_mapping, known_columns
-from tidemark.operators.profile import marker_profile
+from tidemark.operators.runlog import close_resumed, latest_running
 from tidemark.operators.sizing import BROADCAST_LIMIT_BYTES, row_bytes
-from tidemark.plans.state import RUN_LOG_SCHEMA, StateTable
-from tidemark.session import staged
+from tidemark.plans.state import BACKFILL, RUN_LOG_SCHEMA, StateTable
+from tidemark.session import staged, written
 from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import MappedField, RunStatus, SyncMode, SyncSpec
 
-MAX_ERROR_CHARS = 2000
-
 
 def select_source(source: DataFrame, spec: SyncSpec, last_value: Any = None) -> DataFrame:
     """Rows a run reads: beyond the stored marker and under the user's filter."""
@@ -80,16 +78,6 @@ def full_result(source: DataFrame, spec: SyncSpec, target: T.StructType | None =
     return good(deduplicate(shape(select_source(source, spec), spec, schema), spec))
 
 
-def multi_table_counts(jobs: Mapping[str, tuple[DataFrame, SyncSpec]]) -> DataFrame:
-    """Rows per table after a full run of each mapping item: the items are few, each is its own distributed plan."""
-    parts = [full_result(df, spec).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-             for name, (df, spec) in jobs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @dataclass
 class RunResult:
     status: str
@@ -102,141 +90,171 @@ class RunResult:
     open_ranges: int = 0
 
 
-def _write_whole(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
-    """Rows that become the whole table are written once, without staging. Bad rows are counted from the key and the
-    converted columns only; the written rows from the file footers."""
-    version = table.write(good(deduplicate(shaped, spec)), tag)
-    written = table.read(version=version).count()
-    return RunResult("success", read=written, inserted=written, rejected=shaped.where("_bad").count())
-
-
-def _write_inserts(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
-    """Plain inserts only add files; the table is not read."""
-    before = table.current()
-    added = good(deduplicate(shaped, spec))
-    table.change(None, added, tag)
-    written = table.read().count() - (table.read(version=before).count() if before else 0)
-    return RunResult("success", read=written, inserted=written, rejected=shaped.where("_bad").count())
+def _counted(shaped: DataFrame, spec: SyncSpec) -> tuple[DataFrame, Observation]:
+    """The good rows, and an observation that counts them and the rejected ones while they are written."""
+    seen = Observation()
+    rows = deduplicate(shaped, spec).observe(seen, F.count_if(F.col("_bad")).alias("bad"), F.count_if(~F.col("_bad")).alias("n"))
+    return good(rows), seen
 
 
-def write_changes(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str) -> RunResult:
+def write_changes(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag: str, guard: Sequence[str] = ()) -> RunResult:
     """Apply shaped rows to the table and count what changed.
 
-    The de-duplicated rows are checkpointed, so measuring and comparing them does not read the source again. They are
-    classified against the buckets holding one of their keys. Buckets with an update are rewritten, the others only get the new
-    rows added, and a small change is broadcast to the buckets. The lists of buckets have at most as many elements
-    as the table has buckets.
+    Rows that become the whole table, and plain inserts, are written and counted in one pass. A merge writes its
+    de-duplicated rows once and classifies them against the buckets holding one of their keys. Buckets with an update are
+    rewritten, the others only get the new rows added. The lists of buckets have at most as many elements as the
+    table has buckets. With ``guard`` a row updates only target rows that are not beyond it in these columns.
     """
-    if spec.mode == SyncMode.CLEAN_INSERT or (table.current() == 0 and spec.mode != SyncMode.INSERT_ONLY):
-        return _write_whole(table, shaped, spec, tag)
-    if spec.mode == SyncMode.INSERT_ONLY:
-        return _write_inserts(table, shaped, spec, tag)
-    kept = staged(deduplicate(shaped, spec))
+    base = table.current()
+    if spec.mode == SyncMode.INSERT_ONLY or spec.mode == SyncMode.CLEAN_INSERT or base == 0:
+        rows, seen = _counted(shaped, spec)
+        if spec.mode == SyncMode.INSERT_ONLY:
+            table.change(None, rows, tag, base)
+        else:
+            table.write(rows, tag, base)
+        n = seen.get
+        return RunResult("success", read=n["n"], inserted=n["n"], rejected=n["bad"])
+    with written(deduplicate(shaped, spec)) as kept:
+        return _merge(table, kept, spec, tag, base, guard)
+
+
+def _merge(table: VersionedTable, kept: DataFrame, spec: SyncSpec, tag: str, base: int, guard: Sequence[str]) -> RunResult:
     rows, fine = good(kept), ~F.col("_bad")
     facts = kept.agg(F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"),
-                       F.sum(F.when(fine, row_bytes(rows))).alias("bytes"),
-                       F.collect_set(F.when(fine, table.bucket(rows))).alias("buckets")).first()
+                     F.sum(F.when(fine, row_bytes(rows))).alias("bytes"),
+                     F.collect_set(F.when(fine, table.bucket(rows))).alias("buckets")).first()
     out = RunResult("success", read=facts["n"], rejected=facts["bad"])
     if out.read == 0:
         return out
     small = facts["bytes"] <= BROADCAST_LIMIT_BYTES
-    classified = merge.classify(table.read(facts["buckets"]), rows, spec.keys, small)
-    changes = staged(classified.withColumn("_b", table.bucket(rows)))
-    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged")]
-    counts = changes.agg(*kinds, F.collect_set(F.when(F.col("kind") == "update", F.col("_b"))).alias("updated")).first()
-    out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"]
-    rewritten = [] if spec.no_update else counts["updated"]
-    if spec.no_update:
-        out.unchanged, out.updated = out.unchanged + out.updated, 0
-    replaced = added = None
-    if rewritten:
-        inside = changes.where(F.col("_b").isin(rewritten)).drop("_b")
-        replaced = merge.apply_classified(table.read(rewritten), inside, spec.keys, small)
-    if out.inserted:
-        added = changes.where((F.col("kind") == "insert") & ~F.col("_b").isin(rewritten)).drop("kind", "_b")
-        added = merge.replace(table.read([]), added)
-    if replaced is not None or added is not None:
-        table.change(replaced, added, tag, rebalance=not small)
+    classified = merge.classify(table.read(facts["buckets"], base), rows, spec.keys, small, guard)
+    with written(classified.withColumn("_b", table.bucket(rows))) as changes:
+        kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged", "stale")]
+        counts = changes.agg(*kinds, F.collect_set(F.when(F.col("kind") == "update", F.col("_b"))).alias("updated")).first()
+        out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"] + counts["stale"]
+        rewritten = [] if spec.no_update else counts["updated"]
+        if spec.no_update:
+            out.unchanged, out.updated = out.unchanged + out.updated, 0
+        replaced = added = None
+        if rewritten:
+            inside = changes.where(F.col("_b").isin(rewritten)).drop("_b")
+            replaced = merge.apply_classified(table.read(rewritten, base), inside, spec.keys, small)
+        if out.inserted:
+            added = changes.where((F.col("kind") == "insert") & ~F.col("_b").isin(rewritten)).drop("kind", "_b")
+            added = merge.replace(table.read([]), added)
+        if replaced is not None or added is not None:
+            table.change(replaced, added, tag, base)
     return out
 
 
-def _windows(source: DataFrame, spec: SyncSpec, lo: Any, hi: Any, n_rows: int, parts: int) -> list[tuple[Any, Any]]:
-    """At most about ``parts`` equally loaded windows between two markers."""
+Bounds = tuple[str | None, str | None]
+
+
+def _bound(text: str | None) -> predicates.Stored | None:
+    return None if text is None else predicates.Stored(text)
+
+
+def in_window(source: DataFrame, marker: str, window: Bounds) -> Column:
+    """Rows of one window ``(lo, hi]`` of stored markers; rows without a marker are a window of their own."""
+    if window == BACKFILL:
+        return predicates.missing(marker)
+    lo, hi = map(_bound, window)
+    return predicates.all_of([F.col(marker).isNotNull(), predicates.after(source, marker, lo) if lo else None,
+                              predicates.up_to(source, marker, hi) if hi else None])
+
+
+def _windows(source: DataFrame, marker: str, lo: str | None, hi: str, n_rows: int, parts: int) -> list[Bounds]:
+    """At most about ``parts`` equally loaded windows between two markers; the bounds become text inside Spark."""
     if parts <= 1 or not n_rows:
         return [(lo, hi)]
-    inside = source.where(predicates.up_to(source, spec.marker, hi))
-    plan = ranges.plan_ranges(inside, spec.marker, math.ceil(n_rows / parts)).orderBy("batch_no").collect()
-    return [(lo if i == 0 else r["lo"], r["hi"]) for i, r in enumerate(plan)]
+    kind = predicates.marker_type(source, marker)
+    inside = source.where(in_window(source, marker, (lo, hi)))
+    plan = ranges.plan_ranges(inside, marker, math.ceil(n_rows / parts)).orderBy("batch_no")
+    cuts = [r["hi"] for r in plan.select("batch_no", predicates.stored_text(F.col("hi"), kind).alias("hi")).collect()]
+    return list(zip([lo, *cuts[:-1]], cuts))
 
 
 def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: StateTable, now: dt.datetime | None = None,
              log_path: str | None = None, parts: int = 1, should_stop: Callable[[], bool] = lambda: False,
              on_progress: Callable[[RunResult], None] = lambda result: None) -> RunResult:
     """One run of a task. With ``parts`` > 1 the marker axis is processed in that many windows, each committed on
-    its own; a failed or paused run keeps the windows still open as its checkpoint, and the next run resumes with them.
+    its own. Rows without a marker are one window more, read in the first run only. After each window the ones still
+    open are saved, so a failed, paused or killed run is taken up where it was: saved windows stay as they are, and what
+    has come beyond them is cut into ``parts``, too.
 
     ``should_stop`` is asked before every window, ``on_progress`` is told the figures after it.
 
-    Inserts without key check are not repeatable, so an insert-only run is one window whose intent is saved first: if
+    Inserts without key check are not repeatable, so an insert-only run is one commit whose intent is saved first: if
     its commit succeeded but the state was lost, the next run finds the commit and goes on behind it.
     """
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     spark = source.sparkSession
     base = source.where(predicates.all_of([spec.where]))
-    mtype = source.schema[spec.marker].dataType if spec.marker else None
-    saved = state.latest(spec.task_id, mtype)
+    saved = state.latest(spec.task_id)
     uses_marker = spec.marker is not None and spec.mode != SyncMode.CLEAN_INSERT
-    last = _typed_value(spark, saved.last_marker, mtype) if uses_marker else None
     inserting = spec.mode == SyncMode.INSERT_ONLY
-    resumes = saved.resuming and not spec.no_update and not inserting
-    if inserting and saved.resuming and table.has_tag(f"ins{saved.seq}"):
-        last = saved.completed
-    result, open_windows, end = RunResult("success"), [], None
+    last, backfilled = (saved.last_marker if uses_marker else None), saved.backfill_done
+    if inserting and saved.resuming and table.has_tag(_insert_tag(spec, saved.seq)):
+        last, backfilled = saved.completed or last, True
+    result, open_windows, end = RunResult("success"), [], last
     run = uuid.uuid4().hex
-    tag = f"run{run[:12]}"
+    tag = f"run.{run[:12]}"
+    if log_path:
+        close_interrupted(spark, log_path, spec.task_id, now)
+        append_run_log(spark, log_path, run, spec, dataclasses.replace(result, status="running"), now)
 
-    def apply(rows):
+    def apply(rows: DataFrame, tag: str = tag) -> None:
         step = write_changes(table, shape(rows, spec, table.schema), spec, tag)
         for name in ("read", "inserted", "updated", "unchanged", "rejected"):
             setattr(result, name, getattr(result, name) + getattr(step, name))
         on_progress(dataclasses.replace(result))
 
+    def save_open(status: str) -> None:
+        reach = next((hi for _, hi in reversed(open_windows) if hi is not None), end)
+        state.save(spec.task_id, now, status, saved.last_marker, open_windows, reach, True)
+
     error = None
     try:
         if not uses_marker:
             apply(base)
         else:
-            unread = base if last is None else base.where(predicates.after(base, spec.marker, last))
-            profile = marker_profile(unread, spec.marker).first()
-            end, result.total = profile["max_marker"], profile["n_rows"]
-            if resumes:
-                open_windows = ranges.resume_windows(saved.gaps, saved.completed, end)
-            elif end is not None:
-                open_windows = _windows(unread, spec, last, end, profile["n_rows"] - profile["n_null"],
-                                        1 if inserting else parts)
-            if inserting and end is not None:
-                state.save(spec.task_id, now, "running", last, _gap_frame(spark, open_windows, mtype), completed=end)
-                tag = f"ins{saved.seq + 1}"
-                apply(base.where(predicates.marker_range(base, spec.marker, last, end)))
-                open_windows = []
-            elif last is None and not resumes and profile["n_null"]:
-                # first run: rows without a marker, which is the whole source if no row has one
-                apply(ranges.without_marker(base, spec.marker))
+            kind = predicates.marker_type(base, spec.marker)
+            beyond = in_window(base, spec.marker, (last, None)) if last is not None else F.col(spec.marker).isNotNull()
+            facts = base.where(beyond if backfilled else beyond | predicates.missing(spec.marker)).agg(
+                F.count("*").alias("n"), F.count(spec.marker).alias("marked"),
+                predicates.stored_text(F.max(spec.marker), kind).alias("end")).first()
+            result.total, end = facts["n"], facts["end"] or last
+            backfill = [BACKFILL] if not backfilled and facts["n"] > facts["marked"] else []
+            if inserting:
+                if facts["n"]:
+                    intent = backfill + ([(last, end)] if facts["marked"] else [])
+                    seq = state.save(spec.task_id, now, "running", saved.last_marker, intent, end, True)
+                    chosen = [in_window(base, spec.marker, w) for w in intent]
+                    apply(base.where(functools.reduce(operator.or_, chosen)), _insert_tag(spec, seq))
+            elif saved.resuming and not spec.no_update:
+                open_windows = list(saved.gaps)
+                tail = base.where(in_window(base, spec.marker, (saved.completed, None))) if saved.completed else base.where(F.col(spec.marker).isNotNull())
+                n = tail.count() if end != saved.completed else 0
+                if n:
+                    open_windows += _windows(tail, spec.marker, saved.completed, end, n, parts)
+            else:
+                open_windows = backfill + (_windows(base, spec.marker, last, end, facts["marked"], parts) if facts["marked"] else [])
             while open_windows:
                 if should_stop():
                     result.status = "paused"
                     break
-                apply(ranges.read_windows(base, spec.marker, open_windows[:1]))
+                apply(base.where(in_window(base, spec.marker, open_windows[0])))
                 open_windows.pop(0)
+                if open_windows:
+                    save_open("running")
     except Exception as e:  # the run is recorded as failed, then the error goes on to the caller
         result.status, error = "failed", e
 
     result.open_ranges = len(open_windows)
-    if open_windows and not inserting:
-        gaps = _gap_frame(spark, open_windows, mtype)
-        state.save(spec.task_id, now, result.status, saved.last_marker, gaps, completed=open_windows[-1][1])
+    if open_windows:
+        save_open(result.status)
     elif result.status == "success":
-        state.save(spec.task_id, now, "stopped", end if end is not None else saved.last_marker)
+        state.save(spec.task_id, now, "stopped", end if end is not None else saved.last_marker, backfilled=uses_marker or backfilled)
     if log_path:
         append_run_log(spark, log_path, run, spec, result, now, error)
     if error is not None:
@@ -244,26 +262,45 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
     return result
 
 
-def _typed_value(spark, text, mtype):
-    """A stored marker text as a value of the marker's type."""
-    if text is None or mtype is None:
-        return None
-    return spark.sql("select :text as v", args={"text": str(text)}).select(F.col("v").cast(mtype)).first()[0]
+def _insert_tag(spec: SyncSpec, seq: int) -> str:
+    return f"insert/{spec.task_id}.{seq}"
 
 
-def _gap_frame(spark, windows: Iterable[tuple[Any, Any]], mtype) -> DataFrame:
-    schema = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("lo", mtype),
-                           T.StructField("hi", mtype)])
-    return spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(windows)], schema)
+def run_tables(jobs: Mapping[str, tuple[DataFrame, VersionedTable, SyncSpec]], state: StateTable, now: dt.datetime | None = None,
+               log_path: str | None = None, parts: int = 1) -> dict[str, RunResult | Exception]:
+    """One run per mapping item, in order. An item that fails is reported and the others still run."""
+    results: dict[str, RunResult | Exception] = {}
+    for name, (source, table, spec) in jobs.items():
+        try:
+            results[name] = run_sync(source, table, spec, state, now, log_path, parts)
+        except Exception as e:
+            results[name] = e
+    return results
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The run log with one row per run: a run is written when it starts and again when it ends, and its end counts."""
+    newest = Window.partitionBy("id").orderBy(F.col("end_time").desc_nulls_last(), F.col("total_count").desc())
+    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
+def close_interrupted(spark: SparkSession, path: str, task_id: str, now: dt.datetime) -> None:
+    """Runs of the task that were left open (paused or killed) get their end row."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return
+    mine = read_run_log(spark, path).where(F.col("task_id") == task_id)
+    task = spark.createDataFrame([(task_id,)], "task_id string")
+    closed = close_resumed(mine, task, now).join(latest_running(mine).select("id"), "id", "left_semi")
+    with written(closed.select(*T.StructType.fromDDL(RUN_LOG_SCHEMA).names)) as rows:
+        if not rows.isEmpty():
+            rows.coalesce(1).write.mode("append").parquet(path)
 
 
 def append_run_log(spark, path: str, run: str, spec: SyncSpec, result: RunResult, now: dt.datetime,
                    error: Exception | None = None) -> None:
     status = {"success": RunStatus.SUCCESS, "failed": RunStatus.FAILED}.get(result.status, RunStatus.RUNNING)
-    message = None
-    if error is not None:
-        message = str(error)
-        message = message if len(message) <= MAX_ERROR_CHARS else message[:MAX_ERROR_CHARS] + "..."
+    message = None if error is None else str(error)
     done = result.inserted + result.updated + result.unchanged
     ended = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     row = (run, spec.task_id, spec.task_name, int(spec.mode), int(status), result.read + result.rejected, done,

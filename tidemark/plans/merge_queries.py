@@ -290,22 +290,79 @@ def marker_replay(t):
     return state.replayed(t.events, "ts", "2024-01-25").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("multi_table_sync", """
-select 'customer' as table_name, count(*) as n_rows from customer union all select 'part', count(*) from part
-union all select 'supplier', count(*) from supplier""")
+@query("multi_table_sync", " union all ".join(
+    f"select '{name}' as table_name, count(*) as n_rows, cast(sum({key}) as bigint) as key_sum from {name}"
+    for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))))
 def multi_table_sync(t):
-    return job.multi_table_counts({
-        name: (getattr(t, name), SyncSpec(name, keys=(key,), mode=SyncMode.CLEAN_INSERT))
-        for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))})
+    """Each item is a full run into a table of its own."""
+    keys, jobs = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}, {}
+    for name, key in keys.items():
+        table, state_table = _stored(t, f"multi-{name}", getattr(t, name), [key])
+        jobs[name] = (getattr(t, name), table, SyncSpec(name, keys=(key,), mode=SyncMode.CLEAN_INSERT))
+    failed = [r for r in job.run_tables(jobs, state_table).values() if isinstance(r, Exception)]
+    if failed:
+        raise failed[0]
+    parts = [table.read().agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.sum(keys[name]).alias("key_sum"))
+             for name, (_, table, _) in jobs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("run_timestamp_marker", "select o_orderkey, epoch_us(o_orderdate) as micros, o_totalprice from orders")
+def run_timestamp_marker(t):
+    """A marker that is a point in time, stored by the first run and read by the second, in windows."""
+    source = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("changed"), "o_totalprice")
+    spec = SyncSpec("instants", keys=("o_orderkey",), marker="changed")
+    table, state_table = _stored(t, "run-instants", source, KEY)
+    job.run_sync(source.where("changed <= timestamp '2000-01-01 00:00:00'"), table, spec, state_table, parts=2)
+    job.run_sync(source, table, spec, state_table, parts=2)
+    return table.read().select("o_orderkey", F.unix_micros("changed").alias("micros"), "o_totalprice")
+
+
+@query("run_null_backfill_resumed", "select event_id, ts, user_id, event_type, value, props from events_nm")
+def run_null_backfill_resumed(t):
+    """Rows without a marker are a window like the others: a run that is paused before it comes back to them."""
+    spec = SyncSpec("unmarked", keys=("event_id",), marker="ts")
+    table, state_table = _stored(t, "run-unmarked", t.events_nm, ["event_id"])
+    job.run_sync(t.events_nm, table, spec, state_table, parts=3, should_stop=lambda: True)
+    job.run_sync(t.events_nm, table, spec, state_table)
+    return table.read()
+
+
+@query("run_insert_all_null", "select event_id, user_id, event_type from events")
+def run_insert_all_null(t):
+    """Plain inserts of rows that have no marker at all happen once."""
+    source = t.events.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    table, state_table = _stored(t, "run-inserts", source, ["event_id"])
+    for _ in range(2):
+        job.run_sync(source, table, SyncSpec("inserts", keys=("event_id",), marker="ts", mode=SyncMode.INSERT_ONLY), state_table)
+    return table.read().select("event_id", "user_id", "event_type")
+
+
+@query("merge_duplicate_target", f"""
+with t as (select * from orders_tgt union all select * from orders_tgt where o_orderkey % 3 = 0),
+     kinds as (select s.o_orderkey, case when count(t.o_orderkey) = 0 then 'insert'
+                      when bool_and({' and '.join(f's.{c} is not distinct from t.{c}' for c in COLS)}) then 'unchanged' else 'update' end as kind
+               from orders_src s left join t on s.o_orderkey = t.o_orderkey group by s.o_orderkey)
+select 'kind ' || kind as what, count(*) as n_rows from kinds group by kind
+union all select 'merged', (select count(*) from t) + (select count(*) from kinds where kind = 'insert')""")
+def merge_duplicate_target(t):
+    """A key that the target has twice is one source row still."""
+    target = t.orders_tgt.unionByName(t.orders_tgt.where("o_orderkey % 3 = 0"))
+    changes = staged(merge.classify(target, t.orders_src, KEY))
+    merged = merge.apply_classified(target, changes, KEY, True)
+    kinds = changes.groupBy(F.concat(F.lit("kind "), "kind").alias("what")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return kinds.unionByName(merged.agg(F.lit("merged").alias("what"), F.count(F.lit(1)).alias("n_rows")))
 
 
 @query("stream_upsert", """
 select user_id, event_id, ts, event_type, value from events
 qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
 def stream_upsert(t):
+    """All events in four batches whose order is not that of the marker, so later batches meet newer rows."""
     path = scratch_path(t.spark, "stream-upsert")
     columns = ["user_id", "event_id", "ts", "event_type", "value"]
+    t.events.select(*columns).repartitionByRange(4, F.pmod(F.xxhash64("event_id"), F.lit(1000))).write.parquet(f"{path}/in")
     table = stream.target(t.spark, f"{path}/table", t.events.select(*columns).schema, ["user_id"], buckets=8)
-    source = stream.read_files(t.spark, t.folder, "events.parquet", t.events.schema).select(*columns)
+    source = stream.read_files(t.spark, f"{path}/in", "*.parquet", t.events.select(*columns).schema, files_per_batch=1)
     stream.run_available(source, table, ["ts", "event_id"], f"{path}/progress")
     return table.read()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -9,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ranges import decode_checkpoint, encode_checkpoint
+from tidemark.operators.ranges import encode_checkpoint
 
 STATE_SCHEMA = ("task_id string, seq bigint, run_status string, last_marker string, part bigint, checkpoint string, "
-                "updated_at timestamp_ntz")
+                "updated_at timestamp_ntz, backfilled boolean")
 RUN_LOG_SCHEMA = ("id string, task_id string, task_name string, sync_mode int, status int, total_count bigint, "
                   "success_count bigint, fail_count bigint, insert_count bigint, update_count bigint, "
                   "skip_count bigint, error_msg string, start_time timestamp_ntz, end_time timestamp_ntz")
@@ -29,14 +32,28 @@ def replayed(df: DataFrame, marker: str, override: Any) -> DataFrame:
     return df.where(after(df, marker, override))
 
 
+# The window of the rows that have no marker.
+BACKFILL = (None, None)
+
+
 @dataclass(frozen=True)
 class TaskState:
+    """Markers are texts of :func:`tidemark.functions.predicates.stored_text`. ``gaps`` are the windows still open, in
+    order. ``backfilled``: the rows without a marker are done, or open as a window of their own."""
     seq: int = 0
     run_status: str | None = None
     last_marker: str | None = None
-    completed: Any = None
-    gaps: tuple[tuple[Any, Any], ...] = ()
-    resuming: bool = False
+    completed: str | None = None
+    gaps: tuple[tuple[str | None, str | None], ...] = ()
+    backfilled: bool = False
+
+    @property
+    def resuming(self) -> bool:
+        return bool(self.gaps)
+
+    @property
+    def backfill_done(self) -> bool:
+        return self.backfilled and BACKFILL not in self.gaps
 
 
 class StateTable:
@@ -52,33 +69,44 @@ class StateTable:
             return self.spark.createDataFrame([], self._schema)
         return self.spark.read.schema(self._schema).parquet(self.path)
 
-    def latest(self, task_id: str, marker_type: T.DataType | None = None) -> TaskState:
+    def latest(self, task_id: str) -> TaskState:
         """State of one task. Its open windows are as many as the ranges of one run, a number the run bounds."""
         mine = self.rows().where(F.col("task_id") == task_id)
-        newest = mine.where(F.col("seq") == mine.agg(F.max("seq")).scalar())
-        found = decode_checkpoint(newest, marker_type or T.StringType(), keep=("seq", "run_status", "last_marker")).collect()
+        found = mine.where(F.col("seq") == mine.agg(F.max("seq")).scalar()).orderBy("part").collect()
         if not found:
             return TaskState()
-        head, gaps = found[0], [(r["lo"], r["hi"]) for r in found if r["lo"] is not None or r["hi"] is not None]
-        return TaskState(head["seq"], head["run_status"], head["last_marker"], head["completed"],
-                         tuple(sorted(gaps, key=lambda w: (w[0] is not None, w[0]))), bool(gaps))
+        head, saved = found[0], [json.loads(r["checkpoint"]) for r in found if r["checkpoint"] is not None]
+        return TaskState(head["seq"], head["run_status"], head["last_marker"], saved[0]["c"] if saved else None,
+                         tuple((lo, hi) for s in saved for lo, hi in s["g"]), bool(head["backfilled"]))
 
-    def save(self, task_id: str, now: Any, run_status: str, last_marker: Any, gaps: DataFrame | None = None,
-             completed: Any = None) -> None:
-        """Append a state. Without ``gaps`` the checkpoint is cleared, marker and checkpoint change together."""
+    def save(self, task_id: str, now: Any, run_status: str, last_marker: Any, gaps: Sequence[tuple[str | None, str | None]] = (),
+             completed: str | None = None, backfilled: bool = False) -> int:
+        """Append a state and return its number. Without ``gaps`` the checkpoint is cleared: marker and checkpoint change together."""
         newest = self.rows().where(F.col("task_id") == task_id).agg(F.max("seq")).first()[0]
         seq = (newest or 0) + 1
-        parts = (encode_checkpoint(gaps, completed) if gaps is not None
-                 else self.spark.createDataFrame([(0, None)], "part bigint, checkpoint string"))
+        if gaps:
+            windows = self.spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(gaps)], "batch_no long, lo string, hi string")
+            parts = encode_checkpoint(windows, completed)
+        else:
+            parts = self.spark.createDataFrame([(0, None)], "part bigint, checkpoint string")
         parts.select(F.lit(task_id).alias("task_id"), F.lit(seq).cast("bigint").alias("seq"),
                      F.lit(run_status).alias("run_status"),
-                     F.lit(None if last_marker is None else str(last_marker)).cast("string").alias("last_marker"),
-                     F.col("part"), "checkpoint", F.lit(now).cast("timestamp_ntz").alias("updated_at")
-                     ).coalesce(1).write.mode("append").parquet(self.path)
+                     F.lit(None if last_marker is None else _text(last_marker)).cast("string").alias("last_marker"),
+                     F.col("part"), "checkpoint", F.lit(now).cast("timestamp_ntz").alias("updated_at"),
+                     F.lit(backfilled).alias("backfilled")).coalesce(1).write.mode("append").parquet(self.path)
+        return seq
 
     def stop(self, task_id: str, now: Any) -> None:
         """Stopping gives up the checkpoint; pausing just leaves it."""
-        self.save(task_id, now, "stopped", self.latest(task_id).last_marker)
+        saved = self.latest(task_id)
+        self.save(task_id, now, "stopped", saved.last_marker, backfilled=saved.backfill_done)
 
     def override_marker(self, task_id: str, now: Any, marker: Any) -> None:
-        self.save(task_id, now, "stopped", marker)
+        """Set the stored marker by hand. A time with a zone is that instant; other values are read in the marker's type."""
+        self.save(task_id, now, "stopped", marker, backfilled=self.latest(task_id).backfill_done)
+
+
+def _text(marker: Any) -> str:
+    if isinstance(marker, dt.datetime) and marker.tzinfo is not None:
+        return str((marker - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1))
+    return str(marker)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` written as parquet below the shared folder and read from there, pruned as any table; deleted at the end."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for results that are used several times."""
     shared_dir(df.sparkSession)

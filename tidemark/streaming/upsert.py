@@ -31,14 +31,15 @@ def read_files(spark: SparkSession, folder: str, pattern: str, schema: T.StructT
 
 
 def batch_writer(table: VersionedTable, order: Sequence[str], stream_name: str = "stream"):
-    """The ``foreachBatch`` function: last row per key, then upsert, unless this batch is already committed."""
+    """The ``foreachBatch`` function: last row per key, then upsert, unless this batch is already committed. A row that
+    is older than the one in the table, by those of the ``order`` columns that the table has, changes nothing."""
     spec = SyncSpec(stream_name, keys=table.keys, order=tuple(order))
 
     def write(rows: DataFrame, batch_id: int) -> None:
         tag = f"{stream_name}.{batch_id}"
         if table.has_tag(tag):
             return
-        write_changes(table, shape(rows, spec, table.schema), spec, tag)
+        write_changes(table, shape(rows, spec, table.schema), spec, tag, guard=order)
 
     return write
 
