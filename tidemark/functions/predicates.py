@@ -78,33 +78,26 @@ def incremental(df: DataFrame, marker: str | None, last_value: Any = None, where
     return all_of([beyond, where])
 
 
-# A predicate of at most this many windows is a plain OR, which parquet and JDBC sources can use for pruning.
-PUSHABLE_WINDOWS = 16
-
-
-def in_windows(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]]) -> Column:
-    """``marker`` lies in one of the disjoint, ascending ``(lo, hi]`` windows; ``None`` is an open end.
-
-    A few windows become an OR that is pushed to the scan. Many become a balanced decision tree over the upper
-    bounds (log2 comparisons per row) behind the pushed envelope, so no join with the window list is needed.
-    """
-    if not windows:
-        return F.lit(False)
-
-    def one(lo, hi):
-        return all_of([after(df, marker, lo) if lo is not None else None,
-                       up_to(df, marker, hi) if hi is not None else None,
-                       F.col(marker).isNotNull()])
-
-    def search(part):
-        if len(part) <= 2:
-            return functools.reduce(operator.or_, [one(lo, hi) for lo, hi in part])
-        mid = len(part) // 2
-        return F.when(up_to(df, marker, part[mid - 1][1]), search(part[:mid])).otherwise(search(part[mid:]))
-
-    if len(windows) <= PUSHABLE_WINDOWS:
-        return functools.reduce(operator.or_, [one(lo, hi) for lo, hi in windows])
-    return one(windows[0][0], windows[-1][1]) & search(list(windows))
+def position(value: Column, kind: T.DataType) -> Column:
+    """A number that never falls where the marker rises. It finds bins, the exact comparison is made in the marker's type."""
+    if isinstance(kind, T.StringType):
+        return F.conv(F.hex(F.substring(F.rpad(value.cast("binary"), 6, F.lit(b"\0")), 1, 6)), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.to_utc_timestamp(value.cast("timestamp"), F.current_timezone())).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    return value.cast("double")
+
+
+def envelopes(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]], groups: int = 16) -> Column:
+    """What the scan can prune by: the hulls of at most ``groups`` runs of the ascending windows ``(lo, hi]``."""
+    size = -(-len(windows) // groups)
+    hulls = [(windows[i][0], windows[min(i + size, len(windows)) - 1][1]) for i in range(0, len(windows), size)]
+    parts = [all_of([after(df, marker, lo) if lo is not None else None, up_to(df, marker, hi) if hi is not None else None,
+                     F.col(marker).isNotNull()]) for lo, hi in hulls]
+    return functools.reduce(operator.or_, parts)
 
 
 def range_number(df: DataFrame, marker: str, cuts: Sequence[Any]) -> Column:

@@ -96,7 +96,28 @@ def resume_windows(gaps: Sequence[tuple[Any, Any]], completed: Any, snapshot_end
 
 
 def read_windows(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]]) -> DataFrame:
-    return df.where(predicates.in_windows(df, marker, windows))
+    """Rows whose marker lies in one of the disjoint, ascending ``(lo, hi]`` windows; ``None`` is an open end.
+
+    The windows become a table that is joined by bins of the marker axis, as many as there are windows; each window lies in the bins
+    it touches. So the plan does not grow with their number. The scan is pruned by the hulls of runs of windows.
+    """
+    if not windows:
+        return df.where(F.lit(False))
+    kind = predicates.marker_type(df, marker)
+    schema = T.StructType([T.StructField("lo", kind), T.StructField("hi", kind)])
+    table = df.sparkSession.createDataFrame([tuple(w) for w in windows], schema)
+    first, last, n = predicates.position(F.col("lo"), kind), predicates.position(F.col("hi"), kind), len(windows)
+    reach = table.agg(F.min(F.least(first, last)).alias("a"), F.max(F.greatest(first, last)).alias("b")).first()
+    start, width = (reach["a"] or 0.0), max((reach["b"] or 0.0) - (reach["a"] or 0.0), 1.0) / n
+
+    def bin_of(place: Column) -> Column:
+        return F.least(F.greatest(F.floor((place - start) / width), F.lit(0)), F.lit(n - 1))
+
+    spans = table.select("lo", "hi", F.explode(F.sequence(F.coalesce(bin_of(first), F.lit(0)), F.coalesce(bin_of(last), F.lit(n - 1)))).alias("bin"))
+    spans = spans.select(F.struct("*").alias("_w"))
+    w, m = F.col("_w"), F.col(marker)
+    inside = ((bin_of(predicates.position(m, kind)) == w["bin"]) & (w["lo"].isNull() | (m > w["lo"])) & (w["hi"].isNull() | (m <= w["hi"])))
+    return df.where(predicates.envelopes(df, marker, windows)).join(spans, inside, "left_semi")
 
 
 def resume_rows(df: DataFrame, marker: str, gaps: Sequence[tuple[Any, Any]], completed: Any,

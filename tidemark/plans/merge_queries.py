@@ -193,6 +193,21 @@ def resume_rows(t):
     return ranges.resume_rows(t.events, "event_id", SAVED_GAPS, SAVED_COMPLETED)
 
 
+@query("many_windows", """
+with ranges as (
+  select batch_no, max(m) as hi, min(prev_m) filter (where first_of_batch) as lo from (
+    select *, row_number() over (partition by batch_no order by m) = 1 as first_of_batch from (
+      select m, lag(m) over (order by m) as prev_m, cast(floor((sum(n) over (order by m) - n) / 20) as bigint) as batch_no
+      from (select l_shipdate as m, count(*) as n from lineitem group by l_shipdate))) group by batch_no)
+select l.l_orderkey, l.l_linenumber, l.l_shipdate from lineitem l join ranges r
+on l.l_shipdate <= r.hi and (r.lo is null or l.l_shipdate > r.lo) where r.batch_no % 2 = 1""")
+def many_windows(t):
+    """Every other one of some thousand planned windows is read again."""
+    planned = ranges.plan_ranges(t.lineitem, "l_shipdate", 20).where("batch_no % 2 = 1").orderBy("batch_no").collect()
+    rows = ranges.read_windows(t.lineitem, "l_shipdate", [(r["lo"], r["hi"]) for r in planned])
+    return rows.select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
 @query("gap_replay", f"select * from events where {IN_GAPS}")
 def gap_replay(t):
     return ranges.read_windows(t.events, "event_id", SAVED_GAPS)
