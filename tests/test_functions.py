@@ -142,7 +142,7 @@ def test_key_check_and_profiles(spark):
     assert scan.key_check(df, ["k"]).first().asDict() == {"key_columns": "k", "n_rows": 3, "n_keys": 2, "is_unique": False,
                                                           "is_not_null": False}
     assert scan.key_check(df.where("k > 5"), ["k"]).first()["n_rows"] == 0
-    assert rows(profile.candidate_profile(df, ["k", "v"])) == [("k", 3, 1, 1), ("v", 3, 0, 3)]
+    assert rows(profile.candidate_profile(df, ["k", "v"])) == [("k", 3, 1, 1, "1", "1"), ("v", 3, 0, 3, "a", "c")]
     assert profile.increment_candidates(T.StructType.fromDDL("a int, b string")) == ["a", "b"]
     assert profile.increment_candidates(T.StructType.fromDDL("a int, updated int, d date")) == ["updated", "d"]
     assert scan.list_tables(spark).columns

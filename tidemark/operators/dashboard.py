@@ -201,7 +201,9 @@ def overview(log: DataFrame, tasks: DataFrame, now: Any, day: str, window_second
 
 def last_event(log: DataFrame, tasks: DataFrame, now: Any) -> DataFrame:
     """Source table, operation and time of the newest run ended within the last day whose task exists."""
-    recent = log.where(_ended(now, DAY_SECONDS)).select("id", "task_id", "status", "start_time")
+    # one run per task meets the tasks
+    newest = F.max(F.struct("start_time", "id", "status")).alias("r")
+    recent = log.where(_ended(now, DAY_SECONDS)).groupBy("task_id").agg(newest).select("task_id", "r.*")
     named = recent.join(tasks.select(F.col("id").alias("task_id"), "source_table"), "task_id")
     operation = F.when(_is(RunStatus.SUCCESS), "SYNC_COMPLETE").otherwise("SYNC_RUNNING")
     return (named.orderBy(F.desc("start_time"), F.desc("id")).limit(1)

@@ -61,7 +61,7 @@ def increment_candidates(schema: T.StructType) -> list[str]:
 
 
 def candidate_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per candidate column: rows, NULLs, distinct values, all exact.
+    """Per candidate column: rows, NULLs, distinct values, smallest and largest value (as text), all exact.
 
     Values are counted per (column, value) and combined before the shuffle, so neither a hot value nor
     a NULL-heavy column lands in one task; the second step only adds up counts.
@@ -70,6 +70,11 @@ def candidate_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in names]
     per_value = (df.select(F.inline(F.array(*cells)))
                  .groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n")))
-    return per_value.groupBy("column_name").agg(
+    counts = per_value.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
         F.count("v").alias("n_distinct"))
+    # the order is that of the column's type, so the bounds are taken before values become text: one row for all columns
+    ends = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))])
+    each = [F.struct(F.lit(c).alias("column_name"), F.col(f"lo{i}").cast("string").alias("min_value"),
+                     F.col(f"hi{i}").cast("string").alias("max_value")) for i, c in enumerate(names)]
+    return counts.join(ends.select(F.inline(F.array(*each))), "column_name")

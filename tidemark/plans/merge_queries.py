@@ -104,7 +104,7 @@ def merge_composite(t):
     old = t.lineitem.where("l_shipdate <= timestamp_ntz '1999-01-01 00:00:00'")
     new = t.lineitem.where("l_shipdate > timestamp_ntz '1998-01-01 00:00:00'")
     target = merge.last_wins(old, LINE_KEY, LINE_ORDER).withColumn("l_quantity", F.lit(0.0))
-    return merge.upsert(target, merge.last_wins(new, LINE_KEY, LINE_ORDER), LINE_KEY)
+    return merge.upsert(target, staged(merge.last_wins(new, LINE_KEY, LINE_ORDER)), LINE_KEY)
 
 
 @query("merge_keys_only", "select distinct c_nationkey, c_mktsegment from customer")
@@ -179,7 +179,7 @@ def completed_watermark(t):
 with {DONE_ORACLE}, mark as ({WATERMARK})
 select (select completed from mark) as completed, lo, hi from progress where not done""")
 def checkpoint_roundtrip(t):
-    progress = _with_progress(t)
+    progress = staged(_with_progress(t))  # a row per range
     completed = ranges.completed_watermark(progress).select("completed").scalar()
     saved = ranges.encode_checkpoint(progress.where(~F.col("done")), completed)
     return ranges.decode_checkpoint(saved, "timestamp_ntz")

@@ -232,8 +232,8 @@ def source_max_batch(t):
 
 
 @query("marker_candidates", " union all ".join(
-    f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct "
-    "from events_nm" for c in ("event_id", "ts", "user_id")))
+    f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct, "
+    f"cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value from events_nm" for c in ("event_id", "ts", "user_id")))
 def marker_candidates(t):
     return profile.candidate_profile(t.events_nm)
 
