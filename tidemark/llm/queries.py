@@ -95,7 +95,7 @@ def url_filters(read):
 
 @query("op3_substring_dedup")
 def substring_dedup(read):
-    d = substring.substring_dedup(read("documents"))
+    d = substring.substring_dedup(read("documents").select("doc_id", "text"))
     return d.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2("dedup.kept", 256).alias("kept_sha256"))
 
 

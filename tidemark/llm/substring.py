@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 from tidemark.session import staged
 
 from .fmindex import FMIndex
-from .words import Words, mix, run_hashes, text_blocks
+from .words import Words, blocks, mix, run_hashes, text_blocks
 
 WINDOW, NGRAM = 20, 5
 #: Segments that one task combines before they are shuffled, and segments of a shard.
-COMBINE, SHARD = 1 << 19, 20_000
+COMBINE, SHARD = 1 << 18, 20_000
 #: Least number of different segments of a key that is cut into windows.
 FREQUENT = 2000
 
 _U = np.uint64
-_VARIANT, _START = 47, 7  # a place: variant of the row, first word, number of words
+_VARIANT, _START = 47, 18  # a place: variant of the row, first word (29 bits), number of words
+_SIZE = (1 << _START) - 1
+_RUN = 4096  # spans joined at most
 _ENTRY = "key long, content long, doc long, place long, copy boolean"
 
 
@@ -72,6 +74,8 @@ def _segments(texts: pa.Array, variants: np.ndarray, frequent: np.ndarray, windo
     start = runs[head]
     content = run_hashes(h, start, start + size)
     row = w.row[start]
+    if np.diff(w.first).max(initial=0) >> _VARIANT - _START:
+        raise ValueError("a text has more words than a place can number")
     places = _place(variants[row], start - w.first[row], size)
     srow = w.row[single]
     own = run_hashes(h, single, single + window)
@@ -79,6 +83,21 @@ def _segments(texts: pa.Array, variants: np.ndarray, frequent: np.ndarray, windo
             np.concatenate([content, own]), np.concatenate([places, _place(variants[srow], single - w.first[srow], window)]))
 
 
+def _joined(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of words, those of one text that touch or overlap made one (as far as a place can hold it)."""
+    if not len(doc):
+        return doc, place
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    begin, size = place >> _START, place & _SIZE
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > (begin + size)[:-1])
+    head = np.flatnonzero(new)
+    head = np.concatenate([h + np.arange(0, n, _RUN) for h, n in zip(head, np.diff(np.append(head, len(doc))), strict=True)])
+    last = np.append(head[1:], len(doc)) - 1
+    return doc[head], place[head] >> _START << _START | (begin[last] + size[last] - begin[head])
+
+
 def _collected(window: int, ngram: int, frequent: list[int], counts_only: bool):
     """Entries of a task's rows, equal segments of a block behind the first one marked as copies; or the number of entries per key."""
     often = np.sort(np.array(frequent, dtype=np.int64).view(_U))
@@ -98,8 +117,11 @@ def _collected(window: int, ngram: int, frequent: list[int], counts_only: bool):
                 keys, n = np.unique(key[~copy], return_counts=True)
                 return pa.record_batch({"key": keys, "n": n.astype(np.int64)})
             lead = np.maximum.accumulate(np.where(copy, 0, np.arange(len(key))))
-            keep = ~copy | (doc != doc[lead]) | (place != place[lead])  # a repeated row is not a copy of itself
-            return pa.record_batch({"key": key[keep], "content": content[keep], "doc": doc[keep], "place": place[keep], "copy": pa.array(copy[keep])})
+            again = copy & ((doc != doc[lead]) | (place != place[lead]))  # a repeated row is not a copy of itself
+            d, p = _joined(doc[again], place[again])
+            k = mix(d.view(_U) + p.view(_U)).view(np.int64)  # copies are decided and go anywhere
+            key, content, doc, place = (np.concatenate([x[~copy], y]) for x, y in ((key, k), (content, k), (doc, d), (place, p)))
+            return pa.record_batch({"key": key, "content": content, "doc": doc, "place": place, "copy": np.arange(len(key)) >= len(key) - len(k)})
 
         for batch in batches:
             ids, variants, at = batch["id"].to_numpy(), batch["variant"].to_numpy(), 0
@@ -154,20 +176,23 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({n: np.concatenate([found[n], first[n]]) for n in names} | {"copy": pa.array(copy)})
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(doc_id: str, text: str):
     """``key, doc, place, words`` of the wanted segments of each text."""
-    for batch in batches:
-        keys, docs, places, texts = [], [], [], []
-        for doc, text, wanted in zip(batch["id"].to_pylist(), batch["text"], batch["wanted"].to_pylist(), strict=True):
-            words = text.as_buffer().to_pybytes().split()
-            for x in wanted:
-                start, size = x["place"] >> _START & (1 << _VARIANT - _START) - 1, x["place"] & (1 << _START) - 1
-                keys.append(x["key"])
-                docs.append(doc)
-                places.append(x["place"])
-                texts.append(b" ".join(words[start:start + size]))
-        yield pa.record_batch({"key": pa.array(keys, pa.int64()), "doc": pa.array(docs, pa.int64()), "place": pa.array(places, pa.int64()),
-                               "words": pa.array(texts, pa.binary()).cast(pa.string())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in blocks(whole, text)):
+            keys, docs, places, texts = [], [], [], []
+            for t, found in zip(batch[text], batch["__w"].to_pylist(), strict=True):
+                words = t.as_buffer().to_pybytes().split()
+                for x in found["wanted"]:
+                    start, size = x["place"] >> _START & (1 << _VARIANT - _START) - 1, x["place"] & _SIZE
+                    keys.append(x["key"])
+                    docs.append(found["d"])
+                    places.append(x["place"])
+                    texts.append(b" ".join(words[start:start + size]))
+            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "doc": pa.array(docs, pa.int64()), "place": pa.array(places, pa.int64()),
+                                   "words": pa.array(texts, pa.binary()).cast(pa.string())})
+
+    return run
 
 
 def _matched(window: int):
@@ -200,11 +225,19 @@ def _matched(window: int):
     return run
 
 
+def _usable(doc_id: str, text: str) -> Column:
+    return F.col(doc_id).isNotNull() & F.col(text).isNotNull()
+
+
+def _same_text(doc_id: str, text: str, doc: str, of: str) -> Column:
+    return (F.col(doc_id).cast("long") == F.col(doc)) & (variant(F.col(text)) == F.col(of))
+
+
 def repeated_places(docs: DataFrame, window: int = WINDOW, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, variant, spans``: for each text with repeated windows the runs of words they cover, ``array<struct<start,stop>>``."""
     spark = docs.sparkSession
-    texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    known = docs.where(_usable(doc_id, text))
+    texts = known.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = texts.withColumn("variant", variant(F.col("text")))
 
@@ -221,32 +254,39 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, ngram: int = NGRAM, d
     several = found.where("not copy")
     shards = max(1, -(-several.count() // SHARD))
     wanted = several.groupBy(F.col("doc").alias("d"), F.shiftright("place", _VARIANT).alias("v")).agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
-    wanted = texts.join(wanted, F.col("id") == F.col("d")).where(variant(F.col("text")) == F.col("v")).select("id", "text", "wanted")
-    segments = wanted.mapInArrow(_cut, "key long, doc long, place long, words string").repartition(shards, "key")
+    wanted = known.join(wanted.select(F.struct("*").alias("__w")), _same_text(doc_id, text, "__w.d", "__w.v"))
+    segments = wanted.mapInArrow(_cut(doc_id, text), "key long, doc long, place long, words string").repartition(shards, "key")
     matched = segments.mapInArrow(_matched(window), "doc long, place long")
     spans = found.where("copy").select("doc", "place").unionByName(matched)
     start = F.shiftright("place", _START).bitwiseAND(F.lit((1 << _VARIANT - _START) - 1))
-    span = F.struct(start.alias("start"), (start + F.col("place").bitwiseAND(F.lit((1 << _START) - 1))).alias("stop"))
+    span = F.struct(start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(_SIZE))).alias("stop"))
     return spans.groupBy("doc", F.shiftright("place", _VARIANT).alias("variant")).agg(F.collect_list(span).alias("spans"))
 
 
+def _left(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    total, removed, kept = [], [], []
+    for t, cuts in zip(texts, gone, strict=True):
+        words = t.as_buffer().to_pybytes().split() if t.is_valid else []
+        total.append(len(words))
+        if cuts.is_valid:
+            stay = np.ones(len(words), dtype=bool)
+            for a, b in zip(cuts.values.field("start").to_pylist(), cuts.values.field("stop").to_pylist(), strict=True):
+                stay[a:b] = False
+            words = [words[i] for i in np.flatnonzero(stay)]
+        removed.append(total[-1] - len(words))
+        kept.append(b" ".join(words))
+    return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                                      ["n_words", "n_removed", "kept"])
+
+
 def _without(text: Column, spans: Column) -> Column:
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, gone in batches:
-            total, removed, kept = [], [], []
-            for t, cuts in zip(texts, gone, strict=True):
-                words = t.as_buffer().to_pybytes().split() if t.is_valid else []
-                total.append(len(words))
-                if cuts.is_valid:
-                    stay = np.ones(len(words), dtype=bool)
-                    for a, b in zip(cuts.values.field("start").to_pylist(), cuts.values.field("stop").to_pylist(), strict=True):
-                        stay[a:b] = False
-                    words = [words[i] for i in np.flatnonzero(stay)]
-                removed.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                                             ["n_words", "n_removed", "kept"])
+            at = 0
+            for part in text_blocks(texts):  # the texts left are as large as the texts, so they go out in small pieces
+                yield _left(part, gone.slice(at, len(part)))
+                at += len(part)
 
     return run(text, spans)
 
@@ -259,8 +299,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, ngram: int = NGRAM, d
     no words. Rows without a doc_id are kept whole and nothing is earlier because of them. Equal rows are one text and
     all keep what it keeps; rows of one doc_id with other texts come in a fixed order of their texts. A column ``out`` of ``docs`` is replaced.
     """
+    # both joins with the texts ask for the same columns in the same order, so Spark shuffles the texts once
     p = repeated_places(docs, window, ngram, doc_id, text).select(F.struct("*").alias("__p"))
-    d = docs.join(p, (F.col(doc_id).cast("long") == F.col("__p.doc")) & (variant(F.col(text)) == F.col("__p.variant")), "left")
+    d = docs.where(_usable(doc_id, text)).join(p, _same_text(doc_id, text, "__p.doc", "__p.variant"), "left")
+    rest = docs.where(~_usable(doc_id, text)).withColumn("__p", F.lit(None).cast(p.schema["__p"].dataType))
     names = [c for c in docs.columns if c != out]
-    d = d.select(*(docs[c] for c in names), F.col("__p.spans").alias("__spans")).withColumn("__d", _without(F.col(text), F.col("__spans")))
+    d = d.unionByName(rest).select(*names, F.col("__p.spans").alias("__spans")).withColumn("__d", _without(F.col(text), F.col("__spans")))
     return d.select(*names, F.struct("__d.n_words", "__d.n_removed", F.col("__spans").alias("spans"), "__d.kept").alias(out))
