@@ -16,16 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Ids that are put in place together.
-PLACE_IDS = 1 << 20
+PLACE_IDS = 1 << 19
 
 _ROWS = pa.schema([("goes_to", pa.int64()), ("block", pa.int64()), ("is_text", pa.bool_()), ("body", pa.binary())])
 _ROWS_SQL = "goes_to long, block long, is_text boolean, body binary"
@@ -79,30 +79,45 @@ def _unpacked(body: pa.Buffer | bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(body).read_next_batch()
 
 
-def _pretokens(pattern: str, key: str, text: str, buckets: int):
-    """Rows of one block after another: its texts as codes, and its distinct words by bucket."""
+def _steps(codes: np.ndarray) -> pa.Array:
+    """Ascending codes as the differences between them, two bytes each if that is enough."""
+    step = np.diff(codes, prepend=0)
+    return pa.array(step.astype(np.uint16 if step.max(initial=0) < 1 << 16 else np.uint32))
+
+
+def _pretokens(pattern: str, key: str, text: str, buckets: int, texts: bool):
+    """Rows of one block after another: its texts as codes (``texts``), or its distinct words by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        task, blocks = TaskContext.get().partitionId(), 0
 
         def block() -> pa.RecordBatch:
-            nonlocal blocks
             flat = np.concatenate(held) if held else np.zeros(0, np.uint32)
             at = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
-            body = _packed(pa.record_batch({"key": pa.concat_arrays(keys), "codes": pa.LargeListArray.from_arrays(at, pa.array(flat, pa.uint32()))}))
-            words = np.array(list(codes), dtype=object)
-            # part of the block's name: rows of another attempt with other words never mix with these
-            mark = hashlib.blake2b(body + b"%d/%d" % (task, blocks), digest_size=8).digest()
-            name = int.from_bytes(mark, "little", signed=True)
-            blocks += 1
-            bucket = np.array([zlib.crc32(x.encode()) % buckets for x in words], dtype=np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(name, name, True, body)]
-            for b in range(buckets):
-                part = order[cut[b]:cut[b + 1]]
-                if len(part):
-                    rows.append((b, name, False, _packed(pa.record_batch({"code": pa.array(part, pa.uint32()), "word": pa.array(words[part], pa.large_string())}))))
+            # the more frequent a word, the smaller its code: most bytes but the lowest are then zero, and pack well
+            order = np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")
+            code = np.empty(len(order), dtype="<u4")
+            code[order] = np.arange(len(order))
+            flat, words = code[flat], np.array(list(codes), dtype=object)[order]
+            # the block's name: words never mix with texts that another attempt has cut otherwise; equal blocks share it
+            mark = hashlib.blake2b(flat.tobytes(), digest_size=8)
+            mark.update("\0".join(words).encode())
+            name = int.from_bytes(mark.digest(), "little", signed=True)
+            rows = []
+            if texts:
+                planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)
+                parts = {"keys": _packed(pa.record_batch({"key": pa.concat_arrays(keys)})), "at": at.tobytes()}
+                parts |= {f"byte{i}": x.tobytes() for i, x in enumerate(planes)}
+                rows.append((name, name, True, _packed(pa.record_batch({k: pa.array([x], pa.binary()) for k, x in parts.items()}))))
+            else:
+                bucket = np.array([zlib.crc32(x.encode()) % buckets for x in words], dtype=np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    part = order[cut[b]:cut[b + 1]]
+                    pack = pa.record_batch({"step": _steps(part), "word": pa.array(words[part], pa.large_string())})
+                    rows.append((b, name, False, _packed(pack)))
+            if not rows:
+                return pa.RecordBatch.from_pylist([], schema=_ROWS)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS, strict=True)], schema=_ROWS)
 
         held, keys, codes, size = [], [], _Codes(), 0
@@ -121,23 +136,20 @@ def _pretokens(pattern: str, key: str, text: str, buckets: int):
 
 
 def _encode_words(vocabulary: Vocabulary):
-    """Replaces the words of a bucket by their ids, each distinct word encoded once; texts pass."""
+    """Replaces the words of a bucket by their ids, each distinct word encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary.encoder()
         known: dict[str, list[int]] = {}
         for batch in batches:
             body = []
-            for is_text, b in zip(batch["is_text"].to_pylist(), batch["body"], strict=True):
-                if is_text:
-                    body.append(b.as_py())
-                    continue
+            for b in batch["body"]:
                 rows = _unpacked(b.as_buffer())
                 words = rows["word"].to_pylist()
                 for w in words:
                     if w not in known:
                         known[w] = encode(w)
                 ids = pa.array([known[w] for w in words], pa.list_(pa.int32()))
-                body.append(_packed(pa.record_batch({"code": rows["code"], "ids": ids})))
+                body.append(_packed(pa.record_batch({"step": rows["step"], "ids": ids})))
             yield pa.RecordBatch.from_arrays([batch["goes_to"], batch["block"], batch["is_text"], pa.array(body, pa.binary())], schema=_ROWS)
 
     return run
@@ -146,33 +158,35 @@ def _encode_words(vocabulary: Vocabulary):
 def _place(key: str, kind: pa.DataType):
     """Texts of each block as ids. A block's words come before its texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts = None, []
+        block, by_bucket = None, {}
         for batch in batches:
-            for name, is_text, b in zip(batch["block"].to_pylist(), batch["is_text"].to_pylist(), batch["body"], strict=True):
+            for to, name, is_text, b in zip(*(batch[c].to_pylist() for c in ("goes_to", "block", "is_text")), batch["body"], strict=True):
                 if name != block:
-                    block, parts = name, []
+                    block, by_bucket = name, {}
                 if not is_text:
-                    parts.append(_unpacked(b.as_buffer()))
+                    by_bucket[to] = _unpacked(b.as_buffer())
                     continue
+                parts = list(by_bucket.values())
                 rows = _unpacked(b.as_buffer())
-                code = np.concatenate([p["code"].to_numpy() for p in parts]) if parts else np.zeros(0, np.int64)
-                codes = rows["codes"].values.to_numpy()
+                code = np.concatenate([np.cumsum(p["step"].to_numpy(), dtype=np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
+                planes = [np.frombuffer(rows[f"byte{i}"][0].as_buffer(), dtype=np.uint8) for i in range(4)]
+                codes = np.stack(planes, axis=1).reshape(-1).view("<u4")
+                keys, at = _unpacked(rows["keys"][0].as_buffer())["key"], np.frombuffer(rows["at"][0].as_buffer(), dtype=np.int64)
                 if len(code) != (int(codes.max()) + 1 if len(codes) else 0):
                     raise ValueError("a block's words are not complete: its texts changed between attempts")
                 flat = np.concatenate([p["ids"].values.to_numpy() for p in parts]) if parts else np.zeros(0, np.int32)
                 size = np.concatenate([p["ids"].value_lengths().to_numpy() for p in parts]) if parts else np.zeros(0, np.int64)
                 first, length = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
                 first[code], length[code] = np.cumsum(size) - size, size
-                at = rows["codes"].offsets.to_numpy()
                 ends = np.concatenate([[0], np.cumsum(length[codes])])[at]
                 row = 0
-                while row < rows.num_rows:
+                while row < len(keys):
                     stop = max(row + 1, int(np.searchsorted(ends, ends[row] + PLACE_IDS, side="right")) - 1)
                     c = codes[at[row]:at[stop]]
                     n = length[c]
                     ids = flat[np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                     lists = pa.ListArray.from_arrays(pa.array(ends[row:stop + 1] - ends[row], pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([rows["key"].slice(row, stop - row).cast(kind), lists], [key, "ids"])
+                    yield pa.RecordBatch.from_arrays([keys.slice(row, stop - row).cast(kind), lists], [key, "ids"])
                     row = stop
 
     return run
@@ -188,9 +202,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(key, text)
     kind = pa_type(d.schema[key].dataType)
-    cut = d.mapInArrow(_pretokens(vocabulary.pattern, key, text, buckets), _ROWS_SQL)
-    words = cut.repartition(buckets, "goes_to").mapInArrow(_encode_words(vocabulary), _ROWS_SQL)
-    placed = words.repartition(buckets, "block").sortWithinPartitions("block", "is_text")
+    # in a fixed order, as the texts are cut once for their words and once for their codes
+    d = d.sortWithinPartitions(key, F.xxhash64(text))
+    words, texts = (d.mapInArrow(_pretokens(vocabulary.pattern, key, text, buckets, x), _ROWS_SQL) for x in (False, True))
+    ids = words.repartition(buckets, "goes_to").mapInArrow(_encode_words(vocabulary), _ROWS_SQL)
+    placed = ids.unionByName(texts).repartition(buckets, "block").sortWithinPartitions("block", "is_text")
     out = T.StructType([T.StructField(key, d.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     return placed.mapInArrow(_place(key, kind), out)
 
@@ -201,23 +217,31 @@ def pa_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    at = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
+    fine = (flat >= 0) & (flat < len(table))
+    tokens = table.take(pa.array(np.where(fine, flat, 0), pa.int64())) if len(table) else pa.nulls(len(flat), pa.large_binary())
+    fine &= tokens.is_valid().to_numpy(zero_copy_only=False)
+    bad = np.diff(np.concatenate([[0], np.cumsum(~fine)])[at - at[0]]) > 0
+    edge = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[at - at[0]] if len(flat) else np.zeros(len(at), np.int64)
+    body = tokens.buffers()[2] or pa.py_buffer(b"")
+    whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(edge.tobytes()), body])
+    missing = pa.array(bad | lists.is_null().to_numpy(zero_copy_only=False))
+    return pc.if_else(missing, pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+
+
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes of each list of ids, by a join with the token-byte table; null for null and for ids it doesn't have."""
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = vocabulary.token_bytes().cast(pa.large_binary())
         for lists in batches:
-            at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
-            fine = (flat >= 0) & (flat < len(table))
-            tokens = table.take(pa.array(np.where(fine, flat, 0), pa.int64())) if len(table) else pa.nulls(len(flat), pa.large_binary())
-            fine &= tokens.is_valid().to_numpy(zero_copy_only=False)
-            bad = np.diff(np.concatenate([[0], np.cumsum(~fine)])[at - at[0]]) > 0
-            edge = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[at - at[0]] if len(flat) else np.zeros(len(at), np.int64)
-            body = tokens.buffers()[2] or pa.py_buffer(b"")
-            whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(edge.tobytes()), body])
-            missing = pa.array(bad | lists.is_null().to_numpy(zero_copy_only=False))
-            yield pa.compute.if_else(missing, pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+            at, row = lists.offsets.to_numpy(), 0
+            while row < len(lists):  # a bounded number of ids, or one list
+                stop = max(row + 1, int(np.searchsorted(at, at[row] + PLACE_IDS, side="right")) - 1)
+                yield _joined(lists.slice(row, stop - row), table)
+                row = stop
 
     return run(ids)
 
