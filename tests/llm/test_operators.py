@@ -325,6 +325,22 @@ def test_jaccard_join_is_brute_force(llm, num, den, n):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(brute.shingles(t, n)) for i, t in rows}
 
 
+def test_one_large_group_of_near_copies(llm, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, rows, seen = [f"w{i}" for i in range(150)], [], []
+    for k in range(400):
+        words = list(base)
+        for i in rng.choice(150, rng.integers(0, 8), replace=False):
+            words[i] = f"x{rng.integers(0, 30)}" if rng.random() < .3 else f"y{k}-{i}"
+        rows.append((k, " ".join(words)))
+    real = jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = jaccard.jaccard_groups(llm.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute.components(rows, 90, 100, 3)
+    assert {r.doc_id: r.component_id for r in got} == want and 20 < len(set(want.values())) < 390
+    assert seen
+
+
 def test_jaccard_join_of_odd_rows(odd_docs):
     got = jaccard.jaccard_groups(odd_docs).collect()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
