@@ -10,8 +10,8 @@ Two sets link when the Jaccard similarity of their word shingles reaches ``num /
 * The boundary is the size from which enumerating costs more than the lists.
 
 A list is never expanded into pairs. Each member is compared with the head of its list; equal sets need no comparison.
-Lists whose members then lie in several components are taken up once more, and every pair across components
-that can still matter is compared, so no link that joins two components is lost.
+Members of lists that then lie in several components are listed once more, under their rarest shingles, and pairs across
+components that meet there are compared, so no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from .words import Words, mix, text_blocks
 SLACK = 2
 #: What an entry of an inverted list costs in entries of a subset list: it can lead to a comparison of texts.
 LIST_COST = 4
+#: Buckets of the table of shingle frequencies, a fixed size.
+RARITY = 1 << 18
 #: Signatures that one task combines before they are shuffled.
 COMBINE = 1 << 20
 
@@ -282,19 +284,82 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     links = staged(sure.unionByName(_verified(pairs.where("not equal").select("a", "b"), texts, t)))
     found = staged(components(links))
 
-    # lists of three members or more that are not in one component yet
+    # members of lists that hold three documents or more and do not lie in one component yet
     members = lists.select("sig", "doc").unionByName(lists.select("sig", F.col("head").alias("doc"))).distinct()
     members = members.join(found, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    sizes = members.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    open_ = top.where("comps > 1 and all > 2").select(F.col("sig").alias("open"), F.col("top.comp").alias("largest"))
-    members = staged(members.join(open_, F.col("sig") == F.col("open")).drop("open"))
-    minor = members.where("comp <> largest").select(F.col("sig").alias("s"), F.col("doc").alias("a"), F.col("comp").alias("comp_a"))
-    across = minor.join(members, (F.col("s") == F.col("sig")) & (F.col("comp_a") != F.col("comp")))
-    across = across.select(F.greatest("a", "doc").alias("a"), F.least("a", "doc").alias("b")).distinct()
-    across = across.join(pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    more = staged(_verified(across, texts, t))
-    return staged(components(links.unionByName(more))) if not more.isEmpty() else found
+    open_ = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_ = open_.where("n > 2 and low <> high").select(F.col("sig").alias("open"))
+    inside = staged(members.join(open_, F.col("sig") == F.col("open")).select("doc", "comp").distinct())
+    if inside.isEmpty():
+        return found
+    more = _across(inside, texts, pairs, t)
+    return staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+
+
+def _frequencies(words: int):
+    """How many shingles of a task fall into each of the fixed number of buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, dtype=np.int64)
+        for batch in batches:
+            for part in text_blocks(batch["text"]):
+                total += np.bincount((shingle_sets(part, words)[1] % _U(RARITY)).astype(np.int64), minlength=RARITY)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": at, "n": total[at]})
+
+    return run
+
+
+def _prefixes(t: Threshold, frequency: np.ndarray):
+    """The rarest shingles of each set, so many that two linking sets have one of them in common."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch["id"].to_numpy(), 0
+            for part in text_blocks(batch["text"]):
+                row, g = shingle_sets(part, t.words)
+                order = np.lexsort((g, frequency[(g % _U(RARITY)).astype(np.int64)], row))
+                row, g = row[order], g[order]
+                size = np.bincount(row, minlength=len(part))
+                least = -(-t.num * size // t.den)  # the smallest partner, and with it the smallest intersection
+                length = size + 1 + (-t.num * (size + least) // (t.num + t.den))
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                use = place < length[row]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=len(part)))])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(g[use].view(np.int64)))
+                yield pa.record_batch({"doc": ids[at:at + len(part)], "n": size, "prefix": lists})
+                at += len(part)
+
+    return run
+
+
+def _across(inside: DataFrame, texts: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """Links between components among the documents of ``inside`` (doc, comp).
+
+    Copies with many changes of their own share parts with others, but not their rarest shingles. So the documents are listed anew
+    under these alone, in an order by frequency that a table of fixed size makes the same everywhere. In such a list the members
+    outside its largest component are compared with members of other components, where the two sets first meet, if their sizes fit
+    and so much of both comes from that shingle on that the intersection can be large enough.
+    """
+    own = staged(texts.join(inside, F.col("id") == F.col("doc")).select("id", "text"))
+    frequency = np.zeros(RARITY, dtype=np.int64)
+    for r in own.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        frequency[r["bucket"]] = r["n"]
+    sets = own.mapInArrow(_prefixes(t, frequency), "doc long, n long, prefix array<long>")
+    sets = staged(sets.join(inside.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).drop("d").withColumn("set", F.monotonically_increasing_id()))
+    listed = sets.select("set", "comp", F.posexplode("prefix").alias("place", "sig"))
+    sizes = listed.groupBy("sig", "comp").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
+    top = top.where("comps > 1").select(F.col("sig").alias("open"), F.col("top.comp").alias("largest"))
+    listed = listed.join(top, F.col("sig") == F.col("open")).drop("open", "comp")
+    # in a list a set needs its rarer shingles, too: a pair meets where it first has one in common, and only there
+    listed = staged(listed.join(sets, "set").select(
+        "sig", "doc", "comp", "largest", "n", (F.col("n") - F.col("place")).alias("rest"), F.slice("prefix", F.lit(1), F.col("place")).alias("before")))
+    minor = listed.where("comp <> largest").select(F.col("sig").alias("s"), F.col("doc").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("comp", "n", "rest", "before")))
+    fits = ((F.col("s") == F.col("sig")) & (F.col("comp_a") != F.col("comp")) & (t.den * F.least("n", "n_a") >= t.num * F.greatest("n", "n_a"))
+            & ((t.num + t.den) * F.least("rest", "rest_a") >= t.num * (F.col("n") + F.col("n_a"))) & ~F.arrays_overlap("before", "before_a"))
+    across = minor.join(listed, fits).select(F.greatest("a", "doc").alias("a"), F.least("a", "doc").alias("b")).distinct()
+    known = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    across = staged(across.join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
+    return staged(_verified(across, own, t))
 
 
 def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
