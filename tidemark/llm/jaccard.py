@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import staged
+from tidemark.session import staged, written
 
 from .components import components
 from .words import Words, mix, text_blocks
@@ -37,6 +37,8 @@ SLACK = 2
 LIST_COST = 4
 #: Buckets of the table of shingle frequencies, a fixed size.
 RARITY = 1 << 18
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Signatures that one task combines before they are shuffled.
 COMBINE = 1 << 20
 
@@ -259,9 +261,36 @@ def linked(a: Column, b: Column, t: Threshold) -> Column:
     return run(a, b)
 
 
+def _sketch(text: Column, words: int) -> Column:
+    """Size of each set and, for SKETCH buckets of shingles, whether it holds an odd number of them: as bits of 64-bit numbers."""
+    @F.arrow_udf("struct<n:bigint,bits:array<bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in text_blocks(texts):
+                row, g = shingle_sets(part, words)
+                odd = np.bincount(row * SKETCH + (mix(g + _U(7)) % _U(SKETCH)).astype(np.int64), minlength=len(part) * SKETCH) & 1
+                bits = np.packbits(odd.astype(bool)).view(np.int64)
+                ends = pa.array(np.arange(len(part) + 1) * (SKETCH // 64), pa.int32())
+                n = np.bincount(row, minlength=len(part))
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bits))], ["n", "bits"])
+
+    return run(text)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``a, b`` that link. Texts travel to the pairs; both joins can be split where a document has many pairs."""
-    one = pairs.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("left"))
+    """The pairs ``a, b`` that link.
+
+    Two sets differ in no fewer shingles than their sketches in bits, so most other pairs are ruled out by size and sketch, without loss.
+    The texts travel to the rest. All joins can be split where a document has many pairs.
+    """
+    marks = texts.select(F.col("id").alias("m"), _sketch(F.col("text"), t.words).alias("s"))
+    near = pairs.join(marks, F.col("a") == F.col("m")).select("a", "b", F.col("s").alias("s_a"))
+    near = near.join(marks, F.col("b") == F.col("m"))
+    n, m = F.col("s_a.n"), F.col("s.n")
+    differ = F.aggregate(F.zip_with("s_a.bits", "s.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = near.where((t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & ((t.num + t.den) * differ <= (t.den - t.num) * (n + m)))
+    near = staged(near.select("a", "b").distinct())
+    one = near.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("left"))
     both = one.join(texts, F.col("b") == F.col("id")).select("a", "b", "left", F.col("text").alias("right"))
     return both.where(linked(F.col("left"), F.col("right"), t)).select("a", "b")
 
@@ -278,7 +307,12 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = texts.mapInArrow(_entries(t, limit, "id", "text"), _LIST)
     lists = entries.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(_heads, _LIST)
-    lists = staged(lists)
+    with written(lists) as links_by_list:
+        return _joined_up(links_by_list, texts, t)
+
+
+def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
+    """Components from the links ``sig, doc, head`` that may hold; all that is returned has been computed."""
     pairs = staged(lists.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.max(F.col("sig") % 2 != 0).alias("equal")))
     sure = pairs.where("equal").select("a", "b")
     links = staged(sure.unionByName(_verified(pairs.where("not equal").select("a", "b"), texts, t)))
