@@ -68,6 +68,20 @@ def test_many_windows_select_the_same_rows_as_a_scan(spark):
     assert ranges.read_windows(df, "m", []).count() == 0
 
 
+def test_open_windows_keep_the_rows_of_all_bins(spark):
+    """Touching windows with an open end, text with a common prefix and fractions, against a plain OR."""
+    longs = spark.range(100).withColumnRenamed("id", "m")
+    text = longs.select(F.concat(F.lit("invoice-"), F.lpad("m", 3, "0")).alias("m"))
+    cases = [(longs, [(None, 5), (5, None)]), (longs, [(None, 5), (5, 5 + 1), (6, None)]), (longs, [(None, None)]),
+             (longs.select((F.col("m") / 200).alias("m")), [(None, 0.1), (0.2, 0.25), (0.25, None)]),
+             (text, [(None, "invoice-005"), ("invoice-010", "invoice-020"), ("invoice-020", None)])]
+    for df, windows in cases:
+        want = [r["m"] for r in df.collect() if any((lo is None or r["m"] > lo) and (hi is None or r["m"] <= hi)
+                                                    for lo, hi in windows)]
+        assert sorted(r["m"] for r in ranges.read_windows(df, "m", windows).collect()) == sorted(want)
+    assert ranges.resume_rows(longs, "m", [(None, 5)], 5).count() == 100
+
+
 def test_range_number(spark):
     df = spark.range(100).withColumnRenamed("id", "m").union(spark.sql("select cast(null as bigint)"))
     cuts = [3, 10, 11, 50, 98]

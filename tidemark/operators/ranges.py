@@ -110,10 +110,12 @@ def read_windows(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]])
     reach = table.agg(F.min(F.least(first, last)).alias("a"), F.max(F.greatest(first, last)).alias("b")).first()
     start, width = (reach["a"] or 0.0), max((reach["b"] or 0.0) - (reach["a"] or 0.0), 1.0) / n
 
-    def bin_of(place: Column) -> Column:
-        return F.least(F.greatest(F.floor((place - start) / width), F.lit(0)), F.lit(n - 1))
+    def bin_of(place: Column, open_end: int | None = None) -> Column:
+        # greatest() and least() skip NULL, so an open end is told apart before them
+        inside = F.least(F.greatest(F.floor((place - start) / width), F.lit(0)), F.lit(n - 1))
+        return F.when(place.isNull(), F.lit(open_end).cast("bigint")).otherwise(inside)
 
-    spans = table.select("lo", "hi", F.explode(F.sequence(F.coalesce(bin_of(first), F.lit(0)), F.coalesce(bin_of(last), F.lit(n - 1)))).alias("bin"))
+    spans = table.select("lo", "hi", F.explode(F.sequence(bin_of(first, 0), bin_of(last, n - 1))).alias("bin"))
     spans = spans.select(F.struct("*").alias("_w"))
     w, m = F.col("_w"), F.col(marker)
     inside = ((bin_of(predicates.position(m, kind)) == w["bin"]) & (w["lo"].isNull() | (m > w["lo"])) & (w["hi"].isNull() | (m <= w["hi"])))
