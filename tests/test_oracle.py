@@ -35,3 +35,8 @@ def test_results_do_not_depend_on_the_session_zone(spark, duck, name):
         test_query_matches_oracle(spark, duck, name)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("name", ["many_windows", "resume_rows", "gap_replay"])
+def test_windows_do_not_depend_on_the_session_zone(spark, duck, name):
+    test_results_do_not_depend_on_the_session_zone(spark, duck, name)

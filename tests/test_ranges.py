@@ -1,8 +1,9 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import rows, ts
 from tidemark.functions import predicates
 from tidemark.operators import ranges
 
@@ -82,6 +83,30 @@ def test_open_windows_keep_the_rows_of_all_bins(spark):
     assert ranges.resume_rows(longs, "m", [(None, 5)], 5).count() == 100
 
 
+def test_windows_of_wall_clock_times_ignore_the_session_zone(spark, tables):
+    """Windows of minutes around the changes of New York's clocks, and over the events."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for day in ("2024-03-09 18:00:00", "2024-11-02 18:00:00"):
+            start = ts(day)
+            df = spark.range(24 * 60).select(
+                (F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("m"))
+            places = [r[0] for r in df.orderBy("m").select(predicates.position(F.col("m"), df.schema["m"].dataType)).collect()]
+            assert all(b - a == 60e6 for a, b in zip(places, places[1:]))
+            windows = [(start + dt.timedelta(minutes=i), start + dt.timedelta(minutes=i + 10)) for i in range(0, 24 * 60, 15)]
+            want = [r["m"] for r in df.collect() if any(lo < r["m"] <= hi for lo, hi in windows)]
+            assert sorted(r["m"] for r in ranges.read_windows(df, "m", windows).collect()) == want
+        low, high = tables.events.agg(F.min("ts"), F.max("ts")).first()
+        windows, lo = [], low
+        while lo < high:
+            windows.append((lo, lo + dt.timedelta(minutes=20)))
+            lo += dt.timedelta(minutes=30)
+        want = [t for t, in rows(tables.events, "ts") if any(lo < t <= hi for lo, hi in windows)]
+        assert [t for t, in rows(ranges.read_windows(tables.events, "ts", windows), "ts")] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_range_number(spark):
     df = spark.range(100).withColumnRenamed("id", "m").union(spark.sql("select cast(null as bigint)"))
     cuts = [3, 10, 11, 50, 98]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 import operator
 import re
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.timing import ntz
+
 
 @dataclass(frozen=True)
 class Stored:
@@ -39,6 +42,8 @@ def typed(df: DataFrame, marker: str, value: Any) -> Column:
         if isinstance(kind, T.TimestampType) and re.fullmatch(r"-?\d+", value.text):
             return F.timestamp_micros(F.lit(int(value.text)))
         return F.lit(value.text).cast(kind)
+    if isinstance(kind, T.TimestampNTZType) and isinstance(value, dt.datetime) and value.tzinfo is None:
+        return ntz(value)  # lit() would make it an instant of the driver's zone
     return F.lit(value).cast(kind)
 
 
@@ -85,7 +90,9 @@ def position(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("double")
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.to_utc_timestamp(value.cast("timestamp"), F.current_timezone())).cast("double")
+        # from the wall clock alone: a zone would move the hours around its changes
+        clock = (F.hour(value) * 3600 + F.minute(value) * 60) * 1e6 + F.extract(F.lit("SECOND"), value).cast("double") * 1e6
+        return F.unix_date(value.cast("date")) * 86400e6 + clock
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(value).cast("double")
     return value.cast("double")
