@@ -68,6 +68,12 @@ def clean_insert(t):
     return merge.replace(t.orders_tgt, t.orders_src)
 
 
+@query("clean_insert_whole", f"select o_orderkey, {', '.join(COLS)}, cast(null as varchar) as tgt_only from orders")
+def clean_insert_whole(t):
+    """A full load: all orders replace the stale target."""
+    return merge.replace(t.orders_tgt, t.orders)
+
+
 @query("merge_counts", """
 with j as (select t.o_orderkey as tk, s.o_custkey is not distinct from t.o_custkey
                   and s.o_orderstatus is not distinct from t.o_orderstatus

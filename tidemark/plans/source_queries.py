@@ -68,14 +68,26 @@ def range_read(t):
     return t.events.select("event_id", predicates.range_number(t.events, "ts", CUTS).alias("range_no"))
 
 
+def _numbered(orders):
+    rows = orders.select("o_orderkey", "o_orderdate")
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint")
+    return scan.ordered_within(rows.withColumn("month_no", month), F.col("month_no"), ["o_orderdate", "o_orderkey"])
+
+
 @query("ordered_scan", """
 select o_orderkey, o_orderdate, year(o_orderdate) * 100 + month(o_orderdate) as month_no,
        row_number() over (partition by year(o_orderdate) * 100 + month(o_orderdate) order by o_orderdate, o_orderkey) as row_no
 from orders where o_orderdate > timestamp '1999-01-01 00:00:00'""")
 def ordered_scan(t):
-    rows = t.orders.where(predicates.after(t.orders, "o_orderdate", "1999-01-01")).select("o_orderkey", "o_orderdate")
-    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint")
-    return scan.ordered_within(rows.withColumn("month_no", month), F.col("month_no"), ["o_orderdate", "o_orderkey"])
+    return _numbered(t.orders.where(predicates.after(t.orders, "o_orderdate", "1999-01-01")))
+
+
+@query("ordered_scan_whole", """
+select o_orderkey, o_orderdate, year(o_orderdate) * 100 + month(o_orderdate) as month_no,
+       row_number() over (partition by year(o_orderdate) * 100 + month(o_orderdate) order by o_orderdate, o_orderkey) as row_no
+from orders""")
+def ordered_scan_whole(t):
+    return _numbered(t.orders)
 
 
 @query("clob_cap", """
@@ -280,3 +292,9 @@ def reject_rows(t):
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders_src""")
 def column_intersect(t):
     return mapping.known_columns(t.orders_src.withColumn("not_in_target", F.lit(1)), t.orders_tgt.schema)
+
+
+@query("column_intersect_whole", """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders""")
+def column_intersect_whole(t):
+    return mapping.known_columns(t.orders.withColumn("not_in_target", F.lit(1)), t.orders_tgt.schema)
