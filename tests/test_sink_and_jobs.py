@@ -406,3 +406,26 @@ def test_binary_texts_and_fractions_are_coerced_or_rejected(spark, where):
     result = job.run_sync(source, table, SyncSpec("task", keys=("k",)), StateTable(spark, where("s")), NOW)
     assert (result.read, result.rejected) == (3, 2)
     assert [(r.k, r.b and bytes(r.b), r.n) for r in table.read().orderBy("k").collect()] == [(1, b"hello", 12), (2, b"hello", None), (3, None, 3)]
+
+
+def test_markers_of_many_tasks_move_forward_at_once(spark, tmp_path):
+    states = StateTable(spark, str(tmp_path / "state"))
+    states.save("open", "2024-01-01 00:00:00", "paused", "2024-01-01 00:00:00", [("2024-01-02 00:00:00", None)], "2024-01-02 00:00:00")
+    for a, b in (("2024-01-05 00:00:00", "2024-01-09 00:00:00.000001"), ("2024-01-07 00:00:00", "2024-01-08 00:00:00")):
+        reached = spark.createDataFrame([("a", a), ("b", b), ("open", b)], "task_id string, m string").select(
+            "task_id", F.col("m").cast("timestamp_ntz").alias("last_marker"))
+        states.advance(reached, "2024-01-10 00:00:00")
+    got = {name: states.latest(name).last_marker for name in ("a", "b", "open")}
+    assert got == {"a": "2024-01-07 00:00:00", "b": "2024-01-09 00:00:00.000001", "open": "2024-01-01 00:00:00"}
+    assert states.latest("b").seq == 1 and states.latest("open").resuming
+
+
+@pytest.mark.parametrize("name, n", [("sync_incremental", 1), ("sync_full", 1), ("pause_vs_stop", 2), ("marker_advance", 0)])
+def test_queries_of_jobs_go_through_the_job(spark, tables, monkeypatch, name, n):
+    from tidemark.plans import job, registry
+    runs, advances = [], []
+    run, advance = job.run_sync, getattr(StateTable, "advance", None)
+    monkeypatch.setattr(job, "run_sync", lambda *a, **b: runs.append(run(*a, **b)) or runs[-1])
+    monkeypatch.setattr(StateTable, "advance", lambda *a: advances.append(a) or advance(*a), raising=False)
+    registry.QUERIES[name](tables)
+    assert len(runs) == n and bool(advances) == (name == "marker_advance")

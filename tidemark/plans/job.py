@@ -22,16 +22,11 @@ from tidemark.operators.mapping import apply_mapping, known_columns
 from tidemark.operators.runlog import close_resumed, latest_running
 from tidemark.operators.sizing import BROADCAST_LIMIT_BYTES, row_bytes
 from tidemark.plans.state import BACKFILL, RUN_LOG_SCHEMA, StateTable
-from tidemark.session import staged, written
+from tidemark.session import written
 from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import MappedField, RunStatus, SyncMode, SyncSpec
 
 
-def select_source(source: DataFrame, spec: SyncSpec, last_value: Any = None) -> DataFrame:
-    """Rows a run reads: beyond the stored marker and under the user's filter."""
-    return source.where(predicates.incremental(source, spec.marker, last_value, spec.where))
-
-
 def shape(rows: DataFrame, spec: SyncSpec, target: T.StructType) -> DataFrame:
     """Rows in the target's names and types, plus ``_bad`` (a value does not convert or a key is NULL) and, for
     ordering, ``_marker``, which need not be a target column."""
@@ -63,21 +58,6 @@ def deduplicate(shaped: DataFrame, spec: SyncSpec) -> DataFrame:
     return merge.last_wins(alone, [*spec.keys, "_alone"], order).drop("_alone", "_marker")
 
 
-def incremental_result(target: DataFrame, source: DataFrame, spec: SyncSpec, last_value: Any = None,
-                       small: bool | None = None) -> DataFrame:
-    """Target after an incremental run. The de-duplicated increment is checkpointed, because measuring and merging it use
-    it several times."""
-    shaped = shape(select_source(source, spec, last_value), spec, target.schema)
-    rows = staged(good(deduplicate(shaped, spec)))
-    return merge.apply_mode(target, rows, spec.keys, spec.mode, spec.no_update, small=small, unique=True)
-
-
-def full_result(source: DataFrame, spec: SyncSpec, target: T.StructType | None = None) -> DataFrame:
-    """Target after a full run: the mapped, coerced and de-duplicated source."""
-    schema = target or apply_mapping(source, spec.mapping).schema
-    return good(deduplicate(shape(select_source(source, spec), spec, schema), spec))
-
-
 @dataclass
 class RunResult:
     status: str

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import merge, ranges
+from tidemark.functions.timing import ntz
+from tidemark.operators import mapping, merge, ranges
 from tidemark.plans import job, state
-from tidemark.plans.fixtures import SAVED_COMPLETED, SAVED_GAPS
+from tidemark.plans.fixtures import NOW, SAVED_COMPLETED, SAVED_GAPS
 from tidemark.plans.registry import query
 from tidemark.plans.state import StateTable
 from tidemark.session import scratch_path, staged
@@ -223,8 +224,17 @@ def gap_replay(t):
 select 'pause' as action, count(*) as n_rows from events where {IN_GAPS} or event_id > {SAVED_COMPLETED}
 union all select 'stop', count(*) from events""")
 def pause_vs_stop(t):
-    again = {"pause": ranges.resume_rows(t.events, "event_id", SAVED_GAPS, SAVED_COMPLETED), "stop": t.events}
-    parts = [df.agg(F.lit(a).alias("action"), F.count(F.lit(1)).alias("n_rows")) for a, df in again.items()]
+    """What the run after a pause and after a stop reads, by running it from the saved state."""
+    parts = []
+    for action in ("pause", "stop"):
+        spec = SyncSpec(action, keys=("event_id",), marker="event_id")
+        table, state_table = _stored(t, f"after-{action}", t.events, ["event_id"])
+        gaps = [(str(lo), str(hi)) for lo, hi in SAVED_GAPS]
+        state_table.save(spec.task_id, NOW, "paused", None, gaps, str(SAVED_COMPLETED), backfilled=True)
+        if action == "stop":
+            state_table.stop(spec.task_id, NOW)
+        job.run_sync(t.events, table, spec, state_table)
+        parts.append(table.read().agg(F.lit(action).alias("action"), F.count(F.lit(1)).alias("n_rows")))
     return parts[0].unionByName(parts[1])
 
 
@@ -250,7 +260,12 @@ ORDERS = SyncSpec("orders", keys=("o_orderkey",), marker="o_orderdate")
 with increment as (select * from orders where o_orderdate > timestamp '1999-06-01 00:00:00')
 {_upsert_oracle('increment')}""")
 def sync_incremental(t):
-    return job.incremental_result(t.orders_tgt, t.orders, ORDERS, "1999-06-01")
+    """The stale target as a table, and a task whose earlier run stored the marker."""
+    table, state_table = _stored(t, "sync-incremental", t.orders_tgt, KEY)
+    table.write(t.orders_tgt)
+    state_table.save(ORDERS.task_id, NOW, "stopped", "1999-06-01", backfilled=True)
+    job.run_sync(t.orders, table, ORDERS, state_table)
+    return table.read()
 
 
 @query("sync_full", f"""
@@ -263,7 +278,9 @@ def sync_full(t):
     spec = SyncSpec("lines", keys=("ORDER_ID", "LINE_NO"), mode=SyncMode.CLEAN_INSERT,
                     mapping=tuple(MappedField(s, g) for s, g in names.items()),
                     order=("SHIPPED_AT", "PART_ID", "SUPPLIER_ID"))
-    return job.full_result(t.lineitem, spec)
+    table, state_table = _stored(t, "sync-full", mapping.apply_mapping(t.lineitem, spec.mapping), list(spec.keys))
+    job.run_sync(t.lineitem, table, spec, state_table)
+    return table.read()
 
 
 def _stored(t, name, source, keys, buckets=8):
@@ -302,7 +319,12 @@ def run_resumed(t):
 @query("marker_advance", """
 select task_id, max(end_time) as last_marker from run_log where status = 2 group by task_id""")
 def marker_advance(t):
-    return state.advance(t.run_log)
+    """The markers of all tasks are stored after the runs up to noon of the day, and moved on after the others."""
+    _, state_table = _stored(t, "marker-advance", t.run_log, ["id"])
+    for log in (t.run_log.where(F.col("end_time") <= ntz(NOW)), t.run_log):
+        state_table.advance(state.advance(log.withColumn("task_id", F.col("task_id").cast("string"))), NOW)
+    return state_table.newest().select(F.col("task_id").cast("bigint").alias("task_id"),
+                                       F.col("last_marker").cast("timestamp_ntz").alias("last_marker"))
 
 
 @query("marker_replay", """

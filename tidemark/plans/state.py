@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import predicates
 from tidemark.operators.ranges import encode_checkpoint
 
 STATE_SCHEMA = ("task_id string, seq bigint, run_status string, last_marker string, part bigint, checkpoint string, "
@@ -96,6 +97,26 @@ class StateTable:
                      F.lit(backfilled).alias("backfilled")).coalesce(1).write.mode("append").parquet(self.path)
         return seq
 
+    def newest(self) -> DataFrame:
+        """The state of every task as one row; ``checkpoint`` is NULL if no window is open."""
+        state = F.max(F.struct("seq", "run_status", "last_marker", "checkpoint", "backfilled")).alias("s")
+        return self.rows().groupBy("task_id").agg(state).select("task_id", "s.*")
+
+    def advance(self, reached: DataFrame, now: Any) -> None:
+        """Move the stored markers of all tasks of ``reached`` (task_id, last_marker) forward, as one append. A task with open
+        windows keeps its marker, and no marker goes back."""
+        kind = predicates.marker_type(reached, "last_marker")
+        old, new = self.newest().alias("o"), reached.where(F.col("last_marker").isNotNull()).alias("n")
+        text, micros = F.col("o.last_marker"), isinstance(kind, T.TimestampType)
+        stored = F.timestamp_micros(text.cast("bigint")) if micros else text.cast(kind)
+        ahead = F.col("o.checkpoint").isNull() & (stored.isNull() | (F.col("n.last_marker") > stored))
+        moved = new.join(old, "task_id", "left").where(ahead).select(
+            "task_id", (F.coalesce("o.seq", F.lit(0)) + 1).cast("bigint").alias("seq"), F.lit("stopped").alias("run_status"),
+            predicates.stored_text(F.col("n.last_marker"), kind).alias("last_marker"), F.lit(0).cast("bigint").alias("part"),
+            F.lit(None).cast("string").alias("checkpoint"), F.lit(now).cast("timestamp_ntz").alias("updated_at"),
+            F.coalesce("o.backfilled", F.lit(False)).alias("backfilled"))
+        moved.write.mode("append").parquet(self.path)
+
     def stop(self, task_id: str, now: Any) -> None:
         """Stopping gives up the checkpoint; pausing just leaves it."""
         saved = self.latest(task_id)
