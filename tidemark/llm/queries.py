@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
 
-from . import bpe, chat, jaccard, langid, mixing, quality, shards, substring, topk, urlfilter
+from . import alignment, bpe, chat, jaccard, langid, mixing, periodic, quality, secretscan, shards, substring, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -201,3 +202,64 @@ def exact_top_k(read):
 def quality_rules(read):
     return quality.quality_rules(read("documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(read, byte_level: str | None = None, pieces: str | None = None):
+    import public_tokenizers
+
+    docs = read("documents")
+    pair = alignment.Tokenizers(docs.sparkSession, byte_level or public_tokenizers.path("byte_bpe_50k.json"),
+                                pieces or public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.digests(docs, pair).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _repeating(text: Column, h: Column) -> Column:
+    """Words from a on repeat the first p of them: a = g % n, p = 1 + (n - a) // (3 + g % 8), g = h // 10."""
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, marks in batches:
+            for i in range(len(texts)):
+                words = texts[i].as_buffer().to_pybytes().split() if texts[i].is_valid else []
+                if words:
+                    n, g = len(words), marks[i].as_py() // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    words[a:] = (words[a:a + p] * -(-(n - a) // p))[:n - a]
+                yield pa.array([b" ".join(words)], pa.binary()).cast(pa.string())
+
+    return run(text, h)
+
+
+@query("op12_periodic_runs")
+def periodic_runs(read):
+    d = read("documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    # rows that no rule changes pass by
+    d = d.where("h % 10 = 0").withColumn("text", _repeating(F.col("text"), F.col("h"))).unionByName(d.where("h is null or h % 10 <> 0"))
+    d = periodic.periodic_runs(d)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("first"), (-r["period"]).alias("short")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.array_max(ranked).alias("top"),
+                 F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return d.select("doc_id", "n_runs", (-F.col("top.first")).alias("start"), "top.length", (-F.col("top.short")).alias("period"),
+                    F.expr("(1000 * top.length) div -top.short").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_secret_scan")
+def secret_scan(read, ranks: str | None = None, pattern: str | None = None):
+    import public_tokenizers
+
+    docs = read("documents")
+    vocabulary = bpe.Vocabulary(docs.sparkSession, ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    d = secretscan.scan_secrets(docs, vocabulary)
+
+    def joined(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    kinds = [name for name, *_ in secretscan.BASE]
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    base = of(*kinds)
+    return d.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
