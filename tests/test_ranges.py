@@ -54,7 +54,7 @@ def test_ranges_against_a_running_count(spark):
 
 
 def test_many_windows_select_the_same_rows_as_a_scan(spark):
-    """Beyond the pushed OR the decision tree is used; both must agree with brute force, ends and NULLs included."""
+    """Beyond the pushed OR rows and windows are merged; both must agree with brute force, ends and NULLs included."""
     rng = random.Random(3)
     df = spark.range(2000).select(F.when(F.col("id") % 50 == 0, None).otherwise(F.col("id")).alias("m"))
     for n in (1, 2, 5, 16, 17, 40, 100):
@@ -155,3 +155,44 @@ def test_markers_are_compared_in_their_own_type(spark):
     micro = spark.sql("select timestamp_ntz '2024-01-01 00:00:00.500001' as m")
     assert micro.where(predicates.up_to(micro, "m", "2024-01-01 00:00:00.5")).count() == 0
     assert micro.where(predicates.after(micro, "M", "2024-01-01 00:00:00.5")).count() == 1
+
+
+def test_each_row_meets_its_window_in_a_merge(spark):
+    """Windows as a table with columns of their own, one far away, a hot marker, NULL markers, clashing names; any number of slices."""
+    rng = random.Random(5)
+    values = [None] * 40 + [500] * 700 + [rng.randrange(2000) for _ in range(1000)] + [10 ** 12]
+    df = spark.createDataFrame([(v, i, "x") for i, v in enumerate(values)], "m bigint, w int, window string").repartition(5)
+    cuts = sorted(rng.sample(range(2000), 300))
+    table = [(lo, hi, n) for n, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if n % 3] + [(10 ** 12 - 1, None, 900), (None, cuts[0], 901)]
+    table += [(cuts[3], cuts[3], 902)]  # holds nothing
+    windows = spark.createDataFrame(table, "lo bigint, hi bigint, name int")
+    want = sorted((i, next((n for lo, hi, n in table if (lo is None or v > lo) and (hi is None or v <= hi)), -1) if v is not None else -1)
+                  for i, v in enumerate(values))
+    for parts in (1, 2, 7, 64):
+        got = ranges.window_of(df, "m", windows, "window", parts)
+        assert got.columns == ["m", "w", "window"]
+        assert sorted((r["w"], -1 if r["window"] is None else r["window"]["name"]) for r in got.collect()) == want
+    assert ranges.window_of(df, "m", windows.where("false")).where("window is null").count() == len(values)
+    assert ranges.window_of(df.where("false"), "m", windows).count() == 0
+    # the hot marker is dealt into piles: no slice holds it whole
+    assert len([c for c in ranges.quantile_cuts(df, "m", 64) if c == 500]) > 20
+
+
+def test_merge_plan_has_no_join_and_no_limit_of_windows(spark):
+    df, windows = spark.range(10).withColumnRenamed("id", "m"), spark.createDataFrame([(1, 4)], "lo bigint, hi bigint")
+    text = ranges.window_of(df, "m", windows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "CartesianProduct" not in text
+    assert [r["m"] for r in ranges.read_windows(df, "m", windows).orderBy("m").collect()] == [2, 3, 4]
+
+
+def test_sketched_ranges_partition_the_rows(spark, tables):
+    for df, marker, parts in ((tables.lineitem, "l_shipdate", 20), (tables.events, "event_id", 1), (tables.documents, "text", 7),
+                              (tables.events.where("false"), "ts", 5), (tables.events.select((F.col("value") / 7).alias("v")), "v", 50)):
+        planned = ranges.sketch_ranges(df, marker, parts)
+        got = sorted(planned.collect(), key=lambda r: r["batch_no"])
+        total = df.where(F.col(marker).isNotNull()).count()
+        assert [r["batch_no"] for r in got] == list(range(len(got))) and sum(r["n_rows"] for r in got) == total and len(got) <= parts
+        assert all(a["hi"] == b["lo"] for a, b in zip(got, got[1:])) and all(r["lo"] is None for r in got[:1])
+        again = {r["batch_no"]: r["n"] for r in ranges.window_of(df, marker, spark.createDataFrame(got, planned.schema)).where("window is not null")
+                 .groupBy("window.batch_no").agg(F.count(F.lit(1)).alias("n")).collect()} if total else {}
+        assert again == {r["batch_no"]: r["n_rows"] for r in got}

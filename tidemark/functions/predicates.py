@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.timing import ntz
+from tidemark.functions.timing import epoch_micros, ntz
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,7 @@ def position(value: Column, kind: T.DataType) -> Column:
         return F.unix_date(value).cast("double")
     if isinstance(kind, T.TimestampNTZType):
         # from the wall clock alone: a zone would move the hours around its changes
-        clock = (F.hour(value) * 3600 + F.minute(value) * 60) * 1e6 + F.extract(F.lit("SECOND"), value).cast("double") * 1e6
-        return F.unix_date(value.cast("date")) * 86400e6 + clock
+        return epoch_micros(value).cast("double")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(value).cast("double")
     return value.cast("double")
@@ -107,13 +106,27 @@ def envelopes(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]], gr
     return functools.reduce(operator.or_, parts)
 
 
+def search(value: Column, cuts: Sequence[Column], beyond: bool = False) -> Column:
+    """How many of the ascending ``cuts`` lie below ``value``; ``beyond`` also counts those equal to it.
+
+    A binary search whose steps are a lambda over a constant array, so the plan is not nested by the number of cuts, and ``value`` is
+    computed once. There is at least one cut.
+    """
+    table, n = F.array(*cuts), len(cuts)
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+
+    def place(v: Column) -> Column:
+        def step(at: Column, by: Column) -> Column:
+            cut = F.get(table, at + by - 1)  # NULL past the last one
+            return F.when((cut <= v) if beyond else (cut < v), at + by).otherwise(at)
+
+        return F.reduce(steps, F.lit(0), step)
+
+    return F.transform(F.array(value), place)[0]
+
+
 def range_number(df: DataFrame, marker: str, cuts: Sequence[Any]) -> Column:
     """Number of the range holding ``marker``: 0 up to and including ``cuts[0]``, then 1, ...; NULL marker, NULL number."""
-    def search(first, part):
-        if not part:
-            return F.lit(first)
-        mid = len(part) // 2
-        return F.when(up_to(df, marker, part[mid]), search(first, part[:mid])) \
-                .otherwise(search(first + mid + 1, part[mid + 1:]))
-
-    return F.when(F.col(marker).isNotNull(), search(0, list(cuts)))
+    if not cuts:
+        return F.when(F.col(marker).isNotNull(), F.lit(0))
+    return F.when(F.col(marker).isNotNull(), search(F.col(marker), [typed(df, marker, c) for c in cuts]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from typing import Any
 
@@ -15,6 +16,12 @@ from tidemark.session import staged
 # Ranges per encoded checkpoint row; a long list is spread over several rows, so no row grows without bound.
 RANGES_PER_CHECKPOINT = 1000
 
+# Up to so many windows of a list are predicates of the scan.
+PUSHED_WINDOWS = 16
+
+# The largest size of a KLL sketch; its cuts are then exact to a ten-thousandth of the rows.
+MAX_SKETCH = 65535
+
 CHECKPOINT_TYPE = "struct<c:string,g:array<array<string>>>"
 
 
@@ -95,31 +102,109 @@ def resume_windows(gaps: Sequence[tuple[Any, Any]], completed: Any, snapshot_end
     return merged
 
 
-def read_windows(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]]) -> DataFrame:
-    """Rows whose marker lies in one of the disjoint, ascending ``(lo, hi]`` windows; ``None`` is an open end.
+def sketch_error(size: int) -> float:
+    """Largest error of a rank in a sketch of this size, as a share of the rows (the published bound at 99 %)."""
+    return 2.296 / size ** 0.9021
+
+
+def sketch_size(parts: int) -> int:
+    """A size whose error is at most a quarter of a part, as far as sketches go."""
+    size = 256
+    while size < MAX_SKETCH and 4 * parts * sketch_error(size) > 1:
+        size *= 2
+    return min(size, MAX_SKETCH)
+
+
+def quantile_cuts(df: DataFrame, marker: str, parts: int) -> list[float]:
+    """``parts`` - 1 ascending positions that cut the rows with a marker into parts of about equal size, from a KLL sketch.
 
-    The windows become a table that is joined by bins of the marker axis, as many as there are windows; each window lies in the bins
-    it touches. So the plan does not grow with their number. The scan is pruned by the hulls of runs of windows.
+    Each task sketches its rows, the sketches are merged: one pass over one column, nothing is shuffled but sketches. A value that
+    holds many rows is many of the cuts.
     """
-    if not windows:
-        return df.where(F.lit(False))
+    place = predicates.position(F.col(marker), predicates.marker_type(df, marker))
+    ranks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    place = F.when(~F.isnan(place), place)
+    sketch = F.kll_sketch_agg_double(place, F.lit(sketch_size(parts)))
+    if parts < 2:
+        return []
+    cuts = df.agg(F.when(F.count(place) > 0, F.kll_sketch_get_quantile_double(sketch, ranks)).alias("cuts")).first()["cuts"]
+    return sorted(cuts or [])
+
+
+def sketch_ranges(df: DataFrame, marker: str, parts: int) -> DataFrame:
+    """At most ``parts`` ranges ``(lo, hi]`` of about equal size, as :func:`plan_ranges` gives them, with exact counts.
+
+    The cuts come from a sketch and each range is then counted exactly, so distinct markers are never shuffled or sorted. A range holds
+    the rows of a part give or take two errors of the sketch, except that ties stay together. ``lo`` and ``hi`` are markers of the table.
+    """
+    cuts = sorted(set(quantile_cuts(df, marker, parts)))
+    place = predicates.position(F.col(marker), predicates.marker_type(df, marker))
+    number = predicates.search(place, [F.lit(c) for c in cuts]) if cuts else F.lit(0)
+    counted = df.where(F.col(marker).isNotNull()).groupBy(number.alias("number")).agg(
+        F.max(marker).alias("hi"), F.count(F.lit(1)).alias("n_rows"))
+    every = Window.orderBy("number")  # a row per range
+    return counted.select((F.row_number().over(every) - 1).cast("bigint").alias("batch_no"), F.lag("hi").over(every).alias("lo"), "hi", "n_rows")
+
+
+def window_of(df: DataFrame, marker: str, windows: DataFrame, out: str = "window", parts: int | None = None) -> DataFrame:
+    """Every row of ``df`` with the window that holds its marker as a struct ``out`` (NULL: none), by a merge of both in marker order.
+
+    ``windows`` has the columns of the windows, among them ``lo`` and ``hi`` in the marker's type: disjoint ``(lo, hi]``, NULL for an open
+    end. Their number is not bounded. The marker axis is cut into slices by quantiles of the rows, with a slice of its own for each cut value; a
+    window is listed in the slices it touches. In a slice rows and starts of windows are sorted together, and the window last
+    started is carried forward. Slices follow the rows, so neither a far window nor a hot marker makes one slice large: a value that is
+    several quantiles is dealt into as many piles. Rows without a marker pass beside the merge. A column ``out`` of ``df`` is replaced.
+    """
+    df = df.select(*[c for c in df.columns if c.lower() != out.lower()])
     kind = predicates.marker_type(df, marker)
-    schema = T.StructType([T.StructField("lo", kind), T.StructField("hi", kind)])
-    table = df.sparkSession.createDataFrame([tuple(w) for w in windows], schema)
-    first, last, n = predicates.position(F.col("lo"), kind), predicates.position(F.col("hi"), kind), len(windows)
-    reach = table.agg(F.min(F.least(first, last)).alias("a"), F.max(F.greatest(first, last)).alias("b")).first()
-    start, width = (reach["a"] or 0.0), max((reach["b"] or 0.0) - (reach["a"] or 0.0), 1.0) / n
-
-    def bin_of(place: Column, open_end: int | None = None) -> Column:
-        # greatest() and least() skip NULL, so an open end is told apart before them
-        inside = F.least(F.greatest(F.floor((place - start) / width), F.lit(0)), F.lit(n - 1))
-        return F.when(place.isNull(), F.lit(open_end).cast("bigint")).otherwise(inside)
-
-    spans = table.select("lo", "hi", F.explode(F.sequence(bin_of(first, 0), bin_of(last, n - 1))).alias("bin"))
-    spans = spans.select(F.struct("*").alias("_w"))
-    w, m = F.col("_w"), F.col(marker)
-    inside = ((bin_of(predicates.position(m, kind)) == w["bin"]) & (w["lo"].isNull() | (m > w["lo"])) & (w["hi"].isNull() | (m <= w["hi"])))
-    return df.where(predicates.envelopes(df, marker, windows)).join(spans, inside, "left_semi")
+    parts = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = quantile_cuts(df, marker, parts)
+    often = Counter(found)
+    cuts = sorted(often)
+    literals = [F.lit(c) for c in cuts]
+    piles = F.array(*[F.lit(often[c] if i % 2 else 1) for c in cuts for i in (0, 1)], F.lit(1))
+
+    def slot(place: Column) -> Column:
+        return predicates.search(place, literals) + predicates.search(place, literals, beyond=True) if cuts else F.lit(0)
+
+    w = windows.where(F.col("lo").isNull() | F.col("hi").isNull() | (F.col("hi") > F.col("lo")))
+    w = w.select(F.struct(*windows.columns).alias("w"))
+    first = F.coalesce(slot(predicates.position(F.col("w.lo"), kind)), F.lit(0))
+    last = F.coalesce(slot(predicates.position(F.col("w.hi"), kind)), F.lit(2 * len(cuts)))
+    starts = w.select("w", F.explode(F.sequence(F.when(F.col("w.lo").isNull(), 0).otherwise(first),
+                                                F.when(F.col("w.hi").isNull(), 2 * len(cuts)).otherwise(last))).alias("slot"))
+    starts = starts.select("w", "slot", F.explode(F.sequence(F.lit(0), F.get(piles, F.col("slot")) - 1)).alias("pile"))
+    starts = starts.select(F.col("w.lo").alias("m"), F.lit(True).alias("starts"), "slot", "pile", "w",
+                           F.lit(None).cast(T.StructType(df.schema.fields)).alias("row"))
+    marked = df.where(F.col(marker).isNotNull())
+    rows = marked.select(F.col(marker).alias("m"), F.lit(False).alias("starts"), slot(predicates.position(F.col(marker), kind)).alias("slot"),
+                         F.struct(*df.columns).alias("row"))
+    pile = F.when(F.get(piles, F.col("slot")) > 1, F.pmod(F.monotonically_increasing_id(), F.get(piles, F.col("slot"))).cast("int")).otherwise(0)
+    rows = rows.select("m", "starts", "slot", pile.alias("pile"), F.lit(None).cast(w.schema["w"].dataType).alias("w"), "row")
+    # a row at the start of a window comes before it, as it is not inside
+    order = Window.partitionBy("slot", "pile").orderBy(F.col("m").asc_nulls_first(), "starts").rowsBetween(Window.unboundedPreceding, 0)
+    merged = rows.unionByName(starts).withColumn("open", F.last("w", ignorenulls=True).over(order)).where(~F.col("starts"))
+    inside = F.when(F.col("open.hi").isNull() | (F.col("m") <= F.col("open.hi")), F.col("open"))
+    placed = merged.select("row.*", inside.alias(out))
+    unmarked = df.where(F.col(marker).isNull()).withColumn(out, F.lit(None).cast(w.schema["w"].dataType))
+    return placed.unionByName(unmarked)
+
+
+def read_windows(df: DataFrame, marker: str, windows: Sequence[tuple[Any, Any]] | DataFrame) -> DataFrame:
+    """Rows whose marker lies in one of the disjoint, ascending ``(lo, hi]`` windows; NULL is an open end.
+
+    A few windows are predicates that the scan prunes by. More, or a table of windows (``lo``, ``hi``), are met by :func:`window_of`; the scan is then
+    pruned by the hulls of runs of the windows, if they are given as a list.
+    """
+    if not isinstance(windows, DataFrame):
+        if not windows:
+            return df.where(F.lit(False))
+        if len(windows) <= PUSHED_WINDOWS:
+            return df.where(predicates.envelopes(df, marker, windows, PUSHED_WINDOWS))
+        kind = predicates.marker_type(df, marker)
+        table = df.sparkSession.createDataFrame([tuple(w) for w in windows], T.StructType([T.StructField("lo", kind), T.StructField("hi", kind)]))
+        df, windows = df.where(predicates.envelopes(df, marker, windows)), table
+    return window_of(df, marker, windows, "__window").where("__window is not null").drop("__window")
 
 
 def resume_rows(df: DataFrame, marker: str, gaps: Sequence[tuple[Any, Any]], completed: Any,

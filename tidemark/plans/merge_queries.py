@@ -206,13 +206,41 @@ with ranges as (
     select *, row_number() over (partition by batch_no order by m) = 1 as first_of_batch from (
       select m, lag(m) over (order by m) as prev_m, cast(floor((sum(n) over (order by m) - n) / 20) as bigint) as batch_no
       from (select l_shipdate as m, count(*) as n from lineitem group by l_shipdate))) group by batch_no)
-select l.l_orderkey, l.l_linenumber, l.l_shipdate from lineitem l join ranges r
-on l.l_shipdate <= r.hi and (r.lo is null or l.l_shipdate > r.lo) where r.batch_no % 2 = 1""")
+select l.l_orderkey, l.l_linenumber, l.l_shipdate, r.batch_no from lineitem l left join (select * from ranges where batch_no % 2 = 1) r
+on l.l_shipdate <= r.hi and (r.lo is null or l.l_shipdate > r.lo)""")
 def many_windows(t):
-    """Every other one of some thousand planned windows is read again."""
-    planned = ranges.plan_ranges(t.lineitem, "l_shipdate", 20).where("batch_no % 2 = 1").orderBy("batch_no").collect()
-    rows = ranges.read_windows(t.lineitem, "l_shipdate", [(r["lo"], r["hi"]) for r in planned])
-    return rows.select("l_orderkey", "l_linenumber", "l_shipdate")
+    """Every line with the window that holds it, if it is one of every other of some thousand planned windows."""
+    planned = ranges.plan_ranges(t.lineitem, "l_shipdate", 20).where("batch_no % 2 = 1")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    return ranges.window_of(lines, "l_shipdate", planned).select("*", "window.batch_no").drop("window")
+
+
+@query("sketch_ranges", """
+with m as (select case when l_orderkey % 3 = 0 then timestamp '1995-06-17 00:00:00' else l_shipdate end as m from lineitem)
+select 'every row in its range' as what, count(m) as n_rows from m
+union all select 'ranges as large as asked for', 1
+union all select 'range of the hot marker ends with it', count(*) from (select distinct m from m where m = timestamp '1995-06-17 00:00:00')
+union all select 'first without start, last up to the end', count(*) from (select max(m) from m)""")
+def sketch_ranges(t):
+    """A third of the lines share one marker; each range is counted again by the merge of windows and rows."""
+    hot = ntz("1995-06-17 00:00:00")
+    lines = t.lineitem.select(F.when(F.col("l_orderkey") % 3 == 0, hot).otherwise(F.col("l_shipdate")).alias("m"))
+    parts = 40
+    planned = staged(ranges.sketch_ranges(lines, "m", parts))
+    again = ranges.window_of(lines, "m", planned).where("window is not null").groupBy("window.batch_no").agg(F.count(F.lit(1)).alias("again"))
+    planned = planned.join(again, "batch_no", "left")
+    # a part, the error at its two ends, and the ties that stay together
+    ties = lines.groupBy("m").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.when(F.col("m") != hot, F.col("n")))).scalar()
+    n = lines.agg(F.count("m")).scalar()
+    room = n * (1 / parts + 2 * ranges.sketch_error(ranges.sketch_size(parts))) + 2 * ties
+    holds_hot = (F.col("hi") == hot)
+    facts = planned.agg(F.sum(F.when(F.col("again") == F.col("n_rows"), F.col("n_rows"))).alias("n"),
+                        F.bool_and((F.col("n_rows") <= room) | holds_hot).cast("long").alias("even"), F.count_if(holds_hot).alias("hot"),
+                        F.count_if(F.col("lo").isNull()).alias("first"), F.max("hi").alias("end"))
+    ends = F.when(F.col("end") == lines.agg(F.max("m")).scalar(), F.col("first"))
+    rows = (("every row in its range", "n"), ("ranges as large as asked for", "even"), ("range of the hot marker ends with it", "hot"))
+    return facts.select(F.inline(F.array(*[F.struct(F.lit(x).alias("what"), F.col(c).alias("n_rows")) for x, c in rows], F.struct(
+        F.lit("first without start, last up to the end").alias("what"), ends.alias("n_rows")))))
 
 
 @query("gap_replay", f"select * from events where {IN_GAPS}")
