@@ -99,6 +99,19 @@ def test_alignment_of_long_texts_by_the_query(odd_docs):
     assert got[10].n_a == len(a.encode(" " + texts[10]).ids) and got[11].n_groups > got[10].n_groups > 50_000
 
 
+def test_ranks_give_the_ids_of_the_json(documents):
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        text = f.read()
+    encode, vocabulary = alignment.byte_level_encoder(text)
+    whole = tokenizers.Tokenizer.from_str(text)
+    whole.encode_special_tokens = True
+    texts = ["<|endoftext|>", "it's  we'll\n\t x", "\u00a0 \u2003é 𝄞٣½", "a" * 3000, *(r.text or "" for r in documents.collect())]
+    assert [list(x) for x in encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    # with a prefix space it is not a plain one, and the library itself encodes
+    other = text.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true')
+    assert other != text and list(alignment.byte_level_encoder(other)[0](["x"])[0]) == tokenizers.Tokenizer.from_str(other).encode("x").ids
+
+
 def test_common_ends_are_found_across_stretches(monkeypatch):
     import numpy as np
 

@@ -10,6 +10,7 @@ is one row per block, however often it occurs.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,37 @@ def piece_table(pieces: list[str]) -> list[bytes]:
     return [one(p) for p in pieces]
 
 
+#: Fixed value: how a byte-level pre-tokenizer with its own pattern cuts a text.
+BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level_encoder(text: str):
+    """An encoder of texts into ids without special tokens, and the vocabulary, from a tokenizer's json.
+
+    A plain byte-level BPE whose merges make its ids in order is one of ranks: tiktoken then gives the same ids at a quarter of the time.
+    """
+    import tokenizers
+
+    whole = tokenizers.Tokenizer.from_str(text)
+    whole.encode_special_tokens = True
+    vocabulary, spec = whole.get_vocab(with_added_tokens=True), json.loads(text)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+             and not spec.get("normalizer") and not model.get("ignore_merges") and not model.get("dropout")
+             and not any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix")))
+    added = {t["content"] for t in spec.get("added_tokens") or []}
+    if plain and all(t.get("special") for t in spec.get("added_tokens") or []):
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        table = byte_level_table({t: i for t, i in model["vocab"].items() if t not in added})
+        if made == sorted(made) and len(made) == len(set(made)) and len(made) + 256 == len([t for t in table if t]):
+            import tiktoken
+
+            ranks = {t: i for i, t in enumerate(table) if t}
+            own = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return (lambda texts: [own.encode_to_numpy(t, disallowed_special=()) for t in texts]), vocabulary
+    return (lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]), vocabulary
+
+
 class Tokenizers:
     """A byte-level BPE as json (A) and a sentencepiece model (B), read on the driver and sent to the workers once."""
 
@@ -74,16 +106,13 @@ class Tokenizers:
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             import sentencepiece
-            import tokenizers
 
             a, b = self._files.value
-            first = tokenizers.Tokenizer.from_str(a.decode())
-            first.encode_special_tokens = True
+            encode, vocabulary = byte_level_encoder(a.decode())
             second = sentencepiece.SentencePieceProcessor(model_proto=b)
             tables = (pa.array(t, pa.large_binary()) for t in (
-                byte_level_table(first.get_vocab(with_added_tokens=True)), piece_table([second.id_to_piece(i) for i in range(second.get_piece_size())])))
-            _loaded[self._key] = (lambda texts: [e.ids for e in first.encode_batch([" " + t for t in texts], add_special_tokens=False)],
-                                  lambda texts: second.encode(texts, num_threads=1), *tables)
+                byte_level_table(vocabulary), piece_table([second.id_to_piece(i) for i in range(second.get_piece_size())])))
+            _loaded[self._key] = (lambda texts: encode([" " + t for t in texts]), lambda texts: second.encode(texts, num_threads=1), *tables)
         return _loaded[self._key]
 
 
