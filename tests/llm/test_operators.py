@@ -341,6 +341,44 @@ def test_one_large_group_of_near_copies(llm, monkeypatch):
     assert seen
 
 
+def test_comparisons_grow_with_a_group_not_with_its_square(llm, monkeypatch):
+    """Near copies with changes of their own, some beyond a link with any other: what is compared is a few times the copies."""
+    counted, real = [], jaccard._against
+    monkeypatch.setattr(jaccard, "_against", lambda pairs, *a, **k: counted.append(pairs.count()) or real(pairs, *a, **k))
+    per_copy = []
+    for size in (500, 1000):
+        rng, rows = np.random.default_rng(size), []
+        for k in range(size):
+            words = [f"w{i}" for i in range(150)]
+            for i in rng.choice(150, rng.integers(0, 8), replace=False):
+                words[i] = f"y{k}-{i}"
+            rows.append((k, " ".join(words)))
+        counted.clear()
+        got = jaccard.jaccard_groups(llm.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        per_copy.append(sum(counted) / size)
+        if size == 500:
+            assert {r.doc_id: r.component_id for r in got} == brute.components(rows, 90, 100, 3)
+    assert max(per_copy) < 8 and per_copy[1] < 1.3 * per_copy[0]
+
+
+def test_sketches_fold_and_bound_the_difference(llm):
+    rng = np.random.default_rng(2)
+    rows, t = [], jaccard.Threshold(80, 100, 2)
+    for k in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 10**6, rng.integers(1, 4000))]
+        for other in (list(base), list(base)):
+            for i in rng.integers(0, len(base), rng.integers(0, 1 + len(base) // 5)):
+                other[i] = "x"
+            rows.append((" ".join(base), " ".join(other[: len(other) - int(rng.integers(0, 1 + len(other) // 8))])))
+    df = llm.createDataFrame(rows, "a string, b string")
+    df = df.withColumn("x", jaccard._sketch(F.col("a"), t)).withColumn("y", jaccard._sketch(F.col("b"), t))
+    for r in df.select("*", jaccard._bits_apart(F.col("x.bits"), F.col("y.bits")).alias("apart")).collect():
+        x, y = brute.shingles(r.a, 2), brute.shingles(r.b, 2)
+        assert r.x.n == len(x) and len(r.x.bits) * 64 >= 4 * t.differ(len(x))
+        if min(len(x), len(y)) * 100 >= 80 * max(len(x), len(y)):
+            assert r.apart <= len(x ^ y)
+
+
 def test_jaccard_join_of_odd_rows(odd_docs):
     got = jaccard.jaccard_groups(odd_docs).collect()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]

@@ -10,8 +10,9 @@ Two sets link when the Jaccard similarity of their word shingles reaches ``num /
 * The boundary is the size from which enumerating costs more than the lists.
 
 A list is never expanded into pairs. Each member is compared with the head of its list; equal sets need no comparison.
-Members of lists that then lie in several components are listed once more, under their rarest shingles, and pairs across
-components that meet there are compared, so no link that joins two components is lost.
+Members of lists that then lie in several components are listed once more, by what tells them from one document of their
+group of lists: two sets differ by what their differences from it don't share. The passages a group has in common cancel out, so members
+meet only where they share changes, and no link that joins two components is lost.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ SLACK = 2
 LIST_COST = 4
 #: Buckets of the table of shingle frequencies, a fixed size.
 RARITY = 1 << 18
-#: Bits of a set's sketch.
-SKETCH = 1024
+#: Bits of a set's sketch for each difference that two linking sets may have.
+SKETCH = 4
+#: Documents that are compared with one document by a task.
+MEMBERS = 256
 #: Signatures that one task combines before they are shuffled.
 COMBINE = 1 << 20
 
@@ -55,6 +58,10 @@ class Threshold:
         """Smallest intersection with which sets of these sizes link."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def differ(self, a: int, b: int | None = None) -> int:
+        """Most shingles in one set only with which sets of these sizes link; without ``b``, for any size that can link with a."""
+        return (self.den - self.num) * (a + (self.den * a // self.num if b is None else b)) // (self.den + self.num)
+
     def partners(self, a: int) -> range:
         return range(-(-self.num * a // self.den), self.den * a // self.num + 1)
 
@@ -243,56 +250,117 @@ def n_shingles(text: Column, words: int) -> Column:
     return run(text)
 
 
-def linked(a: Column, b: Column, t: Threshold) -> Column:
-    """Whether two texts link: their shingles compared."""
-    @F.arrow_udf("boolean")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out, at = [], 0
-            for part in text_blocks(left):
-                sets = [shingle_sets(x, t.words) for x in (part, right.slice(at, len(part)))]
-                keys = [g ^ mix(r.astype(_U) + _U(1)) for r, g in sets]
-                n, m = (np.bincount(r, minlength=len(part)) for r, _ in sets)
-                both = np.bincount(sets[0][0], np.isin(keys[0], keys[1]), len(part)).astype(np.int64)
-                out.append((n > 0) & (m > 0) & (t.den * both >= t.num * (n + m - both)))
-                at += len(part)
-            yield pa.array(np.concatenate(out) if out else np.zeros(0, bool), pa.bool_())
-
-    return run(a, b)
+def _sketch(text: Column, t: Threshold) -> Column:
+    """Size of each set and, for buckets of shingles, whether it holds an odd number of them: as bits of 64-bit numbers.
 
-
-def _sketch(text: Column, words: int) -> Column:
-    """Size of each set and, for SKETCH buckets of shingles, whether it holds an odd number of them: as bits of 64-bit numbers."""
+    Two sets differ in no fewer shingles than their sketches in bits. The number of buckets is a power of two and follows the size, so sets
+    that link only by chance look alike at any size; sketches of twice the buckets fold into those of half.
+    """
     @F.arrow_udf("struct<n:bigint,bits:array<bigint>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             for part in text_blocks(texts):
-                row, g = shingle_sets(part, words)
-                odd = np.bincount(row * SKETCH + (mix(g + _U(7)) % _U(SKETCH)).astype(np.int64), minlength=len(part) * SKETCH) & 1
-                bits = np.packbits(odd.astype(bool)).view(np.int64)
-                ends = pa.array(np.arange(len(part) + 1) * (SKETCH // 64), pa.int32())
+                row, g = shingle_sets(part, t.words)
                 n = np.bincount(row, minlength=len(part))
-                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bits))], ["n", "bits"])
+                most = (t.den - t.num) * (n + t.den * n // t.num) // (t.den + t.num)
+                size = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, SKETCH * most))).astype(np.int64))
+                at = np.concatenate([[0], np.cumsum(size)])
+                bucket = (mix(g + _U(7)) & (size[row] - 1).astype(_U)).astype(np.int64)
+                odd = np.bincount(at[row] + bucket, minlength=at[-1]) & 1
+                bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(at // 64, pa.int32()), pa.array(bits))
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), lists], ["n", "bits"])
 
     return run(text)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``a, b`` that link.
+def _bits_apart(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded."""
+    def folded(a: Column, b: Column) -> Column:
+        n = F.size(b)
+        half = F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, n + 1, n), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(a) > n, half).otherwise(a)
+
+    apart = F.zip_with(folded(x, y), folded(y, x), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(apart, F.lit(0), lambda total, n: total + n)
+
+
+_COMPARED = "a long, b long, n long, n_b long, apart long, delta array<long>"
+
+
+def _compared(t: Threshold, deltas: bool):
+    """Differences of members from the document of their block. Its texts come first; of several the nearest counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, heads = None, []
+        for batch in batches:
+            at = 0
+            for part in text_blocks(batch["text"]):
+                row, g = shingle_sets(part, t.words)
+                order = np.lexsort((g, row))
+                row, g = row[order], g[order]
+                first = np.searchsorted(row, np.arange(len(part) + 1))
+                ids = [batch[c].slice(at, len(part)).to_pylist() for c in ("a", "b", "block")]
+                out = []
+                for i, (a, *key) in enumerate(zip(*ids)):
+                    own = g[first[i]:first[i + 1]]
+                    if key != block:
+                        block, heads = key, []
+                    if a is None:
+                        if len(own) and not any(np.array_equal(own, h) for h in heads):
+                            heads.append(own.copy())
+                        continue
+                    best = None
+                    for h in heads[:1] if deltas else heads:
+                        place = np.searchsorted(h, own)
+                        both = h[np.minimum(place, len(h) - 1)] == own if len(h) else np.zeros(len(own), bool)
+                        apart = len(own) + len(h) - 2 * int(both.sum())
+                        # least share of what may differ
+                        if len(own) and len(h) and (best is None or apart * best[3] < best[4] * (len(own) + len(h))):
+                            delta = [*own[~both].view(np.int64), *np.delete(h, place[both]).view(np.int64)] if deltas else []
+                            best = (a, key[0], len(own), len(own) + len(h), apart, delta)
+                    if best is not None:
+                        out.append(best)
+                if out:
+                    a, b, n, both, apart, delta = zip(*out)
+                    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()),
+                                           "n_b": pa.array(np.subtract(both, n), pa.int64()), "apart": pa.array(apart, pa.int64()),
+                                           "delta": pa.array(delta, pa.list_(pa.int64()))})
+                at += len(part)
 
-    Two sets differ in no fewer shingles than their sketches in bits, so most other pairs are ruled out by size and sketch, without loss.
-    The texts travel to the rest. All joins can be split where a document has many pairs.
+    return run
+
+
+def _against(pairs: DataFrame, texts: DataFrame, t: Threshold, deltas: bool = False) -> DataFrame:
+    """For pairs ``a, b`` of documents: sizes of both sets, in how many shingles they are ``apart`` and, if asked for, in which (``delta``).
+
+    Pairs are grouped by b, in blocks: the text of b travels once to each block, that of a once to each of its pairs.
     """
-    marks = texts.select(F.col("id").alias("m"), _sketch(F.col("text"), t.words).alias("s"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = pairs.groupBy("b").agg(F.count("*").alias("k")).withColumnRenamed("b", "b_")
+    block = F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / MEMBERS)).alias("block")
+    dealt = staged(pairs.join(count, F.col("b") == F.col("b_")).select("a", "b", block))
+    members = dealt.join(texts, F.col("a") == F.col("id")).select("a", "b", "block", "text")
+    heads = dealt.select("b", "block").distinct().join(texts, F.col("b") == F.col("id"))
+    rows = members.unionByName(heads.select(F.lit(None).cast("long").alias("a"), "b", "block", "text"))
+    # a hash of both: blocks of one document go to many tasks
+    rows = rows.repartition(parts, "b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first(), F.xxhash64("text"))
+    return rows.mapInArrow(_compared(t, deltas), _COMPARED)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs ``a, b`` that link. Most others are ruled out by size and sketch, without loss; only then do texts travel."""
+    marks = texts.select(F.col("id").alias("m"), _sketch(F.col("text"), t).alias("s"))
     near = pairs.join(marks, F.col("a") == F.col("m")).select("a", "b", F.col("s").alias("s_a"))
     near = near.join(marks, F.col("b") == F.col("m"))
     n, m = F.col("s_a.n"), F.col("s.n")
-    differ = F.aggregate(F.zip_with("s_a.bits", "s.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = near.where((t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & ((t.num + t.den) * differ <= (t.den - t.num) * (n + m)))
-    near = staged(near.select("a", "b").distinct())
-    one = near.join(texts, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("left"))
-    both = one.join(texts, F.col("b") == F.col("id")).select("a", "b", "left", F.col("text").alias("right"))
-    return both.where(linked(F.col("left"), F.col("right"), t)).select("a", "b")
+    near = near.where(t.den * F.least(n, m) >= t.num * F.greatest(n, m))
+    near = near.where((t.num + t.den) * _bits_apart(F.col("s_a.bits"), F.col("s.bits")) <= (t.den - t.num) * (n + m))
+    found = _against(staged(near.select("a", "b").distinct()), texts, t)
+    return found.where(_links(F.col("apart"), F.col("n"), F.col("n_b"), t)).select("a", "b").distinct()
+
+
+def _links(apart: Column, n: Column, m: Column, t: Threshold) -> Column:
+    return (t.num + t.den) * apart <= (t.den - t.num) * (n + m)
 
 
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,77 +391,82 @@ def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
     members = members.join(found, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
     open_ = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     open_ = open_.where("n > 2 and low <> high").select(F.col("sig").alias("open"))
-    inside = staged(members.join(open_, F.col("sig") == F.col("open")).select("doc", "comp").distinct())
-    if inside.isEmpty():
+    edges = staged(lists.join(open_, F.col("sig") == F.col("open")).select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct())
+    if edges.isEmpty():
         return found
-    more = _across(inside, texts, pairs, t)
+    more = _across(edges, found, links, texts, pairs, t)
     return staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
-def _frequencies(words: int):
-    """How many shingles of a task fall into each of the fixed number of buckets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RARITY, dtype=np.int64)
-        for batch in batches:
-            for part in text_blocks(batch["text"]):
-                total += np.bincount((shingle_sets(part, words)[1] % _U(RARITY)).astype(np.int64), minlength=RARITY)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": at, "n": total[at]})
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many entries of a task fall into each of the fixed number of buckets."""
+    total = np.zeros(RARITY, dtype=np.int64)
+    for batch in batches:
+        total += np.bincount(batch["delta"].flatten().to_numpy().view(_U) & _U(RARITY - 1), minlength=RARITY)
+    at = np.flatnonzero(total)
+    yield pa.record_batch({"bucket": at, "n": total[at]})
 
-    return run
+
+_LISTED = "key long, doc long, place long, size long, n long, most long, minor boolean, small boolean"
 
 
 def _prefixes(t: Threshold, frequency: np.ndarray):
-    """The rarest shingles of each set, so many that two linking sets have one of them in common."""
+    """Differences of each set by rarity: as many as it needs to meet every set with more of them it may link with, and with fewer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at = batch["id"].to_numpy(), 0
-            for part in text_blocks(batch["text"]):
-                row, g = shingle_sets(part, t.words)
-                order = np.lexsort((g, frequency[(g % _U(RARITY)).astype(np.int64)], row))
-                row, g = row[order], g[order]
-                size = np.bincount(row, minlength=len(part))
-                least = -(-t.num * size // t.den)  # the smallest partner, and with it the smallest intersection
-                length = size + 1 + (-t.num * (size + least) // (t.num + t.den))
-                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-                use = place < length[row]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=len(part)))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(g[use].view(np.int64)))
-                yield pa.record_batch({"doc": ids[at:at + len(part)], "n": size, "prefix": lists})
-                at += len(part)
+            n, n_b, size = (batch[c].to_numpy() for c in ("n", "n_b", "apart"))
+            delta = batch["delta"].flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), size)
+            # those of one group of lists only: the document they are measured from is part of the key
+            key = mix(delta.view(_U) ^ mix(batch["b"].to_numpy().view(_U)[row])).view(np.int64)
+            order = np.lexsort((key, frequency[delta.view(_U) & _U(RARITY - 1)], row))
+            key = key[order]
+            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            most = (t.den - t.num) * (n + t.den * n // t.num) // (t.den + t.num)
+            minor = (t.num + t.den) * size > (t.den - t.num) * (n + n_b)
+            # two sets share half of what both differ by beyond what they may differ in, and at least one
+            for small, share in ((True, size - most // 2), (False, size - most)):
+                use = place < (size - np.maximum(1, share) + 1)[row]
+                r = row[use]
+                yield pa.record_batch({"key": key[use], "doc": batch["a"].to_numpy()[r], "place": place[use], "size": size[r], "n": n[r], "most": most[r],
+                                       "minor": minor[r], "small": np.full(len(r), small)})
 
     return run
 
 
-def _across(inside: DataFrame, texts: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
-    """Links between components among the documents of ``inside`` (doc, comp).
+def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+    """Links between components among the documents of ``edges`` (a member of an open list, its head).
 
-    Copies with many changes of their own share parts with others, but not their rarest shingles. So the documents are listed anew
-    under these alone, in an order by frequency that a table of fixed size makes the same everywhere. In such a list the members
-    outside its largest component are compared with members of other components, where the two sets first meet, if their sizes fit
-    and so much of both comes from that shingle on that the intersection can be large enough.
+    Documents that are joined by such edges are a group, and two that link are in one. The member with most links is its
+    centre. Two sets x and y differ in |dx| + |dy| - 2 |dx & dy| shingles, where dx and dy are their differences from the centre. Sets that
+    link with the centre are in its component. Any other one shares changes with each set it links with, at least half of what both have beyond the
+    differences allowed, so that the rarest of them suffice as lists: the smaller set is listed under as many as it needs to meet
+    larger ones, the larger one under as many as it needs to meet smaller ones. What meets is compared if places and sizes allow a link.
     """
-    own = staged(texts.join(inside, F.col("id") == F.col("doc")).select("id", "text"))
+    group = staged(components(edges))
+    degree = links.groupBy(F.col("b").alias("node_")).agg(F.count("*").alias("k"))
+    centre = group.join(degree, F.col("node") == F.col("node_"), "left").groupBy(F.col("component").alias("group_")).agg(
+        F.max_by("node", F.struct(F.coalesce("k", F.lit(0)), -F.col("node"))).alias("centre"))
+    measured = group.join(centre, F.col("component") == F.col("group_")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    own = staged(texts.join(measured, F.col("id") == F.col("a"), "left_semi"))
+    deltas = staged(_against(staged(measured), own, t, deltas=True))
+    sure = deltas.where(_links(F.col("apart"), F.col("n"), F.col("n_b"), t) & (F.col("a") != F.col("b"))).select("a", "b")
     frequency = np.zeros(RARITY, dtype=np.int64)
-    for r in own.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in deltas.mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
-    sets = own.mapInArrow(_prefixes(t, frequency), "doc long, n long, prefix array<long>")
-    sets = staged(sets.join(inside.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).drop("d").withColumn("set", F.monotonically_increasing_id()))
-    listed = sets.select("set", "comp", F.posexplode("prefix").alias("place", "sig"))
-    sizes = listed.groupBy("sig", "comp").agg(F.count("*").alias("k"))
-    top = sizes.groupBy("sig").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
-    top = top.where("comps > 1").select(F.col("sig").alias("open"), F.col("top.comp").alias("largest"))
-    listed = listed.join(top, F.col("sig") == F.col("open")).drop("open", "comp")
-    # in a list a set needs its rarer shingles, too: a pair meets where it first has one in common, and only there
-    listed = staged(listed.join(sets, "set").select(
-        "sig", "doc", "comp", "largest", "n", (F.col("n") - F.col("place")).alias("rest"), F.slice("prefix", F.lit(1), F.col("place")).alias("before")))
-    minor = listed.where("comp <> largest").select(F.col("sig").alias("s"), F.col("doc").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("comp", "n", "rest", "before")))
-    fits = ((F.col("s") == F.col("sig")) & (F.col("comp_a") != F.col("comp")) & (t.den * F.least("n", "n_a") >= t.num * F.greatest("n", "n_a"))
-            & ((t.num + t.den) * F.least("rest", "rest_a") >= t.num * (F.col("n") + F.col("n_a"))) & ~F.arrays_overlap("before", "before_a"))
-    across = minor.join(listed, fits).select(F.greatest("a", "doc").alias("a"), F.least("a", "doc").alias("b")).distinct()
-    known = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
-    across = staged(across.join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
-    return staged(_verified(across, own, t))
+    listed = deltas.mapInArrow(_prefixes(t, frequency), _LISTED)
+    known = found.select(F.col("node").alias("node_"), "component")
+    listed = staged(listed.join(known, F.col("doc") == F.col("node_"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("node_", "component"))
+    x = listed.where("small").select("key", *(F.col(c).alias(f"{c}_x") for c in ("doc", "place", "size", "n", "minor", "comp")))
+    y = listed.where("not small").withColumnRenamed("key", "key_y")
+    shared = F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x"))
+    least = (t.num + t.den) * (F.col("size") + F.col("size_x") - 2 * shared) <= (t.den - t.num) * (F.col("n") + F.col("n_x"))
+    fits = ((F.col("key") == F.col("key_y")) & (F.col("comp") != F.col("comp_x")) & (F.col("minor") | F.col("minor_x")) & (F.col("size_x") <= F.col("size"))
+            & (t.den * F.least("n", "n_x") >= t.num * F.greatest("n", "n_x")) & least)
+    across = x.join(y, fits).select(F.greatest("doc", "doc_x").alias("a"), F.least("doc", "doc_x").alias("b")).distinct()
+    seen = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    across = staged(across.join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
+    return staged(sure.unionByName(_verified(across, own, t)))
 
 
 def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
