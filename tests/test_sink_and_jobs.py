@@ -1,14 +1,20 @@
 import datetime as dt
+import json
+import threading
+import time
 import uuid
+from pathlib import Path
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import rows, ts
 from tidemark.operators import merge, runlog
 from tidemark.plans import job
-from tidemark.plans.state import StateTable
+from tidemark.plans.state import Claim, StateTable, TaskBusy
+from tidemark.sinks.files import SmallFiles
 from tidemark.sinks.versioned import ConcurrentChange, VersionedTable
 from tidemark.spec import MappedField, SyncMode, SyncSpec
 
@@ -391,7 +397,7 @@ def test_a_killed_run_goes_on_with_the_next_window(spark, where):
     assert sorted(r["status"] for r in job.read_run_log(spark, b.log).collect()) == [2, 2]
 
 
-def test_several_tables_are_run_one_by_one(spark, where):
+def test_an_item_that_fails_leaves_the_others_whole(spark, where):
     good, bad = frame(spark, [(1, 1, "a")]), frame(spark, [(1, 1, "a")]).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
     jobs = {n: (df, table_of(spark, where(n)), SyncSpec(n, keys=("k",))) for n, df in (("a", good), ("b", bad), ("c", good))}
     done = job.run_tables(jobs, StateTable(spark, where("s")), NOW)
@@ -422,10 +428,143 @@ def test_markers_of_many_tasks_move_forward_at_once(spark, tmp_path):
 
 @pytest.mark.parametrize("name, n", [("sync_incremental", 1), ("sync_full", 1), ("pause_vs_stop", 2), ("marker_advance", 0)])
 def test_queries_of_jobs_go_through_the_job(spark, tables, monkeypatch, name, n):
-    from tidemark.plans import job, registry
+    from tidemark.plans import job, merge_queries, registry  # noqa: F401
     runs, advances = [], []
     run, advance = job.run_sync, getattr(StateTable, "advance", None)
     monkeypatch.setattr(job, "run_sync", lambda *a, **b: runs.append(run(*a, **b)) or runs[-1])
     monkeypatch.setattr(StateTable, "advance", lambda *a: advances.append(a) or advance(*a), raising=False)
     registry.QUERIES[name](tables)
     assert len(runs) == n and bool(advances) == (name == "marker_advance")
+
+
+# ---- claims, interruption, side by side, cost of a run
+
+def jobs_of(spark, fn):
+    """Number of Spark jobs that a call starts."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        fn()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_second_run_of_a_task_is_refused(spark, where):
+    b = Bench(spark, where)
+    refused = []
+
+    def again(_):
+        with pytest.raises(TaskBusy):
+            b.run(frame(spark, [(1, 1, "b")]))
+        refused.append(True)
+    b.run(frame(spark, [(1, 1, "a")]), on_progress=again)
+    assert refused == [True] and rows(b.table.read()) == [(1, 1, "a")]
+    b.run(frame(spark, [(2, 2, "a")]))  # it is free again
+    assert b.table.read().count() == 2
+
+
+def test_an_expired_claim_is_void_and_its_owner_finds_out(spark, where):
+    states = StateTable(spark, where("s"))
+    dead = Claim(states.files, "task-x.claim", -1)
+    assert states.files.create(dead.name, dead._text())
+    with states.claim("x", 60) as claim:
+        assert claim.held() and not dead.held()
+        with pytest.raises(TaskBusy):
+            states.claim("x").__enter__()
+        with states.claim("y"):
+            pass
+    assert not [n for n in states.files.names() if n.endswith("claim")]
+
+
+def test_a_claim_is_renewed_while_it_is_held(spark, where):
+    states = StateTable(spark, where("s"))
+    with states.claim("x", 0.6):
+        time.sleep(1.2)
+        with pytest.raises(TaskBusy):
+            states.claim("x").__enter__()
+
+
+def test_a_run_lost_to_another_saves_nothing(spark, where):
+    b = Bench(spark, where)
+
+    def robbed(_):
+        b.state.files.replace("task-task.claim", json.dumps({"owner": "other", "until": time.time() + 60}))
+    with pytest.raises(TaskBusy):
+        b.run(frame(spark, [(1, 1, "a")]), on_progress=robbed)
+    assert b.latest().seq == 0
+
+
+def test_the_state_does_not_grow_with_runs(spark, where):
+    b = Bench(spark, where)
+    for i in range(4):
+        b.run(frame(spark, [(i, i, "a")]))
+        assert b.latest().last_marker == str(i)
+    assert b.state.files.names() == ["task-task.json"] and b.latest().seq == 4
+    assert jobs_of(spark, lambda: b.state.save("task", NOW, "stopped", "9")) == jobs_of(spark, b.latest) == 0
+    for day in (1, 2, 3):
+        b.state.advance(spark.createDataFrame([("other", day), ("task", 7 + day)], "task_id string, last_marker bigint"), NOW)
+    assert len([n for n in SmallFiles(spark, b.state.path).names() if n.startswith("moved-")]) == 2
+    assert b.latest().last_marker == "10" and b.state.latest("other").last_marker == "3"
+    assert {r["task_id"]: r["last_marker"] for r in b.state.newest().collect()} == {"task": "10", "other": "3"}
+    b.state.save("task", NOW, "stopped", "11")
+    assert b.latest().last_marker == "11"
+
+
+def test_a_running_window_is_broken_off_and_taken_up_again(spark, where):
+    """The second of two windows never ends by itself; it is broken off from another thread, and the next run does it."""
+    b = Bench(spark, where)
+    source = spark.range(1, 41).select(F.col("id").alias("k"), F.col("id").alias("m"), F.lit("a").alias("v"))
+    stuck = where("stuck")
+
+    @F.udf("string")
+    def wait(v, m):
+        import os
+        import time
+        while m > 20 and os.path.exists(stuck):
+            time.sleep(0.05)
+        return v
+    Path(stuck).write_text("")
+    slow, found = source.withColumn("v", wait("v", "m")), []
+    thread = InheritableThread(target=lambda: found.append(b.run(slow, parts=2)), session=spark)
+    thread.start()
+    for _ in range(600):
+        if len(b.latest().gaps) == 1:  # the first window is done
+            break
+        time.sleep(0.1)
+    time.sleep(1)
+    assert job.interrupt(spark, "task")
+    thread.join(60)
+    Path(stuck).unlink()
+    assert not thread.is_alive() and found[0].status == "paused" and found[0].open_ranges == 1
+    assert b.latest().run_status == "paused" and b.table.read().count() == 20
+    result = b.run(slow)
+    assert result.status == "success" and result.read == 20 and b.table.read().count() == 40
+    assert not job.interrupt(spark, "task")
+
+
+def test_tables_run_side_by_side(spark, where):
+    """Two items meet inside their runs, which they can only if neither waits for the other."""
+    met = threading.Barrier(2, timeout=60)
+    real = job.write_changes
+    jobs = {n: (frame(spark, [(1, 1, n)]), table_of(spark, where(n)), SyncSpec(n, keys=("k",))) for n in ("a", "b")}
+    try:
+        job.write_changes = lambda table, *a, **k: (met.wait(), real(table, *a, **k))[1]
+        done = job.run_tables(jobs, StateTable(spark, where("s")), NOW)
+    finally:
+        job.write_changes = real
+    assert [done[n].inserted for n in "ab"] == [1, 1]
+    # two items of one task: one of them is refused
+    same = {n: (frame(spark, [(i, 5, n)]), table_of(spark, where(n)), SyncSpec("one", keys=("k",))) for i, n in enumerate("cd")}
+    done = job.run_tables(same, StateTable(spark, where("s")), NOW)
+    assert any(not isinstance(r, Exception) for r in done.values()) and all(isinstance(r, TaskBusy) for r in done.values() if isinstance(r, Exception))
+
+
+def test_a_run_is_a_few_jobs_whatever_was_done_before(spark, where):
+    b = Bench(spark, where)
+    source = spark.range(1, 1001).select(F.col("id").alias("k"), F.col("id").alias("m"), F.lit("a").alias("v"))
+    first = jobs_of(spark, lambda: job.run_sync(source, b.table, b.spec, b.state, NOW, parts=20))
+    assert first <= 140, first
+    more = source.union(source.withColumn("k", F.col("k") + 1000).withColumn("m", F.col("m") + 1000))
+    again = jobs_of(spark, lambda: job.run_sync(more, b.table, b.spec, b.state, NOW))
+    assert again <= 12 and b.table.read().count() == 2000, again

@@ -5,16 +5,19 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import functools
-import math
 import operator
+import threading
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from tidemark.functions import coerce, predicates
 from tidemark.operators import merge, ranges
@@ -94,23 +97,26 @@ def write_changes(table: VersionedTable, shaped: DataFrame, spec: SyncSpec, tag:
             table.write(rows, tag, base)
         n = seen.get
         return RunResult("success", read=n["n"], inserted=n["n"], rejected=n["bad"])
-    with written(deduplicate(shaped, spec)) as kept:
-        return _merge(table, kept, spec, tag, base, guard)
+    kept, fine, facts = deduplicate(shaped, spec), ~F.col("_bad"), Observation()
+    kept = kept.withColumn("_b", table.bucket(kept)).observe(
+        facts, F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"), F.sum(F.when(fine, row_bytes(kept))).alias("bytes"),
+        F.collect_set(F.when(fine, F.col("_b"))).alias("buckets"))
+    with written(kept) as rows:
+        return _merge(table, rows, facts.get, spec, tag, base, guard)
 
 
-def _merge(table: VersionedTable, kept: DataFrame, spec: SyncSpec, tag: str, base: int, guard: Sequence[str]) -> RunResult:
-    rows, fine = good(kept), ~F.col("_bad")
-    facts = kept.agg(F.count_if(F.col("_bad")).alias("bad"), F.count_if(fine).alias("n"),
-                     F.sum(F.when(fine, row_bytes(rows))).alias("bytes"),
-                     F.collect_set(F.when(fine, table.bucket(rows))).alias("buckets")).first()
+def _merge(table: VersionedTable, kept: DataFrame, facts: dict, spec: SyncSpec, tag: str, base: int, guard: Sequence[str]) -> RunResult:
+    rows = good(kept).drop("_b")
     out = RunResult("success", read=facts["n"], rejected=facts["bad"])
     if out.read == 0:
         return out
-    small = facts["bytes"] <= BROADCAST_LIMIT_BYTES
+    small, seen = facts["bytes"] <= BROADCAST_LIMIT_BYTES, Observation()
     classified = merge.classify(table.read(facts["buckets"], base), rows, spec.keys, small, guard)
-    with written(classified.withColumn("_b", table.bucket(rows))) as changes:
-        kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged", "stale")]
-        counts = changes.agg(*kinds, F.collect_set(F.when(F.col("kind") == "update", F.col("_b"))).alias("updated")).first()
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged", "stale")]
+    classified = classified.withColumn("_b", table.bucket(rows)).observe(
+        seen, *kinds, F.collect_set(F.when(F.col("kind") == "update", F.col("_b"))).alias("updated"))
+    with written(classified) as changes:
+        counts = seen.get
         out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"] + counts["stale"]
         rewritten = [] if spec.no_update else counts["updated"]
         if spec.no_update:
@@ -149,28 +155,64 @@ def _windows(source: DataFrame, marker: str, lo: str | None, hi: str, n_rows: in
         return [(lo, hi)]
     kind = predicates.marker_type(source, marker)
     inside = source.where(in_window(source, marker, (lo, hi)))
-    plan = ranges.plan_ranges(inside, marker, math.ceil(n_rows / parts)).orderBy("batch_no")
+    plan = ranges.sketch_ranges(inside, marker, min(parts, n_rows)).orderBy("batch_no")
     cuts = [r["hi"] for r in plan.select("batch_no", predicates.stored_text(F.col("hi"), kind).alias("hi")).collect()]
     return list(zip([lo, *cuts[:-1]], cuts))
 
 
+_RUNNING: dict[tuple[str, str], tuple[str, threading.Event]] = {}
+
+
+@contextmanager
+def _interruptible(spark: SparkSession, task_id: str) -> Iterator[threading.Event]:
+    """The jobs of a run carry a tag, under which another thread of this application finds them."""
+    tag, asked = f"tidemark-{uuid.uuid4().hex}", threading.Event()
+    key = (spark.sparkContext.applicationId, task_id)
+    _RUNNING[key] = tag, asked
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield asked
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+        if _RUNNING.get(key, (None,))[0] == tag:
+            del _RUNNING[key]
+
+
+def interrupt(spark: SparkSession, task_id: str) -> bool:
+    """Break off the run of a task in the middle of its window; False if this application runs none. The window stays open in the task's
+    state: the next run takes it up, :meth:`StateTable.stop` gives it up."""
+    tag, asked = _RUNNING.get((spark.sparkContext.applicationId, task_id), (None, None))
+    if tag is None:
+        return False
+    asked.set()
+    spark.sparkContext.cancelJobsWithTag(tag)
+    return True
+
+
 def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: StateTable, now: dt.datetime | None = None,
              log_path: str | None = None, parts: int = 1, should_stop: Callable[[], bool] = lambda: False,
-             on_progress: Callable[[RunResult], None] = lambda result: None) -> RunResult:
-    """One run of a task. With ``parts`` > 1 the marker axis is processed in that many windows, each committed on
+             on_progress: Callable[[RunResult], None] = lambda result: None, claim_seconds: float = 600) -> RunResult:
+    """One run of a task, which is claimed first: of two runs of a task the second fails with TaskBusy and changes nothing. With ``parts`` > 1 the marker axis is processed in that many windows, each committed on
     its own. Rows without a marker are one window more, read in the first run only. After each window the ones still
     open are saved, so a failed, paused or killed run is taken up where it was: saved windows stay as they are, and what
     has come beyond them is cut into ``parts``, too.
 
-    ``should_stop`` is asked before every window, ``on_progress`` is told the figures after it.
+    ``should_stop`` is asked before every window, ``on_progress`` is told the figures after it. :func:`interrupt` breaks off the window that
+    is running: it is left open and taken up by the next run, or given up, as any other.
 
     Inserts without key check are not repeatable, so an insert-only run is one commit whose intent is saved first: if
     its commit succeeded but the state was lost, the next run finds the commit and goes on behind it.
     """
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    with state.claim(spec.task_id, claim_seconds) as claim, _interruptible(source.sparkSession, spec.task_id) as asked:
+        return _run(source, table, spec, state, now, log_path, parts, should_stop, on_progress, claim, asked)
+
+
+def _run(source, table, spec, state, now, log_path, parts, should_stop, on_progress, claim, asked) -> RunResult:
     spark = source.sparkSession
     base = source.where(predicates.all_of([spec.where]))
     saved = state.latest(spec.task_id)
+    seq = saved.seq
     uses_marker = spec.marker is not None and spec.mode != SyncMode.CLEAN_INSERT
     inserting = spec.mode == SyncMode.INSERT_ONLY
     last, backfilled = (saved.last_marker if uses_marker else None), saved.backfill_done
@@ -189,9 +231,15 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
             setattr(result, name, getattr(result, name) + getattr(step, name))
         on_progress(dataclasses.replace(result))
 
+    def save(*facts, **more) -> int:
+        nonlocal seq
+        claim.check()
+        seq = state.save(spec.task_id, now, *facts, seq=seq, **more)
+        return seq
+
     def save_open(status: str) -> None:
         reach = next((hi for _, hi in reversed(open_windows) if hi is not None), end)
-        state.save(spec.task_id, now, status, saved.last_marker, open_windows, reach, True)
+        save(status, saved.last_marker, open_windows, reach, True)
 
     error = None
     try:
@@ -208,9 +256,9 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
             if inserting:
                 if facts["n"]:
                     intent = backfill + ([(last, end)] if facts["marked"] else [])
-                    seq = state.save(spec.task_id, now, "running", saved.last_marker, intent, end, True)
+                    number = save("running", saved.last_marker, intent, end, True)
                     chosen = [in_window(base, spec.marker, w) for w in intent]
-                    apply(base.where(functools.reduce(operator.or_, chosen)), _insert_tag(spec, seq))
+                    apply(base.where(functools.reduce(operator.or_, chosen)), _insert_tag(spec, number))
             elif saved.resuming and not spec.no_update:
                 open_windows = list(saved.gaps)
                 tail = base.where(in_window(base, spec.marker, (saved.completed, None))) if saved.completed else base.where(F.col(spec.marker).isNotNull())
@@ -220,21 +268,24 @@ def run_sync(source: DataFrame, table: VersionedTable, spec: SyncSpec, state: St
             else:
                 open_windows = backfill + (_windows(base, spec.marker, last, end, facts["marked"], parts) if facts["marked"] else [])
             while open_windows:
-                if should_stop():
+                if should_stop() or asked.is_set():
                     result.status = "paused"
                     break
                 apply(base.where(in_window(base, spec.marker, open_windows[0])))
                 open_windows.pop(0)
                 if open_windows:
                     save_open("running")
-    except Exception as e:  # the run is recorded as failed, then the error goes on to the caller
-        result.status, error = "failed", e
+    except Exception as e:
+        if asked.is_set() and uses_marker and not inserting:  # broken off on request: what was running stays open
+            result.status = "paused"
+        else:  # the run is recorded as failed, then the error goes on to the caller
+            result.status, error = "failed", e
 
     result.open_ranges = len(open_windows)
     if open_windows:
         save_open(result.status)
     elif result.status == "success":
-        state.save(spec.task_id, now, "stopped", end if end is not None else saved.last_marker, backfilled=uses_marker or backfilled)
+        save("stopped", end if end is not None else saved.last_marker, backfilled=uses_marker or backfilled)
     if log_path:
         append_run_log(spark, log_path, run, spec, result, now, error)
     if error is not None:
@@ -247,21 +298,37 @@ def _insert_tag(spec: SyncSpec, seq: int) -> str:
 
 
 def run_tables(jobs: Mapping[str, tuple[DataFrame, VersionedTable, SyncSpec]], state: StateTable, now: dt.datetime | None = None,
-               log_path: str | None = None, parts: int = 1) -> dict[str, RunResult | Exception]:
-    """One run per mapping item, in order. An item that fails is reported and the others still run."""
-    results: dict[str, RunResult | Exception] = {}
-    for name, (source, table, spec) in jobs.items():
+               log_path: str | None = None, parts: int = 1, at_once: int = 4) -> dict[str, RunResult | Exception]:
+    """One run per mapping item, ``at_once`` of them side by side. An item that fails is reported and the others still run.
+
+    Each item has a thread with the caller's job properties and a scheduler pool of its own, so that under a fair scheduler a small
+    item does not wait for the tasks of a large one.
+    """
+    if not jobs:
+        return {}
+    spark = next(iter(jobs.values()))[0].sparkSession
+
+    def run(name: str) -> RunResult | Exception:
+        source, table, spec = jobs[name]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"sync-{name}")
         try:
-            results[name] = run_sync(source, table, spec, state, now, log_path, parts)
+            return run_sync(source, table, spec, state, now, log_path, parts)
         except Exception as e:
-            results[name] = e
-    return results
+            return e
+
+    with ThreadPoolExecutor(min(at_once, len(jobs))) as pool:
+        # one wrapper per item: it carries the caller's properties into the thread
+        waiting = {name: pool.submit(inheritable_thread_target(spark)(run), name) for name in jobs}
+        return {name: w.result() for name, w in waiting.items()}
 
 
-def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """The run log with one row per run: a run is written when it starts and again when it ends, and its end counts."""
+def read_run_log(spark: SparkSession, path: str, task_id: str | None = None) -> DataFrame:
+    """The run log, or that of one task (only its folder is read), with one row per run: a run is written when it starts and again
+    when it ends, and its end counts."""
     newest = Window.partitionBy("id").orderBy(F.col("end_time").desc_nulls_last(), F.col("total_count").desc())
-    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    rows = spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
+    rows = rows if task_id is None else rows.where(F.col("task_id") == task_id)
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
 def close_interrupted(spark: SparkSession, path: str, task_id: str, now: dt.datetime) -> None:
@@ -269,12 +336,12 @@ def close_interrupted(spark: SparkSession, path: str, task_id: str, now: dt.date
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return
-    mine = read_run_log(spark, path).where(F.col("task_id") == task_id)
+    mine = read_run_log(spark, path, task_id)
     task = spark.createDataFrame([(task_id,)], "task_id string")
     closed = close_resumed(mine, task, now).join(latest_running(mine).select("id"), "id", "left_semi")
     with written(closed.select(*T.StructType.fromDDL(RUN_LOG_SCHEMA).names)) as rows:
         if not rows.isEmpty():
-            rows.coalesce(1).write.mode("append").parquet(path)
+            rows.coalesce(1).write.mode("append").partitionBy("task_id").parquet(path)
 
 
 def append_run_log(spark, path: str, run: str, spec: SyncSpec, result: RunResult, now: dt.datetime,
@@ -286,4 +353,4 @@ def append_run_log(spark, path: str, run: str, spec: SyncSpec, result: RunResult
     row = (run, spec.task_id, spec.task_name, int(spec.mode), int(status), result.read + result.rejected, done,
            result.rejected, result.inserted, result.updated, result.unchanged, message, now,
            ended if status != RunStatus.RUNNING else None)
-    spark.createDataFrame([row], RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([row], RUN_LOG_SCHEMA).coalesce(1).write.mode("append").partitionBy("task_id").parquet(path)
