@@ -42,6 +42,8 @@ RARITY = 1 << 18
 SKETCH = 4
 #: Documents that are compared with one document by a task.
 MEMBERS = 256
+#: Differences that a task looks at together.
+PIECE = 1 << 19
 #: Signatures that one task combines before they are shuffled.
 COMBINE = 1 << 20
 
@@ -398,11 +400,22 @@ def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
     return staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of a bounded number of differences, or one row."""
+    for batch in batches:
+        at = np.concatenate([[0], np.cumsum(batch["apart"].to_numpy())])
+        row = 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, side="right")) - 1)
+            yield batch.slice(row, stop - row)
+            row = stop
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many entries of a task fall into each of the fixed number of buckets."""
     total = np.zeros(RARITY, dtype=np.int64)
-    for batch in batches:
-        total += np.bincount(batch["delta"].flatten().to_numpy().view(_U) & _U(RARITY - 1), minlength=RARITY)
+    for batch in _bounded(batches):
+        total += np.bincount((batch["delta"].flatten().to_numpy().view(_U) & _U(RARITY - 1)).view(np.int64), minlength=RARITY)
     at = np.flatnonzero(total)
     yield pa.record_batch({"bucket": at, "n": total[at]})
 
@@ -413,7 +426,7 @@ _LISTED = "key long, doc long, place long, size long, n long, most long, minor b
 def _prefixes(t: Threshold, frequency: np.ndarray):
     """Differences of each set by rarity: as many as it needs to meet every set with more of them it may link with, and with fewer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches):
             n, n_b, size = (batch[c].to_numpy() for c in ("n", "n_b", "apart"))
             delta = batch["delta"].flatten().to_numpy()
             row = np.repeat(np.arange(len(n)), size)
