@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,13 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and staged rows that nothing refers to any more. It does so when the driver collects garbage, which a
+    driver with little work of its own may not do for long; loops of many small jobs ask for it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, for results that are used several times."""
     shared_dir(df.sparkSession)
