@@ -344,7 +344,7 @@ def test_one_large_group_of_near_copies(llm, monkeypatch):
 def test_comparisons_grow_with_a_group_not_with_its_square(llm, monkeypatch):
     """Near copies with changes of their own, some beyond a link with any other: what is compared is a few times the copies."""
     counted, real = [], jaccard._against
-    monkeypatch.setattr(jaccard, "_against", lambda pairs, *a, **k: counted.append(pairs.count()) or real(pairs, *a, **k))
+    monkeypatch.setattr(jaccard, "_against", lambda pairs, texts: counted.append(pairs.count()) or real(pairs, texts))
     per_copy = []
     for size in (500, 1000):
         rng, rows = np.random.default_rng(size), []

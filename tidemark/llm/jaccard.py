@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import staged, written
+from tidemark.session import release, staged, written
 
 from .components import components
 from .words import Words, mix, text_blocks
@@ -42,8 +42,6 @@ RARITY = 1 << 18
 SKETCH = 4
 #: Documents that are compared with one document by a task.
 MEMBERS = 256
-#: Differences that a task looks at together.
-PIECE = 1 << 19
 #: Signatures that one task combines before they are shuffled.
 COMBINE = 1 << 20
 
@@ -287,66 +285,70 @@ def _bits_apart(x: Column, y: Column) -> Column:
     return F.aggregate(apart, F.lit(0), lambda total, n: total + n)
 
 
-_COMPARED = "a long, b long, n long, n_b long, apart long, delta array<long>"
+_COMPARED = "a long, b long, n long, n_b long, apart long"
 
 
-def _compared(t: Threshold, deltas: bool):
-    """Differences of members from the document of their block. Its texts come first; of several the nearest counts."""
+def _members(batches: Iterator[pa.RecordBatch], t: Threshold) -> Iterator[list]:
+    """The members in pieces: (a, b, members of b, set, sets of b's texts). In a block the texts of b come first; a set is sorted hashes."""
+    block, heads = None, []
+    for batch in batches:
+        at = 0
+        for part in text_blocks(batch["text"]):
+            row, g = shingle_sets(part, t.words)
+            order = np.lexsort((g, row))
+            row, g = row[order], g[order]
+            first = np.searchsorted(row, np.arange(len(part) + 1))
+            ids = [batch[c].slice(at, len(part)).to_pylist() for c in ("a", "b", "block", "k")]
+            out = []
+            for i, (a, b, piece, k) in enumerate(zip(*ids)):
+                own = g[first[i]:first[i + 1]]
+                if (b, piece) != block:
+                    block, heads = (b, piece), []
+                if a is not None:
+                    if len(own) and heads:
+                        out.append((a, b, k, own, heads))
+                elif len(own) and not any(np.array_equal(own, h) for h in heads):
+                    heads.append(own.copy())
+            if out:
+                yield out
+            at += len(part)
+
+
+def _in(own: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``own`` are in ``head``, and where; both sorted."""
+    place = np.minimum(np.searchsorted(head, own), len(head) - 1)
+    both = head[place] == own
+    return both, place[both]
+
+
+def _compared(t: Threshold):
+    """In how many shingles each member is apart from its b; of several texts of b the nearest counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, heads = None, []
-        for batch in batches:
-            at = 0
-            for part in text_blocks(batch["text"]):
-                row, g = shingle_sets(part, t.words)
-                order = np.lexsort((g, row))
-                row, g = row[order], g[order]
-                first = np.searchsorted(row, np.arange(len(part) + 1))
-                ids = [batch[c].slice(at, len(part)).to_pylist() for c in ("a", "b", "block")]
-                out = []
-                for i, (a, *key) in enumerate(zip(*ids)):
-                    own = g[first[i]:first[i + 1]]
-                    if key != block:
-                        block, heads = key, []
-                    if a is None:
-                        if len(own) and not any(np.array_equal(own, h) for h in heads):
-                            heads.append(own.copy())
-                        continue
-                    best = None
-                    for h in heads[:1] if deltas else heads:
-                        place = np.searchsorted(h, own)
-                        both = h[np.minimum(place, len(h) - 1)] == own if len(h) else np.zeros(len(own), bool)
-                        apart = len(own) + len(h) - 2 * int(both.sum())
-                        # least share of what may differ
-                        if len(own) and len(h) and (best is None or apart * best[3] < best[4] * (len(own) + len(h))):
-                            delta = [*own[~both].view(np.int64), *np.delete(h, place[both]).view(np.int64)] if deltas else []
-                            best = (a, key[0], len(own), len(own) + len(h), apart, delta)
-                    if best is not None:
-                        out.append(best)
-                if out:
-                    a, b, n, both, apart, delta = zip(*out)
-                    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64()),
-                                           "n_b": pa.array(np.subtract(both, n), pa.int64()), "apart": pa.array(apart, pa.int64()),
-                                           "delta": pa.array(delta, pa.list_(pa.int64()))})
-                at += len(part)
+        for piece in _members(batches, t):
+            out = []
+            for a, b, _, own, heads in piece:
+                found = [(len(own), len(h), len(own) + len(h) - 2 * int(_in(own, h)[0].sum())) for h in heads]
+                n, m, apart = min(found, key=lambda x: x[2] / (x[0] + x[1]))
+                out.append((a, b, n, m, apart))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "n", "n_b", "apart"])
 
     return run
 
 
-def _against(pairs: DataFrame, texts: DataFrame, t: Threshold, deltas: bool = False) -> DataFrame:
-    """For pairs ``a, b`` of documents: sizes of both sets, in how many shingles they are ``apart`` and, if asked for, in which (``delta``).
+def _against(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """For pairs ``a, b`` of documents the rows that :func:`_members` reads.
 
     Pairs are grouped by b, in blocks: the text of b travels once to each block, that of a once to each of its pairs.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = pairs.groupBy("b").agg(F.count("*").alias("k")).withColumnRenamed("b", "b_")
     block = F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / MEMBERS)).alias("block")
-    dealt = staged(pairs.join(count, F.col("b") == F.col("b_")).select("a", "b", block))
-    members = dealt.join(texts, F.col("a") == F.col("id")).select("a", "b", "block", "text")
-    heads = dealt.select("b", "block").distinct().join(texts, F.col("b") == F.col("id"))
-    rows = members.unionByName(heads.select(F.lit(None).cast("long").alias("a"), "b", "block", "text"))
+    dealt = staged(pairs.join(count, F.col("b") == F.col("b_")).select("a", "b", block, "k"))
+    members = dealt.join(texts, F.col("a") == F.col("id")).select("a", "b", "block", "k", "text")
+    heads = dealt.select("b", "block", "k").distinct().join(texts, F.col("b") == F.col("id"))
+    rows = members.unionByName(heads.select(F.lit(None).cast("long").alias("a"), "b", "block", "k", "text"))
     # a hash of both: blocks of one document go to many tasks
-    rows = rows.repartition(parts, "b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first(), F.xxhash64("text"))
-    return rows.mapInArrow(_compared(t, deltas), _COMPARED)
+    return rows.repartition(parts, "b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first(), F.xxhash64("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
@@ -357,7 +359,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
     n, m = F.col("s_a.n"), F.col("s.n")
     near = near.where(t.den * F.least(n, m) >= t.num * F.greatest(n, m))
     near = near.where((t.num + t.den) * _bits_apart(F.col("s_a.bits"), F.col("s.bits")) <= (t.den - t.num) * (n + m))
-    found = _against(staged(near.select("a", "b").distinct()), texts, t)
+    found = _against(staged(near.select("a", "b").distinct()), texts).mapInArrow(_compared(t), _COMPARED)
     return found.where(_links(F.col("apart"), F.col("n"), F.col("n_b"), t)).select("a", "b").distinct()
 
 
@@ -386,6 +388,7 @@ def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
     pairs = staged(lists.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.max(F.col("sig") % 2 != 0).alias("equal")))
     sure = pairs.where("equal").select("a", "b")
     links = staged(sure.unionByName(_verified(pairs.where("not equal").select("a", "b"), texts, t)))
+    release(texts.sparkSession)
     found = staged(components(links))
 
     # members of lists that hold three documents or more and do not lie in one component yet
@@ -400,49 +403,54 @@ def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
     return staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in pieces of a bounded number of differences, or one row."""
-    for batch in batches:
-        at = np.concatenate([[0], np.cumsum(batch["apart"].to_numpy())])
-        row = 0
-        while row < batch.num_rows:
-            stop = max(row + 1, int(np.searchsorted(at, at[row] + PIECE, side="right")) - 1)
-            yield batch.slice(row, stop - row)
-            row = stop
+def _frequencies(words: int):
+    """How many shingles of a task fall into each of the fixed number of buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, dtype=np.int64)
+        for batch in batches:
+            for part in text_blocks(batch["text"]):
+                total += np.bincount((shingle_sets(part, words)[1] & _U(RARITY - 1)).astype(np.int64), minlength=RARITY)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": at, "n": total[at]})
+
+    return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many entries of a task fall into each of the fixed number of buckets."""
-    total = np.zeros(RARITY, dtype=np.int64)
-    for batch in _bounded(batches):
-        total += np.bincount((batch["delta"].flatten().to_numpy().view(_U) & _U(RARITY - 1)).view(np.int64), minlength=RARITY)
-    at = np.flatnonzero(total)
-    yield pa.record_batch({"bucket": at, "n": total[at]})
+_LISTED = "key long, doc long, place int, small boolean, n long, n_b long, apart long"
 
 
-_LISTED = "key long, doc long, place long, size long, n long, most long, minor boolean, small boolean"
+def _listed(t: Threshold, frequency: np.ndarray):
+    """Rows of two kinds: a member's sizes (without ``key``), and the rarest of its differences from b, as many as it needs to meet sets with
+    more of them that it may link with (``small``), and sets with fewer."""
+    none = pa.nulls(1, pa.int64())
 
+    def rows(key, doc, place, small) -> pa.RecordBatch:
+        n = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(n, doc)), pa.array(place.astype(np.int32)), pa.array(np.full(n, small)),
+                                           *[pa.nulls(n, pa.int64())] * 3], ["key", "doc", "place", "small", "n", "n_b", "apart"])
 
-def _prefixes(t: Threshold, frequency: np.ndarray):
-    """Differences of each set by rarity: as many as it needs to meet every set with more of them it may link with, and with fewer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _bounded(batches):
-            n, n_b, size = (batch[c].to_numpy() for c in ("n", "n_b", "apart"))
-            delta = batch["delta"].flatten().to_numpy()
-            row = np.repeat(np.arange(len(n)), size)
-            # those of one group of lists only: the document they are measured from is part of the key
-            key = mix(delta.view(_U) ^ mix(batch["b"].to_numpy().view(_U)[row])).view(np.int64)
-            order = np.lexsort((key, frequency[delta.view(_U) & _U(RARITY - 1)], row))
-            key = key[order]
-            place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-            most = (t.den - t.num) * (n + t.den * n // t.num) // (t.den + t.num)
-            minor = (t.num + t.den) * size > (t.den - t.num) * (n + n_b)
-            # two sets share half of what both differ by beyond what they may differ in, and at least one
-            for small, share in ((True, size - most // 2), (False, size - most)):
-                use = place < (size - np.maximum(1, share) + 1)[row]
-                r = row[use]
-                yield pa.record_batch({"key": key[use], "doc": batch["a"].to_numpy()[r], "place": place[use], "size": size[r], "n": n[r], "most": most[r],
-                                       "minor": minor[r], "small": np.full(len(r), small)})
+        for piece in _members(batches, t):
+            out = []
+            for a, b, k, own, heads in piece:
+                head = heads[0]
+                both, place = _in(own, head)
+                added, gone = own[~both], np.delete(head, place)
+                # a shingle of b is a difference of all members that lack it
+                often = np.concatenate([frequency[(added & _U(RARITY - 1)).astype(np.int64)],
+                                        np.maximum(0, k - frequency[(gone & _U(RARITY - 1)).astype(np.int64)])])
+                # those of one group only: the document they are measured from is part of the key
+                key = mix(np.concatenate([added, gone]) ^ mix(np.array([b]).view(_U))).view(np.int64)
+                key = key[np.lexsort((key, often))]
+                size, n = len(key), len(own)
+                out.append(pa.RecordBatch.from_arrays([none, pa.array([a]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([n]), pa.array([len(head)]),
+                                                       pa.array([size])], ["key", "doc", "place", "small", "n", "n_b", "apart"]))
+                # two sets share half of what both differ by beyond what they may differ in, and at least one
+                for small, share in ((True, size - t.differ(n) // 2), (False, size - t.differ(n))):
+                    top = size - max(1, share) + 1
+                    if size and top > 0:
+                        out.append(rows(key[:top], a, np.arange(top), small))
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     return run
 
@@ -456,30 +464,41 @@ def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFra
     differences allowed, so that the rarest of them suffice as lists: the smaller set is listed under as many as it needs to meet
     larger ones, the larger one under as many as it needs to meet smaller ones. What meets is compared if places and sizes allow a link.
     """
+    spark = texts.sparkSession
     group = staged(components(edges))
     degree = links.groupBy(F.col("b").alias("node_")).agg(F.count("*").alias("k"))
     centre = group.join(degree, F.col("node") == F.col("node_"), "left").groupBy(F.col("component").alias("group_")).agg(
         F.max_by("node", F.struct(F.coalesce("k", F.lit(0)), -F.col("node"))).alias("centre"))
     measured = group.join(centre, F.col("component") == F.col("group_")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    own = staged(texts.join(measured, F.col("id") == F.col("a"), "left_semi"))
-    deltas = staged(_against(staged(measured), own, t, deltas=True))
-    sure = deltas.where(_links(F.col("apart"), F.col("n"), F.col("n_b"), t) & (F.col("a") != F.col("b"))).select("a", "b")
+    measured = staged(measured)
+    own = texts.join(measured.select(F.col("a").alias("own")), F.col("id") == F.col("own"), "left_semi")
     frequency = np.zeros(RARITY, dtype=np.int64)
-    for r in deltas.mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in own.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
-    listed = deltas.mapInArrow(_prefixes(t, frequency), _LISTED)
-    known = found.select(F.col("node").alias("node_"), "component")
-    listed = staged(listed.join(known, F.col("doc") == F.col("node_"), "left").withColumn("comp", F.coalesce("component", "doc")).drop("node_", "component"))
-    x = listed.where("small").select("key", *(F.col(c).alias(f"{c}_x") for c in ("doc", "place", "size", "n", "minor", "comp")))
-    y = listed.where("not small").withColumnRenamed("key", "key_y")
-    shared = F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x"))
-    least = (t.num + t.den) * (F.col("size") + F.col("size_x") - 2 * shared) <= (t.den - t.num) * (F.col("n") + F.col("n_x"))
-    fits = ((F.col("key") == F.col("key_y")) & (F.col("comp") != F.col("comp_x")) & (F.col("minor") | F.col("minor_x")) & (F.col("size_x") <= F.col("size"))
+    listed = _against(measured, texts).mapInArrow(_listed(t, frequency), _LISTED)
+    with written(listed) as rows:
+        release(spark)
+        sizes = rows.where("key is null").select(F.col("doc").alias("d"), "n", "n_b", "apart")
+        known = found.select(F.col("node").alias("node_"), "component")
+        sizes = sizes.join(known, F.col("d") == F.col("node_"), "left").withColumn("comp", F.coalesce("component", "d")).drop("node_", "component")
+        sizes = staged(sizes.withColumn("minor", ~_links(F.col("apart"), F.col("n"), F.col("n_b"), t)))
+        sure = sizes.where("not minor").select(F.col("d").alias("a")).join(measured, "a").where("a <> b").select("a", "b")
+        entries = rows.where("key is not null").select("key", "doc", "place", "small")
+        # a shingle of one document leads nowhere
+        several = entries.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select(F.col("key").alias("k"))
+        met = entries.join(several, F.col("key") == F.col("k"), "left_semi").join(sizes, F.col("doc") == F.col("d")).drop("d", "n_b")
+        met = staged(met)
+    x = met.where("small").select("key", *(F.col(c).alias(f"{c}_x") for c in ("doc", "place", "apart", "n", "minor", "comp")))
+    y = met.where("not small").withColumnRenamed("key", "key_y")
+    shared = F.least(F.col("apart") - F.col("place"), F.col("apart_x") - F.col("place_x"))
+    least = (t.num + t.den) * (F.col("apart") + F.col("apart_x") - 2 * shared) <= (t.den - t.num) * (F.col("n") + F.col("n_x"))
+    fits = ((F.col("key") == F.col("key_y")) & (F.col("comp") != F.col("comp_x")) & (F.col("minor") | F.col("minor_x")) & (F.col("apart_x") <= F.col("apart"))
             & (t.den * F.least("n", "n_x") >= t.num * F.greatest("n", "n_x")) & least)
     across = x.join(y, fits).select(F.greatest("doc", "doc_x").alias("a"), F.least("doc", "doc_x").alias("b")).distinct()
     seen = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     across = staged(across.join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
-    return staged(sure.unionByName(_verified(across, own, t)))
+    release(spark)
+    return staged(sure.unionByName(_verified(across, texts, t)))
 
 
 def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
