@@ -27,7 +27,7 @@ def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["coerce_types", "day_summary", "log_display", "log_timeline", "marker_window", "ordered_scan",
+@pytest.mark.parametrize("name", ["coerce_types", "day_summary", "log_display", "log_timeline", "marker_window", "ordered_scan_whole",
                                   "perf_windows", "progress_speed", "source_max_batch", "batch_ranges"])
 def test_results_do_not_depend_on_the_session_zone(spark, duck, name):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")

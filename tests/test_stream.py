@@ -1,7 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tidemark.plans.state import StateTable, TaskBusy
+from tidemark.spec import SyncSpec
+from tidemark.streaming import marker
 from tidemark.streaming import upsert as stream
 
 SCHEMA = "user_id bigint, event_id bigint, ts timestamp_ntz, event_type string, value double"
@@ -76,3 +81,49 @@ def test_an_older_row_of_a_later_batch_changes_nothing(spark, setup):
     assert [r["event_id"] for r in table.read().collect()] == [9]
     write(row("2024-01-09 00:00:00", 10), 2)
     assert [r["event_id"] for r in table.read().collect()] == [10]
+
+
+@pytest.fixture
+def by_marker(spark, tables, tmp_path):
+    events = tables.events.select("user_id", "event_id", "ts", "event_type", "value")
+    table = stream.target(spark, str(tmp_path / "table"), events.schema, ["user_id"], buckets=4)
+    states, spec = StateTable(spark, str(tmp_path / "state")), SyncSpec("events", keys=("user_id",), marker="ts", order=("event_id",))
+    return events, table, states, lambda df, **k: marker.run(df, table, spec, states, str(tmp_path / "progress"), **k)
+
+
+def test_a_stream_in_marker_order_stops_and_goes_on_from_its_offset(by_marker, tmp_path):
+    events, table, states, run = by_marker
+    assert run(events, rows_per_batch=200, max_batches=2) == 2
+    reached = states.latest("events").last_marker
+    done = events.where(F.col("ts") <= F.lit(reached).cast("timestamp_ntz"))
+    assert 0 < done.count() < events.count() and rows(table.read()) == expected(done)
+    offsets = sorted((tmp_path / "progress" / "offsets").glob("[0-9]*"), key=lambda p: int(p.name))
+    assert json.loads(offsets[1].read_text().splitlines()[-1]) == {"marker": reached}
+    # a batch that was broken off before Spark noted it comes again
+    assert run(events, rows_per_batch=200) in (3, 4) and rows(table.read()) == expected(events)
+    assert run(events, rows_per_batch=200) == 0
+
+
+def test_a_stream_takes_what_has_arrived_beyond_its_marker(by_marker):
+    events, table, states, run = by_marker
+    early = events.where("ts <= timestamp_ntz '2024-01-15 00:00:00'")
+    assert run(early, rows_per_batch=10_000) == 1 and rows(table.read()) == expected(early)
+    more = events.unionByName(events.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("user_id", F.lit(-7).cast("bigint")))
+    assert run(more, rows_per_batch=300) == 2 and rows(table.read()) == expected(events)
+    with states.claim("events"), pytest.raises(TaskBusy):
+        run(events)
+
+
+def test_a_batch_that_was_committed_but_not_recorded_changes_nothing(by_marker, monkeypatch):
+    events, table, states, run = by_marker
+    real = StateTable.save
+
+    def lost(*a, **k):
+        raise SystemError("lost")
+    monkeypatch.setattr(StateTable, "save", lost)
+    with pytest.raises(Exception):
+        run(events, rows_per_batch=500)
+    assert table.current() == 1
+    monkeypatch.setattr(StateTable, "save", real)
+    assert run(events, rows_per_batch=500) == 2
+    assert table.current() == 2 and rows(table.read()) == expected(events)

@@ -14,7 +14,8 @@ from tidemark.functions.lob import decode_binary
 
 def coerced(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """``value`` in the target type, NULL where it cannot be converted. Empty text is NULL for non-text targets, text for a
-    binary target is base64 or a data URI, and a number with a fraction does not become a whole one."""
+    binary target is base64 or a data URI. What the target would cut is no value of it: a fraction for a whole number, digits for a narrower
+    decimal, a time of day for a date."""
     if source == target:
         return value
     if isinstance(target, T.StringType):
@@ -24,9 +25,22 @@ def coerced(value: Column, source: T.DataType, target: T.DataType) -> Column:
     if isinstance(target, T.IntegralType) and isinstance(source, (T.FractionalType, T.DecimalType)):
         whole = value.try_cast(target)
         return F.when(whole.cast(source) == value, whole)  # a fraction would be lost
-    if not isinstance(source, T.StringType):
-        return value.try_cast(target)
-    return F.nullif(F.trim(value), F.lit("")).try_cast(target)
+    given = F.nullif(F.trim(value), F.lit("")) if isinstance(source, T.StringType) else value
+    made = given.try_cast(target)
+    if isinstance(target, T.DecimalType):
+        # digits that the target has no place for would be lost; text is read with all its digits
+        exact = given.try_cast(T.DecimalType(38, min(37, target.scale + 18))) if isinstance(source, T.StringType) else given
+        return F.when(exact.isNull() | (made.cast(exact_type(source, target)) == exact), made)
+    if isinstance(target, T.DateType) and not isinstance(source, T.DateType):
+        # a time of day would be lost
+        at = given.try_cast(T.TimestampNTZType()) if isinstance(source, T.StringType) else given
+        return F.when(at.isNull() | (at == made.cast(T.TimestampNTZType() if isinstance(source, T.StringType) else source)), made)
+    return made
+
+
+def exact_type(source: T.DataType, target: T.DecimalType) -> T.DataType:
+    """The type in which a value and what became of it are compared."""
+    return T.DecimalType(38, min(37, target.scale + 18)) if isinstance(source, T.StringType) else source
 
 
 def _plan(df: DataFrame, target: T.StructType):

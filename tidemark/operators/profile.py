@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,3 +78,37 @@ def candidate_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     each = [F.struct(F.lit(c).alias("column_name"), F.col(f"lo{i}").cast("string").alias("min_value"),
                      F.col(f"hi{i}").cast("string").alias("max_value")) for i, c in enumerate(names)]
     return counts.join(ends.select(F.inline(F.array(*each))), "column_name")
+
+
+#: Column types whose smallest and largest value parquet's statistics hold exactly.
+STATISTICS_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+
+
+def footer_profile(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Per column of a parquet table: rows, NULLs, smallest and largest value as text.
+
+    Counts of all columns, and the bounds of those whose statistics hold them exactly, are aggregates pushed into the files' footers: no column is
+    read. The bounds of the others (texts are cut in statistics, times have none that Spark uses) come from one pass over these columns. Both need
+    settings of the reader, so they run in a session of their own; what they give is one row.
+    """
+    with_footers = spark.newSession()
+    for key, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true")):
+        with_footers.conf.set(key, value)
+    with_footers.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    table = with_footers.read.parquet(path)
+    types = {f.name: f.dataType for f in table.schema}
+    exact = [c for c in columns if isinstance(types[c], STATISTICS_TYPES)]
+    counts = from_footers(table, columns, exact).first()
+    found = {c: (counts["n"], counts["n"] - counts[f"n_{c}"], counts[f"lo_{c}"] if c in exact else None, counts[f"hi_{c}"] if c in exact else None) for c in columns}
+    rest = [c for c in columns if c not in exact]
+    if rest:
+        ends = table.agg(*[f(c).cast("string").alias(f"{k}_{c}") for c in rest for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        found |= {c: (*found[c][:2], ends[f"lo_{c}"], ends[f"hi_{c}"]) for c in rest}
+    rows = [(c, n, nulls, None if lo is None else str(lo), None if hi is None else str(hi)) for c, (n, nulls, lo, hi) in found.items()]
+    return spark.createDataFrame(rows, "column_name string, n_rows long, n_null long, min_value string, max_value string")
+
+
+def from_footers(table: DataFrame, columns: Sequence[str], bounded: Sequence[str]) -> DataFrame:
+    """Counts of ``columns`` and bounds of ``bounded``, in a form that the scan of a parquet table takes over as a whole."""
+    bounds = [f(c).alias(f"{k}_{c}") for c in bounded for k, f in (("lo", F.min), ("hi", F.max))]
+    return table.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in columns], *bounds)

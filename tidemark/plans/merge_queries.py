@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.timing import ntz
-from tidemark.operators import mapping, merge, ranges
+from tidemark.operators import discovery, mapping, merge, ranges
 from tidemark.plans import job, state
 from tidemark.plans.fixtures import NOW, SAVED_COMPLETED, SAVED_GAPS
 from tidemark.plans.registry import query
@@ -13,6 +14,7 @@ from tidemark.plans.state import StateTable
 from tidemark.session import scratch_path, staged
 from tidemark.sinks.versioned import VersionedTable
 from tidemark.spec import MappedField, SyncMode, SyncSpec
+from tidemark.streaming import marker as marker_stream
 from tidemark.streaming import upsert as stream
 
 KEY = ["o_orderkey"]
@@ -64,18 +66,13 @@ def insert_only(t):
     return merge.append(t.orders_tgt, t.orders_src)
 
 
-@query("clean_insert", REPLACE_ORACLE)
-def clean_insert(t):
-    return merge.replace(t.orders_tgt, t.orders_src)
-
-
 @query("clean_insert_whole", f"select o_orderkey, {', '.join(COLS)}, cast(null as varchar) as tgt_only from orders")
 def clean_insert_whole(t):
     """A full load: all orders replace the stale target."""
     return merge.replace(t.orders_tgt, t.orders)
 
 
-@query("merge_counts", """
+MERGE_COUNTS = """
 with j as (select t.o_orderkey as tk, s.o_custkey is not distinct from t.o_custkey
                   and s.o_orderstatus is not distinct from t.o_orderstatus
                   and s.o_totalprice is not distinct from t.o_totalprice
@@ -83,11 +80,22 @@ with j as (select t.o_orderkey as tk, s.o_custkey is not distinct from t.o_custk
                   and s.o_orderpriority is not distinct from t.o_orderpriority as same
            from orders_src s left join orders_tgt t on s.o_orderkey = t.o_orderkey)
 select case when tk is null then 'insert' when same then 'unchanged' else 'update' end as kind, count(*) as n_rows
-from j group by 1""")
+from j group by 1"""
+
+
+@query("merge_counts", MERGE_COUNTS)
 def merge_counts(t):
     return merge.change_counts(t.orders_tgt, t.orders_src, KEY)
 
 
+@query("classify_bitmap", MERGE_COUNTS)
+def classify_bitmap(t):
+    """As merge_counts, but keys that the target lacks are told from bitmaps of its keys; only the others meet its rows."""
+    bitmaps = staged(discovery.key_bitmaps(t.orders_tgt, "o_orderkey"))
+    changes = discovery.classify_by_bitmap(t.orders_tgt, t.orders_src, "o_orderkey", bitmaps)
+    return changes.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = ["l_shipdate", "l_partkey", "l_suppkey"]
 LAST_LINE = ("row_number() over (partition by l_orderkey, l_linenumber "
@@ -437,3 +445,50 @@ def stream_upsert(t):
     source = stream.read_files(t.spark, f"{path}/in", "*.parquet", t.events.select(*columns).schema, files_per_batch=1)
     stream.run_available(source, table, ["ts", "event_id"], f"{path}/progress")
     return table.read()
+
+
+@query("stream_by_marker", """
+select user_id, event_id, ts, event_type, value from events
+qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
+def stream_by_marker(t):
+    """The events as a stream of marker windows, stopped after two batches and started again from the stored marker."""
+    columns = ["user_id", "event_id", "ts", "event_type", "value"]
+    events = t.events.select(*columns)
+    spec = SyncSpec("events", keys=("user_id",), marker="ts", order=("event_id",))
+    path = scratch_path(t.spark, "stream-by-marker")
+    table, state_table = _stored(t, "stream-table", events, ["user_id"])
+    n = -(-events.count() // 5)
+    marker_stream.run(events, table, spec, state_table, path, n, max_batches=2)
+    marker_stream.run(events, table, spec, state_table, path, n)
+    return table.read()
+
+
+@query("blob_coerce", """
+select doc_id, case when text is null or trim(text) = '' then null else md5(text) end as content_md5 from documents where doc_id is not null and doc_id % 3 <> 0""")
+def blob_coerce(t):
+    """Texts as data URIs into a binary column through a run; those of every third row are no base64 and are rejected."""
+    coded = F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"[\r\n]", ""))
+    content = F.when(F.col("doc_id") % 3 == 0, "%no base64%").when(F.trim("text") != "", coded)
+    source = t.documents.select("doc_id", content.alias("content"))
+    path = scratch_path(t.spark, "blob-coerce")
+    table = VersionedTable(t.spark, f"{path}/table", T.StructType.fromDDL("doc_id bigint, content binary"), ["doc_id"], 8)
+    job.run_sync(source, table, SyncSpec("blobs", keys=("doc_id",)), StateTable(t.spark, f"{path}/state"))
+    return table.read().select("doc_id", F.md5("content").alias("content_md5"))
+
+
+@query("coerce_fraction", """
+select event_id, cast(v as bigint) as whole, cast(w as decimal(12,2)) as two_digits, cast(d as date) as day from (
+  select event_id, case when event_id % 4 = 0 then floor(value) + 0.5 else floor(value) end as v,
+         case when event_id % 5 = 0 then floor(value) + 0.125 else floor(value) + 0.25 end as w,
+         case when event_id % 7 = 0 then date_trunc('day', ts) + interval 1 second else date_trunc('day', ts) end as d from events)
+where event_id % 4 <> 0 and event_id % 5 <> 0 and event_id % 7 <> 0""")
+def coerce_fraction(t):
+    """What a narrower type would cut is rejected by the run: fractions, digits, times of day."""
+    e, value, day = F.col("event_id"), F.floor("value").cast("double"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    source = t.events.select("event_id", F.when(e % 4 == 0, value + 0.5).otherwise(value).alias("whole"),
+                             F.when(e % 5 == 0, value + 0.125).otherwise(value + 0.25).alias("two_digits"),
+                             F.when(e % 7 == 0, day + F.make_dt_interval(secs=F.lit(1))).otherwise(day).alias("day"))
+    path = scratch_path(t.spark, "coerce-fraction")
+    table = VersionedTable(t.spark, f"{path}/table", T.StructType.fromDDL("event_id bigint, whole bigint, two_digits decimal(12,2), day date"), ["event_id"], 8)
+    job.run_sync(source, table, SyncSpec("fractions", keys=("event_id",)), StateTable(t.spark, f"{path}/state"))
+    return table.read()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import coerce, lob, predicates
 from tidemark.functions.timing import ntz
-from tidemark.operators import mapping, profile
+from tidemark.operators import discovery, mapping, profile
 from tidemark.plans.registry import query
-from tidemark.sources import scan
+from tidemark.sources import ranged, scan
 from tidemark.spec import MappedField
 
 CUSTOM_SQL = """
@@ -68,20 +70,18 @@ def range_read(t):
     return t.events.select("event_id", predicates.range_number(t.events, "ts", CUTS).alias("range_no"))
 
 
+@query("range_source", "select * from events")
+def range_source(t):
+    """The events through the source whose partitions are planned ranges."""
+    return ranged.read_by_ranges(t.spark, f"{t.folder}/events.parquet", "ts", 8)
+
+
 def _numbered(orders):
     rows = orders.select("o_orderkey", "o_orderdate")
     month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("bigint")
     return scan.ordered_within(rows.withColumn("month_no", month), F.col("month_no"), ["o_orderdate", "o_orderkey"])
 
 
-@query("ordered_scan", """
-select o_orderkey, o_orderdate, year(o_orderdate) * 100 + month(o_orderdate) as month_no,
-       row_number() over (partition by year(o_orderdate) * 100 + month(o_orderdate) order by o_orderdate, o_orderkey) as row_no
-from orders where o_orderdate > timestamp '1999-01-01 00:00:00'""")
-def ordered_scan(t):
-    return _numbered(t.orders.where(predicates.after(t.orders, "o_orderdate", "1999-01-01")))
-
-
 @query("ordered_scan_whole", """
 select o_orderkey, o_orderdate, year(o_orderdate) * 100 + month(o_orderdate) as month_no,
        row_number() over (partition by year(o_orderdate) * 100 + month(o_orderdate) order by o_orderdate, o_orderkey) as row_no
@@ -157,6 +157,31 @@ def key_check(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+KEY_COLUMNS = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                 "l_linestatus", "l_shipdate"],
+}
+
+
+def _minimal_keys(table):
+    """Every set of one or two columns whose values identify each row, without those that hold another."""
+    columns = KEY_COLUMNS[table]
+    sets = [*combinations(columns, 1), *combinations(columns, 2)]
+    unique = ", ".join(f"count(distinct ({', '.join(s)})) = count(*) and {' and '.join(f'count({c}) = count(*)' for c in s)} as u{i}"
+                       for i, s in enumerate(sets))
+    rows = " union all ".join(
+        f"select '{table}' as table_name, '{','.join(s)}' as key_columns from unique_{table} where u{i}"
+        + "".join(f" and not u{j}" for j, k in enumerate(sets[:len(columns)]) if len(s) > 1 and k[0] in s) for i, s in enumerate(sets))
+    return f"unique_{table} as (select {unique} from {table})", rows
+
+
+@query("key_discovery", f"with {', '.join(_minimal_keys(x)[0] for x in KEY_COLUMNS)} {' union all '.join(_minimal_keys(x)[1] for x in KEY_COLUMNS)}")
+def key_discovery(t):
+    rows = [(x, ",".join(k)) for x, columns in KEY_COLUMNS.items() for k in discovery.key_discovery(getattr(t, x), 2, columns)]
+    return t.spark.createDataFrame(rows, "table_name string, key_columns string")
+
+
 # ---- predicates
 
 LOW, HIGH = "2024-01-10 09:30:00.5", "2024-01-20 00:00:00"
@@ -230,6 +255,18 @@ def marker_profile(t):
     return profile.marker_profile(_not_view(t), "ts")
 
 
+FOOTER_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate"]
+
+
+@query("footer_profile", " union all ".join(
+    f"select '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, {f.format(f'min({c})')} as min_value, "
+    f"{f.format(f'max({c})')} as max_value from lineitem" for c in FOOTER_COLUMNS
+    for f in ["strftime({}, '%Y-%m-%d %H:%M:%S')" if c == "l_shipdate" else "cast({} as varchar)"]))
+def footer_profile(t):
+    """Counts and bounds of lineitem's columns out of the files' footers, where these hold them."""
+    return profile.footer_profile(t.spark, f"{t.folder}/lineitem.parquet", FOOTER_COLUMNS)
+
+
 @query("source_max_batch", """
 with maxima as (select 'T0' as source_table, max(o_orderdate) as source_max from orders
                 union all select 'T1', max(l_shipdate) from lineitem union all select 'T2', max(ts) from events)
@@ -288,12 +325,6 @@ def reject_rows(t):
     return coerce.split(t.raw_text, TYPED)[1]
 
 
-@query("column_intersect", """
-select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders_src""")
-def column_intersect(t):
-    return mapping.known_columns(t.orders_src.withColumn("not_in_target", F.lit(1)), t.orders_tgt.schema)
-
-
 @query("column_intersect_whole", """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders""")
 def column_intersect_whole(t):
