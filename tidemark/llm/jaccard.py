@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizing import broadcast_if_small
 from tidemark.session import release, staged, written
 
 from .components import components
@@ -344,21 +345,33 @@ def _against(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     count = pairs.groupBy("b").agg(F.count("*").alias("k")).withColumnRenamed("b", "b_")
     block = F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / MEMBERS)).alias("block")
     dealt = staged(pairs.join(count, F.col("b") == F.col("b_")).select("a", "b", block, "k"))
-    members = dealt.join(texts, F.col("a") == F.col("id")).select("a", "b", "block", "k", "text")
-    heads = dealt.select("b", "block", "k").distinct().join(texts, F.col("b") == F.col("id"))
+    # few pairs go to where the texts are; if they are not few, both are shuffled
+    members = texts.join(broadcast_if_small(dealt), F.col("a") == F.col("id")).select("a", "b", "block", "k", "text")
+    heads = texts.join(broadcast_if_small(dealt.select("b", "block", "k").distinct()), F.col("b") == F.col("id"))
     rows = members.unionByName(heads.select(F.lit(None).cast("long").alias("a"), "b", "block", "k", "text"))
     # a hash of both: blocks of one document go to many tasks
     return rows.repartition(parts, "b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first(), F.xxhash64("text"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs ``a, b`` that link. Most others are ruled out by size and sketch, without loss; only then do texts travel."""
-    marks = texts.select(F.col("id").alias("m"), _sketch(F.col("text"), t).alias("s"))
-    near = pairs.join(marks, F.col("a") == F.col("m")).select("a", "b", F.col("s").alias("s_a"))
-    near = near.join(marks, F.col("b") == F.col("m"))
-    n, m = F.col("s_a.n"), F.col("s.n")
-    near = near.where(t.den * F.least(n, m) >= t.num * F.greatest(n, m))
-    near = near.where((t.num + t.den) * _bits_apart(F.col("s_a.bits"), F.col("s.bits")) <= (t.den - t.num) * (n + m))
+def _marks(texts: DataFrame, t: Threshold) -> DataFrame:
+    """Size and sketch of each set."""
+    s = texts.select(F.col("id").alias("m"), _sketch(F.col("text"), t).alias("s"))
+    return s.select("m", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs ``a, b`` that link. Most others are ruled out without loss, by size, then by sketch; only then do texts travel."""
+    def sized(side: str) -> DataFrame:
+        return marks.select(F.col("m").alias(f"m_{side}"), F.col("n").alias(f"n_{side}"))
+
+    def sketched(side: str) -> DataFrame:
+        return marks.select(F.col("m").alias(f"m_{side}"), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+
+    n, m = F.col("n_a"), F.col("n_b")
+    near = pairs.join(sized("a"), F.col("a") == F.col("m_a")).join(sized("b"), F.col("b") == F.col("m_b"))
+    near = staged(near.where(t.den * F.least(n, m) >= t.num * F.greatest(n, m)).select("a", "b").distinct())
+    near = near.join(sketched("a"), F.col("a") == F.col("m_a")).join(sketched("b"), F.col("b") == F.col("m_b"))
+    near = near.where((t.num + t.den) * _bits_apart(F.col("bits_a"), F.col("bits_b")) <= (t.den - t.num) * (n + m))
     found = _against(staged(near.select("a", "b").distinct()), texts).mapInArrow(_compared(t), _COMPARED)
     return found.where(_links(F.col("apart"), F.col("n"), F.col("n_b"), t)).select("a", "b").distinct()
 
@@ -379,15 +392,16 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = texts.mapInArrow(_entries(t, limit, "id", "text"), _LIST)
     lists = entries.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(_heads, _LIST)
-    with written(lists) as links_by_list:
-        return _joined_up(links_by_list, texts, t)
+    with written(lists) as links_by_list, written(_marks(texts, t)) as marks:
+        release(docs.sparkSession)
+        return _joined_up(links_by_list, texts, marks, t)
 
 
-def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
+def _joined_up(lists: DataFrame, texts: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     """Components from the links ``sig, doc, head`` that may hold; all that is returned has been computed."""
     pairs = staged(lists.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.max(F.col("sig") % 2 != 0).alias("equal")))
     sure = pairs.where("equal").select("a", "b")
-    links = staged(sure.unionByName(_verified(pairs.where("not equal").select("a", "b"), texts, t)))
+    links = staged(sure.unionByName(_verified(pairs.where("not equal").select("a", "b"), texts, marks, t)))
     release(texts.sparkSession)
     found = staged(components(links))
 
@@ -399,7 +413,7 @@ def _joined_up(lists: DataFrame, texts: DataFrame, t: Threshold) -> DataFrame:
     edges = staged(lists.join(open_, F.col("sig") == F.col("open")).select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct())
     if edges.isEmpty():
         return found
-    more = _across(edges, found, links, texts, pairs, t)
+    more = _across(edges, found, links, texts, marks, pairs, t)
     return staged(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
 
@@ -436,9 +450,9 @@ def _listed(t: Threshold, frequency: np.ndarray):
                 head = heads[0]
                 both, place = _in(own, head)
                 added, gone = own[~both], np.delete(head, place)
-                # a shingle of b is a difference of all members that lack it
+                # a shingle of b is a difference of all members that lack it; any order is right, a good one lists what few have
                 often = np.concatenate([frequency[(added & _U(RARITY - 1)).astype(np.int64)],
-                                        np.maximum(0, k - frequency[(gone & _U(RARITY - 1)).astype(np.int64)])])
+                                        np.maximum(k // 16, k - frequency[(gone & _U(RARITY - 1)).astype(np.int64)])])
                 # those of one group only: the document they are measured from is part of the key
                 key = mix(np.concatenate([added, gone]) ^ mix(np.array([b]).view(_U))).view(np.int64)
                 key = key[np.lexsort((key, often))]
@@ -455,7 +469,7 @@ def _listed(t: Threshold, frequency: np.ndarray):
     return run
 
 
-def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
+def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFrame, marks: DataFrame, pairs: DataFrame, t: Threshold) -> DataFrame:
     """Links between components among the documents of ``edges`` (a member of an open list, its head).
 
     Documents that are joined by such edges are a group, and two that link are in one. The member with most links is its
@@ -471,9 +485,8 @@ def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFra
         F.max_by("node", F.struct(F.coalesce("k", F.lit(0)), -F.col("node"))).alias("centre"))
     measured = group.join(centre, F.col("component") == F.col("group_")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     measured = staged(measured)
-    own = texts.join(measured.select(F.col("a").alias("own")), F.col("id") == F.col("own"), "left_semi")
     frequency = np.zeros(RARITY, dtype=np.int64)
-    for r in own.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
     listed = _against(measured, texts).mapInArrow(_listed(t, frequency), _LISTED)
     with written(listed) as rows:
@@ -498,7 +511,7 @@ def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFra
     seen = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
     across = staged(across.join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"))
     release(spark)
-    return staged(sure.unionByName(_verified(across, texts, t)))
+    return staged(sure.unionByName(_verified(across, texts, marks, t)))
 
 
 def jaccard_groups(docs: DataFrame, num: int = 90, den: int = 100, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
