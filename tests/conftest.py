@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2",
-                            spark__driver__memory="4g", spark__log__level="ERROR",
+                            spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__driver__memory="4g", spark__log__level="ERROR",
                             spark__sql__autoBroadcastJoinThreshold="10485760")
     yield session
     session.stop()

@@ -47,7 +47,8 @@ def log_summary(t):
 select id, start_time as exec_time,
        case status when 1 then 'running' when 2 then 'success' when 3 then 'fail' else 'unknown' end as status,
        total_count as rows_total, {SECONDS} as duration_seconds, {DURATION_TEXT} as duration_display,
-       fail_count as error_count, coalesce(error_msg, '无异常上报') as detail_summary
+       coalesce(insert_count, 0) as insert_count, coalesce(update_count, 0) as update_count, coalesce(skip_count, 0) as skip_count,
+       coalesce(fail_count, 0) as error_count, coalesce(error_msg, '无异常上报') as detail_summary
 from run_log""")
 def log_display(t):
     return runlog.log_display(t.run_log)
@@ -64,6 +65,19 @@ def log_timeline(t):
     return runlog.log_timeline(t.run_log)
 
 
+@query("log_detail", f"""
+select id, case status when 1 then 'running' when 2 then 'success' when 3 then 'fail' else 'unknown' end as status, {DURATION_TEXT} as duration,
+       concat(total_count, ' rows') as rows_total, coalesce(insert_count, 0) as insert_count, coalesce(update_count, 0) as update_count,
+       coalesce(fail_count, 0) as error_count, coalesce(skip_count, 0) as skip_count, coalesce(error_msg, '') as errors, case when error_msg is null then 0 else 1 end as n_errors,
+       concat_ws('; ', case when start_time is not null then concat(strftime(start_time, '%H:%M:%S'), ' 任务 ', id, ' 开始执行') end,
+                 case when end_time is not null then concat(strftime(end_time, '%H:%M:%S'), ' ', case when status = 2 then '任务已完成' else '任务执行失败' end,
+                                                            '，总耗时 ', {DURATION_TEXT}) end) as timeline
+from run_log""")
+def log_detail(t):
+    d = runlog.log_detail(t.run_log)
+    return d.withColumns({"n_errors": F.size("errors"), "errors": F.concat_ws("; ", "errors"), "timeline": F.concat_ws("; ", "timeline")})
+
+
 @query("day_summary", f"""
 with d as (select *, coalesce({SECONDS}, 0) as seconds from run_log where cast(start_time as date) = date '{DAY}')
 select count(*) as total_executions, count(*) filter (where status = 2) as success_count,

@@ -26,6 +26,8 @@ select event_id as id, user_id as task_id, concat('Sync T', cast(user_id % 8 as
        case event_type when 'error' then 3 when 'signup' then 1 else 2 end as status,
        cast(cast(floor(value * 10) as int) + 3 as bigint) as total_count,
        cast(floor(value * 10) as int) + 3 - event_id % 3 as success_count, event_id % 3 as fail_count,
+       case when event_id % 5 = 0 then null else event_id % 11 end as insert_count, event_id % 13 as update_count,
+       case when event_id % 6 = 0 then null else event_id % 4 end as skip_count,
        case when event_type = 'error' then concat('failed ', props) end as error_msg,
        ts as start_time,
        case when event_type = 'signup' then null else ts + interval '1' second * (event_id * 37 % 600) end as end_time
