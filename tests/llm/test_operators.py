@@ -221,6 +221,33 @@ def test_words_of_switching_texts_get_their_own_language(documents):
     assert (best[:, :40] == "en").mean() > .9 and (best[:, 40:] == "fr").mean() > .9
 
 
+def test_words_of_texts_in_two_languages_are_runs(llm, documents):
+    model = langid.fit(documents)
+    by = {x: [r.text.split() for r in documents.where((F.col("lang") == x) & (F.length("text") > 900)).orderBy("doc_id").limit(6).collect()] for x in ("de", "en")}
+    mixed = [a[:60] + ["--", "12"] + b[:60] for a, b in zip(by["de"], by["en"])]
+    df = llm.createDataFrame([(i, " ".join(x)) for i, x in enumerate(mixed)] + [(90, None), (91, " \n 12 !"), (92, "")], "doc_id long, text string")
+    got = {r.doc_id: r.runs for r in df.select("doc_id", langid.word_languages(F.col("text"), model).alias("runs")).collect()}
+    right = 0
+    for i, x in enumerate(mixed):
+        assert all(a.stop <= b.start and a.lang != b.lang for a, b in zip(got[i], got[i][1:])) and got[i][-1].stop == len(x)
+        right += sum(("de" if k < 61 else "en") == r.lang for r in got[i] for k in range(r.start, r.stop)) / len(x)
+    assert right / len(mixed) > 0.9 and got[90] == got[91] == got[92] == []
+
+
+def test_a_language_of_long_texts_only_is_learned(llm, documents):
+    """French comes in texts above the sample's length only, one of them very often."""
+    french = [r.text for r in documents.where("lang = 'fr' and length(text) > 500").orderBy("doc_id").limit(24).collect()]
+    english = [(r.doc_id, r.text, "en") for r in documents.where("lang = 'en' and length(text) > 200").orderBy("doc_id").limit(60).collect()]
+    rows = english + [(10_000 + i, (t + " ") * (8001 // len(t) + 1), "fr") for i, t in enumerate(french)]
+    rows += [rows[-1]] * 50 + [(20_000, t, "fr") for t in (rows[-2][1],)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = langid.sample(df).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] <= 150 for r in chosen} == {"en": True, "fr": True}
+    assert langid.sample(df, texts_per_lang=5).count() == 10 and langid.sample(df).agg(F.max(F.length("text"))).first()[0] <= 8000
+    got = langid.identify(df).join(df.select("doc_id", "lang").distinct(), "doc_id")
+    assert got.where("lang = 'fr' and lang_pred = 'fr'").count() > 0.9 * got.where("lang = 'fr'").count()
+
+
 def test_language_of_odd_rows(odd_docs):
     got = langid.identify(odd_docs).collect()
     texts = [r.text for r in odd_docs.collect()]

@@ -163,6 +163,21 @@ class Model:
         return best, np.clip(np.where(best < 0, 0.0, mean.max(axis=1)), 0.0, 1.0)
 
 
+    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        """Per block of texts: number of runs of each text, and first word, word behind the last and label of each run of words alike."""
+        for part in text_blocks(texts):
+            w = Words(part, lower=True)
+            d = Distinct(w)
+            e = factors(d.scores(self.weights))[d.of].astype(np.float32)
+            p = Lattice(np.diff(w.first)).marginals(e, np.exp(self.trans), np.exp(self.start))
+            # words without a letter belong to no run, nor do they end one
+            at = np.flatnonzero(d.letters[d.of] > 0)
+            best, row = p[at].argmax(axis=1), w.row[at]
+            head = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (row[1:] != row[:-1]))[:len(at)])
+            last = np.append(head[1:], len(at))[:len(head)] - 1
+            of = row[head]
+            yield np.bincount(of, minlength=len(part)), at[head] - w.first[of], at[last] - w.first[of] + 1, best[head]
+
 def train(texts: list[str], langs: list[str], rounds: int = 50, seed: int = 7, l2: float = 1e-4) -> Model:
     """Fit by Adam on whole texts and on seeded sequences that switch between texts every few words."""
     labels = sorted(set(langs))
@@ -210,14 +225,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, texts_per_lang: int = SAMPLE_TEXTS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """``text, lang`` of at most ``texts_per_lang`` texts of each language, chosen by the hash of their id."""
-    fit = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-                     & F.coalesce(F.length("text") <= max_chars, F.lit(False)) & F.col("text").rlike(r"\p{L}"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), "doc_id")
-    ids = fit.select("doc_id", "lang").withColumn("n", F.row_number().over(place)).where(F.col("n") <= texts_per_lang)
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
+    """``text, lang`` of at most ``texts_per_lang`` different texts of each language, chosen by the hash of their id.
+
+    Texts of up to ``max_chars`` characters come first; of a longer one, taken where these are too few, the first ``max_chars`` are used for
+    fitting. Repeated rows are one text.
+    """
+    fit = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    part = F.substring("text", 1, max_chars)
+    fit = fit.where(part.rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"), (F.length("text") > max_chars).alias("long"))
+    place = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id", F.lit("langid")), "doc_id", "h")
+    chosen = fit.select("doc_id", "lang", "h", "long").withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= texts_per_lang)
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), F.col("h").alias("hash")).distinct()
     # at most texts_per_lang rows per language
-    return fit.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))).select("text", "lang")
+    found = fit.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")) & (F.col("h") == F.col("hash")))
+    return found.groupBy("id", "lang", "h").agg(F.first(part).alias("text")).select("text", "lang")
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -243,10 +264,27 @@ def language(text: Column, model: Model | None) -> Column:
     return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), run(text)).otherwise(und)
 
 
+def word_languages(text: Column, model: Model) -> Column:
+    """The languages of a text's words, as runs ``start, stop, lang`` by word number (``stop`` exclusive); null and empty texts have none."""
+    kind = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
+
+    @F.arrow_udf("array<struct<start:bigint,stop:bigint,lang:string>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = np.array(model.labels, dtype=object)
+        for texts in batches:
+            for n, start, stop, label in model.runs(texts):
+                spans = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(names[label], pa.string())], fields=list(kind))
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), spans)
+
+    return run(text)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` per row; learns from ``docs`` if no model is given.
 
-    Nothing is shuffled but the sample's ids. Equal texts get equal results; other columns are ignored.
+    Nothing is shuffled but the sample. Equal texts get equal results, repeated rows and rows without an id are rows like others (the latter are never
+    learned from nor held out); null texts and texts without a letter are ``und``; without labelled texts all are; an empty table gives no rows.
+    Other columns are ignored.
     """
     model = model or fit(docs)
     p = docs.select("doc_id", language(F.col("text"), model).alias("p"))
