@@ -20,8 +20,13 @@ ORACLE: dict[str, str] = {}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of rows that go to a Python worker at a time: texts of megabytes then take no more memory than they need.
+BATCH_BYTES = "8m"
+
+
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it, if they don't have it on their path."""
+    """Python workers look for this package where the driver has it, if they don't have it on their path; they get bounded batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     have = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)
