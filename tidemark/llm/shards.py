@@ -1,7 +1,7 @@
 """Training order on disk: every sequence gets a global slot by a keyed permutation, shards hold slots at a fixed stride.
 
-Token lists are laid end to end, an end mark after each, and cut into sequences of one length. A first pass counts the
-sequences of each partition, which gives every sequence an index without gaps. A Feistel network permutes
+Token lists are laid end to end, an end mark after each, and cut into sequences of one length. They are made once and kept packed in the
+shared folder; counts per partition give every sequence an index without gaps. A Feistel network permutes
 the indices; cycle-walking keeps it within their number. Slot s lies in shard ``s // slots_per_shard`` at a byte position
 that follows from s alone, so a reader can begin anywhere and read on.
 """
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import staged
+from tidemark.session import staged, written
 
 from .words import mix
 
@@ -98,47 +98,61 @@ def _sequences(tokens: Callable[[pa.Array], pa.ListArray], layout: Layout, key:
     return run
 
 
+#: Sequences that are packed together before they have their slots.
+GROUP = 256
+_GROUP = "part int, start long, first_key array<string>, n_ids array<long>, body binary"
+
+
 def write_shards(docs: DataFrame, tokens: Callable[[pa.Array], pa.ListArray], path: str, layout: Layout = Layout(), seed: str = "order",
                  key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the sequences of all rows below ``path``; returns ``slot, shard, position, first_key, n_ids``, a row per sequence.
 
-    ``tokens`` makes lists of ids from a column, batch by batch; null and empty lists give nothing. Repeated rows
-    are written as often as they come. An empty table writes nothing. The input is read twice and has to come in the same order:
-    a partition with another number of sequences than counted is an error. A shard appears whole, under its name, by a rename;
-    a repeated task writes the same bytes.
+    ``tokens`` makes lists of ids from a column, batch by batch, once; null and empty lists give nothing. Repeated rows and rows
+    with equal keys are written as often as they come; other columns are ignored, whatever their names. An empty table writes nothing. A shard appears
+    whole, under its name, by a rename; a repeated task writes the same bytes and leaves no other file.
     """
-    d = docs.select(key, text)
-    cut = _sequences(tokens, layout, key, text)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(1 for _ in cut(batches))
-        yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    counted = sorted(tuple(r) for r in d.mapInArrow(count, "part int, n long").collect())  # two numbers per partition
-    first = dict(zip((p for p, _ in counted), np.concatenate([[0], np.cumsum([n for _, n in counted])]).tolist()))
-    sizes, total = dict(counted), sum(n for _, n in counted)
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    cut = _sequences(tokens, layout, "key", "text")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, start, held, pack = TaskContext.get().partitionId(), 0, [], zstandard.ZstdCompressor(3).compress
+
+        def group() -> pa.RecordBatch:
+            ids, keys, used = zip(*held)
+            return pa.record_batch({"part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()),
+                                    "first_key": pa.array([[None if k is None else str(k) for k in keys]], pa.list_(pa.string())),
+                                    "n_ids": pa.array([list(used)], pa.list_(pa.int64())), "body": pa.array([pack(np.concatenate(ids).tobytes())], pa.binary())})
+
+        for x in cut(batches):
+            held.append(x)
+            if len(held) == GROUP:
+                yield group()
+                start += len(held)
+                held.clear()
+        if held:
+            yield group()
+
+    with written(d.mapInArrow(packed, _GROUP)) as groups:
+        # two numbers per partition
+        counted = sorted(tuple(r) for r in groups.groupBy("part").agg(F.sum(F.size("n_ids"))).collect())
+        first = dict(zip((p for p, _ in counted), np.concatenate([[0], np.cumsum([n for _, n in counted])]).tolist()))
+        total = sum(n for _, n in counted)
+        return _dealt(groups, path, layout, seed, first, total)
+
+
+def _dealt(groups: DataFrame, path: str, layout: Layout, seed: str, first: dict[int, int], total: int) -> DataFrame:
     shards = -(-total // layout.slots_per_shard)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done, rows, pack = TaskContext.get().partitionId(), 0, [], zstandard.ZstdCompressor(3).compress
-
-        def batch() -> pa.RecordBatch:
-            slots = permute(np.arange(len(rows)) + first[part] + done - len(rows), total, seed)
-            body, keys, used = zip(*rows)
-            return pa.record_batch({"slot": pa.array(slots), "shard": pa.array((slots // layout.slots_per_shard).astype(np.int32)),
-                                    "first_key": pa.array([None if k is None else str(k) for k in keys], pa.string()),
-                                    "n_ids": pa.array(used, pa.int64()), "body": pa.array(body, pa.binary())})
-
-        for ids, name, used in cut(batches):
-            rows.append((pack(ids.tobytes()), name, used))
-            done += 1
-            if len(rows) == 1024:
-                yield batch()
-                rows.clear()
-        if rows:
-            yield batch()
-        if done != sizes.get(part, 0):
-            raise ValueError("a partition has other rows than when it was counted")
+        pack, unpack = zstandard.ZstdCompressor(3).compress, zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for row in batch.to_pylist():
+                whole, n = unpack(row["body"]), len(row["n_ids"])
+                slots = permute(np.arange(n) + first[row["part"]] + row["start"], total, seed)
+                body = [pack(whole[i * layout.stride:(i + 1) * layout.stride]) for i in range(n)]
+                yield pa.record_batch({"slot": pa.array(slots), "shard": pa.array((slots // layout.slots_per_shard).astype(np.int32)),
+                                       "first_key": pa.array(row["first_key"], pa.string()), "n_ids": pa.array(row["n_ids"], pa.int64()),
+                                       "body": pa.array(body, pa.binary())})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
@@ -146,28 +160,37 @@ def write_shards(docs: DataFrame, tokens: Callable[[pa.Array], pa.ListArray], pa
 
         def close():
             open_.close()
-            store.move(temporary, f"{root}/{shard_name(shard)}")
-
-        for batch in batches:
-            numbers, slots = batch["shard"].to_pylist(), batch["slot"].to_pylist()
-            for n, slot, body in zip(numbers, slots, batch["body"].to_pylist(), strict=True):
-                if n != shard:
-                    if open_:
-                        close()
-                    shard, temporary = n, f"{root}/.{shard_name(n)}-{uuid.uuid4().hex}"
-                    open_ = store.open_output_stream(temporary)
-                if open_.tell() != layout.place(slot)[1]:
-                    raise ValueError("a slot is missing")
-                open_.write(unpack(body))
-            at = np.array(slots, dtype=np.int64) % layout.slots_per_shard * layout.stride
-            yield pa.record_batch({"slot": batch["slot"], "shard": batch["shard"], "position": pa.array(at), "first_key": batch["first_key"], "n_ids": batch["n_ids"]})
-        if open_:
-            close()
+            final = f"{root}/{shard_name(shard)}"
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                store.move(temporary, final)
+            else:  # an attempt before this one wrote the same bytes
+                store.delete_file(temporary)
+
+        try:
+            for batch in batches:
+                numbers, slots = batch["shard"].to_pylist(), batch["slot"].to_pylist()
+                for n, slot, body in zip(numbers, slots, batch["body"].to_pylist(), strict=True):
+                    if n != shard:
+                        if open_:
+                            close()
+                        shard, temporary = n, f"{root}/.{shard_name(n)}-{uuid.uuid4().hex}"
+                        open_ = store.open_output_stream(temporary)
+                    if open_.tell() != layout.place(slot)[1]:
+                        raise ValueError("a slot is missing")
+                    open_.write(unpack(body))
+                at = np.array(slots, dtype=np.int64) % layout.slots_per_shard * layout.stride
+                yield pa.record_batch({"slot": batch["slot"], "shard": batch["shard"], "position": pa.array(at), "first_key": batch["first_key"], "n_ids": batch["n_ids"]})
+            if open_:
+                close()
+        except BaseException:
+            if open_ and store.get_file_info(temporary).type != fs.FileType.NotFound:
+                store.delete_file(temporary)
+            raise
 
     if total:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root)
-    sequences = d.mapInArrow(number, "slot long, shard int, first_key string, n_ids long, body binary")
+    sequences = groups.mapInArrow(number, "slot long, shard int, first_key string, n_ids long, body binary")
     dealt = sequences.repartitionById(max(1, shards), "shard").sortWithinPartitions("slot")
     return staged(dealt.mapInArrow(write, "slot long, shard int, position long, first_key string, n_ids long"))
 
