@@ -33,7 +33,7 @@ from tidemark.session import release, staged, written
 from .components import components
 from .words import Words, mix, text_blocks
 
-#: More parts than needed, so that an equal part is not empty; sets with as many empty parts list these too.
+#: Least number of parts beyond those needed. Sets with more empty parts than a class has to spare list these, too.
 SLACK = 2
 #: What an entry of an inverted list costs in entries of a subset list: it can lead to a comparison of texts.
 LIST_COST = 4
@@ -85,8 +85,20 @@ class Classes:
         top = self.starts[tag + 1] - 1
         return 2 * top * (self.t.den - self.t.num) // (self.t.den + self.t.num)
 
+    def spare(self, tag: int) -> int:
+        """Parts beyond those needed, so many that hardly a set leaves as many empty: an equal part of two sets then holds something.
+
+        The smallest sets that are listed under ``tag``, those of the class below, leave about m exp(-n / m) of m parts empty.
+        """
+        n, spare = self.starts[max(tag - 1, 0)], SLACK
+        for _ in range(4):
+            m = self.differences(tag) + 1 + spare
+            empty = m * math.exp(-n / m)
+            spare = max(SLACK, math.ceil(empty + 4 * math.sqrt(empty)))
+        return spare
+
     def parts(self, tag: int) -> int:
-        return self.differences(tag) + 1 + SLACK
+        return self.differences(tag) + 1 + self.spare(tag)
 
 
 def subset_sizes(a: int, t: Threshold) -> list[int]:
@@ -155,7 +167,7 @@ def signatures(texts: pa.Array, t: Threshold, limit: int) -> tuple[np.ndarray, n
         classes = Classes(t)
         classes.upto(int(size.max()))
         class_of = np.searchsorted(classes.starts, size, side="right") - 1
-        table = np.array([classes.parts(i) for i in range(int(class_of.max()) + 2)])
+        table, spare = (np.array([f(i) for i in range(int(class_of.max()) + 2)]) for f in (classes.parts, classes.spare))
         member = listed[row]
         for step in (0, 1):
             tag = class_of + step
@@ -166,7 +178,7 @@ def signatures(texts: pa.Array, t: Threshold, limit: int) -> tuple[np.ndarray, n
             low, high = (np.bincount(cell, (x & _U(0xFFFFFFFF)).astype(np.float64), begin[-1]).astype(_U) for x in (g[member], g[member] >> _U(32)))
             owner = np.repeat(np.arange(rows), m)
             part = np.arange(begin[-1]) - begin[owner]
-            empty = np.bincount(owner, n == 0, rows) > SLACK
+            empty = np.bincount(owner, n == 0, rows) > spare[np.maximum(tag, 0)]
             use = (n > 0) | empty[owner]
             value = mix(low + mix(high + mix((tag[owner].astype(_U) << _U(32)) + part.astype(_U) + _U(3 << 60))))
             add(owner[use], value[use])
