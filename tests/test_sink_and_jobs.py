@@ -437,6 +437,20 @@ def test_queries_of_jobs_go_through_the_job(spark, tables, monkeypatch, name, n)
     assert len(runs) == n and bool(advances) == (name == "marker_advance")
 
 
+def test_a_table_is_given_another_number_of_buckets(spark, where):
+    b = Bench(spark, where)
+    b.run(frame(spark, [(i, i, "a") for i in range(200)]))
+    before, other = rows(b.table.read()), table_of(spark, where("target"))
+    base = other.current()
+    assert b.table.rebucket(16) == 2 and b.table.rebucket(16) == 2 and rows(b.table.read()) == before
+    assert len(b.table.manifest()["folders"]) == 16 and {int(k) for k in b.table.manifest()["folders"]} == set(b.table.touched(b.table.read()))
+    with pytest.raises(ConcurrentChange):
+        other.write(frame(spark, [(1, 1, "lost")]), base=base)
+    b.run(frame(spark, [(5, 500, "b"), (900, 900, "b")]))  # a merge finds its keys in the new buckets
+    assert b.table.read().where("v = 'b'").count() == 2 and b.table.read().count() == 201
+    assert table_of(spark, where("target")).rebucket() == 4 and len(b.table.manifest()["folders"]) == 1 and b.table.read().count() == 201
+
+
 # ---- claims, interruption, side by side, cost of a run
 
 def jobs_of(spark, fn):

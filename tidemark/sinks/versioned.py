@@ -25,7 +25,7 @@ class ConcurrentChange(RuntimeError):
 
 
 class VersionedTable:
-    """``buckets`` counts for a new table only: an existing one keeps its own, and its keys and key types must be the same."""
+    """``buckets`` counts for a new table only: an existing one keeps its own until :meth:`rebucket`, and its keys and key types must be the same."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Iterable[str], buckets: int = 64):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -97,7 +97,7 @@ class VersionedTable:
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         return rows.withColumns({"_how": F.lit(how), "_bucket": self.bucket(df)}).hint("rebalance", "_bucket")
 
-    def _commit(self, rows: DataFrame, whole: bool, tag: str, base: int | None) -> int:
+    def _commit(self, rows: DataFrame, whole: bool, tag: str, base: int | None, buckets: int | None = None) -> int:
         base = self.current() if base is None else base
         old = self.manifest(base)
         data = f"data-{uuid.uuid4().hex}"
@@ -108,7 +108,7 @@ class VersionedTable:
                 name = status.getPath().getName()
                 bucket, folder = name.partition("=")[2], f"{data}/_how={how}/{name}"
                 folders[bucket] = [folder] if how == "replace" else [*folders.get(bucket, []), folder]
-        self._publish(base + 1, {"keys": self._keys(), "buckets": self.buckets, "tag": tag,
+        self._publish(base + 1, {"keys": self._keys(), "buckets": buckets or self.buckets, "tag": tag,
                                  "tags": {**old["tags"], self._family(tag): tag}, "folders": folders})
         return base + 1
 
@@ -148,6 +148,25 @@ class VersionedTable:
         many = [int(b) for b, paths in self.manifest(base)["folders"].items() if len(paths) > folders]
         return self.change(self.read(many, base), None, "compact", base) if many else base
 
+    def size(self) -> int:
+        """Bytes of the newest version's files."""
+        folders = {p for paths in self.manifest()["folders"].values() for p in paths}
+        return sum(s.getLen() for p in folders for s in self._list(p))
+
+    def rebucket(self, buckets: int | None = None, bucket_bytes: int = 256 << 20) -> int:
+        """Rewrite the table with another number of buckets, by default as many as make them about ``bucket_bytes`` large. A change rewrites
+        whole buckets, so a table that has grown is given more. A writer that began before fails, as after any other commit."""
+        base = self.current()
+        buckets = buckets or max(1, -(-self.size() // bucket_bytes))
+        rows = self.read(version=base)
+        if buckets == self.buckets or not base:
+            return base
+        number = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(buckets)).cast("int")
+        placed = rows.withColumns({"_how": F.lit("replace"), "_bucket": number}).hint("rebalance", "_bucket")
+        version = self._commit(placed, True, "rebucket", base, buckets)
+        self.buckets = buckets
+        return version
+
     def expire(self, keep: int = 1, seconds: float = 7 * 86400) -> int:
         """Delete all versions but the newest ``keep``, and data folders that none of those names and that are older than
         ``seconds``, which leaves the folders of running writers and readers alone. Returns the number of folders deleted."""
