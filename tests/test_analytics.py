@@ -137,3 +137,14 @@ def test_tasks_and_schedules(spark):
     empty = spark.createDataFrame([], LOG)
     stats = runlog.with_stats(runlog.active(tasks), empty)
     assert runlog.global_success_rate(stats).first()["success_rate"] == 100.0
+
+
+def test_run_detail_has_counts_events_and_errors(spark):
+    log = log_of(spark, [(1, 7, 2, 10, 9, 1, "2024-01-15 10:00:00", "2024-01-15 10:01:05"), (2, 7, 1, 0, 0, 0, "2024-01-15 11:00:00", None)])
+    full = log.withColumns({"insert_count": F.lit(4), "update_count": F.when(F.col("id") == 1, 5), "skip_count": F.lit(2).cast("bigint"),
+                            "error_msg": F.when(F.col("id") == 1, "lost")})
+    got = {r["id"]: r for r in runlog.log_detail(full).collect()}
+    assert (got[1].insert_count, got[1].update_count, got[1].error_count, got[1].skip_count, got[1].errors) == (4, 5, 1, 2, ["lost"])
+    assert got[1].timeline == ["10:00:00 任务 1 开始执行", "10:01:05 任务已完成，总耗时 1m 5s"] and got[1].rows_total == "10 rows"
+    assert (got[2].update_count, got[2].errors, got[2].timeline, got[2].duration) == (0, [], ["11:00:00 任务 2 开始执行"], "-")
+    assert runlog.log_detail(log).agg(F.sum("insert_count")).first()[0] == 0  # a log without these columns

@@ -99,16 +99,17 @@ def duration_text() -> Column:
             .otherwise(F.concat(s.cast("string"), F.lit("s"))))
 
 
-def _counted(name: str, alias: str | None = None) -> Column:
-    """A count of the run, 0 where it was not taken."""
-    return F.coalesce(name, F.lit(0)).cast("bigint").alias(alias or name)
+def _counted(log: DataFrame, name: str, alias: str | None = None) -> Column:
+    """A count of the run, 0 where it was not taken or the log has no such column."""
+    count = F.coalesce(name, F.lit(0)) if name in log.columns else F.lit(0)
+    return count.cast("bigint").alias(alias or name)
 
 
 def log_display(log: DataFrame) -> DataFrame:
     return log.select("id", F.col("start_time").alias("exec_time"), status_label().alias("status"),
                       F.col("total_count").alias("rows_total"), duration_seconds().alias("duration_seconds"),
-                      duration_text().alias("duration_display"), _counted("insert_count"), _counted("update_count"),
-                      _counted("skip_count"), _counted("fail_count", "error_count"),
+                      duration_text().alias("duration_display"), _counted(log, "insert_count"), _counted(log, "update_count"),
+                      _counted(log, "skip_count"), _counted(log, "fail_count", "error_count"),
                       F.coalesce("error_msg", F.lit(NO_ERROR_TEXT)).alias("detail_summary"))
 
 
@@ -118,7 +119,7 @@ def log_detail(log: DataFrame) -> DataFrame:
     timeline = events.select(F.col("id").alias("_id"), F.transform("e", lambda x: F.concat_ws(" ", x["clock"], x["event"])).alias("timeline"))
     errors = F.when(F.col("error_msg").isNull(), F.array().cast("array<string>")).otherwise(F.array("error_msg"))
     shown = log.select("id", status_label().alias("status"), duration_text().alias("duration"), F.concat(F.col("total_count").cast("string"), F.lit(" rows")).alias("rows_total"),
-                       _counted("insert_count"), _counted("update_count"), _counted("fail_count", "error_count"), _counted("skip_count"), errors.alias("errors"))
+                       _counted(log, "insert_count"), _counted(log, "update_count"), _counted(log, "fail_count", "error_count"), _counted(log, "skip_count"), errors.alias("errors"))
     return shown.join(timeline, F.col("id") == F.col("_id"), "left").drop("_id")
 
 
