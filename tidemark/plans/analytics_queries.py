@@ -49,9 +49,9 @@ select id, start_time as exec_time,
        total_count as rows_total, {SECONDS} as duration_seconds, {DURATION_TEXT} as duration_display,
        coalesce(insert_count, 0) as insert_count, coalesce(update_count, 0) as update_count, coalesce(skip_count, 0) as skip_count,
        coalesce(fail_count, 0) as error_count, coalesce(error_msg, '无异常上报') as detail_summary
-from run_log""")
+from run_log_counts""")
 def log_display(t):
-    return runlog.log_display(t.run_log)
+    return runlog.log_display(t.run_log_counts)
 
 
 @query("log_timeline", f"""
@@ -72,9 +72,9 @@ select id, case status when 1 then 'running' when 2 then 'success' when 3 then '
        concat_ws('; ', case when start_time is not null then concat(strftime(start_time, '%H:%M:%S'), ' 任务 ', id, ' 开始执行') end,
                  case when end_time is not null then concat(strftime(end_time, '%H:%M:%S'), ' ', case when status = 2 then '任务已完成' else '任务执行失败' end,
                                                             '，总耗时 ', {DURATION_TEXT}) end) as timeline
-from run_log""")
+from run_log_counts""")
 def log_detail(t):
-    d = runlog.log_detail(t.run_log)
+    d = runlog.log_detail(t.run_log_counts)
     return d.withColumns({"n_errors": F.size("errors"), "errors": F.concat_ws("; ", "errors"), "timeline": F.concat_ws("; ", "timeline")})
 
 

@@ -22,6 +22,16 @@ DAY = "2024-01-15"
 DERIVED = {
     # every event as one run of the task numbered like its user
     "run_log": """
+select event_id as id, user_id as task_id, concat('Sync T', cast(user_id % 8 as string)) as task_name,
+       case event_type when 'error' then 3 when 'signup' then 1 else 2 end as status,
+       cast(cast(floor(value * 10) as int) + 3 as bigint) as total_count,
+       cast(floor(value * 10) as int) + 3 - event_id % 3 as success_count, event_id % 3 as fail_count,
+       case when event_type = 'error' then concat('failed ', props) end as error_msg,
+       ts as start_time,
+       case when event_type = 'signup' then null else ts + interval '1' second * (event_id * 37 % 600) end as end_time
+from events""",
+    # the same with what each run changed
+    "run_log_counts": """
 select event_id as id, user_id as task_id, concat('Sync T', cast(user_id % 8 as string)) as task_name,
        case event_type when 'error' then 3 when 'signup' then 1 else 2 end as status,
        cast(cast(floor(value * 10) as int) + 3 as bigint) as total_count,
