@@ -24,7 +24,7 @@ NGRAMS = (2, 3, 4)
 AFFIXES = (1, 2, 3)
 UNKNOWN = "und"
 #: Words that are decoded together.
-DECODE_WORDS = 1 << 20
+DECODE_WORDS = 1 << 19
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
