@@ -136,7 +136,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
 
 def repeated(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2,
              seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, one cut to its first words where the fraction ends."""
+    """The mix itself: each row of ``docs`` as often as it is taken, one cut to its first words where the fraction ends.
+
+    Null and empty texts have no words and are never taken. A null source is a source of its own, the last one; rows without a doc_id have a
+    place like others, and repeated rows are rows. An empty table gives none. All columns of ``docs`` stay.
+    """
     size, place = words_of(F.col(text)), seeded(F.col(doc_id), seed)
     sizes = staged(docs.select(F.col(source).alias("source"), size.alias("size"), place.alias("place")))
     mixed = apply_plan(docs, mixing_plan(sizes, weights, share, max_epochs), size, place, source, "__mix")
