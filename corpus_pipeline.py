@@ -45,14 +45,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents as often as their source's target asks."""
+    """The mixture: documents as often as their source's target asks; null and empty texts hold no words and are not taken."""
     workers_find_package(spark)
     d = mixing.repeated(docs)
     return d.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and the decoded documents, a row per document of the mixture."""
+    """Token counts and digests of the encoded and the decoded documents, a row per document of the mixture; a null text is encoded as an empty one."""
     workers_find_package(spark)
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(bpe.encode(docs, vocabulary), vocabulary)
