@@ -48,8 +48,8 @@ def filter_urls(captures: DataFrame, valid: DataFrame, kinds: dict[str, str], pa
 
     ``kinds`` says for each list_id whether it blocks or allows. An allowing rule wins over blocking ones. Equal rows of
     ``captures`` are one capture. A null or odd URL meets no rule and a null time no entry: the verdict is ``pass``.
-    No captures give no rows, no entries let every capture pass; columns other than the three are ignored, whatever their names, and so are very long
-    URLs' lengths: each has a key per parent of its host. Times are whole seconds. Only keys and times are shuffled, never page bodies, and a join with frequent
+    No captures give no rows, and without entries every capture passes. Other columns are ignored, whatever their names; a very long URL has
+    a key per parent of its host. Times are whole seconds. Only keys and times are shuffled, never page bodies, and a join with frequent
     hosts is split by Spark, as its sides are shuffled for it alone.
     """
     c = captures.select(page, url, fetched).distinct()
