@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import handing_back
+
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Ids that are put in place together.
@@ -204,11 +206,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     kind = pa_type(d.schema[key].dataType)
     # in a fixed order, as the texts are cut once for their words and once for their codes
     d = d.sortWithinPartitions(key, F.xxhash64(text))
-    words, texts = (d.mapInArrow(_pretokens(vocabulary.pattern, key, text, buckets, x), _ROWS_SQL) for x in (False, True))
-    ids = words.repartition(buckets, "goes_to").mapInArrow(_encode_words(vocabulary), _ROWS_SQL)
+    words, texts = (d.mapInArrow(handing_back(_pretokens(vocabulary.pattern, key, text, buckets, x)), _ROWS_SQL) for x in (False, True))
+    ids = words.repartition(buckets, "goes_to").mapInArrow(handing_back(_encode_words(vocabulary)), _ROWS_SQL)
     placed = ids.unionByName(texts).repartition(buckets, "block").sortWithinPartitions("block", "is_text")
     out = T.StructType([T.StructField(key, d.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return placed.mapInArrow(_place(key, kind), out)
+    return placed.mapInArrow(handing_back(_place(key, kind)), out)
 
 
 def pa_type(kind: T.DataType) -> pa.DataType:

@@ -31,7 +31,7 @@ from tidemark.operators.sizing import broadcast_if_small
 from tidemark.session import release, staged, written
 
 from .components import components
-from .words import Words, mix, text_blocks
+from .words import Words, handing_back, mix, text_blocks
 
 #: Least number of parts beyond those needed. Sets with more empty parts than a class has to spare list these, too.
 SLACK = 2
@@ -384,7 +384,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, marks: DataFrame, t: Threshold
     near = staged(near.where(t.den * F.least(n, m) >= t.num * F.greatest(n, m)).select("a", "b").distinct())
     near = near.join(sketched("a"), F.col("a") == F.col("m_a")).join(sketched("b"), F.col("b") == F.col("m_b"))
     near = near.where((t.num + t.den) * _bits_apart(F.col("bits_a"), F.col("bits_b")) <= (t.den - t.num) * (n + m))
-    found = _against(staged(near.select("a", "b").distinct()), texts).mapInArrow(_compared(t), _COMPARED)
+    found = _against(staged(near.select("a", "b").distinct()), texts).mapInArrow(handing_back(_compared(t)), _COMPARED)
     return found.where(_links(F.col("apart"), F.col("n"), F.col("n_b"), t)).select("a", "b").distinct()
 
 
@@ -402,7 +402,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     limit = boundary(t)
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = texts.mapInArrow(_entries(t, limit, "id", "text"), _LIST)
+    entries = texts.mapInArrow(handing_back(_entries(t, limit, "id", "text")), _LIST)
     lists = entries.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(_heads, _LIST)
     with written(lists) as links_by_list, written(_marks(texts, t)) as marks:
         release(docs.sparkSession)
@@ -500,7 +500,7 @@ def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFra
     frequency = np.zeros(RARITY, dtype=np.int64)
     for r in texts.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
-    listed = _against(measured, texts).mapInArrow(_listed(t, frequency), _LISTED)
+    listed = _against(measured, texts).mapInArrow(handing_back(_listed(t, frequency)), _LISTED)
     with written(listed) as rows:
         release(spark)
         sizes = rows.where("key is null").select(F.col("doc").alias("d"), "n", "n_b", "apart")

@@ -6,6 +6,8 @@ bytes that occur in no other character, so words are found on bytes, without dec
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def handing_back(run):
+    """A task's function that, at its end, hands the memory it has freed back to the system; an idle worker would keep it."""
+    def tidy(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return tidy
+
+
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[pa.Array]:
     """Slices of a string array with at most ``limit`` bytes, or one text."""
     for part in blocks(pa.record_batch({"text": texts}), "text", limit):
