@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -34,3 +35,25 @@ def test_ngrams_do_not_cross_rows_and_equal_runs_have_equal_hashes():
     assert r[0] == r[1] != r[2]
     later, shared = later_copies(np.array([5, 3, 5, 4], dtype=np.uint64))
     assert later.tolist() == [False, False, True, False] and shared.tolist() == [True, False, True, False]
+
+
+def test_workers_give_freed_arrays_back_to_the_system(spark):
+    from tidemark.llm.queries import WORKER_MEMORY, workers_find_package
+
+    workers_find_package(spark)
+
+    def retained(batches):
+        import pyarrow as pa
+
+        def resident():
+            return int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+        for batch in batches:
+            before = resident()
+            arrays = [np.ones(1 << 19) for _ in range(60)]  # of 4 MB each; every other one goes first
+            kept = arrays[1::2]
+            del arrays
+            many, least = resident() - before, 8 * len(kept)
+            yield pa.record_batch({"ok": pa.array([many < 4 * len(kept) + least and all(os.environ[k] == v for k, v in WORKER_MEMORY.items())])})
+
+    assert spark.range(1).mapInArrow(retained, "ok boolean").first()["ok"]

@@ -44,7 +44,7 @@ SKETCH = 4
 #: Documents that are compared with one document by a task.
 MEMBERS = 256
 #: Signatures that one task combines before they are shuffled.
-COMBINE = 1 << 20
+COMBINE = 1 << 19
 
 _U = np.uint64
 
@@ -270,6 +270,7 @@ def _sketch(text: Column, t: Threshold) -> Column:
     that link only by chance look alike at any size; sketches of twice the buckets fold into those of half.
     """
     @F.arrow_udf("struct<n:bigint,bits:array<bigint>>")
+    @handing_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             for part in text_blocks(texts):

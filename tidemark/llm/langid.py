@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, mix, text_blocks
+from .words import Words, handing_back, mix, text_blocks
 
 #: Bound of the training sample: texts per language and characters per text. Longer texts are not sampled.
 SAMPLE_TEXTS, SAMPLE_CHARS = 150, 8000
@@ -24,7 +24,7 @@ NGRAMS = (2, 3, 4)
 AFFIXES = (1, 2, 3)
 UNKNOWN = "und"
 #: Words that are decoded together.
-DECODE_WORDS = 1 << 19
+DECODE_WORDS = 1 << 17
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -252,6 +252,7 @@ def language(text: Column, model: Model | None) -> Column:
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @handing_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             best, score = model.label(texts)

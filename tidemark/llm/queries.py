@@ -22,11 +22,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of rows that go to a Python worker at a time: texts of megabytes then take no more memory than they need.
 BATCH_BYTES = "8m"
+#: Settings of the C library in Python workers: arrays of 256 KB and more are mapped, so an idle worker keeps none of them, nor do fragments of its heap.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(256 << 10), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it, if they don't have it on their path; they get bounded batches."""
+    """Python workers look for this package where the driver has it, if they don't have it on their path; they get bounded batches, and
+    large arrays go back to the system as soon as they are freed."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     have = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)

@@ -7,6 +7,7 @@ bytes that occur in no other character, so words are found on bytes, without dec
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Iterator
 
@@ -48,6 +49,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def handing_back(run):
     """A task's function that, at its end, hands the memory it has freed back to the system; an idle worker would keep it."""
+    @functools.wraps(run)
     def tidy(batches: Iterator) -> Iterator:
         yield from run(batches)
         gc.collect()
