@@ -38,6 +38,21 @@ def test_sets_that_cannot_be_keys_are_not_counted(spark, monkeypatch):
     assert discovery.key_discovery(df, 3) == [("k",)] and counted == [("k",)]
 
 
+def test_sets_with_few_copies_are_ruled_out_before_they_are_counted(spark, monkeypatch):
+    n = 20_000
+    df = spark.range(n).select((F.col("id") % 200).alias("a"), F.expr("cast(id / 200 as int) % 95").alias("b"), F.expr("cast(id / 200 as int)").alias("c"))
+    counted, real = [], F.count_distinct
+    monkeypatch.setattr(discovery.F, "count_distinct", lambda *c: counted.append(c) or real(*c))
+    # (a, b) has copies of one row in twenty, which a sketch cannot tell
+    assert discovery.key_discovery(df, 2) == [("a", "c")] and counted == [("a", "c")]
+
+
+def test_a_slice_compares_values_of_any_type(spark):
+    df = spark.createDataFrame([(1, "x", 0.0, b"a"), (1, "y", -0.0, b"a"), (2, "x", float("nan"), b"b"), (2, "z", float("nan"), b"c")], "a int, s string, d double, b binary")
+    sets = [("a",), ("s",), ("d",), ("b",), ("a", "s"), ("a", "d"), ("s", "b")]
+    assert discovery._without_copies(df, sets, 1) == [("a", "s"), ("s", "b")]
+
+
 def test_bitmaps_tell_which_keys_are_there(spark):
     keys = [0, 1, 7, 8, 32767, 32768, 40000, -1, -32768, -32769, 10 ** 12]
     target = spark.createDataFrame([(k, "a") for k in keys], "k long, v string")

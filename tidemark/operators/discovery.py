@@ -14,8 +14,8 @@ from tidemark.operators.mapping import known_columns
 
 #: Relative standard deviation of the sketches that count distinct values, and how many of them a key may seem to lack.
 SKETCH_RSD, SLACK = 0.02, 6
-#: Column sets that are counted exactly by one job.
-EXACT_AT_ONCE = 8
+#: Shares of the values, by their hash, that are searched for one that comes twice, and column sets that are searched by one job.
+SLICES, AT_ONCE = (1024, 32), 16
 
 
 def key_discovery(df: DataFrame, max_columns: int = 2, columns: Sequence[str] | None = None) -> list[tuple[str, ...]]:
@@ -23,8 +23,8 @@ def key_discovery(df: DataFrame, max_columns: int = 2, columns: Sequence[str] |
     another. Decimal order of the columns.
 
     Level by level: the sets of a level are those that hold no key found before and whose columns have enough distinct values between them.
-    Sketches count the distinct values of all of them in one pass; only the sets that may be keys are counted exactly. What reaches
-    the driver are counts, one per set of columns. An empty table has no keys to tell.
+    A set is no key once a slice of its values holds one twice, or a sketch counts too few; what is left is counted exactly over the whole
+    table, a set at a time. What reaches the driver are counts, one per set of columns. An empty table has no keys to tell.
     """
     names = list(columns or [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))])
     n, *filled = df.agg(F.count(F.lit(1)), *[F.count(c) for c in names]).first()
@@ -36,19 +36,40 @@ def key_discovery(df: DataFrame, max_columns: int = 2, columns: Sequence[str] |
         level = [s for s in combinations(names, size) if not any(set(k) <= set(s) for k in keys)]
         if size > 1:
             level = [s for s in level if _product(distinct[c] for c in s) >= least]
+            for slices in SLICES:
+                level = _without_copies(df, level, slices)
         if not level:
             continue
         seen = df.agg(*[F.approx_count_distinct(_value(s), SKETCH_RSD).alias(f"c{i}") for i, s in enumerate(level)]).first()
         if size == 1:
             distinct = {s[0]: max(1, seen[i]) * (1 + SLACK * SKETCH_RSD) for i, s in enumerate(level)}
         maybe = [s for i, s in enumerate(level) if seen[i] >= least]
-        for at in range(0, len(maybe), EXACT_AT_ONCE):
-            part = maybe[at:at + EXACT_AT_ONCE]
-            exact = df.agg(*[F.count_distinct(*s).alias(f"c{i}") for i, s in enumerate(part)]).first()
-            keys += [s for i, s in enumerate(part) if exact[i] == n]
+        if size == 1:
+            for slices in SLICES:
+                maybe = _without_copies(df, maybe, slices)
+        for s in maybe:
+            # nearly all values differ, so combining them before the shuffle would only fill memory
+            if df.select(*s).repartition(*s).agg(F.count_distinct(*s)).first()[0] == n:
+                keys.append(s)
     return keys
 
 
+def _without_copies(df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int) -> list[tuple[str, ...]]:
+    """The sets of filled columns that hold no value twice among those whose hash falls into one of ``slices`` slices."""
+    left = []
+    for at in range(0, len(sets), AT_ONCE):
+        part = sets[at:at + AT_ONCE]
+        names = [c for c in df.columns if any(c in s for s in part)]
+        # a value is compared in the columns of its set, not by its hash
+        values = [F.when(F.pmod(F.xxhash64(*s), F.lit(slices)) == 0, F.struct(F.lit(i).alias("_set"), *[
+            (F.col(c) if c in s else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in names])) for i, s in enumerate(part)]
+        found = df.select(F.explode(F.array_compact(F.array(*values))).alias("v")).select("v.*")
+        twice = found.groupBy("_set", *names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_set").distinct()
+        gone = {r["_set"] for r in twice.collect()}
+        left += [s for i, s in enumerate(part) if i not in gone]
+    return left
+
+
 def _value(columns: Sequence[str]) -> Column:
     return F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
 
