@@ -582,3 +582,27 @@ def test_a_run_is_a_few_jobs_whatever_was_done_before(spark, where):
     more = source.union(source.withColumn("k", F.col("k") + 1000).withColumn("m", F.col("m") + 1000))
     again = jobs_of(spark, lambda: job.run_sync(more, b.table, b.spec, b.state, NOW))
     assert again <= 12 and b.table.read().count() == 2000, again
+
+
+@pytest.mark.parametrize("guard", [(), ("v",)])
+def test_a_large_merge_does_in_one_pass_what_a_small_one_does(spark, where, monkeypatch, guard):
+    schema = "k int, j string, v int, kept string"
+    old = [(i, f"j{i % 3}", i, "old") for i in range(60)] + [(7, "j1", 99, "again"), (None, "j0", 1, "no key"), (None, "j0", 1, "no key"), (3, None, 2, "half a key")]
+    new = [(i, f"j{i % 3}", i if i % 4 else (None if i == 8 else i + (-1) ** i * 5), "new") for i in range(50, 80)] + [(7, "j1", 50, "x"), (4, "j1", 4, "x"), (8, "j2", None, "x"), (None, "j0", 5, "x")]
+    source = spark.createDataFrame(new, schema).drop("kept")
+    spec, found = SyncSpec("t", keys=("k", "j"), marker=None, order=("v",)), []
+    for limit in (1 << 30, -1):
+        monkeypatch.setattr(job, "BROADCAST_LIMIT_BYTES", limit)
+        table = VersionedTable(spark, where(f"merge-{limit}"), T.StructType.fromDDL(schema), ("k", "j"), 8)
+        table.write(spark.createDataFrame(old, schema))
+        wide = job.shape(source, spec, T.StructType.fromDDL("k int, j string, v int"))
+        result = job.write_changes(table, wide, spec, "run.1", guard)
+        before = table.manifest()["folders"]
+        again = job.write_changes(table, wide.where("k = 4 or k = 51"), spec, "run.2", guard)
+        assert table.manifest()["folders"] == before and again.updated == again.inserted == 0
+        found.append((result, sorted(map(repr, table.read().collect()))))
+        # buckets without an update keep what they had
+        added = job.write_changes(table, job.shape(spark.createDataFrame([(1000, "n", 1)], "k int, j string, v int"), spec, T.StructType.fromDDL("k int, j string, v int")), spec, "run.3", guard)
+        assert added.inserted == 1 and sum(len(p) for p in table.manifest()["folders"].values()) == sum(map(len, before.values())) + 1
+        assert table.read().count() == len(found[-1][1]) + 1
+    assert found[0] == found[1] and found[0][0].updated and found[0][0].inserted and found[0][0].unchanged

@@ -156,6 +156,33 @@ def apply_classified(target: DataFrame, changes: DataFrame, keys: Sequence[str],
     return _updated(joined, target, updates, keys).unionByName(inserts)
 
 
+def merge_marked(target: DataFrame, source: DataFrame, keys: Sequence[str], place: Sequence[Column], guard: Sequence[str] = ()) -> DataFrame:
+    """All rows of both in the shape of the target, with ``_old`` (a row of the target) and ``kind`` as :func:`classify` gives it (NULL: the source
+    lacks the key). Rows of the target are as they are after the update. The source has one row per key and columns that are no keys.
+
+    Both are shuffled once and together, by the columns ``place``, which follow from the key and are kept: equal keys lie in one task.
+    """
+    source, _ = split_null_keys(known_columns(source, target.schema), keys)
+    have = {c.lower() for c in _values(keys, source.columns)}
+    written = [f.name for f in target.schema if f.name.lower() in have]
+    order = [c for g in guard for c in written if c.lower() == g.lower()]
+    rows = target.withColumn("_old", F.lit(True)).unionByName(_inserts(source, target).withColumn("_old", F.lit(False)))
+    rows = rows.select("*", *place)
+    beside = rows.columns[len(target.columns) + 1:]
+    group = Window.partitionBy(*beside, *keys)
+    old = F.col("_old")
+    rows = rows.repartition(*beside).withColumn("_new", F.first(F.when(~old, F.struct(*written)), ignorenulls=True).over(group))
+    new = {c: F.col("_new").getField(c) for c in written}
+    same = functools.reduce(lambda a, b: a & b, [new[c].eqNullSafe(F.col(c)) for c in written])
+    beyond = F.struct(*order) > F.struct(*[new[c].alias(c) for c in order]) if order else F.lit(False)
+    rows = rows.withColumns({"_same": F.bool_and(F.when(old, same)).over(group), "_beyond": F.bool_or(F.when(old, beyond)).over(group)})
+    kind = (F.when(F.col("_new").isNull(), None).when(F.col("_same").isNull(), "insert").when(F.col("_same"), "unchanged")
+            .when(F.col("_beyond"), "stale").otherwise("update"))
+    update = old & (F.col("kind") == "update")
+    columns = [F.when(update, new[f.name]).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in target.schema]
+    return rows.withColumn("kind", kind).select(*columns, "_old", *beside, "kind")
+
+
 def change_counts(target: DataFrame, source: DataFrame, keys: Sequence[str], small: bool | None = None) -> DataFrame:
     return classify(target, source, keys, small).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
 

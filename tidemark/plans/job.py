@@ -111,6 +111,8 @@ def _merge(table: VersionedTable, kept: DataFrame, facts: dict, spec: SyncSpec,
     if out.read == 0:
         return out
     small, seen = facts["bytes"] <= BROADCAST_LIMIT_BYTES, Observation()
+    if not small and not spec.no_update and len(rows.columns) > len(spec.keys):
+        return _merge_large(table, rows, facts["buckets"], spec, tag, base, guard, out)
     classified = merge.classify(table.read(facts["buckets"], base), rows, spec.keys, small, guard)
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("insert", "update", "unchanged", "stale")]
     classified = classified.withColumn("_b", table.bucket(rows)).observe(
@@ -133,6 +135,26 @@ def _merge(table: VersionedTable, kept: DataFrame, facts: dict, spec: SyncSpec,
     return out
 
 
+def _merge_large(table: VersionedTable, rows: DataFrame, buckets: list[int], spec: SyncSpec, tag: str, base: int, guard: Sequence[str],
+                 out: RunResult) -> RunResult:
+    """Many rows update most buckets they touch: source and touched buckets are shuffled once, compared and written in the same pass. Which buckets
+    had no update is known at its end; their old rows stay where they were."""
+    target, seen = table.read(buckets, base), Observation()
+    slices = max(1, 4 * int(table.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(buckets)))
+    # rows without a full key meet nothing: any place will do, so they are spread by their plain columns
+    plain = [f.name for f in target.schema if isinstance(f.dataType, (T.AtomicType, T.NullType))]
+    place = F.when(merge.has_key(spec.keys), F.hash(*spec.keys)).otherwise(F.hash(*plain))
+    marked = merge.merge_marked(target, rows, spec.keys, [table.bucket(target).alias("_bucket"), F.pmod(place, F.lit(slices)).alias("_slice")], guard)
+    source = ~F.col("_old")
+    kinds = [F.count_if(source & (F.col("kind") == k)).alias(k) for k in ("insert", "update", "unchanged", "stale")]
+    marked = marked.observe(seen, *kinds, F.collect_set(F.when(source & (F.col("kind") == "update"), F.col("_bucket"))).alias("updated"))
+    left = marked.where(F.col("_old") | (F.col("kind") == "insert")).withColumn("_how", F.when(F.col("_old"), "replace").otherwise("add"))
+    table.overlay(left.drop("_old", "_slice", "kind"), lambda: seen.get["updated"], tag, base)
+    counts = seen.get
+    out.inserted, out.updated, out.unchanged = counts["insert"], counts["update"], counts["unchanged"] + counts["stale"]
+    return out
+
+
 Bounds = tuple[str | None, str | None]
 
 

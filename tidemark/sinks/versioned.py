@@ -13,7 +13,7 @@ import functools
 import json
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,6 +142,39 @@ class VersionedTable:
         parts = [self._placed(df, how) for df, how in ((replaced, "replace"), (added, "add")) if df is not None]
         return self._commit(functools.reduce(DataFrame.unionByName, parts), False, tag, base)
 
+    def overlay(self, rows: DataFrame, updated: Callable[[], Iterable[int]], tag: str = "run", base: int | None = None) -> int:
+        """Commit ``rows`` that have ``_bucket`` and ``_how``: 'replace' for all rows a bucket had, as they are now, 'add' for new ones.
+
+        Only the buckets that ``updated`` names when all is written are replaced. The others keep their folders, and what was written of
+        their old rows is deleted. Without any change there is no new version.
+        """
+        base = self.current() if base is None else base
+        old = self.manifest(base)
+        data, replaced, folders = f"data-{uuid.uuid4().hex}", set(), dict(old["folders"])
+        rows.write.partitionBy("_how", "_bucket").parquet(f"{self.path}/{data}")
+        wanted = {str(b) for b in updated()}
+        for how in ("replace", "add"):
+            for status in self._list(f"{data}/_how={how}"):
+                name = status.getPath().getName()
+                bucket, folder = name.partition("=")[2], f"{data}/_how={how}/{name}"
+                if how == "add":
+                    folders[bucket] = [*folders.get(bucket, []), folder]
+                elif bucket in wanted:
+                    folders[bucket] = [folder]
+                    replaced.add(bucket)
+                else:
+                    path, fs = self._fs(folder)
+                    fs.delete(path, True)
+        if wanted - replaced:
+            raise ValueError(f"updated buckets without rows: {sorted(wanted - replaced)}")
+        if folders == old["folders"]:
+            path, fs = self._fs(data)
+            fs.delete(path, True)
+            return base
+        self._publish(base + 1, {"keys": self._keys(), "buckets": self.buckets, "tag": tag,
+                                 "tags": {**old["tags"], self._family(tag): tag}, "folders": folders})
+        return base + 1
+
     def compact(self, folders: int = 1) -> int:
         """Rewrite the buckets that lie in more than ``folders`` folders."""
         base = self.current()
