@@ -1,5 +1,8 @@
 import base64
 import json
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -15,7 +18,7 @@ import brute
 from check_oracle import canonical, oracle
 from conftest import SMALL
 from llm_fixtures import documents, llm, odd_docs  # noqa: F401
-from tidemark.llm import bpe, chat, components, fmindex, jaccard, langid, mixing, quality, shards, substring, topk, urlfilter
+from tidemark.llm import bpe, chat, components, fmindex, jaccard, langid, mixing, quality, queries, shards, substring, topk, urlfilter
 from tidemark.llm.queries import ORACLE, QUERIES
 from tidemark.llm.words import Words
 
@@ -211,6 +214,39 @@ def test_forward_backward_is_the_sum_over_all_paths():
     assert np.allclose(langid.Lattice(lengths).marginals(e, t, s), want, atol=1e-5)
 
 
+def test_long_texts_are_decoded_together_and_get_the_mean_of_their_words(monkeypatch):
+    """The steps of long texts are shared by as many of them as fit, and results don't depend on how many do."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b", "c"], rng.normal(0, .3, (langid.BUCKETS, 3)).astype(np.float32), rng.normal(0, .5, (3, 3)), rng.normal(0, .5, 3))
+    words = np.array([f"w{i}" for i in range(3000)] + ["1", "--"])
+    texts = [" ".join(words[rng.integers(0, len(words), n)]) for n in [12_000] * 30 + [1, 7, 300]] + ["", None, " 12 -- "]
+    made = []
+    monkeypatch.setattr(langid, "Lattice", lambda n, real=langid.Lattice: made.append(len(n)) or real(n))
+    best, score = model.label(pa.array(texts))
+    assert made == [len(texts)]
+    monkeypatch.setattr(langid, "DECODE_CELLS", 1, raising=False)
+    few, few_score = model.label(pa.array(texts))
+    assert len(made) > 2 and (best == few).all() and np.allclose(score, few_score, atol=1e-6)
+    for i in (0, 29, 30, 31, 32):
+        d = langid.Distinct(Words(pa.array([texts[i]]), lower=True))
+        p = langid.Lattice(np.array([len(d.of)])).marginals(langid.factors(d.scores(model.weights))[d.of], np.exp(model.trans), np.exp(model.start))
+        mean = p[d.letters[d.of]].mean(axis=0) if d.letters[d.of].any() else np.zeros(3)
+        assert np.allclose(score[i], mean.max(), atol=1e-5) and best[i] == (mean.argmax() if mean.any() else -1)
+    assert best[33:].tolist() == [-1, -1, -1] and score[33:].tolist() == [0, 0, 0]
+
+
+def test_workers_keep_the_memory_of_arrays_between_blocks():
+    """Arrays of up to a few megabytes are not mapped anew each time: every page of them would be a fault."""
+    code = ("import resource as r, numpy as np\n"
+            "def faults():\n"
+            "    was = r.getrusage(r.RUSAGE_SELF).ru_minflt\n"
+            "    for _ in range(200): np.arange(1 << 18).sum()\n"
+            "    return r.getrusage(r.RUSAGE_SELF).ru_minflt - was\n"
+            "faults(); print(faults())")
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | queries.WORKER_MEMORY, capture_output=True, text=True, check=True, timeout=120)
+    assert int(done.stdout) < 20_000
+
+
 def test_words_of_switching_texts_get_their_own_language(documents):
     model = langid.fit(documents)
     by = {x: [r.text for r in documents.where(F.col("lang") == x).limit(6).collect()] for x in ("en", "fr")}

@@ -205,13 +205,15 @@ def _entries(t: Threshold, limit: int, key: str, text: str):
             stays = ~copies[o]
             has = mark != 0
             d, s = np.concatenate([doc[o[stays]], doc[has]]), np.concatenate([s[stays], mark[has]])
-            order = np.lexsort((d, s))
+            order = np.argsort(s)
             d, s = d[order], s[order]
-            new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-            head = d[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-            use = new | (d != head)
-            return pa.record_batch({"sig": pa.array(s[use].view(np.int64)), "doc": pa.array(d[use]),
-                                    "head": pa.array(head[use], mask=new[use])})
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            low = np.minimum.reduceat(d, new) if len(s) else d
+            head = np.repeat(low, np.diff(np.append(new, len(s))))
+            far = np.flatnonzero(d != head)
+            # an entry for the smallest member of each list, a link for each of the others
+            return pa.record_batch({"sig": pa.array(np.concatenate([s[new], s[far]]).view(np.int64)), "doc": pa.array(np.concatenate([low, d[far]])),
+                                    "head": pa.concat_arrays([pa.nulls(len(new), pa.int64()), pa.array(head[far], pa.int64())])})
 
         for batch in batches:
             ids = batch[key].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -449,20 +451,26 @@ _LISTED = "key long, doc long, place int, small boolean, n long, n_b long, apart
 def _listed(t: Threshold, frequency: np.ndarray):
     """Rows of two kinds: a member's sizes (without ``key``), and the rarest of its differences from b, as many as it needs to meet sets with
     more of them that it may link with (``small``), and sets with fewer."""
-    none = pa.nulls(1, pa.int64())
-
-    def rows(key, doc, place, small) -> pa.RecordBatch:
-        n = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(n, doc)), pa.array(place.astype(np.int32)), pa.array(np.full(n, small)),
-                                           *[pa.nulls(n, pa.int64())] * 3], ["key", "doc", "place", "small", "n", "n_b", "apart"])
+    def rows(keys: list, docs: list, small: list, sizes: list) -> pa.RecordBatch:
+        top = np.array([len(k) for k in keys], dtype=np.int64)
+        n, m = int(top.sum()), len(sizes)
+        place = np.arange(n) - np.repeat(np.cumsum(top) - top, top)
+        doc, *of_set = (np.array(x, dtype=np.int64) for x in zip(*sizes))
+        listing = [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(place.astype(np.int32)), pa.array(np.repeat(np.array(small, dtype=bool), top))]
+        key, place, small = (pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in listing)
+        doc = pa.array(np.concatenate([np.repeat(np.array(docs, dtype=np.int64), top), doc]))
+        return pa.RecordBatch.from_arrays([key, doc, place, small, *(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in of_set)],
+                                          ["key", "doc", "place", "small", "n", "n_b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _members(batches, t):
-            out = []
+            keys, docs, smalls, sizes = [], [], [], []
             for a, b, k, own, heads in piece:
                 head = heads[0]
                 both, place = _in(own, head)
-                added, gone = own[~both], np.delete(head, place)
+                stays = np.ones(len(head), dtype=bool)
+                stays[place] = False
+                added, gone = own[~both], head[stays]
                 # a shingle of b is a difference of all members that lack it; any order is right, a good one lists what few have
                 often = np.concatenate([frequency[(added & _U(RARITY - 1)).astype(np.int64)],
                                         np.maximum(k // 16, k - frequency[(gone & _U(RARITY - 1)).astype(np.int64)])])
@@ -470,14 +478,15 @@ def _listed(t: Threshold, frequency: np.ndarray):
                 key = mix(np.concatenate([added, gone]) ^ mix(np.array([b]).view(_U))).view(np.int64)
                 key = key[np.lexsort((key, often))]
                 size, n = len(key), len(own)
-                out.append(pa.RecordBatch.from_arrays([none, pa.array([a]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.bool_()), pa.array([n]), pa.array([len(head)]),
-                                                       pa.array([size])], ["key", "doc", "place", "small", "n", "n_b", "apart"]))
+                sizes.append((a, n, len(head), size))
                 # two sets share half of what both differ by beyond what they may differ in, and at least one
                 for small, share in ((True, size - t.differ(n) // 2), (False, size - t.differ(n))):
                     top = size - max(1, share) + 1
                     if size and top > 0:
-                        out.append(rows(key[:top], a, np.arange(top), small))
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                        keys.append(key[:top])
+                        docs.append(a)
+                        smalls.append(small)
+            yield rows(keys, docs, smalls, sizes)
 
     return run
 

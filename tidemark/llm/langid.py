@@ -23,8 +23,10 @@ BUCKETS = 1 << 17
 NGRAMS = (2, 3, 4)
 AFFIXES = (1, 2, 3)
 UNKNOWN = "und"
-#: Words that are decoded together.
-DECODE_WORDS = 1 << 17
+#: Words times labels that are decoded together: a step costs the same for few sequences as for many, so that many long texts should share it.
+DECODE_CELLS = 1 << 21
+#: Bytes of text whose words get their features together.
+FEATURE_BYTES = 1 << 18
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -68,6 +70,16 @@ class Distinct:
         return out * self.letters[:, None]
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a column; of many short rows by adding columns in order, which gives the same numbers faster."""
+    if len(x) < 128 or not 1 < x.shape[1] < 8:
+        return np.add.reduce(x, axis=1, keepdims=True)
+    total = x[:, :1] + x[:, 1:2]
+    for k in range(2, x.shape[1]):
+        total += x[:, k:k + 1]
+    return total
+
+
 class Lattice:
     """Sequences side by side: step t of all sequences longer than t lies together, longest sequence first."""
 
@@ -79,45 +91,55 @@ class Lattice:
         self.offset = np.concatenate([[0], np.cumsum(self.active)])
         begin = np.concatenate([[0], np.cumsum(lengths)])[:-1][self.order]
         seq = np.concatenate([np.arange(a) for a in self.active]) if steps else np.zeros(0, np.int64)
-        step = np.repeat(np.arange(steps), self.active)
-        self.place = begin[seq] + step  # of each cell, the word in the original order
+        self.place = begin[seq]  # of each cell, the word in the original order
+        self.place += np.repeat(np.arange(steps), self.active)
+        self.seq = self.order[seq]  # and the sequence
 
     def marginals(self, emission: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
         """Each word's distribution (original order), and with ``pairs`` the sum of the pairwise ones and of the first ones.
 
         ``emission``, ``trans`` and ``start`` are positive factors, not logarithms.
         """
-        e = emission[self.place].astype(np.float32)
-        trans = trans.astype(np.float32)
-        alpha, steps = np.empty_like(e), len(self.active)
-        prev = start.astype(np.float32)
-        for t in range(steps):
-            a, b = self.offset[t], self.offset[t + 1]
-            x = (prev[:b - a] @ trans if t else prev) * e[a:b]
-            x /= x.sum(axis=1, keepdims=True)
-            alpha[a:b] = prev = x
-        total = np.zeros(trans.shape)
-        back, beta = trans.T.copy(), None
-        gamma = alpha.copy() if pairs else alpha
-        for t in range(steps - 1, -1, -1):
-            a, b = self.offset[t], self.offset[t + 1]
-            here = np.ones((b - a, e.shape[1]), dtype=np.float32)
-            if beta is not None:
-                nxt = e[b:self.offset[t + 2]] * beta
-                if pairs:
-                    left = alpha[a:a + len(nxt)]
-                    z = ((left @ trans) * nxt).sum(axis=1, keepdims=True)
-                    total += (left / z).T @ nxt * trans
-                into = nxt @ back
-                here[:len(nxt)] = into / into.sum(axis=1, keepdims=True)
-            g = alpha[a:b] * here
-            gamma[a:b] = g / g.sum(axis=1, keepdims=True)
-            beta = here
+        gamma, total, first = self.decoded(emission[self.place].astype(np.float32), trans, start, pairs)
         out = np.empty_like(gamma)
         out[self.place] = gamma
-        first = gamma[:self.active[0]].sum(axis=0) if steps else np.zeros(trans.shape[0])
         return (out, total, first) if pairs else out
 
+    def decoded(self, e: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distributions of the cells, in their order, with the sums of the pairwise ones (if asked for) and of the first ones.
+
+        ``e`` has the factors of the cells, as an array of its own: they are overwritten.
+        """
+        shape, trans = trans.shape, trans.astype(np.float32)
+        alpha, steps = np.empty_like(e), len(self.active)
+        at = self.offset.tolist()
+        prev = start.astype(np.float32)
+        for t in range(steps):
+            a, b = at[t], at[t + 1]
+            x = alpha[a:b]
+            if t:
+                np.matmul(prev[:b - a], trans, out=x)
+                x *= e[a:b]
+            else:
+                np.multiply(prev, e[a:b], out=x)
+            x /= _sums(x)
+            prev = x
+        total = np.zeros(shape)
+        back = trans.T.copy()
+        for t in range(steps - 2, -1, -1):
+            a, b, c = at[t], at[t + 1], at[t + 2]
+            nxt, left = e[b:c], alpha[a:a + c - b]  # the next cells' factors times what follows them
+            if pairs:
+                z = _sums((left @ trans) * nxt)
+                total += (left / z).T @ nxt * trans
+            into = nxt @ back
+            into /= _sums(into)
+            e[a:a + c - b] *= into
+            left *= into
+        alpha /= _sums(alpha)
+        first = alpha[:self.active[0]].sum(axis=0) if steps else np.zeros(shape[0])
+        return alpha, total, first
+
 
 def factors(scores: np.ndarray) -> np.ndarray:
     """Scores as positive factors, the largest 1; bounded, so that no product of a row vanishes."""
@@ -134,24 +156,26 @@ class Model:
     def label(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the index of its label (-1: no word with a letter) and its score."""
         sums, counts = [], []
-        held: list[tuple] = []
+        held: list[tuple] = []  # of each block: words of its texts, of each word the distinct one, their factors, whether they have letters
 
         def decode():
             lengths = np.concatenate([x[0] for x in held])
-            e, letters = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            p = Lattice(lengths).marginals(e, np.exp(self.trans), np.exp(self.start)) * letters[:, None]
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            sums.append(np.diff(np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0, dtype=np.float64)])[at], axis=0))
-            counts.append(np.diff(np.concatenate([[0], np.cumsum(letters)])[at]))
+            base = np.cumsum([0, *(len(x[2]) for x in held)])
+            lattice = Lattice(lengths)
+            of = np.concatenate([x[1] + n for x, n in zip(held, base, strict=False)])[lattice.place]
+            table, letters = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])[of]
             held.clear()
+            p = lattice.decoded(table[of], np.exp(self.trans), np.exp(self.start))[0]
+            sums.append(np.stack([np.bincount(lattice.seq, p[:, k] * letters, len(lengths)) for k in range(p.shape[1])], axis=1))
+            counts.append(np.bincount(lattice.seq, letters, len(lengths)).astype(np.int64))
 
         size = 0
-        for part in text_blocks(texts):
+        for part in text_blocks(texts, FEATURE_BYTES):
             w = Words(part, lower=True)
             d = Distinct(w)
-            held.append((np.diff(w.first), factors(d.scores(self.weights))[d.of].astype(np.float32), d.letters[d.of]))
+            held.append((np.diff(w.first), d.of.astype(np.int32), factors(d.scores(self.weights)).astype(np.float32), d.letters))
             size += len(w)
-            if size >= DECODE_WORDS:
+            if size * len(self.labels) >= DECODE_CELLS:
                 decode()
                 size = 0
         if held:
