@@ -186,6 +186,34 @@ def test_chat_query_on_odd_rows(llm, tmp_path):
     assert canonical(got.columns, [tuple(r) for r in got.collect()]) == canonical(columns, want.fetchall())
 
 
+def test_a_long_conversation_goes_in_pieces(llm, tmp_path):
+    long = [(c, i, ("system", "user", "assistant", "tool")[i % (3 if c == 1 else 4)], f"{i} <|im_end|> é\n" + "x" * (i * 37 % 3000)) for c in (1, 2, 3) for i in range(400)]
+    short = [(5, i, r, r * 20_000) for i, r in enumerate(("system", "user", "assistant"))] + [(7, 0, "user", "y" * 100_000), (7, 1, "assistant", "z" * 100_000)]
+    rows = llm.createDataFrame((long + short)[::-1], "conv_id long, turn long, role string, text string").repartition(5)
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    made = chat.records(rows).select("conv_id", "piece", "record", chat.canonical(F.col("record")).alias("c")).select("*", "c.layout", "c.turns").collect()
+    for c in (1, 2, 3):
+        pieces = sorted((r for r in made if r.conv_id == c), key=lambda r: r.piece)
+        assert len(pieces) > 3 and pieces[0].piece == 0 and max(len(r.record) for r in pieces) < 2 * chat.PIECE_BYTES
+        assert [tuple(t) for r in pieces for t in r.turns] == [r[2:] for r in long if r[0] == c]
+    assert {(r.conv_id, r.layout) for r in made} == {(1, "from_value"), (2, "messages"), (3, "messages"), (5, "instruction"), (7, "prompt")}
+    got = QUERIES["op4_chat_formatting"](llm, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(ORACLE["op4_chat_formatting"])
+    columns = [d[0] for d in want.description]
+    assert canonical(got.columns, [tuple(r) for r in got.collect()]) == canonical(columns, want.fetchall())
+
+
+def test_pieces_apart_are_an_error(llm):
+    kind = "conv_id long, piece long, turns array<struct<role:string,text:string>>, learned string, formatted string"
+    pieces = llm.createDataFrame([(1, 0, [("user", "a")], "", "a"), (1, 3, [("assistant", "b")], "b", "b"), (None, 0, [], "", "")], kind)
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.formatted_chars) for r in chat.digests(pieces.coalesce(1)).collect()}
+    assert got == {1: (2, 1, 2), None: (0, 0, 0)}
+    with pytest.raises(Exception, match="not together"):
+        chat.digests(pieces.where("piece = 3")).collect()
+
+
 # 5
 
 def test_language_of_held_out_texts(documents):

@@ -9,12 +9,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import handing_back
+
 #: The marks of the template.
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
+#: Bytes of roles, texts and marks after which a long conversation is cut.
+PIECE_BYTES = 1 << 16
 
 TURNS = "array<struct<role:string,text:string>>"
 SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -169,22 +173,75 @@ def read_back(text: Column, loss: Column) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """``conv_id, record``: the rows of a conversation by turn as JSON in the layout that fits its roles.
+    """``conv_id, piece, record``: the rows of a conversation by turn as JSON in the layout that fits its roles.
 
-    Rows without a turn come first; equal turns go by role and text; null roles and texts are empty. Partial lists are
-    made before the shuffle. A conversation is one record, so its rows do meet.
+    Rows without a turn come first; equal turns go by role and text; null roles and texts are empty. A conversation of
+    more than three turns is cut between turns about every ``PIECE_BYTES``, so no row grows with it: its pieces are
+    numbered upwards from 0 (numbers may be left out), have one layout and follow each other. All of them are in one partition.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    d = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    turn = ("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.octet_length("role") + F.octet_length("text") + len(BEGIN + END)
+    before = F.coalesce(F.sum(size.cast("long")).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = rows.select("conv_id", *turn).select(
+        "*", F.count("*").over(whole).alias("n"), F.min(F.col("role").isin("system", "user", "assistant")).over(whole).alias("plain"), before.alias("before"))
+    d = d.withColumn("piece", F.when(F.col("n") <= 3, F.lit(0)).otherwise(F.floor(F.col("before") / PIECE_BYTES)).cast("long"))
+    d = d.groupBy("conv_id", "piece", "n", "plain").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     roles, text = F.transform("t", lambda x: x["role"]), lambda i: F.col("t")[i]["text"]
-    is_ = lambda *names: roles == F.array(*map(F.lit, names))
-    plain = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
+    is_ = lambda *names: (F.col("n") == len(names)) & (roles == F.array(*map(F.lit, names)))
     speaker = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
     record = (F.when(is_("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
               .when(is_("system", "user", "assistant"),
                     F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
-              .when(plain & (F.col("conv_id") % 2 == 1), F.to_json(F.struct(F.transform(
+              .when(F.col("plain") & (F.col("conv_id") % 2 == 1), F.to_json(F.struct(F.transform(
                   "t", lambda x: F.struct(speaker(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations"))))
               .otherwise(F.to_json(F.struct(F.transform(
                   "t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))))
-    return d.select("conv_id", record.alias("record"))
+    return d.select("conv_id", "piece", record.alias("record"))
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """One row per conversation from ``conv_id, piece, turns, learned, formatted``, the pieces of a conversation in one partition.
+
+    A hash runs over the pieces in order, so a task holds one batch of them, however long the conversation is; a hash
+    cannot be dealt out, so a conversation does go through one task.
+    """
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    d = pieces.select("conv_id", "piece", F.size("turns").cast("long").alias("n_turns"), F.concat_ws("", lines).cast("binary").alias("lines"),
+                      F.length("learned").cast("long").alias("loss_chars"), F.col("learned").cast("binary").alias("learned"),
+                      F.length("formatted").cast("long").alias("formatted_chars")).sortWithinPartitions("conv_id", "piece")
+    conv_type = pieces.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    @handing_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, -1
+        kind = None
+
+        def rows(done: list[list]) -> pa.RecordBatch:
+            made = [[c, n, said.hexdigest(), chars, loss.hexdigest(), size] for c, n, said, chars, loss, size in done]
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*made, strict=True), kind, strict=True)], names)
+
+        for batch in batches:
+            kind = kind or [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            done = []
+            for i in range(batch.num_rows):
+                conv, piece, n, said, chars, learned, size = (c[i].as_py() for c in batch.columns)
+                if now is None or conv != now[0]:
+                    if now is not None:
+                        done.append(now)
+                    now, last = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], -1
+                if (piece == 0) != (last < 0) or piece <= last:
+                    raise ValueError(f"the pieces of conversation {conv} are not together")
+                now[1] += n
+                now[2].update(said)
+                now[3] += chars
+                now[4].update(learned)
+                now[5] += size
+                last = piece
+            if done:
+                yield rows(done)
+        if now is not None:
+            yield rows([now])
+
+    return d.mapInArrow(run, f"conv_id {conv_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
