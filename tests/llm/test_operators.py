@@ -472,6 +472,20 @@ def test_sketches_fold_and_bound_the_difference(llm):
             assert r.apart <= len(x ^ y)
 
 
+def test_jaccard_join_hands_texts_over_in_small_batches(llm, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, written = llm.conf.get(name), jaccard.written
+
+    def noted(df):
+        seen.append(llm.conf.get(name))
+        return written(df)
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    docs = llm.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "x y z")], "doc_id long, text string")
+    assert {(r["node"], r["component"]) for r in jaccard.jaccard_components(docs, 90, 100, 3).collect()} == {(1, 1), (2, 1)}
+    assert seen and set(seen) == {"1m"} and llm.conf.get(name) == before
+
+
 def test_jaccard_join_of_odd_rows(odd_docs):
     got = jaccard.jaccard_groups(odd_docs).collect()
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]

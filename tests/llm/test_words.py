@@ -57,3 +57,25 @@ def test_workers_give_freed_arrays_back_to_the_system(spark):
             yield pa.record_batch({"ok": pa.array([many < 4 * len(kept) + least and all(os.environ[k] == v for k, v in WORKER_MEMORY.items())])})
 
     assert spark.range(1).mapInArrow(retained, "ok boolean").first()["ok"]
+
+
+def test_texts_are_written_in_small_pages_and_read_a_few_rows_at_a_time(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.queries import workers_find_package
+
+    workers_find_package(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    path = str(tmp_path / "texts")
+    texts = spark.range(0, 2000, 1, 1).select(F.concat_ws(" ", *(F.sha2(F.concat("id", F.lit(f"/{i}")), 256) for i in range(32))).alias("text"))
+    texts.write.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(next(str(f) for f in (tmp_path / "texts").glob("*.parquet")))
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+    try:
+        column = reader.getFooter().getBlocks().get(0).getColumns().get(0)
+        # 4 MB of texts: no page takes more than half a region of a heap of 1 GB or more
+        assert reader.readOffsetIndex(column).getPageCount() >= column.getTotalUncompressedSize() // (1 << 19)
+    finally:
+        reader.close()
+    assert spark.read.parquet(path).exceptAll(texts).isEmpty()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.sizing import broadcast_if_small
-from tidemark.session import release, staged, written
+from tidemark.session import release, setting, staged, written
 
 from .components import components
 from .words import Words, handing_back, mix, text_blocks
@@ -45,6 +45,8 @@ SKETCH = 4
 MEMBERS = 256
 #: Signatures that one task combines before they are shuffled.
 COMBINE = 1 << 19
+#: Bytes of rows that go to a Python worker at a time: texts are looked at in blocks of as much, and a batch is held several times on its way.
+BATCH_BYTES = "1m"
 
 _U = np.uint64
 
@@ -257,6 +259,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def n_shingles(text: Column, words: int) -> Column:
     @F.arrow_udf("long")
+    @handing_back
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [np.bincount(shingle_sets(p, words)[0], minlength=len(p)) for p in text_blocks(texts)]
@@ -404,11 +407,12 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, words: in
     t = Threshold(num, den, words)
     limit = boundary(t)
     texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = texts.mapInArrow(handing_back(_entries(t, limit, "id", "text")), _LIST)
     lists = entries.repartition(parts, "sig").sortWithinPartitions("sig", "doc").mapInArrow(_heads, _LIST)
-    with written(lists) as links_by_list, written(_marks(texts, t)) as marks:
-        release(docs.sparkSession)
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), written(lists) as links_by_list, written(_marks(texts, t)) as marks:
+        release(spark)
         return _joined_up(links_by_list, texts, marks, t)
 
 
@@ -508,7 +512,7 @@ def _across(edges: DataFrame, found: DataFrame, links: DataFrame, texts: DataFra
     measured = group.join(centre, F.col("component") == F.col("group_")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     measured = staged(measured)
     frequency = np.zeros(RARITY, dtype=np.int64)
-    for r in texts.mapInArrow(_frequencies(t.words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(handing_back(_frequencies(t.words)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
     listed = _against(measured, texts).mapInArrow(handing_back(_listed(t, frequency)), _LISTED)
     with written(listed) as rows:

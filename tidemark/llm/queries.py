@@ -25,12 +25,17 @@ BATCH_BYTES = "8m"
 #: Settings of the C library in Python workers: arrays of 4 MB and more are mapped, so an idle worker keeps none of them, nor do fragments of its heap.
 #: Smaller ones stay in the heap until a task hands them back: mapping them anew each time took up to half of a worker's time.
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows that Spark decodes from parquet at a time, and bytes of a page that it writes. With the defaults, 4096 and 1 MB, texts are arrays of which each
+#: takes whole regions of an executor's heap; every one of them can start a collection, and the heap grows to its limit far above what is alive.
+TABLES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "parquet.page.size": str(256 << 10)}
 
 
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers look for this package where the driver has it, if they don't have it on their path; they get bounded batches, and
     large arrays go back to the system as soon as they are freed."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, value in TABLES.items():
+        spark.conf.set(name, value)
     for name, value in WORKER_MEMORY.items():
         spark.sparkContext.environment.setdefault(name, value)
     have = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))

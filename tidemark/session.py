@@ -64,6 +64,20 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """One setting of the session, as before at the end."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files and staged rows that nothing refers to any more. It does so when the driver collects garbage, which a
     driver with little work of its own may not do for long; loops of many small jobs ask for it."""
